@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import embedding_dedup, sharding, url_filter
+from cataloom.llm import embedding_dedup, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that strings of 100 bytes cover which start earlier as well."""
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of equal row counts, equal texts together where quotas allow."""
     out = sharding.shard_documents(_table(spark, sf_dir, "documents"))
@@ -85,7 +91,7 @@ FROM v JOIN least ON v.vec_id = least.node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_embedding_dedup, op8_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -49,7 +49,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
+    return raw_bytes(column.cast(pa.large_string()))
+
+
+def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls end to end, and the offsets (n + 1)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary())
     raw = column.buffers()
     offsets = np.frombuffer(raw[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None else np.zeros(0, np.uint8)
