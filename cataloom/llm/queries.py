@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import embedding_dedup, sharding, suffix_dedup, url_filter
+from cataloom.llm import bpe, embedding_dedup, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def tokenizer_path() -> str:
+    """The place of the word-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the word-level BPE and decoded again."""
+    return bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
+
+
 #: Rules of the URL filter, as (verdict, host and path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 #: The tables have no feed of bad URLs; these hosts and sections stand in for one.
@@ -91,7 +103,7 @@ FROM v JOIN least ON v.vec_id = least.node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
