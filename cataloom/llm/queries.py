@@ -4,16 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import bpe, embedding_dedup, sharding, suffix_dedup, url_filter
+from cataloom.llm import bpe, embedding_dedup, language_id, sharding, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bucket(buckets: int) -> Column:
+    """crc32 of the doc_id as text, modulo ``buckets``; of a null id that of the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(buckets))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three of four buckets of ids."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(_bucket(4) != 2))
+    out = language_id.predict(docs.select("doc_id", "text"), model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (_bucket(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of equal labels, cosine 0.93 and above."""
     return embedding_dedup.near_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
@@ -103,7 +116,7 @@ FROM v JOIN least ON v.vec_id = least.node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op2_language_id, op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
