@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import bpe, embedding_dedup, language_id, sharding, suffix_dedup, toxicity, url_filter
+from cataloom.llm import bpe, decontaminate, embedding_dedup, language_id, sharding, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(buckets))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which it holds a passage."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from three of four buckets of ids."""
     docs = _table(spark, sf_dir, "documents")
@@ -124,7 +129,7 @@ FROM v JOIN least ON v.vec_id = least.node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op5_toxicity, op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op5_toxicity, op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
