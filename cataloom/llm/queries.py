@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import bpe, decontaminate, embedding_dedup, language_id, sharding, suffix_dedup, toxicity, url_filter
+from cataloom.llm import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, sharding, suffix_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: links, copies and group of each."""
+    return jaccard_join.near_texts(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def _bucket(buckets: int) -> Column:
     """crc32 of the doc_id as text, modulo ``buckets``; of a null id that of the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(buckets))
@@ -129,7 +134,7 @@ FROM v JOIN least ON v.vec_id = least.node
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op5_toxicity, op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_jaccard_join, op5_toxicity, op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
