@@ -359,10 +359,12 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the least id (of rows that repeat it, one)."""
+    """``docs``, all columns, with one row of each group of near copies: that with the least id.
+
+    Rows that repeat both id and text count as copies. Rows with a null id, and rows that share an id but not the text,
+    are kept as they are not told apart by links."""
     gone = near_texts(docs, id_column, text_column).where("not kept").select(F.col("id").alias("__gone")).distinct()
     left = docs.join(gone, docs[id_column] == gone["__gone"], "left_anti")
-    named = left.where(F.col(id_column).isNotNull()).dropDuplicates([id_column])
-    return named.unionByName(left.where(F.col(id_column).isNull()))
-
-
+    if docs.groupBy(id_column).agg(F.count("*").alias("n")).where(F.col(id_column).isNotNull() & (F.col("n") > 1)).limit(1).count():
+        left = left.where(F.col(id_column).isNotNull()).dropDuplicates([id_column, text_column]).unionByName(left.where(F.col(id_column).isNull()))
+    return left

@@ -156,11 +156,11 @@ def _ids(spark, df: DataFrame, column: str):
     return to_arrow_type(df.schema[column].dataType), df.schema[column].dataType.simpleString()
 
 
-def _keyed(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+def _keyed(docs: DataFrame, id_column: str, text_column: str, carry: list[str]) -> tuple[DataFrame, DataFrame]:
     """The rows with a unique sortable ``id`` each, and the distinct of them.
 
     Ids that are null or repeated get a text key from the id and a hash of the text; rows that repeat both are one."""
-    rows = docs.select(F.col(id_column).alias("given"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_column).alias("given"), F.coalesce(F.col(text_column), F.lit("")).alias("text"), F.struct(F.lit(True).alias("given"), *carry).alias("carried"))
     odd = docs.groupBy(id_column).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(id_column).isNull()).limit(1).count()
     if not odd:
         rows = rows.withColumn("id", F.col("given"))
@@ -348,8 +348,8 @@ def removed_bytes(size: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text.
+def remove_repeats(docs: DataFrame, match: int = MATCH, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text, and the columns ``carry``.
 
     A byte goes if a string of ``match`` bytes that covers it also starts earlier: in a row with a smaller id, or at a
     smaller place of the same row. ``kept_sha256`` is of the remaining bytes; ``kept_text`` is the remaining text, where
@@ -358,10 +358,13 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, id_column: str = "doc_id
     apart by a hash of the text, in that order; rows that repeat id and text count once and each get the result.
     Matching runs on the input texts whole. Other columns are ignored; an empty table gives an empty result.
     """
-    rows, texts = _keyed(docs, id_column, text_column)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    carry = carry or []
+    rows, texts = _keyed(docs, id_column, text_column, carry)
     ranges = repeated_ranges(texts, match)
     arrow_given, given_kind = _ids(docs.sparkSession, rows, "given")
-    schema = pa.schema([("id", arrow_given), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+    schema = pa.schema([("id", arrow_given), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("carried", to_arrow_type(rows.schema["carried"].dataType))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches, "text"):
@@ -396,8 +399,9 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, id_column: str = "doc_id
                     out[3].append(hashlib.sha256(raw).hexdigest())
                 out[0].append(e - s)
                 out[4].append(text)
-            yield pa.RecordBatch.from_arrays([part.column("given"), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("given"), *(pa.array(c, f.type) for c, f in zip(out, list(schema)[1:6], strict=True)), part.column("carried")], schema=schema)
 
     empty = F.array().cast("array<struct<from:int,to:int>>")
-    joined = rows.join(ranges, "id", "left").select("given", "text", F.coalesce("ranges", empty).alias("ranges"))
-    return joined.mapInArrow(apply, f"id {given_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    joined = rows.join(ranges, "id", "left").select("given", "text", "carried", F.coalesce("ranges", empty).alias("ranges"))
+    kinds = f"id {given_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string, carried {rows.schema['carried'].dataType.simpleString()}"
+    return joined.mapInArrow(apply, kinds).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *(F.col("carried")[c].alias(c) for c in carry))

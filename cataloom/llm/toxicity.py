@@ -206,6 +206,15 @@ def fit(rows: pa.Table, size: int, terms: list[np.ndarray], rounds: int = 800) -
     return w, float(bias)
 
 
+def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The score of each text of a block."""
+    row, hashes, _ = features(data, offsets)
+    at, number = model.find(hashes)
+    once = np.unique(row[at] * len(model.features) + number)
+    z = np.bincount(once // len(model.features), model.weights[once % len(model.features)], len(offsets) - 1) + model.intercept
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
 def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, score (0 to 1), predicted (1 if the score is at least 0.5).
 
@@ -221,13 +230,25 @@ def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for rows, data, offsets in blocks(batches, "text"):
-            p = np.zeros(rows.num_rows)
-            if model:
-                row, hashes, _ = features(data, offsets)
-                at, number = model.find(hashes)
-                once = np.unique(row[at] * len(model.features) + number)
-                z = np.bincount(once // len(model.features), model.weights[once % len(model.features)], rows.num_rows) + model.intercept
-                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            p = probabilities(model, data, offsets) if model else np.zeros(rows.num_rows)
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema=schema)
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(apply, f"id {kind.simpleString()}, score double, predicted int")
+
+
+def keep_accepted(docs: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows whose score is 0.5 or more. Null texts are judged as empty ones."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = to_arrow_schema(docs.schema)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for rows, data, offsets in blocks(batches, text_column):
+            if model:
+                yield rows.filter(pa.array(probabilities(model, data, offsets) < 0.5)).cast(schema)
+            else:
+                yield rows.cast(schema)
+
+    return docs.mapInArrow(apply, docs.schema)
