@@ -39,6 +39,10 @@ def random_projection(id_: Column, dims: int, seed: int) -> Column:
     return F.array(*[component(F.lit(k)) for k in range(dims)])
 
 
+def scaled(weight: float) -> Column:
+    return F.transform("v", lambda x: x * weight)
+
+
 def fast_rp(graph: DataFrame, dims: int = 64, weights: tuple[float, ...] = (0.0, 1.0, 1.0), seed: int = 42) -> DataFrame:
     """(id, embedding): the weighted sum of L2-normalised neighbour means of 1, 2, ... steps from a random projection.
 
@@ -53,5 +57,5 @@ def fast_rp(graph: DataFrame, dims: int = 64, weights: tuple[float, ...] = (0.0,
         moved = sums.groupBy(F.col("src").alias("id")).agg(*mean).select("id", F.array(*[f"c{k}" for k in range(dims)]).alias("v"))
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
         current = moved.select("id", F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")).alias("v"))
-        total = total.join(current, "id").select("id", F.zip_with("e", F.transform("v", lambda x, w=weight: x * w), lambda a, b: a + b).alias("e"))
+        total = total.join(current, "id").select("id", F.zip_with("e", scaled(weight), lambda a, b: a + b).alias("e"))
     return total.withColumnRenamed("e", "embedding")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cataloom.operators.summary import tagged
 
 @dataclass
 class Settings:
@@ -66,7 +67,7 @@ def assess(candidates: DataFrame, key: str, tags: dict[str, str], numbers: dict[
     whose score is not a number is left out.
     """
     used = {f: c for f, c in tags.items() if settings.tag_weights.get(f, 0)}
-    entries = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v, f=f: F.struct(F.lit(f).alias("facet"), v.cast("string").alias("item"))) for f, c in used.items()]))
+    entries = tagged({f: F.col(c) for f, c in used.items()})
     tall = candidates.select(key, F.explode(entries).alias("e")).select(key, "e.facet", "e.item").join(ranks.select("facet", "item", "rank"), ["facet", "item"], "left")
     known = F.when(F.col("rank") > 0, F.col("rank")).otherwise(settings.novelty)
     means = tall.groupBy(key).agg(*[F.avg(F.when(F.col("facet") == f, known)).alias(f"{f}_rank") for f in used])

@@ -8,10 +8,19 @@ from pyspark.sql import functions as F
 from cataloom.functions.scalars import decade
 
 
+def tagged(facets: dict[str, Column]) -> Column:
+    """All values of several array columns as one array of (facet, item)."""
+
+    def of(name: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("facet"), v.cast("string").alias("item")))
+
+    return F.flatten(F.array(*[of(name, F.coalesce(values.cast("array<string>"), F.array().cast("array<string>"))) for name, values in facets.items()]))
+
+
 def facet_factors(items: DataFrame, factor: str, facets: dict[str, Column]) -> DataFrame:
     """(facet, item, factor): the summed factor of every value of every facet (array columns, or scalars as one-element
     arrays). One pass: all facets are exploded together and aggregated once; every occurrence counts."""
-    entries = F.flatten(F.array(*[F.transform(values, lambda v, name=name: F.struct(F.lit(name).alias("facet"), v.cast("string").alias("item"))) for name, values in facets.items()]))
+    entries = tagged(facets)
     tall = items.select(F.col(factor).alias("__factor"), F.explode(entries).alias("e"))
     return tall.where("e.item is not null").groupBy(F.col("e.facet").alias("facet"), F.col("e.item").alias("item")).agg(F.sum("__factor").cast("long").alias("factor"))
 
