@@ -94,7 +94,7 @@ def sketch(where: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
 
 
 def chosen_paths(where: np.ndarray, token: np.ndarray, n: np.ndarray, repeats: int) -> tuple[np.ndarray, ...]:
-    """Row, level, path and parent path of all paths of each set."""
+    """Row, level, path and place of the parent path among its row's paths (-1 at the first level) of all paths."""
     share = np.minimum(1.0, BRANCH / np.maximum(n, 1))
     rows, paths = [], []
     for r in range(repeats):
@@ -104,7 +104,8 @@ def chosen_paths(where: np.ndarray, token: np.ndarray, n: np.ndarray, repeats: i
     row, path = np.concatenate(rows), np.concatenate(paths)
     order = np.argsort(row, kind="stable")
     row, path = row[order], path[order]
-    out = [(row, np.full(len(row), 1, np.int8), path, np.zeros(len(row), np.uint64))]
+    out = [(row, np.full(len(row), 1, np.int8), path, np.full(len(row), -1))]
+    above = 0
     few = np.minimum(1.0, CHOICE / np.maximum(n, 1))
     some = np.flatnonzero(chance(token, SALTS[200]) < few[where])
     choice, of = token[some], where[some]
@@ -116,12 +117,16 @@ def chosen_paths(where: np.ndarray, token: np.ndarray, n: np.ndarray, repeats: i
         t = choice[spread(starts[row], counts[row])]
         hit = np.flatnonzero((mix((t + SALTS[300 + level]) ^ path[parent]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < again[row[parent]])
         parent, t = parent[hit], t[hit]
-        before = path[parent]
-        row, path = row[parent], mix(before * BASE + t)
-        out.append((row, np.full(len(row), level, np.int8), path, before))
+        parent_at = above + parent
+        above += len(row)
+        row, path = row[parent], mix(path[parent] * BASE + t)
+        out.append((row, np.full(len(row), level, np.int8), path, parent_at))
     row, level, path, parent = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.argsort(row, kind="stable")
-    return row[order], level[order], path[order].view(np.int64), parent[order].view(np.int64)
+    place = np.empty(len(row), np.int64)
+    place[order] = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+    parent = np.where(parent >= 0, place[parent], -1)
+    return row[order], level[order], path[order].view(np.int64), parent[order].astype(np.int16)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -146,6 +151,32 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.concat_tables(held).combine_chunks()
 
 
+def alike(marks: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For all pairs of some rows: whether sizes and sketches allow the similarity."""
+    small, large = np.minimum(n[left][:, None], n[right][None]), np.maximum(n[left][:, None], n[right][None])
+    out = small >= SIMILARITY * large - 1e-9
+    x, y = np.ascontiguousarray(marks[left].T), np.ascontiguousarray(marks[right].T)
+    equal = np.zeros((len(left), len(right)), np.uint8)
+    for k in range(PARTS):
+        equal += x[k][:, None] == y[k][None]
+    empty = np.rint((x.T == 0).astype(np.float32) @ (y == 0).astype(np.float32))
+    out &= (equal - empty >= LEAST_AGREE * (PARTS - empty)) | (small < SKETCHED)
+    return out
+
+
+def in_first_bucket(every: np.ndarray, path: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the first bucket that both rows of a pair are in is the one at hand. ``every`` is in order."""
+    out, open_ = np.zeros(len(i), bool), np.arange(len(i))
+    for k in range(every.shape[1]):
+        mine = every[i[open_], k]
+        shared = (every[j[open_]] == mine[:, None]).any(axis=1)
+        out[open_[shared]] = mine[shared] == path[i[open_[shared]]]
+        open_ = open_[~shared]
+        if not len(open_):
+            break
+    return out
+
+
 def candidate_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of each group that sizes and sketches allow, in the first bucket that both rows share."""
     rows = len(table)
@@ -157,39 +188,51 @@ def candidate_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     counts = np.diff(lists.offsets.to_numpy())
     every = np.full((rows, max(1, int(counts.max()))), np.iinfo(np.int64).max, np.int64)
     every[np.repeat(np.arange(rows), counts), spread(np.zeros(rows, np.int64), counts)] = lists.flatten().to_numpy()
-    head = np.concatenate([[True], (path[1:] != path[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-    group = np.cumsum(head) - 1
-    end = np.concatenate([np.flatnonzero(head)[1:], [rows]])[group]
-    partners = end - np.arange(rows) - 1
+    heads = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    ends = np.concatenate([heads[1:], [rows]])
+
+    def judged(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(i), 1 << 19):
+            x, y = i[a : a + (1 << 19)], j[a : a + (1 << 19)]
+            keep = in_first_bucket(every, path, x, y)
+            if keep.any():
+                yield x[keep], y[keep]
+
+    # Small groups all at once.
+    few = ends - heads <= SMALL
+    partners = np.zeros(rows, np.int64)
+    inside = spread(heads[few], (ends - heads)[few])
+    partners[inside] = np.repeat(ends[few], (ends - heads)[few]) - inside - 1
     reach = np.concatenate([[0], np.cumsum(partners)])
     start = 0
     while start < rows:
-        stop = max(start + 1, int(np.searchsorted(reach, reach[start] + (1 << 20), side="right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(reach, reach[start] + (1 << 18), side="right")) - 1)
         i = np.repeat(np.arange(start, stop), partners[start:stop])
         j = spread(np.arange(start, stop) + 1, partners[start:stop])
         keep = (low[i] == high[i]) | (block[i] != block[j])
         keep &= np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9
         i, j = i[keep], j[keep]
         if len(i):
-            big = np.minimum(n[i], n[j]) >= SKETCHED
-            agree = np.ones(len(i), bool)
-            for a in range(0, len(i), 1 << 17):
-                x, y = marks[i[a : a + (1 << 17)]], marks[j[a : a + (1 << 17)]]
-                filled = ((x > 0) | (y > 0)).sum(axis=1)
-                agree[a : a + (1 << 17)] = ((x == y) & (x > 0)).sum(axis=1) >= LEAST_AGREE * filled
-            keep = agree | ~big
-            i, j = i[keep], j[keep]
-        if len(i):
-            first = np.full(len(i), np.iinfo(np.int64).max)
-            for k in range(every.shape[1]):
-                mine = every[i, k]
-                shared = (every[j] == mine[:, None]).any(axis=1)
-                first = np.where(shared & (mine < first), mine, first)
-            keep = first == path[i]
-            i, j = i[keep], j[keep]
-        if len(i):
-            yield i, j
+            x, y = marks[i], marks[j]
+            filled = ((x | y) > 0).sum(axis=1)
+            keep = (((x == y) & (x > 0)).sum(axis=1) >= LEAST_AGREE * filled) | (np.minimum(n[i], n[j]) < SKETCHED)
+            yield from judged(i[keep], j[keep])
         start = stop
+    # Large groups in tiles.
+    for head, end in zip(heads[~few].tolist(), ends[~few].tolist(), strict=True):
+        members = np.arange(head, end)
+        one = low[head] == high[head]
+        left, right = (members, members) if one else (members[block[head:end] == low[head]], members[block[head:end] == high[head]])
+        for a in range(0, len(left), 256):
+            for b in range(0, len(right), 1024):
+                x, y = left[a : a + 256], right[b : b + 1024]
+                if one and x[0] > y[-1]:
+                    continue
+                i, j = np.nonzero(alike(marks, n, x, y))
+                i, j = x[i], y[j]
+                if one:
+                    i, j = i[i < j], j[i < j]
+                yield from judged(i, j)
 
 
 def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
@@ -245,7 +288,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     id_type, id_kind = to_arrow_type(kind), kind.simpleString()
     repeats = repetitions(similarity=similarity)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    path_type = pa.struct([("level", pa.int8()), ("path", pa.int64()), ("parent", pa.int64())])
+    path_type = pa.struct([("level", pa.int8()), ("path", pa.int64()), ("parent", pa.int16())])
     profile = pa.schema([("id", id_type), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("sketch", pa.binary()), ("paths", pa.list_(path_type))])
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,11 +301,15 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             lists = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(level), pa.array(path), pa.array(parent)], fields=list(path_type)))
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in marks], pa.binary()), lists], schema=profile)
 
-    found = stored(texts.mapInArrow(profiles, f"id {id_kind}, n int, one long, two long, sketch binary, paths array<struct<level:tinyint,path:long,parent:long>>"), "profiles")
-    classes = found.where("n > 0 and id is not null").groupBy("one", "two", "n").agg(F.min("id").alias("rep"), F.count("*").cast("int").alias("weight"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    found = stored(texts.mapInArrow(profiles, f"id {id_kind}, n int, one long, two long, sketch binary, paths array<struct<level:tinyint,path:long,parent:smallint>>").withColumn("row", F.monotonically_increasing_id()), "profiles")
+    usable = found.where("n > 0 and id is not null")
+    # The row that stands for its class: the least id, and of rows that repeat it one.
+    sizes = usable.groupBy("one", "two", "n").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").cast("int").alias("weight"))
+    classes = usable.join(sizes.select(F.col("first.row").alias("row"), "weight"), "row").select(F.col("id").alias("rep"), "weight", "one", "two", "n", "sketch", "paths")
     classes = stored(classes, "classes")
     # Small buckets of each level; a large one goes on with the paths below it.
-    all_paths = classes.select("rep", F.explode("paths").alias("p")).select("rep", "p.level", "p.path", "p.parent").distinct()
+    parent = F.get("paths", F.col("p.parent"))["path"]
+    all_paths = classes.select("rep", "paths", F.explode("paths").alias("p")).select("rep", "p.level", "p.path", F.when(F.col("p.parent") >= 0, parent).alias("parent"))
     members, large = None, None
     for level in range(1, DEPTH + 1):
         here = all_paths.where(F.col("level") == level)
@@ -291,7 +338,8 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             kept = table.filter(pa.array(hit)).select(survivor.names).combine_chunks()
             yield from kept.cast(survivor).to_batches()
 
-    asked = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(survivors, f"rep {id_kind}, path long, low int, high int, block int")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(survivors, f"rep {id_kind}, path long, low int, high int, block int")
     asked = stored(asked, "survivors").groupBy("rep").agg(F.collect_list(F.struct("path", "low", "high", "block")).alias("asked"))
     asked = known.drop("buckets").join(asked, "rep")
 
@@ -345,7 +393,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             rep = table["rep"].combine_chunks()
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(some)).cast(id_type), pa.array(links[some]), rep.take(pa.array(root[some])).cast(id_type)], schema=link)
 
-    links = stored(whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, f"rep {id_kind}, links long, root {id_kind}"), "links")
+    links = stored(whole.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(verify, f"rep {id_kind}, links long, root {id_kind}"), "links")
     joined = components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     by_class = classes.select("one", "two", "n", "rep", "weight").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").drop("node")
     out = found.select("id", "one", "two", "n").join(by_class, ["one", "two", "n"], "left")
