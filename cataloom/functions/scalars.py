@@ -65,7 +65,7 @@ def page_type(file_name: Column) -> Column:
 
 def normal_file_name(name: Column) -> Column:
     """Without outer slashes; a list path of three parts gets its first page; null if no page type fits."""
-    bare = F.trim(F.lit("/"), name)
+    bare = F.trim(name, F.lit("/"))
     listed = F.when(bare.rlike("^list/[^/]+/[^/]+$"), F.concat(bare, F.lit("/1"))).otherwise(bare)
     return F.when(page_type(listed).isNotNull(), listed)
 

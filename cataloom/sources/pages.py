@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cataloom.functions import scalars
 
@@ -160,7 +161,7 @@ def read(root: Node, spec: Spec) -> dict:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def read_page(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The strings of each page (html, page type) as JSON; null for an unknown type or no page."""
     for pages, kinds in parts:
@@ -274,7 +275,7 @@ def parse_events(raw: DataFrame) -> DataFrame:
     return joined.select("file_name", "page_type", F.when(F.col("error").isNull(), "FileParsed").otherwise("FileParseFailed").alias("event"), "error")
 
 
-@F.pandas_udf("struct<title:string,headings:array<string>,links:array<string>>")
+@F.pandas_udf(T.StructType().add("title", T.StringType()).add("headings", T.ArrayType(T.StringType())).add("links", T.ArrayType(T.StringType())))
 def outline(pages: pd.Series) -> pd.DataFrame:
     """Title, first-level headings and link targets of any page."""
     rows = []
