@@ -67,11 +67,13 @@ def assess(candidates: DataFrame, key: str, tags: dict[str, str], numbers: dict[
     whose score is not a number is left out.
     """
     used = {f: c for f, c in tags.items() if settings.tag_weights.get(f, 0)}
-    entries = tagged({f: F.col(c) for f, c in used.items()})
-    tall = candidates.select(key, F.explode(entries).alias("e")).select(key, "e.facet", "e.item").join(ranks.select("facet", "item", "rank"), ["facet", "item"], "left")
-    known = F.when(F.col("rank") > 0, F.col("rank")).otherwise(settings.novelty)
-    means = tall.groupBy(key).agg(*[F.avg(F.when(F.col("facet") == f, known)).alias(f"{f}_rank") for f in used])
-    out = candidates.select(key).join(means, key, "left")
+    out = candidates.select(key)
+    if used:
+        entries = tagged({f: F.col(c) for f, c in used.items()})
+        tall = candidates.select(key, F.explode(entries).alias("e")).select(key, "e.facet", "e.item").join(ranks.select("facet", "item", "rank"), ["facet", "item"], "left")
+        known = F.when(F.col("rank") > 0, F.col("rank")).otherwise(settings.novelty)
+        means = tall.groupBy(key).agg(*[F.avg(F.when(F.col("facet") == f, known)).alias(f"{f}_rank") for f in used])
+        out = out.join(means, key, "left")
     for f in used:
         out = out.withColumn(f"{f}_rank", F.coalesce(f"{f}_rank", F.lit(settings.novelty)))
     counted = {n: c for n, c in numbers.items() if settings.number_weights.get(n, 0)}
