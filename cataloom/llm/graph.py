@@ -39,10 +39,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, buckets: int = 64) -> DataFrame:
     """``df`` with ``name``: 0, 1, 2, ... without gaps inside each combination of ``keys``.
 
-    Rows are numbered inside ``buckets`` hash buckets of a key, and each bucket starts where the earlier ones end, so no
-    window holds a whole key. ``order`` fixes the order inside a bucket; buckets follow their number.
+    Rows are numbered inside ``buckets`` buckets of a key, by a hash of the first column of ``order``, and each bucket
+    starts where the earlier ones end, so no window holds a whole key. Rows that agree in that column stay side by side.
+    ``order`` fixes the order inside a bucket; buckets follow their number.
     """
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(order[0]), F.lit(buckets)).cast("int"))
     counts = df.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

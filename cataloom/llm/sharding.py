@@ -10,6 +10,8 @@ from cataloom.llm.graph import numbered
 from cataloom.llm.storage import stored
 
 SHARDS, ROUNDS, ROW_OVERHEAD = 40, 4, 16
+#: Rows of a group that are kept side by side.
+CHUNK = 1000
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -17,8 +19,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
 
     Links are equal texts: a document is linked with every other document of its group through the group's node, so a
     group of any size costs one edge a row and no pairs. Rounds start from a hash assignment. In each, every group
-    counts its members by shard, its plurality shard attracts the others, and as many rows move from shard a to b as
-    move from b to a (a swap keeps the sizes). A group with more rows than a shard's quota fills whole shards in turn.
+    counts its members by shard, its plurality shard attracts the others, and a shard takes in no more linked rows than
+    its quota and the rows that want to leave it allow. A group with more rows than a quota has several targets.
     The last step enforces the quotas exactly: counts of any two shards differ by one at most, and rows without a
     partner are the first to leave an overfull shard.
 
@@ -39,29 +41,22 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     # A start by hash of the group and the block of members: members of one block stay together from the start,
     # and a group above the quota is dealt to consecutive shards block by block.
     start = F.pmod(F.xxhash64("id", "member", "g1"), F.lit(shards)).cast("int")
+    chunk = F.xxhash64("g1", F.floor(F.col("member") / CHUNK))
     state = base.withColumn("block", F.floor(F.col("member") / quota).cast("long")).withColumn("shard", start)
     for _ in range(rounds):
         linked = state.where("group_rows > 1")
         votes = linked.groupBy("g1", "g2", "block", "shard").agg(F.count("*").alias("votes"))
         wanted = votes.groupBy("g1", "g2", "block").agg(F.max_by("shard", F.struct("votes", F.xxhash64("shard", "g1", "block"))).alias("wanted"))
         moves = linked.join(wanted, ["g1", "g2", "block"]).where("wanted != shard").select("g1", "g2", "member", "shard", "wanted")
-        # Rows without links follow a swap in the other direction, so that a move is possible where no group wants to go.
-        lone = state.where("group_rows = 1").groupBy("shard").agg(F.count("*").alias("lone"))
-        asked = moves.groupBy("shard", "wanted").agg(F.count("*").alias("asked"))
-        back = asked.select(F.col("wanted").alias("shard"), F.col("shard").alias("wanted"), F.col("asked").alias("back"))
-        share = Window.partitionBy("wanted")
-        quotas = asked.join(back, ["shard", "wanted"], "left").join(lone.withColumnRenamed("shard", "wanted"), "wanted", "left")
-        quotas = quotas.withColumn("excess", F.greatest(F.col("asked") - F.coalesce("back", F.lit(0)), F.lit(0)))
-        quotas = quotas.withColumn("room", F.floor(F.coalesce("lone", F.lit(0)) * F.col("excess") / F.greatest(F.sum("excess").over(share), F.lit(1))))
-        quotas = quotas.select("shard", "wanted", (F.least("asked", F.coalesce("back", F.lit(0))) + F.least("excess", "room")).alias("quota"), F.least("excess", "room").cast("long").alias("from_lone"))
-        ranked = numbered(moves, ["shard", "wanted"], [F.xxhash64("g1", "member"), F.col("g1"), F.col("g2"), F.col("member")], "at")
-        moved = ranked.join(quotas, ["shard", "wanted"]).where("at < quota").select("g1", "g2", "member", F.col("wanted").alias("moved_to"))
-        # The lone rows that make room: ``from_lone`` rows of each shard go to the shard whose rows come in.
-        reach = Window.partitionBy("shard").orderBy("to").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        leaving = quotas.where("from_lone > 0").select(F.col("wanted").alias("shard"), F.col("shard").alias("to"), "from_lone").withColumn("until", F.sum("from_lone").over(reach)).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("until", "to"))).alias("slots"))
-        singles = numbered(state.where("group_rows = 1").select("g1", "g2", "member", "shard"), ["shard"], [F.xxhash64("g1"), F.col("g1"), F.col("g2")], "at")
-        gone = singles.join(leaving, "shard").withColumn("slot", F.filter("slots", lambda s: s["until"] > F.col("at"))).where(F.size("slot") > 0).select("g1", "g2", "member", F.col("slot")[0]["to"].alias("moved_to"))
-        state = state.join(moved.union(gone), ["g1", "g2", "member"], "left").withColumn("shard", F.coalesce("moved_to", "shard")).drop("moved_to")
+        # A shard takes in linked rows up to its quota, counting those that want to leave it as gone; rows without links
+        # make room at the end. Chunks of groups are taken in whole where they fit.
+        sizes = linked.groupBy("shard").agg(F.count("*").alias("held"))
+        leaving = moves.groupBy("shard").agg(F.count("*").alias("leaving"))
+        room = sizes.join(leaving, "shard", "left").select(F.col("shard").alias("wanted"), F.greatest(F.lit(quota) - F.col("held") + F.coalesce("leaving", F.lit(0)), F.lit(0)).alias("room"))
+        ranked = numbered(moves, ["wanted"], [chunk, F.col("g1"), F.col("g2"), F.col("member")], "at")
+        ranked = ranked.join(room, "wanted", "left").where(F.col("at") < F.coalesce("room", F.lit(quota)))
+        moved = ranked.select("g1", "g2", "member", F.col("wanted").alias("moved_to"))
+        state = state.join(moved, ["g1", "g2", "member"], "left").withColumn("shard", F.coalesce("moved_to", "shard")).drop("moved_to")
         state = stored(state, "shard-round")
     return balanced(state, total, shards)
 
@@ -72,7 +67,7 @@ def balanced(state: DataFrame, total: int, shards: int) -> DataFrame:
     # Whole groups sit at the front of a shard and lone rows behind, so that lone rows leave first.
     front = state.where("group_rows > 1").withColumn("late", F.lit(0))
     back = state.where("group_rows = 1").withColumn("late", F.lit(1))
-    order = [F.col("g1"), F.col("g2"), F.col("member")]
+    order = [F.xxhash64("g1", F.floor(F.col("member") / CHUNK)), F.col("g1"), F.col("g2"), F.col("member")]
     ranked = numbered(front, ["shard"], order, "at").unionByName(numbered(back, ["shard"], order, "at"))
     fronts = front.groupBy("shard").agg(F.count("*").alias("fronts"))
     ranked = ranked.join(fronts, "shard", "left").withColumn("at", F.col("at") + F.when(F.col("late") == 1, F.coalesce("fronts", F.lit(0))).otherwise(0)).drop("fronts", "late")
