@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from cataloom.llm.storage import light_batches
 from cataloom.llm.text import BASE, BASE_INVERSE, BYTE_VALUES, blocks, mix, powers
 
 #: Bytes that the rolling hash sees; one place in ``EVERY`` is a cut (short chunks are shared most). Pieces that a worker
@@ -150,6 +151,7 @@ def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    light_batches(docs.sparkSession)
     fields = [("id", to_arrow_type(docs.schema[id_column].dataType)), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     kinds = f"id {docs.schema[id_column].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
@@ -162,7 +164,7 @@ def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder = _encoders[path]
-        for rows, data, offsets in blocks(batches, "text", 2 << 20):
+        for rows, data, offsets in blocks(batches, "text", 1 << 20):
             ids, counts = encoder.encode(data, offsets)
             numbers, tokens = encoder.numbers.joined(ids, counts), encoder.tokens.joined(ids, counts)
             out = [rows.column("id"), pa.array(counts), pa.array([hashlib.sha256(x).hexdigest() for x in numbers]), pa.array([hashlib.sha256(x).hexdigest() for x in tokens])]

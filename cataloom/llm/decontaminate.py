@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.llm.storage import light_batches
 from cataloom.llm.text import BASE, blocks, mix, words
 
 SIMILARITY = 0.8
@@ -202,6 +203,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    light_batches(docs.sparkSession)
     spark = docs.sparkSession
     chosen = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
     given = chosen.withColumn("n_words", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), 0))).orderBy("item_id", "text")

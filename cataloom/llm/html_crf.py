@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.llm.storage import light_batches
+
 # Element kinds of HTML.
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 "
@@ -377,6 +379,7 @@ def extract_text(pages: DataFrame, field: Field, id_column: str = "page_id", url
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    light_batches(pages.sparkSession)
     kinds = [pages.schema[c].dataType for c in (id_column, url_column)]
     schema = pa.schema([("id", to_arrow_type(kinds[0])), ("url", to_arrow_type(kinds[1])), ("text", pa.string()), ("n_chars", pa.int64()), ("n_blocks", pa.int32()), ("n_kept", pa.int32())])
     shared = pages.sparkSession.sparkContext.broadcast(field)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm.graph import components
-from cataloom.llm.storage import stored
+from cataloom.llm.storage import light_batches, stored
 from cataloom.llm.text import BASE, blocks, mix, raw_bytes, shingles, words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -146,6 +146,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
             held.append(table)
             continue
         yield pa.concat_tables([*held, table.slice(0, int(cut[-1]))]).combine_chunks()
+        pa.default_memory_pool().release_unused()
         held = [table.slice(int(cut[-1]))]
     if held:
         yield pa.concat_tables(held).combine_chunks()
@@ -188,12 +189,12 @@ def candidate_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     counts = np.diff(lists.offsets.to_numpy())
     every = np.full((rows, max(1, int(counts.max()))), np.iinfo(np.int64).max, np.int64)
     every[np.repeat(np.arange(rows), counts), spread(np.zeros(rows, np.int64), counts)] = lists.flatten().to_numpy()
-    heads = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+    heads = np.flatnonzero(np.diff(group_numbers(table), prepend=-1))
     ends = np.concatenate([heads[1:], [rows]])
 
     def judged(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for a in range(0, len(i), 1 << 19):
-            x, y = i[a : a + (1 << 19)], j[a : a + (1 << 19)]
+        for a in range(0, len(i), 1 << 15):
+            x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
             keep = in_first_bucket(every, path, x, y)
             if keep.any():
                 yield x[keep], y[keep]
@@ -206,7 +207,7 @@ def candidate_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     reach = np.concatenate([[0], np.cumsum(partners)])
     start = 0
     while start < rows:
-        stop = max(start + 1, int(np.searchsorted(reach, reach[start] + (1 << 18), side="right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(reach, reach[start] + (1 << 16), side="right")) - 1)
         i = np.repeat(np.arange(start, stop), partners[start:stop])
         j = spread(np.arange(start, stop) + 1, partners[start:stop])
         keep = (low[i] == high[i]) | (block[i] != block[j])
@@ -257,9 +258,8 @@ def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def local_roots(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least row that each row reaches over the pairs."""
-    root = np.arange(size)
+def joined_roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` (the least row of each row's group so far) after joining the groups of each pair."""
     while len(i):
         least = np.minimum(root[i], root[j])
         new = root.copy()
@@ -272,6 +272,17 @@ def local_roots(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def group_numbers(table: pa.Table) -> np.ndarray:
+    """The number of each row's group (bucket and pair of blocks), in order."""
+    path, low, high = (table[k].to_numpy() for k in ("path", "low", "high"))
+    return np.cumsum(np.concatenate([[0], (path[1:] != path[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+
+
+def runs_of(values: np.ndarray) -> list[tuple[int, int]]:
+    cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])).tolist()
+    return list(zip(cut, [*cut[1:], len(values)], strict=True))
+
+
 def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: id, n_links, n_copies, rep_id, component_id, kept.
 
@@ -284,6 +295,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    light_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType
     id_type, id_kind = to_arrow_type(kind), kind.simpleString()
     repeats = repetitions(similarity=similarity)
@@ -367,28 +379,24 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
-            found = list(candidate_pairs(table))
-            if not found:
-                continue
-            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
             n, weight = table["n"].to_numpy().astype(np.int64), table["weight"].to_numpy().astype(np.int64)
             data, edge = raw_bytes(table["tokens"])
-            # Rows that candidates connect are multiplied together.
-            root = local_roots(len(table), i, j)
-            order = np.argsort(root[i], kind="stable")
-            i, j = i[order], j[order]
-            cuts = np.flatnonzero(np.concatenate([[True], root[i][1:] != root[i][:-1]]))
-            good_i, good_j = [], []
-            for a, b in zip(cuts, [*cuts[1:], len(i)], strict=True):
-                rows_, place = np.unique(np.concatenate([i[a:b], j[a:b]]), return_inverse=True)
-                shared = common_tokens([data[edge[k] : edge[k + 1]].view(np.uint64) for k in rows_])
-                common = shared[place[: b - a], place[b - a :]].astype(np.int64)
-                good = common >= similarity * (n[i[a:b]] + n[j[a:b]] - common) - 1e-9
-                good_i.append(i[a:b][good])
-                good_j.append(j[a:b][good])
-            i, j = np.concatenate(good_i), np.concatenate(good_j)
-            links = (np.bincount(i, weight[j], len(table)) + np.bincount(j, weight[i], len(table))).astype(np.int64)
-            root = local_roots(len(table), i, j)
+            group = group_numbers(table)
+            links, root = np.zeros(len(table), np.int64), np.arange(len(table))
+            at, shared = -1, np.zeros((0, 0), np.float32)
+            for i, j in candidate_pairs(table):
+                # Pairs come by group, so each group's intersections are made once, when its first pair comes.
+                for a, b in runs_of(group[i]):
+                    x, y = i[a:b], j[a:b]
+                    if group[x[0]] != at:
+                        at = int(group[x[0]])
+                        first, last = np.searchsorted(group, [at, at + 1])
+                        shared = common_tokens([data[edge[k] : edge[k + 1]].view(np.uint64) for k in range(first, last)])
+                    common = shared[x - first, y - first].astype(np.int64)
+                    good = common >= similarity * (n[x] + n[y] - common) - 1e-9
+                    x, y = x[good], y[good]
+                    links += np.bincount(x, weight[y], len(table)).astype(np.int64) + np.bincount(y, weight[x], len(table)).astype(np.int64)
+                    root = joined_roots(root, x, y)
             some = np.flatnonzero(links)
             rep = table["rep"].combine_chunks()
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(some)).cast(id_type), pa.array(links[some]), rep.take(pa.array(root[some])).cast(id_type)], schema=link)

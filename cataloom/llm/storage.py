@@ -23,3 +23,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/cataloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def light_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python functions get at most ``rows`` rows at a time: batches are counted in rows and texts can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cataloom.llm.storage import stored
+from cataloom.llm.storage import light_batches, stored
 from cataloom.llm.text import BASE, BASE_INVERSE, BYTE_VALUES, blocks, mix, powers, raw_bytes, utf8
 
 MATCH, GRAM = 100, 32
-#: Distinct segments of one anchor in a shard, and bytes sorted at a time.
-SHARD_SEGMENTS, SHARD_BYTES = 32_768, 3 << 20
+#: Distinct segments of one anchor in a shard; bytes sorted at a time, where no anchor has more; bytes of a partition.
+SHARD_SEGMENTS, SHARD_BYTES, PARTITION_BYTES = 16_384, 1 << 20, 3 << 20
+#: Bytes of segments that are cut out of texts at a time.
+PIECE_BYTES = 1 << 20
 LOW = np.uint64((1 << 31) - 1)
 
 
@@ -165,7 +167,7 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str, carry: list[str])
     if not odd:
         rows = rows.withColumn("id", F.col("given"))
         return rows, rows.select("id", "text")
-    number = F.lpad((F.col("given").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")).cast("string"), 20, "0") if dict(rows.dtypes)["given"] in ("bigint", "int", "smallint", "tinyint") else F.col("given").cast("string")
+    number = F.lpad((F.col("given").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0") if dict(rows.dtypes)["given"] in ("bigint", "int", "smallint", "tinyint") else F.col("given").cast("string")
     rows = rows.withColumn("id", F.concat(F.coalesce(number, F.lit("")), F.lit(" "), F.substring(F.sha2("text", 256), 1, 20)))
     return rows, rows.select("id", "text").dropDuplicates(["id"])
 
@@ -208,13 +210,19 @@ def repeated_ranges(texts: DataFrame, match: int = MATCH) -> DataFrame:
             place = flat.field("place").to_numpy()
             start = offsets[row] + (place >> 14) - ((place >> 7) & 127)
             size = ((place >> 7) & 127) - (place & 127) + match
-            ends = np.cumsum(size)
-            body = data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
-            made = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(body)])
-            yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("part"), flat.field("parts"), batch.column("id").take(pa.array(row)), flat.field("place"), made], schema=piece)
+            reach = np.concatenate([[0], np.cumsum(size)])
+            low = 0
+            while low < len(size):
+                high = max(low + 1, int(np.searchsorted(reach, reach[low] + PIECE_BYTES, side="right")) - 1)
+                ends = reach[low + 1 : high + 1] - reach[low]
+                body = data[np.arange(ends[-1]) + np.repeat(start[low:high] - (ends - size[low:high]), size[low:high])]
+                made = pa.Array.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(body)])
+                part = flat.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([part.field("anchor"), part.field("part"), part.field("parts"), batch.column("id").take(pa.array(row[low:high])), part.field("place"), made], schema=piece)
+                low = high
 
     found = texts.join(asked, "id").mapInArrow(pieces, f"anchor long, part int, parts int, id {id_kind}, place long, bytes binary")
-    shards = max(8, leads.count() * 140 // SHARD_BYTES + 1)
+    shards = max(8, leads.count() * 140 // PARTITION_BYTES + 1)
     found = found.repartition(shards, F.xxhash64("anchor", "part"))
     result = pa.schema([("id", arrow_id), ("from", pa.int32()), ("to", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("part", pa.int32())])
 
@@ -237,6 +245,7 @@ def repeated_ranges(texts: DataFrame, match: int = MATCH) -> DataFrame:
             fit = ends[ends > start]
             end = int(fit[max(0, int(np.searchsorted(reach[fit], reach[start] + SHARD_BYTES, side="right")) - 1)])
             yield one_shard(table.take(pa.array(order[start:end])), match, result)
+            pa.default_memory_pool().release_unused()
             start = end
 
     sorted_ = stored(found.mapInArrow(sort_shard, f"id {id_kind}, from int, to int, w1 long, w2 long, part int"), "suffixes")
@@ -360,6 +369,7 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, id_column: str = "doc_id
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    light_batches(docs.sparkSession)
     carry = carry or []
     rows, texts = _keyed(docs, id_column, text_column, carry)
     ranges = repeated_ranges(texts, match)

@@ -38,7 +38,7 @@ def powers(n: int, base: np.uint64, name: str) -> np.ndarray:
         found = np.full(size, base, np.uint64)
         found[0] = 1
         np.multiply.accumulate(found, out=found)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[name] = found
     return found[:n]
 
@@ -64,7 +64,7 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of whole rows with at most ``limit`` bytes of text (a longer text is a slice of its own)."""
     for batch in batches:
         if not batch.num_rows:
@@ -76,6 +76,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start), data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
             start = end
+        pa.default_memory_pool().release_unused()
 
 
 #: Word bytes, and ASCII case folding.
