@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.storage import stored
+from cataloom.llm.storage import light_batches, stored
 from cataloom.llm.text import BASE, BASE_INVERSE, BYTE_VALUES, blocks, folded, mix, powers, words
 
-#: Labelled texts of each class to fit on, in expectation; features of the model.
-FIT_ROWS, FEATURES = 10_000, 4096
+#: Labelled texts of each class to fit on, in expectation; features of the model at most, and the log-likelihood ratio
+#: of presence and label that a feature needs (chance gives this to one in some thousand).
+FIT_ROWS, FEATURES, LEAST_GAIN = 10_000, 4096, 6.0
 #: Beginnings of so many bytes are features of a longer word.
 BEGINNINGS = (4, 5, 6)
 #: Weights of the squared norm, of a swap's squared score change, and of differences between terms.
@@ -94,6 +95,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id
 
 def train(sample: DataFrame) -> Model | None:
     """Fit the model on a bounded sample (id, text, label, weight); None if it is empty."""
+    light_batches(sample.sparkSession)
     sample = stored(sample, "labelled")
     sizes = {r["label"]: (r["n"], r["w"]) for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
     if not sizes:
@@ -101,7 +103,7 @@ def train(sample: DataFrame) -> Model | None:
     counted = pa.schema([("feature", pa.int64()), ("zero", pa.int64()), ("one", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in blocks(batches, "text", 4 << 20):
+        for rows, data, offsets in blocks(batches, "text", 1 << 20):
             row, hashes, _ = features(data, offsets)
             if not len(row):
                 continue
@@ -125,7 +127,7 @@ def train(sample: DataFrame) -> Model | None:
 
     share = (a + b) / float(n0 + n1)
     gain = part(a, share * n1) + part(b, share * n0) + part(n1 - a, (1 - share) * n1) + part(n0 - b, (1 - share) * n0)
-    best = counts.where("one + zero >= 3").withColumn("gain", gain).orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature").toPandas()
+    best = counts.where("one + zero >= 3").withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature").toPandas()
     terms = [term_features(t) for t in IDENTITY_TERMS]
     known = np.unique(np.concatenate([best["feature"].to_numpy().astype(np.int64).view(np.uint64), *terms]))
     table = Model(known, np.zeros(len(known)), 0.0)
@@ -134,7 +136,7 @@ def train(sample: DataFrame) -> Model | None:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sorted_terms, which, numbers = shared.value
-        for rows, data, offsets in blocks(batches, "text", 4 << 20):
+        for rows, data, offsets in blocks(batches, "text", 1 << 20):
             row, hashes, word = features(data, offsets)
             at, number = table.find(hashes)
             row, word, hashes = row[at], word[at], hashes[at]
@@ -223,6 +225,7 @@ def score(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    light_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType
     schema = pa.schema([("id", to_arrow_type(kind)), ("score", pa.float64()), ("predicted", pa.int32())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -240,6 +243,7 @@ def keep_accepted(docs: DataFrame, model: Model | None, text_column: str = "text
     """``docs``, all columns, without the rows whose score is 0.5 or more. Null texts are judged as empty ones."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    light_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = to_arrow_schema(docs.schema)
 
