@@ -38,21 +38,27 @@ def grouped_by(events: DataFrame, group: Column, sequence: str, body: Column) ->
     return events.groupBy(group.alias("group")).agg(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("seq"), body.alias("body")))).alias("events"))
 
 
-def fold_states(events: DataFrame, key: str, sequence: str, state: Column, failed: tuple[int, ...] = FAILED_STATES) -> DataFrame:
+def fold_states(events: DataFrame, key: str, sequence: str, state: Column, failed: tuple[int, ...] = FAILED_STATES, states: int = 7, chunk: int = 1024) -> DataFrame:
     """(key, state): states applied in order. From a failed state any state is allowed, otherwise only higher ones; a
     null state in an event deletes what is known.
 
-    Not a maximum, and not a collected list either: after the last event that was certain to be taken the state is a
-    fold of few candidates, but in general order matters, so each key's states are folded as a sorted array; its size is
-    the number of state changes of one key after runs of equal states are dropped."""
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("seq"), F.coalesce(state, F.lit(0)).alias("state")))).alias("s"))
+    The order matters, so this is no maximum; but a run of events is a map from the state before to the state after,
+    and maps compose. Each key's events are folded in chunks of the sequence to one map of ``states`` entries, and the
+    maps of a key are composed, so no task holds all events of a hot key."""
     bad = F.array(*[F.lit(x) for x in failed])
 
-    def step(now: Column, event: Column) -> Column:
-        new = event["state"]
+    def step(now: Column, new: Column) -> Column:
         return F.when(new == 0, F.lit(0)).when((now == 0) | F.array_contains(bad, now) | (new > now), new).otherwise(now)
 
-    return listed.select(key, F.aggregate("s", F.lit(0), step).alias("state")).where("state > 0")
+    def apply(after: Column, event: Column) -> Column:
+        return F.transform(after, lambda s: step(s, event["state"]))
+
+    same = F.array(*[F.lit(k) for k in range(states)])
+    rows = events.select(key, F.col(sequence).cast("long").alias("__seq"), F.coalesce(state, F.lit(0)).cast("int").alias("__state"))
+    listed = rows.groupBy(key, F.floor(F.col("__seq") / chunk).alias("__chunk")).agg(F.array_sort(F.collect_list(F.struct(F.col("__seq").alias("seq"), F.col("__state").alias("state")))).alias("s"))
+    maps = listed.select(key, "__chunk", F.aggregate("s", same, apply).alias("map"))
+    ordered = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__chunk", "map"))).alias("m"))
+    return ordered.select(key, F.aggregate("m", F.lit(0), lambda now, m: F.get(m["map"], now)).alias("state")).where("state > 0")
 
 
 def fold_lookups(events: DataFrame, key: str, sequence: str, step_number: Column, correlation: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cataloom.functions.vectors import cosine_similarity, is_zero
+from cataloom.functions.vectors import cosine_similarity, is_zero, unit
 
 
 def mean_vector(rows: DataFrame, vector: str, weight: Column, keys: list[str] | None = None, name: str = "mean_vector") -> DataFrame:
@@ -41,13 +43,39 @@ def best_in_group(left: DataFrame, right: DataFrame, on: str, query: DataFrame,
     return left.join(best, on)
 
 
-def neighbour_graph(rows: DataFrame, vector: str, key: str, group: str, k: int) -> DataFrame:
-    """The ``k`` nearest neighbours of every vector inside its group, exactly: pairs are made by the group's equi-join."""
-    a = rows.select(group, F.col(key).alias("src"), F.col(vector).alias("__a"))
-    b = rows.select(group, F.col(key).alias("dst"), F.col(vector).alias("__b"))
-    scored = a.join(b, group).where("src != dst").select("src", "dst", cosine_similarity(F.col("__a"), F.col("__b")).alias("similarity")).where("similarity is not null")
+def neighbour_graph(rows: DataFrame, vector: str, key: str, group: str, k: int, block: int = 2048) -> DataFrame:
+    """The ``k`` nearest neighbours of every vector inside its group, exactly, ties by key.
+
+    A group is cut into blocks and every pair of blocks is one matrix product; of it each row keeps its ``k`` best, so
+    pairs of rows are never rows of a table. Zero vectors have no neighbours. Vectors of a group have one length."""
+    unit_rows = rows.select(F.col(group).alias("g"), F.col(key).alias("k"), unit(F.col(vector)).alias("v")).where("v is not null and g is not null")
+    sizes = unit_rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    placed = unit_rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    # Each row goes once to every block as one that asks, and once to its own block as one that answers.
+    asks = placed.select("g", "k", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "own", F.lit(True).alias("asks"))
+    answers = placed.select("g", "k", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asking"), F.col("own").alias("other"), F.lit(False).alias("asks"))
+    both = asks.select("g", F.col("own").alias("asking"), "other", "k", "v", "asks").unionByName(answers)
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        left, right = part[part["asks"]], part[~part["asks"]].sort_values("k")
+        if left.empty or right.empty:
+            return pd.DataFrame({"src": [], "dst": [], "similarity": []})
+        a, b, names = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()), right["k"].to_numpy()
+        out = []
+        for start in range(0, len(a), 512):
+            dots = a[start : start + 512] @ b.T
+            own = left["k"].to_numpy()[start : start + 512]
+            dots[own[:, None] == names[None]] = -np.inf
+            order = np.argsort(-dots, axis=1, kind="stable")[:, :k]
+            row = np.repeat(np.arange(len(own)), order.shape[1])
+            out.append(pd.DataFrame({"src": own[row], "dst": names[order.ravel()], "similarity": dots[row, order.ravel()]}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["similarity"])]
+
+    kind = rows.schema[key].dataType.simpleString()
+    some = both.groupBy("g", "asking", "other").applyInPandas(best, f"src {kind}, dst {kind}, similarity double")
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "dst")
-    return scored.withColumn("neighbour", F.row_number().over(order)).where(F.col("neighbour") <= k)
+    return some.withColumn("neighbour", F.row_number().over(order)).where(F.col("neighbour") <= k)
 
 
 def rerank(candidates: DataFrame, scores: DataFrame, key: str, k: int) -> DataFrame:
