@@ -19,7 +19,7 @@ from cataloom.llm.storage import stored
 
 THRESHOLD = 0.93
 #: k-means is fitted for each label on at most this many vectors (those with the least hash), for at most so many cells.
-FIT_ROWS, MAX_CELLS, CELL_ROWS, ITERATIONS = 4096, 256, 1024, 8
+FIT_ROWS, MAX_CELLS, CELL_ROWS, ITERATIONS = 16_384, 1024, 1024, 8
 #: A cell is compared in blocks of so many vectors.
 BLOCK = 2048
 
@@ -35,7 +35,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ITERATIONS) -> np.ndar
     for _ in range(rounds):
         home = np.argmax(x @ c.T, axis=1)
         sums = np.zeros_like(c)
-        np.add.at(sums, home, x)
+        for k in np.unique(home):
+            sums[k] = x[home == k].sum(axis=0)
         norms = np.linalg.norm(sums, axis=1)
         c = np.where(norms[:, None] > 0, sums / np.maximum(norms, 1e-300)[:, None], c)
     return c
@@ -87,7 +88,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: st
                 c = np.asarray(part["centres"].iloc[0]).reshape(-1, x.shape[1])
                 dots = x @ c.T
                 home = np.argmax(dots, axis=1)
-                gap = np.linalg.norm(c[:, None] - c[None], axis=2) if len(c) <= 512 else None
+                gap = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) + 1e-7
                 near = (dots[np.arange(len(x)), home][:, None] - dots) <= spread * gap[home] + 1e-9
                 near &= np.arange(len(c))[None] >= home[:, None]
                 near[np.arange(len(x)), home] = True

@@ -27,9 +27,9 @@ BRANCH, DEPTH, CHOICE = 2.0, 3, 64
 TARGET_RECALL = 0.99
 #: Largest bucket that is compared at once, and rows of a block of a larger one after the last step.
 SMALL, BLOCK = 64, 1024
-#: Parts of a sketch; sets with at least ``SKETCHED`` tokens whose sketches agree in less than ``LEAST_AGREE`` of the parts
-#: are not compared (at 0.8 the chance of that is under 1e-7).
-PARTS, SKETCHED, LEAST_AGREE = 64, 128, 0.5
+#: Parts of a sketch; sets with at least ``SKETCHED`` tokens whose sketches agree in a share of the parts that is lower by
+#: ``SLACK`` than the similarity are not compared (at 0.8 the chance of that is under 1e-7).
+PARTS, SKETCHED, SLACK = 64, 128, 0.3
 
 
 def repetitions(recall: float = TARGET_RECALL, similarity: float = SIMILARITY) -> int:
@@ -152,16 +152,16 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.concat_tables(held).combine_chunks()
 
 
-def alike(marks: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def alike(marks: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
     """For all pairs of some rows: whether sizes and sketches allow the similarity."""
     small, large = np.minimum(n[left][:, None], n[right][None]), np.maximum(n[left][:, None], n[right][None])
-    out = small >= SIMILARITY * large - 1e-9
+    out = small >= similarity * large - 1e-9
     x, y = np.ascontiguousarray(marks[left].T), np.ascontiguousarray(marks[right].T)
     equal = np.zeros((len(left), len(right)), np.uint8)
     for k in range(PARTS):
         equal += x[k][:, None] == y[k][None]
     empty = np.rint((x.T == 0).astype(np.float32) @ (y == 0).astype(np.float32))
-    out &= (equal - empty >= LEAST_AGREE * (PARTS - empty)) | (small < SKETCHED)
+    out &= (equal - empty >= (similarity - SLACK) * (PARTS - empty)) | (small < SKETCHED)
     return out
 
 
@@ -178,7 +178,7 @@ def in_first_bucket(every: np.ndarray, path: np.ndarray, i: np.ndarray, j: np.nd
     return out
 
 
-def candidate_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def candidate_pairs(table: pa.Table, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of each group that sizes and sketches allow, in the first bucket that both rows share."""
     rows = len(table)
     path, low, high, block, n = (table[k].to_numpy() for k in ("path", "low", "high", "block", "n"))
@@ -211,12 +211,12 @@ def candidate_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         i = np.repeat(np.arange(start, stop), partners[start:stop])
         j = spread(np.arange(start, stop) + 1, partners[start:stop])
         keep = (low[i] == high[i]) | (block[i] != block[j])
-        keep &= np.minimum(n[i], n[j]) >= SIMILARITY * np.maximum(n[i], n[j]) - 1e-9
+        keep &= np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
         i, j = i[keep], j[keep]
         if len(i):
             x, y = marks[i], marks[j]
             filled = ((x | y) > 0).sum(axis=1)
-            keep = (((x == y) & (x > 0)).sum(axis=1) >= LEAST_AGREE * filled) | (np.minimum(n[i], n[j]) < SKETCHED)
+            keep = (((x == y) & (x > 0)).sum(axis=1) >= (similarity - SLACK) * filled) | (np.minimum(n[i], n[j]) < SKETCHED)
             yield from judged(i[keep], j[keep])
         start = stop
     # Large groups in tiles.
@@ -229,7 +229,7 @@ def candidate_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 x, y = left[a : a + 256], right[b : b + 1024]
                 if one and x[0] > y[-1]:
                     continue
-                i, j = np.nonzero(alike(marks, n, x, y))
+                i, j = np.nonzero(alike(marks, n, x, y, similarity))
                 i, j = x[i], y[j]
                 if one:
                     i, j = i[i < j], j[i < j]
@@ -345,7 +345,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, keys):
             hit = np.zeros(len(table), bool)
-            for i, j in candidate_pairs(table):
+            for i, j in candidate_pairs(table, similarity):
                 hit[i] = hit[j] = True
             kept = table.filter(pa.array(hit)).select(survivor.names).combine_chunks()
             yield from kept.cast(survivor).to_batches()
@@ -384,7 +384,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             group = group_numbers(table)
             links, root = np.zeros(len(table), np.int64), np.arange(len(table))
             at, shared = -1, np.zeros((0, 0), np.float32)
-            for i, j in candidate_pairs(table):
+            for i, j in candidate_pairs(table, similarity):
                 # Pairs come by group, so each group's intersections are made once, when its first pair comes.
                 for a, b in runs_of(group[i]):
                     x, y = i[a:b], j[a:b]

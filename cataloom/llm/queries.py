@@ -139,9 +139,37 @@ FROM v JOIN least ON v.vec_id = least.node
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+least AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, CAST((SELECT count(*) FROM links WHERE a = doc_id) AS BIGINT) AS n_links, CAST(1 + (SELECT count(*) FROM links WHERE a = doc_id AND same) AS INTEGER) AS n_copies,
+  least(doc_id, coalesce((SELECT min(b) FROM links WHERE a = doc_id AND same), doc_id)) AS rep_id, component_id, component_id = doc_id AS kept
+FROM documents JOIN least ON doc_id = node
+"""
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substr(hx, 2 * s + 1, 200)) AS g FROM (SELECT doc_id, hx, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+heads AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS head FROM later),
+islands AS (SELECT doc_id, s, sum(head) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM heads),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM islands GROUP BY doc_id, island),
+before AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS done FROM spans),
+pieces AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS done, string_agg(substr(hx, 2 * done + 1, 2 * (a - done)), '' ORDER BY a) AS kept FROM before JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(hx, 2 * coalesce(done, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN pieces USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op6_embedding_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
