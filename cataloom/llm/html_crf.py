@@ -136,9 +136,18 @@ def leaf_blocks(page: str) -> list[Block]:
     return out
 
 
+#: Elements that give a page its sections.
+SECTIONS = frozenset("article aside body details dialog fieldset footer form header main menu nav section".split())
+
+
 def path_features(path: tuple[str, ...]) -> list[str]:
-    """Features of the ancestors: tags, words of their attributes and the words' first four letters, and the own tag."""
-    out = [f"depth={min(len(path), 8)}"]
+    """Features of the ancestors: tags, words of their attributes and the words' first four letters, the own tag alone and
+    with the one above, and the nearest section with and without its words."""
+    tags = [key.split(" ")[0] for key in path]
+    near = next((k for k in range(len(path) - 1, -1, -1) if tags[k] in SECTIONS), None)
+    out = [f"depth={min(len(path), 8)}", "pair=" + ">".join(tags[-2:])]
+    if near is not None:
+        out += [f"near={tags[near]}", f"near={tags[near]}, {'named' if ' ' in path[near] else 'bare'}"]
     for k, key in enumerate(path):
         tag, *names = key.split(" ")
         out.append(f"in={tag}")
@@ -156,7 +165,7 @@ def text_features(text: str, linked: float) -> list[str]:
     ]
 
 
-def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[str, list[str]]]:
+def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, list[str]]]:
     """Pages with the text of their article blocks: the training set, made from page layouts in common use.
 
     Words are invented, so that the field learns layout and not vocabulary."""
@@ -206,6 +215,12 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[str, list[str]
     def footer() -> str:
         return wrap(["footer", "site-footer", "bottom", "copyright", "legal"], pick([f"&copy; {phrase(1, 3)} &middot; {prose(1, 3)}", f"<p>Copyright {phrase(1, 5)}</p>" + links(2, 5), prose(1, 2), f"<p>{prose(1, 3)}</p>"]), ("footer", "footer", "div"))
 
+    def share() -> str:
+        return wrap(["share", "social", "tags", "author-box", "post-meta"], pick([links(2, 4), phrase(1, 3), f"<p>{phrase(1, 4)}</p>"]), ("div", "footer", "div"), 0.0)
+
+    def aside() -> str:
+        return f"<aside>{pick([sentence(), f'<p>{prose(1, 2)}</p>', f'<h3>{phrase(1, 3)}</h3>' + links(2, 5)])}</aside>"
+
     pages = []
     for _ in range(count):
         wanted: list[str] = []
@@ -226,22 +241,26 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[str, list[str]
 
         def body(keep=keep, paragraph=paragraph) -> str:
             parts = [f"<h1>{keep(phrase(2, 10) + pick(['', '.']))}</h1>"] if rng.random() < 0.85 else []
+            if parts and rng.random() < 0.12:
+                parts = ["<header>" + parts[0] + "</header>"]
             for _ in range(rng.randint(1, 14)):
                 kind = rng.random()
-                if kind < 0.76:
+                if kind < 0.70:
                     parts.append(paragraph())
-                elif kind < 0.84:
+                elif kind < 0.76:
                     parts.append(f"<{(t := pick(['h2', 'h3']))}>{keep(phrase(1, 6))}</{t}>")
-                elif kind < 0.89:
+                elif kind < 0.80:
                     parts.append("<ul>" + "".join(f"<li>{keep(pick([phrase(1, 8), prose(1, 2)]))}</li>" for _ in range(rng.randint(2, 6))) + "</ul>")
-                elif kind < 0.92:
+                elif kind < 0.83:
                     parts.append(f"<blockquote><p>{keep(prose(1, 3))}</p></blockquote>")
-                elif kind < 0.94:
+                elif kind < 0.85:
                     parts.append(f"<table><tr><td>{keep(phrase(1, 4))}</td><td>{keep(phrase(1, 4))}</td></tr></table>")
-                elif kind < 0.96:
+                elif kind < 0.87:
                     parts.append(f"<pre>{keep(phrase(3, 12))}</pre>")
+                elif kind < 0.89:
+                    parts.append(f"<figure><img src=x><figcaption>{keep(phrase(2, 9))}</figcaption></figure>")
                 else:
-                    parts.append(pick([advert, notice, sidebar])())
+                    parts.append(pick([advert, notice, sidebar, form, form, share, aside])())
             return "".join(parts)
 
         article = pick(["article", "article", "article", "main", "div", "section"])
@@ -249,10 +268,12 @@ def labelled_pages(count: int = 600, seed: int = 7) -> list[tuple[str, list[str]
         inner = body()
         if rng.random() < 0.15:
             inner += comments()
-        top = "".join(f() for f in rng.sample([menu, header, advert, notice, sidebar, form], rng.randint(1, 4)))
+        top = "".join(f() for f in rng.sample([menu, header, advert, notice, sidebar, form], rng.randint(0, 4)))
         tail = "".join(f() for f in rng.sample([sidebar, comments, advert, form, menu, notice], rng.randint(0, 3))) + (footer() if rng.random() < 0.9 else "")
         middle = f"<{article}{name}>{inner}</{article}>"
-        if rng.random() < 0.3:
+        if rng.random() < 0.08:
+            middle = inner
+        elif rng.random() < 0.3:
             middle = f'<{pick(["main", "div"])} class="{pick(["container", "wrapper", "page", "layout", "row"])}">{middle}{pick(["", sidebar()])}</div>'
         pages.append((f"<!DOCTYPE html><html><head><title>{phrase(2, 8)}</title><style>p{{margin:0}}</style></head><body>{top}{middle}{tail}</body></html>", wanted))
     return pages
@@ -302,7 +323,7 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[str, list[str]]], rounds: int = 150, ridge: float = 1e-3, rate: float = 0.1) -> Field:
+def train(pages: list[tuple[str, list[str]]], rounds: int = 200, ridge: float = 1e-3, rate: float = 0.1) -> Field:
     """Fit the field on labelled pages by the gradient of the log-likelihood (forward-backward over all pages at once)."""
     examples = []
     names: dict[str, int] = {}
