@@ -144,12 +144,10 @@ class Items:
             most = int(edits[item[mine]].max())
             step = max(1, most // 4)
             shifts = np.arange(-most, most + 1, step)
-            starts = np.unique((diagonal[mine][:, None] + shifts[None]).ravel())
             spots = []
             for at in (row[mine], rows[inside[mine]]):
                 spots.append(np.stack([np.repeat(at, len(shifts)), (diagonal[mine][:, None] + shifts[None]).ravel()]))
             spots = np.unique(np.concatenate(spots, axis=1), axis=1)
-            del starts
             of, begin = spots
             begin = np.clip(begin, first[of], np.maximum(first[of], last[of] - size))
             spots = np.unique(np.stack([of, begin]), axis=1)
@@ -249,7 +247,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     out = passes[0]
     for more in passes[1:]:
         out = out.union(more)
-    # An id with several texts, or a row that a pass found through two of them, keeps the best.
     return out
 
 
