@@ -8,23 +8,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made where none is named, and tables written, by application.
+_made: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cataloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _made:
+            _made[app] = "file://" + tempfile.mkdtemp(prefix="cataloom-")
+        found = _made[app]
     return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The tables stay until ``clear``, as results that are not yet read depend on them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cataloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this application has stored, once their results are read; returns how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+    return len(paths)
+
+
 def light_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Python functions get at most ``rows`` rows at a time: batches are counted in rows and texts can be long."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -467,6 +467,17 @@ def test_components_and_numbers(spark):
         assert sorted(r["at"] for r in rows if r.k == k) == list(range(sum(r.k == k for r in rows)))
 
 
+def test_stored_tables_and_clear(spark):
+    from pathlib import Path
+
+    from cataloom.llm import storage
+
+    one = storage.stored(spark.range(5).withColumn("n", F.lit(None).cast("int")), "test")
+    folder = Path(storage.shared_dir(spark).removeprefix("file://")) / "cataloom"
+    assert one.count() == 5 and list(folder.glob("test-*"))
+    assert storage.clear(spark) >= 1 and not list(folder.glob("test-*"))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
