@@ -87,3 +87,21 @@ def playlist_draft(recommended: DataFrame, tracks: DataFrame, seed: DataFrame, o
     own = tracks.join(seed.select(on, "factor"), on)
     mean = vector_search.mean_vector(own, vector, F.col("factor"))
     return vector_search.best_in_group(recommended, tracks, on, mean, vector, track_key)
+
+
+def seed_of_list(segments: DataFrame, root: str, c: Columns, albums: str = "albums", root_column: str = "root_file_name") -> DataFrame:
+    """The items of a list's segments as a seed, each once."""
+    return segments.where(F.col(root_column) == root).select(F.explode(albums).alias(c.key)).distinct().withColumn("factor", F.lit(1))
+
+
+def recommend_for_list(segments: DataFrame, root: str, catalogue: DataFrame, vectors: DataFrame, vector: str, style: str, years: tuple[int, int] | None, c: Columns, year: str = "release_year", count: int = 5) -> DataFrame:
+    """Recommendations from a list: ``safe`` by quantile scores, ``adventurous`` by embedding, within a range of years."""
+    seed = seed_of_list(segments, root, c)
+    in_years = F.lit(True) if years is None else F.col(year).between(*years)
+    if style == "safe":
+        request = Request(count=count, exclude_known_artists=False)
+        return recommend_by_quantile(catalogue, seed, ranking.Settings(), request, c, in_years)
+    if style == "adventurous":
+        wanted = catalogue.where(in_years).select(c.key).unionByName(seed.select(c.key)).distinct()
+        return recommend_by_embedding(vectors.join(wanted, c.key, "left_semi"), vector, seed, c.key, count)
+    raise ValueError(f"unknown style {style}")

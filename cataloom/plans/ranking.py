@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cataloom.operators import ranking, recommend, summary, vector_search
+from cataloom.operators import profiles as people
+from cataloom.operators import ranking, recommend, resolve, summary, vector_search
 from cataloom.plans.catalogue import catalogue
 from cataloom.plans.registry import Plans
 from cataloom.sources.tables import table
@@ -260,3 +262,51 @@ def embedding_eligibility(spark, sf_dir):
     return table(spark, sf_dir, "supplier").join(counts, F.col("s_suppkey") == F.col("l_suppkey")).where((F.col("own") >= 1) | (F.col("credited") >= 5)).select("s_suppkey")
 
 
+
+
+@plans.add(f"""
+WITH {PROFILES}, gone AS (SELECT DISTINCT o_custkey AS profile, l_partkey AS file_name FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'),
+put AS (SELECT DISTINCT o_custkey AS profile, l_partkey AS file_name FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_discount >= 0.09)
+SELECT profile, file_name, CASE WHEN put.profile IS NOT NULL THEN 99 ELSE factor END AS factor FROM profiles LEFT JOIN put USING (profile, file_name)
+WHERE (profile, file_name) NOT IN (SELECT (profile, file_name) FROM gone)""")
+def profile_put_and_remove(spark, sf_dir):
+    orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    bought = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("profile")).join(line, "l_orderkey").withColumn("file_name", F.col("l_partkey"))
+    changes = bought.where("l_discount >= 0.09").select("profile", "file_name", F.lit(99).cast("long").alias("factor"), "l_shipdate")
+    rows = people.put_items(profiles(spark, sf_dir), changes, "profile", "file_name", "l_shipdate")
+    return people.remove_items(rows, bought.where("l_returnflag = 'R'"), "profile", "file_name")
+
+
+@plans.add(f"WITH {PROFILES} SELECT profile, count(*) AS items, CAST(sum(factor) AS BIGINT) AS factors FROM profiles GROUP BY profile")
+def profile_maps(spark, sf_dir):
+    maps = people.as_maps(profiles(spark, sf_dir), "profile", "file_name", "factor")
+    back = people.from_maps(maps, "profile", "file_name", "factor")
+    return back.groupBy("profile").agg(F.count("*").alias("items"), F.sum("factor").alias("factors"))
+
+
+@plans.add(f"""
+WITH {PROFILES}, g AS (SELECT p_brand, lower(p_name) AS folded, first(p_partkey ORDER BY p_size DESC, p_partkey) AS original FROM part GROUP BY 1, 2 HAVING count(*) > 1),
+d AS (SELECT p_partkey AS file_name, original FROM part JOIN g ON g.p_brand = part.p_brand AND folded = lower(p_name) WHERE p_partkey <> original)
+SELECT profile, coalesce(original, file_name) AS file_name, CAST(sum(factor) AS BIGINT) AS factor FROM profiles LEFT JOIN d USING (file_name) GROUP BY 1, 2""")
+def profile_on_originals(spark, sf_dir):
+    links = resolve.duplicates(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_brand", "p_size")
+    return people.on_originals(profiles(spark, sf_dir), links, "file_name", "factor").select("profile", "file_name", "factor")
+
+
+@plans.add("""
+WITH hits AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier WHERE s_acctbal > 0)
+SELECT s_suppkey, CAST(rank AS INTEGER) AS rank, s_name, n AS album_count FROM hits JOIN supplier USING (s_suppkey) JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1) USING (s_suppkey)""")
+def hits_with_overviews(spark, sf_dir):
+    supplier = table(spark, sf_dir, "supplier")
+    # The rank of a page of hits.
+    hits = supplier.where("s_acctbal > 0").select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("rank"))
+    overviews = table(spark, sf_dir, "lineitem").where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("album_count"))
+    return people.with_overviews(hits, supplier.select("s_suppkey", "s_name"), overviews, "s_suppkey", "rank").select("s_suppkey", "rank", "s_name", "album_count")
+
+
+@plans.add("""
+WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 4 <> 0 THEN user_id END AS k, user_id + 5 AS new FROM events)
+SELECT event_id, event_type, coalesce(k, new) AS k FROM e WHERE k IS NOT NULL OR NOT EXISTS (SELECT 1 FROM e o WHERE o.event_type = e.event_type AND o.k = e.new)""")
+def event_key_backfill(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("k"), (F.col("user_id") + 5).alias("new"))
+    return people.backfill_keys(e.select("event_id", "event_type", "k"), e.where("k is null").select("event_id", F.col("new").alias("k")), "event_id", "event_type", "k")

@@ -308,3 +308,22 @@ def test_album_page_errors_and_streaming_id(spark):
     one = found["release/album/a/1"]
     assert (one.name, one.rating, one.rating_count, one.spotify_id, one.error, one.artists) == ("N's", 0.0, 7, "2", None, []) and found["release/album/a/2"].error == "missing name" and len(found) == 2
     assert {(r.file_name, r.event) for r in pages.parse_events(pages.read_pages(rows)).collect()} == {("release/album/a/1", "FileParsed"), ("release/album/a/2", "FileParseFailed")}
+
+
+def test_recommendations_from_a_list(spark):
+    c = catalogue(spark).withColumn("release_year", F.when(F.col("file_name") == "c1", 1990).otherwise(2000))
+    c = c.withColumn("descriptors", F.array(*[F.concat(F.col("descriptors")[0], F.lit(str(k))) for k in range(5)])).withColumn("secondary_tags", F.array(F.lit("pop"))).where("file_name != 'c3'")
+    vectors_ = spark.createDataFrame([("s1", [1.0, 0.0]), ("s2", [0.0, 1.0]), ("c1", [0.9, 0.1]), ("c2", [0.5, 0.5])], "file_name string, v array<double>")
+    segments = spark.createDataFrame([("list/u/1/1", "list/u/1", ["s1"]), ("list/u/1/2", "list/u/1", ["s1"]), ("list/u/2/1", "list/u/2", ["s2"])], "file_name string, root_file_name string, albums array<string>")
+    run = lambda style, years: values(recommend.recommend_for_list(segments, "list/u/1", c, vectors_, "v", style, years, recommend.Columns()), "file_name")
+    assert run("safe", None)[0] == "c1" and "s1" not in run("safe", None) and run("safe", (1995, 2005))[0] != "c1"
+    assert run("adventurous", None) == ["c1", "c2", "s2"] and run("adventurous", (1995, 2005)) == ["c2", "s2"]
+    with pytest.raises(ValueError):
+        run("other", None)
+
+
+def test_schemas_read_rows(spark):
+    from cataloom import schema
+
+    for name in ("ALBUM", "ARTIST", "EMBEDDING", "TRACK", "EVENT", "SUBSCRIBER", "DOCUMENT", "KEY_VALUE", "JOB", "PROFILE_ITEM", "LIST_SEGMENT", "FILE_STATE", "NODE", "EDGE"):
+        assert spark.createDataFrame([], getattr(schema, name)).count() == 0
