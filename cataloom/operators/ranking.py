@@ -39,24 +39,30 @@ def tag_ranks(factors: DataFrame) -> DataFrame:
     return mid_ranks(factors, ["facet"], "factor")
 
 
-def number_ranks(candidates: DataFrame, seed: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, rank) of each candidate's number among the seed's numbers, which are not weighted.
-
-    The seed's distinct values carry running counts; candidates' distinct values take the nearest at or below by one
-    ordered pass over distinct values, so neither side is collected or broadcast."""
-    seen = seed.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    asked = candidates.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")).distinct().withColumn("n", F.lit(0))
-    both = seen.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).groupBy("v").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
-    # Distinct values in ranges: sums of earlier ranges first, then inside each range.
-    both = both.withColumn("__range", F.floor(F.col("v")))
-    totals = both.groupBy("__range").agg(F.sum("n").alias("n"))
-    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    total = totals.agg(F.sum("n").alias("total"))
-    inside = Window.partitionBy("__range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = both.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, "__range").where("asked").crossJoin(F.broadcast(total))
-    ranks = ranks.select("v", F.try_divide(F.col("start") + F.col("below") + F.col("n") / 2.0, F.col("total")).alias("rank"))
-    return candidates.select(key, F.col(column).cast("double").alias("v")).join(ranks, "v").select(key, "rank")
+def number_ranks(candidates: DataFrame, seed: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """(key, one ``<name>_rank`` a column) of each candidate's numbers among the seed's numbers, which are not weighted.
+
+    All columns go through one pass. Distinct values of seed and candidates are counted together; a value's rank is a sum
+    over earlier ranges of values and one inside its range, so neither side is collected or broadcast."""
+    if not columns:
+        return candidates.select(key).where("false")
+
+    def tall(rows: DataFrame, *keep: str) -> DataFrame:
+        entries = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("v")) for n, c in columns.items()])
+        return rows.select(*keep, F.explode(entries).alias("e")).select(*keep, "e.name", "e.v").where("v is not null")
+
+    asked = tall(candidates, key)
+    counts = tall(seed).withColumn("n", F.lit(1)).unionByName(asked.select("name", "v").withColumn("n", F.lit(0)))
+    counts = counts.groupBy("name", "v").agg(F.sum("n").alias("n")).withColumn("range", F.floor("v"))
+    by_name = Window.partitionBy("name")
+    earlier = by_name.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("name", "range").agg(F.sum("n").alias("n"))
+    ranges = ranges.select("name", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"), F.sum("n").over(by_name).alias("total"))
+    inside = Window.partitionBy("name", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(ranges, ["name", "range"])
+    ranks = ranks.select("name", "v", F.try_divide(F.col("start") + F.col("below") + F.col("n") / 2.0, F.col("total")).alias("rank"))
+    found = asked.join(ranks, ["name", "v"])
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("rank"))).alias(f"{n}_rank") for n in columns])
 
 
 def assess(candidates: DataFrame, key: str, tags: dict[str, str], numbers: dict[str, str], ranks: DataFrame, seed: DataFrame, settings: Settings) -> DataFrame:
@@ -77,8 +83,8 @@ def assess(candidates: DataFrame, key: str, tags: dict[str, str], numbers: dict[
     for f in used:
         out = out.withColumn(f"{f}_rank", F.coalesce(f"{f}_rank", F.lit(settings.novelty)))
     counted = {n: c for n, c in numbers.items() if settings.number_weights.get(n, 0)}
-    for n, c in counted.items():
-        out = out.join(number_ranks(candidates, seed, key, c).withColumnRenamed("rank", f"{n}_rank"), key, "left")
+    if counted:
+        out = out.join(number_ranks(candidates, seed, key, counted), key, "left")
     weights = [(f, settings.tag_weights[f]) for f in used] + [(n, settings.number_weights[n]) for n in counted]
     total = sum(w for _, w in weights)
     if not total:

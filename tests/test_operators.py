@@ -134,7 +134,7 @@ def test_mid_ranks(spark, numbers):
 def test_number_ranks_outside_the_seed(spark):
     seed = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (5.5,)], "v double")
     asked = spark.createDataFrame([(k, x) for k, x in enumerate([0.0, 1.0, 2.0, 3.0, 5.5, 9.0, None])], "k int, v double")
-    got = {r.k: r["rank"] for r in ranking.number_ranks(asked, seed, "k", "v").collect()}
+    got = {r.k: r.x_rank for r in ranking.number_ranks(asked, seed, "k", {"x": "v"}).collect()}
     assert got == {0: 0, 1: 0.125, 2: 0.5, 3: 0.75, 4: 0.875, 5: 1.0}
 
 
