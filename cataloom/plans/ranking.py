@@ -210,8 +210,8 @@ def embedding_recommend(spark, sf_dir):
 @plans.add(f"""
 WITH {SEED}, {MEAN}, near AS (SELECT vec_id, {COSINE.format("embedding", "e")} AS similarity FROM embeddings, mean WHERE vec_id NOT IN (SELECT vec_id FROM seed)
   ORDER BY 1 - {COSINE.format("embedding", "e")}, vec_id LIMIT 50)
-SELECT vec_id AS file_name, CAST(row_number() OVER (ORDER BY 1 - similarity, vec_id) - 1 AS INTEGER) AS similarity_rank, round(similarity, 6) AS similarity, p_retailprice AS score
-FROM near JOIN part ON p_partkey = vec_id + 1 ORDER BY score DESC, file_name LIMIT 10""")
+SELECT vec_id AS file_name, similarity_rank, round(similarity, 6) AS similarity, p_retailprice AS score
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY 1 - similarity, vec_id) - 1 AS INTEGER) AS similarity_rank FROM near) JOIN part ON p_partkey = vec_id + 1 ORDER BY score DESC, file_name LIMIT 10""")
 def reranked_recommend(spark, sf_dir):
     prices = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("file_name"), F.col("p_retailprice").alias("score"))
     return recommend.recommend("reranked", vectors=vectors(spark, sf_dir), vector="embedding", scores_of=lambda near: prices.join(near.select("file_name"), "file_name", "left_semi"), seed=_seed(spark, sf_dir), key="file_name", k=10)\
