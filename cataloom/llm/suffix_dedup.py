@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cataloom.llm.storage import light_batches, stored
+from cataloom.llm.storage import light_batches, settle, stored
 from cataloom.llm.text import BASE, BASE_INVERSE, BYTE_VALUES, blocks, mix, powers, raw_bytes, utf8
 
-MATCH, GRAM = 100, 32
+MATCH, GRAM = 100, 24
 #: Distinct segments of one anchor in a shard; bytes sorted at a time, where no anchor has more; bytes of a partition.
-SHARD_SEGMENTS, SHARD_BYTES, PARTITION_BYTES = 16_384, 1 << 20, 3 << 20
+SHARD_SEGMENTS, SHARD_BYTES, PARTITION_BYTES = 32_768, 1 << 20, 3 << 20
 #: Bytes of segments that are cut out of texts at a time.
 PIECE_BYTES = 1 << 20
 LOW = np.uint64((1 << 31) - 1)
@@ -223,6 +223,7 @@ def repeated_ranges(texts: DataFrame, match: int = MATCH) -> DataFrame:
 
     found = texts.join(asked, "id").mapInArrow(pieces, f"anchor long, part int, parts int, id {id_kind}, place long, bytes binary")
     shards = max(8, leads.count() * 140 // PARTITION_BYTES + 1)
+    settle(spark)
     found = found.repartition(shards, F.xxhash64("anchor", "part"))
     result = pa.schema([("id", arrow_id), ("from", pa.int32()), ("to", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64()), ("part", pa.int32())])
 
@@ -249,6 +250,9 @@ def repeated_ranges(texts: DataFrame, match: int = MATCH) -> DataFrame:
             start = end
 
     sorted_ = stored(found.mapInArrow(sort_shard, f"id {id_kind}, from int, to int, w1 long, w2 long, part int"), "suffixes")
+    split = sorted_.where("w1 is not null")
+    merging = split.limit(1).count() > 0
+    settle(spark)
     whole = seen.where("not leads").select("id", (F.shiftright("place", 14) - F.shiftright("place", 7).bitwiseAND(F.lit(127))).cast("int").alias("from"), (F.shiftright("place", 14) - F.col("place").bitwiseAND(F.lit(127)) + match).cast("int").alias("to"))
     ranges = sorted_.where("w1 is null").select("id", "from", "to").union(whole)
 
@@ -257,8 +261,9 @@ def repeated_ranges(texts: DataFrame, match: int = MATCH) -> DataFrame:
         if held:
             yield merged(pa.Table.from_batches(held).combine_chunks(), pa.schema([result.field(k) for k in range(3)]))
 
-    shared = sorted_.where("w1 is not null").repartition("w1").mapInArrow(merge, f"id {id_kind}, from int, to int")
-    return ranges.union(shared).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
+    if merging:
+        ranges = ranges.union(split.repartition("w1").mapInArrow(merge, f"id {id_kind}, from int, to int"))
+    return ranges.groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
 
 def _rank(ids: pa.Array) -> np.ndarray:
