@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.llm.graph import components
-from cataloom.llm.storage import light_batches, stored
+from cataloom.llm.storage import light_batches, settle, stored
 from cataloom.llm.text import BASE, blocks, mix, raw_bytes, shingles, words
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -319,6 +319,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     sizes = usable.groupBy("one", "two", "n").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").cast("int").alias("weight"))
     classes = usable.join(sizes.select(F.col("first.row").alias("row"), "weight"), "row").select(F.col("id").alias("rep"), "weight", "one", "two", "n", "sketch", "paths")
     classes = stored(classes, "classes")
+    settle(docs.sparkSession)
     # Small buckets of each level; a large one goes on with the paths below it.
     parent = F.get("paths", F.col("p.parent"))["path"]
     all_paths = classes.select("rep", "paths", F.explode("paths").alias("p")).select("rep", "p.level", "p.path", F.when(F.col("p.parent") >= 0, parent).alias("parent"))
@@ -402,6 +403,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
             yield pa.RecordBatch.from_arrays([rep.take(pa.array(some)).cast(id_type), pa.array(links[some]), rep.take(pa.array(root[some])).cast(id_type)], schema=link)
 
     links = stored(whole.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(verify, f"rep {id_kind}, links long, root {id_kind}"), "links")
+    settle(docs.sparkSession)
     joined = components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
     by_class = classes.select("one", "two", "n", "rep", "weight").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").drop("node")
     out = found.select("id", "one", "two", "n").join(by_class, ["one", "two", "n"], "left")
