@@ -115,8 +115,8 @@ class Items:
                 order = np.argsort(key)
                 self.keys[size, r] = (key[order], np.array(some)[order])
 
-    def hits(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word and item of the windows around unchanged runs: the run's own diagonal and shifts up to the edits."""
+    def hits(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Diagonal (where the item's first word would stand), item and row of every unchanged run."""
         out = []
         for width, (value, item, offset, seen) in self.runs.items():
             place, got = runs(hashes, rows, width)
@@ -124,19 +124,17 @@ class Items:
             low, high = np.searchsorted(value, got[maybe], "left"), np.searchsorted(value, got[maybe], "right")
             n = high - low
             which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(np.stack([np.repeat(place[maybe], n) - offset[which], item[which]]))
-        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+            at = np.repeat(place[maybe], n)
+            out.append(np.stack([at - offset[which], item[which], rows[at]]))
+        return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
 
     def search(self, hashes: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, first word, last word + 1) of every match; first and last are the bounds of each row's words."""
-        diagonal, item = self.hits(hashes, rows)
+        diagonal, item, row = self.hits(hashes, rows)
         if not len(diagonal):
             return []
         sizes = np.array([len(s) for s in self.sequences])
         edits = np.array(self.edits)
-        row = rows[np.clip(diagonal, 0, len(rows) - 1)]
-        # A diagonal may start before its row; the run itself lies inside, so look at its end as well.
-        inside = np.clip(diagonal + sizes[item] - 1, 0, len(rows) - 1)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int]] = set()
         for size in np.unique(sizes[item]):
@@ -144,11 +142,8 @@ class Items:
             most = int(edits[item[mine]].max())
             step = max(1, most // 4)
             shifts = np.arange(-most, most + 1, step)
-            spots = []
-            for at in (row[mine], rows[inside[mine]]):
-                spots.append(np.stack([np.repeat(at, len(shifts)), (diagonal[mine][:, None] + shifts[None]).ravel()]))
-            spots = np.unique(np.concatenate(spots, axis=1), axis=1)
-            of, begin = spots
+            # A diagonal may start before its row and end after it; the run itself lies inside.
+            of, begin = np.repeat(row[mine], len(shifts)), (diagonal[mine][:, None] + shifts[None]).ravel()
             begin = np.clip(begin, first[of], np.maximum(first[of], last[of] - size))
             spots = np.unique(np.stack([of, begin]), axis=1)
             of, begin = spots

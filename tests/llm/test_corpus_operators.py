@@ -201,6 +201,18 @@ def test_leaks_exact_and_edited(spark):
     assert left == {r[0] for r in rows} - {d for d, _ in found}
 
 
+def test_leaks_of_an_item_trimmed_at_both_ends():
+    """The trimmed item is a whole document between two others of one block."""
+    rng = random.Random(6)
+    item = np.array([rng.randrange(1, 2**62) for _ in range(50)], np.uint64)
+    for a, b in ((0, 50), (2, 47), (0, 45), (5, 50)):
+        parts = [np.arange(1, 81, dtype=np.uint64), item[a:b], np.arange(100, 180, dtype=np.uint64)]
+        edge = np.cumsum([0, *map(len, parts)])
+        rows = np.repeat(np.arange(3), np.diff(edge))
+        found = decontaminate.Items([7], [item], 0.8).search(np.concatenate(parts), rows, edge[:-1], edge[1:])
+        assert found == [(1, 0, 50 - (b - a), int(edge[1]), int(edge[2]))]
+
+
 def test_leaks_in_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_WORDS", 20)
     items = [(k, words(random.Random(k), 15)) for k in range(3)]
