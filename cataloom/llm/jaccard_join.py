@@ -24,7 +24,8 @@ from cataloom.llm.text import BASE, blocks, mix, raw_bytes, shingles, words
 WIDTH, SIMILARITY = 5, 0.8
 #: Tokens that a set follows at each step, in expectation; steps; tokens of a set that later steps choose from.
 BRANCH, DEPTH, CHOICE = 2.0, 3, 64
-TARGET_RECALL = 0.99
+#: Chance to find a pair at the threshold: of the 12.5 million pairs of 5,000 near copies 0.13 are lost in expectation.
+TARGET_RECALL = 1 - 1e-8
 #: Largest bucket that is compared at once, and rows of a block of a larger one after the last step.
 SMALL, BLOCK = 64, 1024
 #: Parts of a sketch; sets with at least ``SKETCHED`` tokens whose sketches agree in a share of the parts that is lower by
@@ -36,11 +37,19 @@ def repetitions(recall: float = TARGET_RECALL, similarity: float = SIMILARITY) -
     """Repetitions until a pair at the threshold shares a path of full depth with this recall.
 
     Of BRANCH chosen tokens a pair shares BRANCH * similarity or more in expectation (Poisson); the chance to share a path
-    of each further step follows from the chance of the step before."""
-    alive = 1.0
-    for _ in range(DEPTH):
-        alive = 1 - math.exp(-BRANCH * similarity * alive)
-    return math.ceil(math.log(1 - recall) / math.log(1 - alive))
+    of each further step follows from the chance of the step before. Later steps choose from the same CHOICE tokens in
+    every repetition, so the chance to fail is averaged over how many of those the pair shares."""
+    mean, weight, cases = CHOICE * similarity, math.exp(-CHOICE * similarity), []
+    for shared in range(2 * CHOICE + 1):
+        alive = 1.0
+        for _ in range(DEPTH - 1):
+            alive = 1 - math.exp(-BRANCH * min(1, shared / CHOICE) * alive)
+        cases.append((weight, math.exp(-BRANCH * similarity * alive)))
+        weight *= mean / (shared + 1)
+    repeats = 1
+    while sum(w * fail**repeats for w, fail in cases) > 1 - recall and repeats < 100:
+        repeats += 1
+    return repeats
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -93,8 +102,8 @@ def sketch(where: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
     return out.reshape(rows, PARTS)
 
 
-def chosen_paths(where: np.ndarray, token: np.ndarray, n: np.ndarray, repeats: int) -> tuple[np.ndarray, ...]:
-    """Row, level, path and place of the parent path among its row's paths (-1 at the first level) of all paths."""
+def chosen_paths(where: np.ndarray, token: np.ndarray, n: np.ndarray, repeats: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and path of the first step's paths, in order of rows."""
     share = np.minimum(1.0, BRANCH / np.maximum(n, 1))
     rows, paths = [], []
     for r in range(repeats):
@@ -103,30 +112,24 @@ def chosen_paths(where: np.ndarray, token: np.ndarray, n: np.ndarray, repeats: i
         paths.append(mix(token[take] + SALTS[100 + r]))
     row, path = np.concatenate(rows), np.concatenate(paths)
     order = np.argsort(row, kind="stable")
-    row, path = row[order], path[order]
-    out = [(row, np.full(len(row), 1, np.int8), path, np.full(len(row), -1))]
-    above = 0
-    few = np.minimum(1.0, CHOICE / np.maximum(n, 1))
-    some = np.flatnonzero(chance(token, SALTS[200]) < few[where])
-    choice, of = token[some], where[some]
-    counts = np.bincount(of, minlength=len(n))
+    return row[order], path[order].view(np.int64)
+
+
+def chosen_tokens(where: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and token of those that later steps choose from, in order of rows."""
+    some = np.flatnonzero(chance(token, SALTS[200]) < np.minimum(1.0, CHOICE / np.maximum(n, 1))[where])
+    return where[some], token[some].view(np.int64)
+
+
+def next_paths(row: np.ndarray, path: np.ndarray, choice: np.ndarray, counts: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and path one step below the given paths; ``counts`` tells how many tokens of ``choice`` are each row's."""
     starts = np.cumsum(counts) - counts
     again = np.minimum(1.0, BRANCH / np.minimum(np.maximum(n, 1), CHOICE))
-    for level in range(2, DEPTH + 1):
-        parent = np.repeat(np.arange(len(row)), counts[row])
-        t = choice[spread(starts[row], counts[row])]
-        hit = np.flatnonzero((mix((t + SALTS[300 + level]) ^ path[parent]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < again[row[parent]])
-        parent, t = parent[hit], t[hit]
-        parent_at = above + parent
-        above += len(row)
-        row, path = row[parent], mix(path[parent] * BASE + t)
-        out.append((row, np.full(len(row), level, np.int8), path, parent_at))
-    row, level, path, parent = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.argsort(row, kind="stable")
-    place = np.empty(len(row), np.int64)
-    place[order] = np.arange(len(row)) - np.searchsorted(row[order], row[order])
-    parent = np.where(parent >= 0, place[parent], -1)
-    return row[order], level[order], path[order].view(np.int64), parent[order].astype(np.int16)
+    path, parent = path.view(np.uint64), np.repeat(np.arange(len(row)), counts[row])
+    t = choice.view(np.uint64)[spread(starts[row], counts[row])]
+    hit = np.flatnonzero((mix((t + SALTS[300 + level]) ^ path[parent]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < again[row[parent]])
+    parent, t = parent[hit], t[hit]
+    return row[parent], mix(path[parent] * BASE + t).view(np.int64)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -300,39 +303,53 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     id_type, id_kind = to_arrow_type(kind), kind.simpleString()
     repeats = repetitions(similarity=similarity)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    path_type = pa.struct([("level", pa.int8()), ("path", pa.int64()), ("parent", pa.int16())])
-    profile = pa.schema([("id", id_type), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("sketch", pa.binary()), ("paths", pa.list_(path_type))])
+    profile = pa.schema([("id", id_type), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64())), ("choice", pa.list_(pa.int64()))])
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, "text"):
             where, token = token_sets(data, offsets)
             n, one, two = signatures(where, token, rows.num_rows)
             marks = sketch(where, token, rows.num_rows)
-            row, level, path, parent = chosen_paths(where, token, n, repeats)
-            edge = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(level), pa.array(path), pa.array(parent)], fields=list(path_type)))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in marks], pa.binary()), lists], schema=profile)
+            lists = []
+            for row, value in (chosen_paths(where, token, n, repeats), chosen_tokens(where, token, n)):
+                edge = np.searchsorted(row, np.arange(rows.num_rows + 1)).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(edge), pa.array(value)))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in marks], pa.binary()), *lists], schema=profile)
 
-    found = stored(texts.mapInArrow(profiles, f"id {id_kind}, n int, one long, two long, sketch binary, paths array<struct<level:tinyint,path:long,parent:smallint>>").withColumn("row", F.monotonically_increasing_id()), "profiles")
+    found = stored(texts.mapInArrow(profiles, f"id {id_kind}, n int, one long, two long, sketch binary, paths array<long>, choice array<long>").withColumn("row", F.monotonically_increasing_id()), "profiles")
     usable = found.where("n > 0 and id is not null")
     # The row that stands for its class: the least id, and of rows that repeat it one.
     sizes = usable.groupBy("one", "two", "n").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").cast("int").alias("weight"))
-    classes = usable.join(sizes.select(F.col("first.row").alias("row"), "weight"), "row").select(F.col("id").alias("rep"), "weight", "one", "two", "n", "sketch", "paths")
+    classes = usable.join(sizes.select(F.col("first.row").alias("row"), "weight"), "row").select(F.col("id").alias("rep"), "weight", "one", "two", "n", "sketch", "paths", "choice")
     classes = stored(classes, "classes")
     settle(docs.sparkSession)
-    # Small buckets of each level; a large one goes on with the paths below it.
-    parent = F.get("paths", F.col("p.parent"))["path"]
-    all_paths = classes.select("rep", "paths", F.explode("paths").alias("p")).select("rep", "p.level", "p.path", F.when(F.col("p.parent") >= 0, parent).alias("parent"))
-    members, large = None, None
+    child = pa.schema([("rep", id_type), ("path", pa.int64())])
+
+    def below(level: int):
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 1024):
+                    rows = batch.slice(start, 1024)
+                    given, choice = rows.column("given"), rows.column("choice")
+                    row = np.repeat(np.arange(rows.num_rows), np.diff(given.offsets.to_numpy()))
+                    row, path = next_paths(row, given.flatten().to_numpy(), choice.flatten().to_numpy(), np.diff(choice.offsets.to_numpy()), rows.column("n").to_numpy(), level)
+                    yield pa.RecordBatch.from_arrays([rows.column("rep").take(pa.array(row)), pa.array(path)], schema=child)
+
+        return step
+
+    # Small buckets of each level; a large one goes on with the paths below it. Of buckets with the same rows one is kept.
+    here = classes.select("rep", F.explode("paths").alias("path"))
+    members = None
     for level in range(1, DEPTH + 1):
-        here = all_paths.where(F.col("level") == level)
-        if large is not None:
-            here = here.join(large.select(F.col("path").alias("parent")), "parent", "left_semi")
-        sizes = stored(here.groupBy("path").agg(F.count("*").cast("int").alias("size")).where("size > 1"), "bucket-sizes")
+        sizes = stored(here.groupBy("path").agg(F.count("*").cast("int").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("rows")).where("size > 1"), "bucket-sizes")
         last = level == DEPTH
-        final = here.join(sizes if last else sizes.where(F.col("size") <= SMALL), "path").select("rep", "path", "size")
+        once = (sizes if last else sizes.where(F.col("size") <= SMALL)).groupBy("size", "rows").agg(F.min("path").alias("path")).select("path", "size")
+        final = here.join(once, "path").select("rep", "path", "size")
         members = final if members is None else members.union(final)
-        large = sizes.where(F.col("size") > SMALL)
+        if not last:
+            wide = here.join(sizes.where(F.col("size") > SMALL).select("path"), "path", "left_semi").groupBy("rep").agg(F.collect_list("path").alias("given"))
+            wide = classes.select("rep", "n", "choice").join(wide, "rep")
+            here = stored(wide.mapInArrow(below(level + 1), f"rep {id_kind}, path long"), "paths-below")
     by_rep = members.groupBy("rep").agg(F.collect_set(F.struct("path", "size")).alias("buckets"))
     known = classes.select("rep", "weight", "n", "one", "two", "sketch").join(by_rep, "rep").withColumn("every", F.sort_array("buckets.path"))
     placed = known.withColumn("bucket", F.explode("buckets")).select("rep", "n", "sketch", "every", "bucket.path", F.when(F.col("bucket.size") > SMALL, F.ceil(F.col("bucket.size") / BLOCK)).otherwise(1).cast("int").alias("blocks"))

@@ -91,6 +91,28 @@ def test_jaccard_join_large_buckets(spark, monkeypatch):
     assert found == {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets) for i in sets}
 
 
+def test_jaccard_join_loses_no_link_of_a_large_group(spark):
+    """300 different near copies of one text, most pairs near the threshold: every link is counted."""
+    rng = np.random.default_rng(18)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+    rows = []
+    for k in range(300):
+        some = list(base)
+        for at in rng.choice(400, 4, replace=False):
+            some[at] = f"new{k}x{at}"
+        rows.append((k, " ".join(some)))
+    sets = shingle_sets(rows)
+    names = {t: i for i, t in enumerate(sorted(set().union(*sets.values())))}
+    one = np.zeros((300, len(names)), np.float32)
+    for k, tokens in sets.items():
+        one[k, [names[t] for t in tokens]] = 1
+    common, n = one @ one.T, one.sum(axis=1)
+    linked = common >= 0.8 * (n[:, None] + n[None] - common) - 1e-6
+    found = {r.id: r.n_links for r in jaccard_join.near_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = sum(int(linked[k].sum()) - 1 - found[k] for k in range(300))
+    assert lost == 0 and found == {k: int(linked[k].sum()) - 1 for k in range(300)}, lost
+
+
 def test_keep_one_keeps_one_of_a_group_and_all_columns(docs, odd_docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
