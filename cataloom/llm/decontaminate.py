@@ -26,6 +26,9 @@ LEAST_WORDS = 5
 LONGEST_RUN = 4
 #: Symbols sampled for a key; repetitions come from the recall and the chance that one sampled symbol agrees.
 SAMPLED, TARGET_RECALL, AGREE = 3, 0.99, 0.5
+#: Items with more words are embedded in equal pieces of at most this size: one piece of a match has no larger share of
+#: edits than the match, and embeddings of longer windows agree less.
+PIECE_WORDS = 60
 #: Words of benchmark items that are searched for in one pass over the documents (they reach all tasks).
 PASS_WORDS = 2_000_000
 
@@ -92,9 +95,18 @@ class Items:
     def __init__(self, ids: list, sequences: list[np.ndarray], similarity: float) -> None:
         self.ids, self.sequences = ids, sequences
         self.edits = [int((1 - similarity) * len(s) + 1e-9) for s in sequences]
-        found: dict[int, list[tuple[int, int, int]]] = {}
+        # Pieces: item, first word in it, words; edits that the least edited piece has at most.
+        self.of_item, self.shift, self.pieces = [], [], []
         for k, s in enumerate(sequences):
-            width = min(LONGEST_RUN, len(s) // (self.edits[k] + 1))
+            edge = np.linspace(0, len(s), max(1, math.ceil(len(s) / PIECE_WORDS)) + 1).astype(np.int64).tolist()
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                self.of_item.append(k)
+                self.shift.append(a)
+                self.pieces.append(s[a:b])
+        self.piece_edits = [int((1 - similarity) * len(s) + 1e-9) for s in self.pieces]
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k, s in enumerate(self.pieces):
+            width = min(LONGEST_RUN, len(s) // (self.piece_edits[k] + 1))
             place, value = runs(s, np.zeros(len(s), np.int64), width)
             found.setdefault(width, []).extend(zip(value.tolist(), [k] * len(place), place.tolist(), strict=True))
         self.runs = {}
@@ -105,18 +117,18 @@ class Items:
             seen[value >> np.uint64(44)] = True
             self.runs[width] = (value, np.array([x[1] for x in some]), np.array([x[2] for x in some]), seen)
         self.by_size: dict[int, np.ndarray] = {}
-        for k, s in enumerate(sequences):
+        for k, s in enumerate(self.pieces):
             self.by_size.setdefault(len(s), []).append(k)
         self.keys = {}
         for size, some in self.by_size.items():
-            matrix = np.stack([sequences[k] for k in some])
+            matrix = np.stack([self.pieces[k] for k in some])
             for r in range(repetitions()):
                 key = cgk_keys(matrix, r)
                 order = np.argsort(key)
                 self.keys[size, r] = (key[order], np.array(some)[order])
 
     def hits(self, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Diagonal (where the item's first word would stand), item and row of every unchanged run."""
+        """Diagonal (where the piece's first word would stand), piece and row of every unchanged run."""
         out = []
         for width, (value, item, offset, seen) in self.runs.items():
             place, got = runs(hashes, rows, width)
@@ -133,8 +145,8 @@ class Items:
         diagonal, item, row = self.hits(hashes, rows)
         if not len(diagonal):
             return []
-        sizes = np.array([len(s) for s in self.sequences])
-        edits = np.array(self.edits)
+        sizes = np.array([len(s) for s in self.pieces])
+        edits = np.array(self.piece_edits)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         tried: set[tuple[int, int]] = set()
         for size in np.unique(sizes[item]):
@@ -166,13 +178,16 @@ class Items:
             by_window = np.argsort(inverse, kind="stable")
             reach = np.searchsorted(inverse[by_window], np.arange(len(one) + 1))
             verdicts: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-            for window, k in pairs.T.tolist():
+            for window, piece in pairs.T.tolist():
+                k = self.of_item[piece]
+                # In pieces, the window may stand off by the piece's edits from where the whole item's passage begins.
+                slack = self.edits[k] + (self.piece_edits[piece] if len(self.sequences[k]) > size else 0)
                 for spot in by_window[reach[window] : reach[window + 1]].tolist():
-                    doc, at = int(of[spot]), int(begin[spot])
+                    doc, at = int(of[spot]), int(begin[spot]) - self.shift[piece]
                     if (doc, k, at) in tried:
                         continue
                     tried.add((doc, k, at))
-                    low, high = max(int(first[doc]), at - self.edits[k]), min(int(last[doc]), at + int(size) + self.edits[k])
+                    low, high = max(int(first[doc]), at - slack), min(int(last[doc]), at + len(self.sequences[k]) + slack)
                     region = hashes[low:high]
                     known = (k, region.tobytes())
                     if known not in verdicts:

@@ -235,6 +235,26 @@ def test_leaks_of_an_item_trimmed_at_both_ends():
         assert found == [(1, 0, 50 - (b - a), int(edge[1]), int(edge[2]))]
 
 
+@pytest.mark.parametrize("size", [100, 200, 400])
+def test_leaks_of_long_items_with_all_edits(size):
+    """Items of many words with every permitted edit: replaced, dropped and added words."""
+    rng = random.Random(size)
+    parts, items = [], []
+    for _ in range(100):
+        item = [rng.randrange(1, 2**62) for _ in range(size)]
+        part = list(item)
+        for _ in range(size // 5):
+            at = rng.randrange(len(part))
+            gone, new = rng.choice([(1, 1), (1, 0), (0, 1)])
+            part[at : at + gone] = [rng.randrange(1, 2**62)] * new
+        around = [[rng.randrange(1, 2**62) for _ in range(50)] for _ in range(2)]
+        items.append(np.array(item, np.uint64))
+        parts.append(np.array([*around[0], *part, *around[1]], np.uint64))
+    edge = np.cumsum([0, *map(len, parts)])
+    found = decontaminate.Items(list(range(100)), items, 0.8).search(np.concatenate(parts), np.repeat(np.arange(100), np.diff(edge)), edge[:-1], edge[1:])
+    assert all(x[0] == x[1] for x in found) and len(found) >= 99, len(found)
+
+
 def test_leaks_in_passes(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PASS_WORDS", 20)
     items = [(k, words(random.Random(k), 15)) for k in range(3)]
