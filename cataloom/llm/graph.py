@@ -1,12 +1,33 @@
-"""Connected components by repeated joins, and gapless numbering, for graphs and groups of any size."""
+"""Joins with hot keys, connected components by repeated joins, and gapless numbering, for groups of any size."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cataloom.llm.storage import stored
+from cataloom.llm.storage import discard, stored
+
+#: A key is hot if it has more than one in so many of the rows; so there are fewer hot keys than this.
+HOT_SHARE = 10_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, which has one row a key and in ``weight`` how many of ``rows`` have it.
+
+    Keys with more than 1/``HOT_SHARE`` of the ``total`` rows number fewer than ``HOT_SHARE``, so they are broadcast and
+    their rows stay where they are; the other rows are joined by shuffle, where no key is hot. ``how`` is inner or left;
+    keys compare null-safely, so a null in a key is a value like another. ``weight`` is dropped."""
+    is_hot = F.col(weight) * HOT_SHARE > F.lit(total)
+    given = found.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(given[f"__{k}"]) for k in keys])
+    hot = given.where(is_hot)
+    names = [f"__{k}" for k in keys]
+    warm = rows.join(F.broadcast(hot), same, "inner").drop(*names, weight)
+    cold = rows.join(F.broadcast(hot.select(*names)), same, "left_anti").join(given.where(~is_hot), same, how).drop(*names, weight)
+    return warm.unionByName(cold)
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -14,22 +35,25 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round points neighbours at the least
     node known so far and stops when no edge changes. A round is two aggregations and two joins; the least neighbour is
-    a partial aggregate, so a hub costs no task more than its share of edges. Self-loops and null ends are ignored.
+    a partial aggregate and hubs are joined by ``lookup``, so a hub loads no single task. Self-loops and null ends are
+    ignored.
     """
     pairs = edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") != F.col("v")))
     pairs = stored(pairs.distinct(), "edges")
-    signature = None
+    size = F.count("*").alias("size"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("check")
+    signature = tuple(pairs.agg(*size).first())
     for _ in range(max_rounds):
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        pairs = stored(small.where("u > v").distinct(), "edges")
-        found = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if found == signature:
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("int")).alias("w")).where("w > 0")
+        large = lookup(both.where("v > u"), least, ["u"], "w", signature[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u != v").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w"))
+        small = lookup(large, least, ["u"], "w", large.count()).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        after = stored(small.where("u > v").distinct(), "edges")
+        discard(pairs, large)
+        pairs, before, signature = after, signature, tuple(after.agg(*size).first())
+        if before == signature:
             break
-        signature = found
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("v").alias("node")).distinct()
