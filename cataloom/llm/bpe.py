@@ -1,9 +1,10 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-Texts are cut where a rolling hash of eight bytes says so, wherever they stand, so passages that documents share give
-the same chunks. The inside of a chunk (between its outer white space) is encoded once and kept; the piece around a cut
-is re-encoded from white space to white space, where the tokenizer drops the separator and both sides agree exactly with
-an encoding of the whole. A cut in a text without white space widens its piece as far as the text goes.
+Texts are cut where a rolling hash says so, wherever that stands, so passages that documents share give the same chunks.
+Chunks are counted over all documents; those whose reuse saves most are encoded once and sent to all tasks as a table of
+bounded size, and a worker keeps further chunks that it has met. Joins of chunks are repaired: the text around a join is
+encoded anew and must agree, token by token and across a gap, with the chunks on both sides; where it doesn't, the chunks
+are encoded as one, up to the whole text, until all joins agree.
 """
 
 from __future__ import annotations
@@ -11,20 +12,31 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cataloom.llm.storage import light_batches
+from cataloom.llm.storage import discard, light_batches, stored
 from cataloom.llm.text import BASE, BASE_INVERSE, BYTE_VALUES, blocks, mix, powers
 
-#: Bytes that the rolling hash sees; one place in ``EVERY`` is a cut (short chunks are shared most). Pieces that a worker
-#: keeps, with their ids; beyond that it starts anew.
-ROLLING, EVERY, KEPT_PIECES = 8, 4, 2_000_000
-SPACES = b" \t\n\r\x0b\x0c"
-IS_SPACE = np.zeros(256, bool)
-IS_SPACE[list(SPACES)] = True
+#: Bytes that the rolling hash sees; one place in ``EVERY`` is a cut, if it is ``LEAST`` bytes behind the one before.
+ROLLING, EVERY, LEAST = 16, 1024, 256
+#: Bytes of the chunks that are sent to all tasks, and of those that a worker keeps besides; it then starts anew.
+TABLE_BYTES, KEPT_BYTES = 24 << 20, 24 << 20
+#: Characters on each side of a join that are encoded anew; tokens at a chunk's ends that are held against them.
+AROUND, HELD = 32, 16
+
+
+class Chunk(NamedTuple):
+    """Ids of a chunk, its characters, and where its first and last tokens stand in it."""
+
+    ids: np.ndarray
+    size: int
+    head: list[tuple[int, int]]
+    tail: list[tuple[int, int]]
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -49,8 +61,55 @@ class Table:
         return [data[a : max(a, b - 1)] for a, b in zip(reach[:-1], reach[1:], strict=True)]
 
 
+def cut(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+    """The chunks of each text of a block. Cuts stand between characters; a text is the sum of its chunks."""
+    n, raw = len(data), data.tobytes()
+    places = np.zeros(0, np.int64)
+    if n > ROLLING:
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[data] * powers(n, BASE, "up"), out=total[1:])
+        rolled = mix((total[ROLLING:] - total[:-ROLLING]) * powers(n + 1, BASE_INVERSE, "down")[: n - ROLLING + 1])
+        places = np.flatnonzero(rolled % np.uint64(EVERY) == 0) + ROLLING
+        for _ in range(3):  # a character has at most three bytes behind the first
+            places = places + ((data[np.minimum(places, n - 1)] & 0xC0) == 0x80) * (places < n)
+    reach = np.searchsorted(places, offsets)
+    places = places.tolist()
+    out = []
+    for k in range(len(offsets) - 1):
+        start, end = int(offsets[k]), int(offsets[k + 1])
+        mine, at = [], start
+        for p in places[reach[k] : reach[k + 1]]:
+            # The hash must see bytes of this text only, so that equal passages are cut alike.
+            if p - at >= LEAST and p - start >= ROLLING and p < end:
+                mine.append(raw[at:p])
+                at = p
+        mine.append(raw[at:end])
+        out.append(mine)
+    return out
+
+
+def digest(chunk: bytes) -> tuple[int, int]:
+    value = hashlib.blake2b(chunk, digest_size=16).digest()
+    return int.from_bytes(value[:8], "little", signed=True), int.from_bytes(value[8:], "little", signed=True)
+
+
+def agreeing(ids: np.ndarray, spans: list[tuple[int, int]], first: int, w_ids: list[int], w_spans: list[tuple[int, int]], shift: int, last: bool) -> tuple[int, int] | None:
+    """Where a chunk's end and the text around a join agree: two equal tokens, a gap, two equal tokens. Gives the number
+    of tokens before the gap in both. ``spans`` are of the chunk's tokens from ``first`` on; those of the window plus
+    ``shift`` count in the chunk. The outermost such gap from the join is taken: the last, or the first."""
+    at = {s: k for k, (s, _) in enumerate(spans)}
+    order = range(len(w_spans) - 3)
+    for q in reversed(order) if last else order:
+        p = at.get(w_spans[q][0] + shift)
+        if p is None or p + 4 > len(spans) or not spans[p + 1][1] < spans[p + 2][0]:
+            continue
+        if all(spans[p + k] == (w_spans[q + k][0] + shift, w_spans[q + k][1] + shift) and ids[first + p + k] == w_ids[q + k] for k in range(4)):
+            return first + p + 2, q + 2
+    return None
+
+
 class Encoder:
-    """The tokenizer of a file, with the pieces that this worker has encoded (by 64-bit hash and length)."""
+    """The tokenizer of a file, with chunks that are known: those of the shared table and those met in this worker."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,92 +121,178 @@ class Encoder:
         names = {i: t.encode() for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.numbers = Table([b"%d" % i for i in range(max(names) + 1)])
         self.tokens = Table([names.get(i, b"") for i in range(max(names) + 1)])
-        self.forget()
-
-    def forget(self) -> None:
-        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-    def encode_new(self, pieces: list[bytes]) -> None:
-        """Encode pieces and append their ids."""
-        sizes, flat = [], []
-        for start in range(0, len(pieces), 8192):
-            for found in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[start : start + 8192]], add_special_tokens=False):
-                ids = found.ids
-                sizes.append(len(ids))
-                flat += ids
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.int32)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        size = np.array(sizes, np.int64)
-        self.starts.append(self.used + np.cumsum(size) - size)
-        self.sizes.append(size)
-        self.used += len(flat)
+        self.shared: dict[bytes, Chunk] = {}
+        self.kept: dict[bytes, Chunk] = {}
+        self.held = 0
+
+    def encode_chunks(self, texts: list[str]) -> list[Chunk]:
+        out = []
+        for start in range(0, len(texts), 1024):
+            some = texts[start : start + 1024]
+            for text, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                n, where = len(ids), e.token_to_chars
+                out.append(Chunk(np.array(ids, np.int32), len(text), [where(k) for k in range(min(n, HELD))], [where(k) for k in range(max(0, n - HELD), n)]))
+        return out
+
+    def known(self, chunks: list[bytes]) -> dict[bytes, Chunk]:
+        """All of some chunks, encoded; each new one once."""
+        if self.held > KEPT_BYTES:
+            self.kept, self.held = {}, 0
+        new = list({c: None for c in chunks if c not in self.shared and c not in self.kept})
+        for c, e in zip(new, self.encode_chunks([c.decode() for c in new]), strict=True):
+            self.kept[c] = e
+            self.held += len(c)
+        return {c: self.shared.get(c) or self.kept[c] for c in chunks}
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and the number of ids of each text."""
-        row, start, end, hashes = pieces_of(data, offsets)
-        if len(self.hashes) > KEPT_PIECES:
-            self.forget()
-        distinct, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, distinct)
-        known = place < len(self.hashes)
-        known[known] = self.hashes[place[known]] == distinct[known]
-        new = np.flatnonzero(~known)
-        if len(new):
-            raw = data.tobytes()
-            count = sum(map(len, self.sizes))
-            self.encode_new([raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
-            self.hashes = np.insert(self.hashes, place[new], distinct[new])
-            self.entry = np.insert(self.entry, place[new], np.arange(count, count + len(new)))
-            self.starts, self.sizes = [np.concatenate(self.starts)], [np.concatenate(self.sizes)]
-            place = np.searchsorted(self.hashes, distinct)
-        entry = self.entry[place][inverse]
-        sizes = self.sizes[0][entry]
-        return self.ids[spread(self.starts[0][entry], sizes)], np.bincount(row, sizes, len(offsets) - 1).astype(np.int64)
-
-
-def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start, end and hash of the pieces of a block of texts, inside chunks and around cuts in turn, in order.
-
-    Pieces of one white-space byte are left out: they have no ids."""
-    n = len(data)
-    edges = [offsets]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers(n, BASE, "up"), out=total[1:])
-    down = powers(n + 1, BASE_INVERSE, "down")
-    if n > ROLLING:
-        rolled = mix((total[ROLLING:] - total[:-ROLLING]) * down[: n - ROLLING + 1])
-        cuts = np.flatnonzero(rolled % np.uint64(EVERY) == 0) + ROLLING
-        cuts = cuts[cuts < n]
-        row = np.searchsorted(offsets, cuts, side="right") - 1
-        spaces = np.flatnonzero(IS_SPACE[data])
-        k = np.searchsorted(spaces, cuts)
-        padded = np.concatenate([[-1], spaces, [n]])
-        edges += [np.maximum(padded[k] + 1, offsets[row]), np.minimum(padded[k + 1], offsets[row + 1])]
-    is_edge = np.zeros(n + 1, bool)
-    for some in edges:
-        is_edge[some] = True
-    edge = np.flatnonzero(is_edge)
-    start, end = edge[:-1], edge[1:]
-    full = (end - start > 1) | ~IS_SPACE[data[start]]
-    start, end = start[full], end[full]
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * BASE)
-    return np.searchsorted(offsets, start, side="right") - 1, start, end, hashes
+        texts = cut(data, offsets)
+        known = self.known([c for chunks in texts for c in chunks])
+        parts = [[known[c] for c in chunks] for chunks in texts]
+        text = [[c.decode() for c in chunks] for chunks in texts]
+        # Ranges that joins leave of each chunk, and what stands between: (tokens kept before, ids of the window, tokens dropped after).
+        joins: list[dict[int, tuple[int, list[int], int]]] = [{} for _ in texts]
+        todo = [(row, k) for row, some in enumerate(parts) for k in range(len(some) - 1)]
+        while todo:
+            windows = [text[row][k][-AROUND:] + text[row][k + 1][:AROUND] for row, k in todo]
+            failed: dict[int, list[int]] = {}
+            for start in range(0, len(todo), 4096):
+                some = todo[start : start + 4096]
+                for (row, k), e in zip(some, self.tokenizer.encode_batch(windows[start : start + 4096], add_special_tokens=False), strict=True):
+                    a, b = parts[row][k], parts[row][k + 1]
+                    ids, spans, left = e.ids, e.offsets, min(AROUND, a.size)
+                    before = agreeing(a.ids, a.tail, len(a.ids) - len(a.tail), ids, spans, a.size - left, False)
+                    after = agreeing(b.ids, b.head, 0, ids, spans, -left, True)
+                    if before and after and before[1] <= after[1]:
+                        joins[row][k] = (before[0], ids[before[1] : after[1]], after[0])
+                    else:
+                        failed.setdefault(row, []).append(k)
+            # Joins on both sides of a chunk must not cross in it.
+            for row in {row for row, _ in todo}:
+                for k in range(1, len(parts[row]) - 1):
+                    if k - 1 in joins[row] and k in joins[row] and joins[row][k - 1][2] > joins[row][k][0]:
+                        failed.setdefault(row, []).append(k)
+            todo = []
+            for row, some in failed.items():
+                self.merge(row, set(some), parts, text, joins, todo)
+        ids, counts = [], []
+        for some, between in zip(parts, joins, strict=True):
+            n, at = 0, 0
+            for k, chunk in enumerate(some):
+                if k in between:
+                    until, window, following = between[k]
+                    ids += [chunk.ids[at:until], np.array(window, np.int32)]
+                    n += until - at + len(window)
+                    at = following
+                else:
+                    ids.append(chunk.ids[at:])
+                    n += len(chunk.ids) - at
+            counts.append(n)
+        return np.concatenate(ids) if ids else np.zeros(0, np.int32), np.array(counts, np.int64)
+
+    def merge(self, row: int, failed: set[int], parts: list, text: list, joins: list, todo: list) -> None:
+        """Make one chunk of those on both sides of each failed join of a row, and ask for the joins around it anew."""
+        new_text: list[str] = []
+        changed: list[bool] = []
+        for k, t in enumerate(text[row]):
+            if k and k - 1 in failed:
+                new_text[-1] += t
+                changed[-1] = True
+            else:
+                new_text.append(t)
+                changed.append(False)
+        old = [k for k in range(len(text[row])) if not k or k - 1 not in failed]
+        fresh = iter(self.encode_chunks([t for t, c in zip(new_text, changed, strict=True) if c]))
+        parts[row] = [next(fresh) if c else parts[row][k] for k, c in zip(old, changed, strict=True)]
+        ends = [k - 1 for k in old[1:]]  # the old join after each new chunk but the last
+        kept = {}
+        for k, was in enumerate(ends):
+            if was in joins[row] and not changed[k] and not changed[k + 1]:
+                kept[k] = joins[row][was]
+            else:
+                todo.append((row, k))
+        text[row], joins[row] = new_text, kept
 
 
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder_of(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def chunk_counts(texts: DataFrame) -> DataFrame:
+    """(h1, h2, size, n): every chunk of ``LEAST`` bytes or more of the column text, and how often it occurs."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("size", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in blocks(batches, "text", 1 << 20):
+            seen: dict[bytes, int] = {}
+            for chunks in cut(data, offsets):
+                for c in chunks:
+                    if len(c) >= LEAST:
+                        seen[c] = seen.get(c, 0) + 1
+            marks = [digest(c) for c in seen]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(list(map(len, seen)), pa.int32()), pa.array(list(seen.values()), pa.int64())], schema=schema)
+
+    return texts.select("text").mapInArrow(count, "h1 long, h2 long, size int, n long").groupBy("h1", "h2", "size").agg(F.sum("n").alias("n"))
+
+
+def shared_chunks(texts: DataFrame, path: str) -> dict[bytes, Chunk]:
+    """The chunks whose reuse saves most bytes over all ``texts``, encoded once: at most ``TABLE_BYTES`` bytes of them."""
+    spark = texts.sparkSession
+    counts = stored(chunk_counts(texts).where("n > 1").withColumn("level", F.floor(F.log2((F.col("n") - 1) * F.col("size"))).cast("int")), "chunks")
+    levels = counts.groupBy("level").agg(F.sum("size").alias("bytes")).orderBy(F.desc("level")).collect()  # 64 rows at most
+    least, held = None, 0
+    for row in levels:
+        if held + row["bytes"] > TABLE_BYTES:
+            break
+        least, held = row["level"], held + row["bytes"]
+    if least is None:
+        discard(counts)
+        return {}
+    chosen = counts.where(F.col("level") >= least).select("h1", "h2").toArrow()  # TABLE_BYTES / LEAST rows at most
+    marks = np.unique(chosen["h1"].to_numpy())
+    wanted = spark.sparkContext.broadcast(marks)
+    discard(counts)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[bytes] = set()
+        for _, data, offsets in blocks(batches, "text", 1 << 20):
+            some = list({c: None for chunks in cut(data, offsets) for c in chunks if len(c) >= LEAST and c not in given})
+            h = np.array([digest(c)[0] for c in some], np.int64)
+            at = np.minimum(np.searchsorted(wanted.value, h), len(wanted.value) - 1)
+            some = [some[k] for k in np.flatnonzero(wanted.value[at] == h)]
+            given.update(some)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["chunk"])
+
+    schema = pa.schema([("chunk", pa.binary()), ("ids", pa.binary()), ("size", pa.int32()), ("spans", pa.list_(pa.int32()))])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = batch.column("chunk").to_pylist()
+            found = encoder_of(path).encode_chunks([c.decode() for c in chunks])
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([e.ids.tobytes() for e in found], pa.binary()), pa.array([e.size for e in found], pa.int32()), pa.array([[x for span in (*e.head, *e.tail) for x in span] for e in found], pa.list_(pa.int32()))], schema=schema)
+
+    encoded = texts.select("text").mapInArrow(gather, "chunk binary").distinct().mapInArrow(encode, "chunk binary, ids binary, size int, spans array<int>").toArrow()
+    out = {}
+    for row in encoded.to_pylist():
+        ids, spans = np.frombuffer(row["ids"], np.int32), list(zip(row["spans"][::2], row["spans"][1::2], strict=True))
+        out[row["chunk"]] = Chunk(ids, row["size"], spans[: min(len(ids), HELD)], spans[min(len(ids), HELD) :])
+    return out
+
+
 def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids_sha256, decoded_sha256; on request also ids and decoded.
 
     The ids equal those of the tokenizers library with the file at ``path`` (present on every worker) and
     add_special_tokens=False, without truncation and padding; decoded equals its decode(ids, skip_special_tokens=False)
-    for a tokenizer that has no decoder of its own (tokens joined by a space). The tokenizer must drop white space and
-    must not look across it, as word-level BPE does. Null text counts as empty: no tokens, hashes of no bytes. Rows may
-    repeat; null ids are kept; other columns are ignored; an empty table gives an empty result.
+    for a tokenizer that has no decoder of its own (tokens joined by a space). Null text counts as empty: no tokens,
+    hashes of no bytes. Chunks are known by their bytes, so a hit needs no further check. Rows may repeat; null ids are
+    kept; other columns are ignored; an empty table gives an empty result.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -159,11 +304,12 @@ def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
     if with_decoded:
         fields, kinds = [*fields, ("decoded", pa.string())], kinds + ", decoded string"
     schema = pa.schema(fields)
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(texts, path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encoder = _encoders[path]
+        encoder = encoder_of(path)
+        encoder.shared = shared.value
         for rows, data, offsets in blocks(batches, "text", 1 << 20):
             ids, counts = encoder.encode(data, offsets)
             numbers, tokens = encoder.numbers.joined(ids, counts), encoder.tokens.joined(ids, counts)
@@ -174,4 +320,4 @@ def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
                 out.append(pa.array([x.decode() for x in tokens], pa.string()))
             yield pa.RecordBatch.from_arrays(out, schema=schema)
 
-    return docs.selectExpr(f"`{id_column}` AS id", f"`{text_column}` AS text").mapInArrow(encode, kinds)
+    return texts.mapInArrow(encode, kinds)

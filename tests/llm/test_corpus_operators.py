@@ -430,6 +430,21 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert got == sorted(flat)
 
 
+def test_near_vectors_recall_in_many_cells():
+    """Pairs at 0.93 and above of spread vectors, the hardest case, share a cell."""
+    rng = np.random.default_rng(3)
+    a = embedding_dedup.unit(rng.normal(size=(6000, 32)))
+    turn = rng.normal(size=a.shape)
+    turn = embedding_dedup.unit(turn - (turn * a).sum(axis=1, keepdims=True) * a)
+    b = 0.9301 * a + np.sqrt(1 - 0.9301**2) * turn
+    c = embedding_dedup.spherical_kmeans(a, 64)
+    taken = embedding_dedup.cells_needed(a, c, 0.93)
+    assert 1 < taken <= 12
+    top = lambda x: np.argsort(-(x @ c.T), axis=1)[:, :taken]
+    share = np.mean([(x[:, None] == y).any() for x, y in zip(top(a), top(b))])
+    assert share >= 0.998, (taken, share)
+
+
 # Sharding
 
 
@@ -472,13 +487,48 @@ def test_bpe_equals_the_library(docs, spark):
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
 
 
-def test_bpe_forgets_and_goes_on(monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_PIECES", 50)
+def library_ids(encoder, texts):
+    return [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def encoded_ids(encoder, texts):
+    raw = [t.encode() for t in texts]
+    ids, counts = encoder.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_bpe_joins_are_repaired(monkeypatch):
+    """Short chunks, texts without gaps, and a memory that starts anew: always the library's ids."""
+    monkeypatch.setattr(bpe, "EVERY", 24)
+    monkeypatch.setattr(bpe, "LEAST", 16)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 2000)
+    encoder = bpe.Encoder(tokenizer_path())
+    rng = random.Random(8)
+    pool = "a b é e\u0301 中 文 x1 !? 's don't \n \t \x85 ﬁ İ <|endoftext|> ß 12 ЖЩ".split(" ")
+    texts = [words(rng, 300), "x" * 3000, "中文" * 900, "é" * 700, ""] + ["".join(rng.choice([*pool, " ", " "]) for _ in range(rng.randint(1, 900))) for _ in range(60)]
+    for _ in range(2):
+        assert encoded_ids(encoder, texts) == library_ids(encoder, texts)
+    assert encoder.held <= 2000 + sum(len(t.encode()) for t in texts)
+
+
+def test_bpe_chunks_are_shared(spark, monkeypatch):
+    """A passage that stands at other places in other texts gives the same chunks; each is encoded once for all."""
+    rng = random.Random(12)
+    passage = words(rng, 4000, 100_000)
+    texts = [words(rng, rng.randint(1, 300), 100_000) + " " + passage + " " + words(rng, 50, 100_000) for _ in range(6)]
+    raw = [t.encode() for t in texts]
+    chunks = bpe.cut(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [b"".join(c) for c in chunks] == raw and sum(map(len, raw)) / sum(map(len, chunks)) > 256
+    common = set.intersection(*map(set, chunks))
+    assert sum(map(len, common)) > 0.8 * len(passage)
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    shared = bpe.shared_chunks(frame, tokenizer_path())
+    assert common <= set(shared)
     encoder = bpe.Encoder(tokenizer_path())
-    for seed in range(4):
-        data = np.frombuffer(words(random.Random(seed), 300).encode(), np.uint8)
-        ids, counts = encoder.encode(data, np.array([0, len(data)]))
-        assert ids.tolist() == encoder.tokenizer.encode(data.tobytes().decode(), add_special_tokens=False).ids and counts.tolist() == [len(ids)]
+    encoder.shared = shared
+    assert encoded_ids(encoder, texts) == library_ids(encoder, texts) and not common & set(encoder.kept)
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 100)
+    assert bpe.shared_chunks(frame, tokenizer_path()) == {}
 
 
 # URL filter
