@@ -95,8 +95,17 @@ def folded(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (byte positions), 64-bit hash and row number of every word, in order."""
+def lone_characters(data: np.ndarray) -> np.ndarray:
+    """First bytes of characters of scripts without spaces: kana and Han (U+3000..U+9FFF), Thai and Lao (U+0E00..U+0EFF)."""
+    out = (data >= 0xE3) & (data <= 0xE9)
+    out[:-1] |= (data[:-1] == 0xE0) & (data[1:] >= 0xB8) & (data[1:] <= 0xBB)
+    return out
+
+
+def words(data: np.ndarray, offsets: np.ndarray, characters: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end (byte positions), 64-bit hash and row number of every word, in order.
+
+    With ``characters`` each character of a script without spaces is a word."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -107,11 +116,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before[1:] = is_word[:-1]
     firsts = offsets[:-1][offsets[:-1] < n]
     before[firsts] = False
-    starts = np.flatnonzero(is_word & ~before)
     after = np.empty(n, bool)
     after[-1] = False
     after[:-1] = is_word[1:]
     after[firsts[firsts > 0] - 1] = False
+    if characters and (lone := np.flatnonzero(lone_characters(data))).size:
+        for edge in (lone, np.minimum(lone + 3, n)):
+            before[edge[edge < n]] = False
+            after[edge[edge > 0] - 1] = False
+    starts = np.flatnonzero(is_word & ~before)
     ends = np.flatnonzero(is_word & ~after) + 1
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[folded(data)] * powers(n, BASE, "up"), out=total[1:])

@@ -182,19 +182,91 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def test_fit_distance_is_exact():
+def least_fit(item, region):
+    """Least edit distance of an item to any stretch of a region, by the plain recurrence."""
+    row = [0] * (len(region) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(region, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_fit_distances_are_exact():
     rng = random.Random(2)
-    for _ in range(40):
-        item = [rng.randrange(4) for _ in range(rng.randint(1, 7))]
-        region = [rng.randrange(4) for _ in range(rng.randint(1, 12))]
-        best = min(edit_distance(item, region[i:j]) for i in range(len(region) + 1) for j in range(i, len(region) + 1))
-        cost, a, b = decontaminate.fit_distance(np.array(item), np.array(region))
-        assert cost == best == edit_distance(item, region[a:b])
+    for m in range(1, 8):
+        items = [[rng.randrange(1, 5) for _ in range(m)] for _ in range(12)]
+        regions = [[rng.randrange(1, 5) for _ in range(rng.randint(1, 12))] for _ in range(12)]
+        padded = np.array([r + [0] * (12 - len(r)) for r in regions], np.uint64)
+        for item, region, cost, a, b in zip(items, regions, *decontaminate.fit_distances(np.array(items, np.uint64), padded)):
+            best = min(edit_distance(item, region[i:j]) for i in range(len(region) + 1) for j in range(i, len(region) + 1))
+            assert cost == best == edit_distance(item, region[a:b]) == least_fit(item, region) and b <= len(region)
+
+
+def edited(rng, item, edits, fresh):
+    part = list(item)
+    for _ in range(edits):
+        at = rng.randrange(len(part)) if part else 0
+        gone, new = rng.choice([(1, 1), (1, 0), (0, 1)])
+        part[at : at + gone] = [fresh()] * new
+    return part
+
+
+def test_leaks_equal_a_search_of_all_places(spark):
+    """Every (document, item) that a plain alignment of all documents with all items finds, with its distance: items of 1 to
+    70 words, with shared stems, without spaces; passages whole, edited, trimmed, at the ends, alone, in long texts."""
+    rng = random.Random(14)
+    common = [f"w{x}" for x in range(120)]
+    fresh = lambda: f"x{rng.randrange(10**9)}"
+    stem = "what is the value of".split()
+    items = [[rng.choice(common) for _ in range(rng.randint(9, 70))] for _ in range(40)]
+    items += [stem + [rng.choice(common) for _ in range(rng.randint(3, 12))] for _ in range(40)] + [[fresh() for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8)]
+    docs = []
+    for k in range(260):
+        text = [rng.choice(common) if rng.random() < 0.6 else fresh() for _ in range(rng.choice([0, 0, 20, 150, 600]))]
+        item = items[k % len(items)]
+        part = edited(rng, item, rng.randint(0, int(0.2 * len(item)) + 1), fresh)
+        if k % 5 == 0:
+            cut = rng.randint(0, int(0.2 * len(item)))
+            part = item[cut : len(item) - (int(0.2 * len(item)) - cut)]
+        at = rng.choice([0, len(text), rng.randint(0, len(text))])
+        docs.append(text[:at] + part + text[at:])
+    wanted = {}
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            if set(item) & set(text) and (cost := least_fit(item, text)) <= int(0.2 * len(item)):
+                wanted[d, i] = cost
+    chinese = "今天天气很好我们去公园散步然后回家吃晚饭看电视"
+    rows = [(d, " ".join(t)) for d, t in enumerate(docs)] + [(900, "前言。" + chinese.replace("公园", "海边") + "。后记"), (901, None), (902, "")]
+    given = [(i, " ".join(t)) for i, t in enumerate(items)] + [(900, chinese), (901, None), (902, " . "), (903, "")]
+    found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(given, "item_id long, text string")).collect()
+    got = {(r.id, r.item_id): r.edits for r in found}
+    assert len(got) == len(found) and got.pop((900, 900)) == 2
+    assert got.keys() <= wanted.keys() and all(wanted[k] == v for k, v in got.items())
+    assert len(wanted) > 200 and len(got) >= 0.99 * len(wanted), set(wanted) - set(got)
+
+
+def test_many_items_with_one_stem():
+    """A document full of one stem against thousands of items that begin with it: memory and time stay bounded."""
+    import time
+
+    rng = random.Random(15)
+    stem = [rng.randrange(1, 2**62) for _ in range(5)]
+    pool = [rng.randrange(1, 2**62) for _ in range(3000)]
+    items = [np.array(stem + [rng.choice(pool) for _ in range(rng.randint(10, 20))], np.uint64) for _ in range(2000)]
+    text = []
+    for _ in range(300):
+        text += stem + [rng.choice(pool) for _ in range(15)]
+    text[100:100] = items[7].tolist()
+    table = decontaminate.Items(list(range(len(items))), items, 0.8)
+    start = time.process_time()
+    found = table.search(np.array(text, np.uint64), np.zeros(len(text), np.int64), np.array([0]), np.array([len(text)]))
+    assert [(x[1], x[2]) for x in found] == [(7, 0)] and time.process_time() - start < 10
 
 
 def test_leaks_exact_and_edited(spark):
     rng = random.Random(4)
-    items = [(k, words(rng, rng.randint(12, 50), 2000)) for k in range(12)] + [(90, None), (91, "too short"), (3, None)]
+    items = [(k, words(rng, rng.randint(12, 50), 2000)) for k in range(12)] + [(90, None), (91, "unseen"), (3, None)]
     rows, planted = [], set()
     for k in range(60):
         text = words(rng, 120, 2000).split()
@@ -216,7 +288,7 @@ def test_leaks_exact_and_edited(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     leaks = decontaminate.find_leaks(docs, bench).collect()
     found = {(r.id, r.item_id) for r in leaks}
-    assert found <= planted and len(found) >= 0.95 * len(planted)
+    assert found == planted
     whole = next(r for r in leaks if r.id == 102)
     assert (whole.edits, whole.from_byte, whole.to_byte) == (0, 0, len(items[0][1]))
     left = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
@@ -235,24 +307,17 @@ def test_leaks_of_an_item_trimmed_at_both_ends():
         assert found == [(1, 0, 50 - (b - a), int(edge[1]), int(edge[2]))]
 
 
-@pytest.mark.parametrize("size", [100, 200, 400])
-def test_leaks_of_long_items_with_all_edits(size):
-    """Items of many words with every permitted edit: replaced, dropped and added words."""
+@pytest.mark.parametrize("size", [5, 6, 8, 9, 10, 11, 14, 15, 17, 21, 25, 32, 39, 47, 59, 80, 100, 200, 400])
+def test_leaks_of_all_sizes(size):
+    """Items with every permitted edit, replaced, dropped and added words: the target recall holds at each size."""
     rng = random.Random(size)
-    parts, items = [], []
-    for _ in range(100):
-        item = [rng.randrange(1, 2**62) for _ in range(size)]
-        part = list(item)
-        for _ in range(size // 5):
-            at = rng.randrange(len(part))
-            gone, new = rng.choice([(1, 1), (1, 0), (0, 1)])
-            part[at : at + gone] = [rng.randrange(1, 2**62)] * new
-        around = [[rng.randrange(1, 2**62) for _ in range(50)] for _ in range(2)]
-        items.append(np.array(item, np.uint64))
-        parts.append(np.array([*around[0], *part, *around[1]], np.uint64))
+    fresh = lambda: rng.randrange(1, 2**62)
+    items = [[fresh() for _ in range(size)] for _ in range(200)]
+    parts = [[fresh() for _ in range(50)] + edited(rng, item, decontaminate.edits_of(size, 0.8), fresh) + [fresh() for _ in range(50)] for item in items]
     edge = np.cumsum([0, *map(len, parts)])
-    found = decontaminate.Items(list(range(100)), items, 0.8).search(np.concatenate(parts), np.repeat(np.arange(100), np.diff(edge)), edge[:-1], edge[1:])
-    assert all(x[0] == x[1] for x in found) and len(found) >= 99, len(found)
+    hashes = np.array([x for part in parts for x in part], np.uint64)
+    found = decontaminate.Items(list(range(200)), [np.array(x, np.uint64) for x in items], 0.8).search(hashes, np.repeat(np.arange(200), np.diff(edge)), edge[:-1], edge[1:])
+    assert all(x[0] == x[1] for x in found) and len(found) >= 197, len(found)
 
 
 def test_leaks_in_passes(spark, monkeypatch):
