@@ -330,42 +330,90 @@ def test_leaks_in_passes(spark, monkeypatch):
 # Language identification
 
 
-def test_code_lengths_follow_the_frozen_statistics():
-    """Sums of table entries equal code lengths worked out byte by byte from the same counts, with escapes."""
-    texts = {"a": b"abracadabra abracadabra", "b": b"banana bandana banana"}
-    counts = {}
-    for lang, text in texts.items():
-        data = np.frombuffer(text, np.uint8)
-        a, b, c, d = language_id.grams(data, np.array([0, len(data)]))
-        for g in zip(*(x.tolist() for x in (a, b, c, d))):
-            counts[lang, g] = counts.get((lang, g), 0) + 1
-    keys = list(counts)
-    gram = np.array([(g[0] << 24) | (g[1] << 16) | (g[2] << 8) | g[3] for _, g in keys])
-    model = language_id.build(np.array([k for k, _ in keys], object), gram, np.array([counts[k] for k in keys]))
-    symbols = sorted({x for _, g in keys for x in g})
-
-    def probability(lang, context, symbol):
-        if context is None:
-            return 1 / (len(symbols) + 1)
-        seen = {}
-        for (name, g), n in counts.items():
-            if name == lang and (not context or g[3 - len(context) : 3] == context):
-                seen[g[3]] = seen.get(g[3], 0) + n
-        shorter = context[1:] if context else None
+def gram_counts(texts):
+    """Counts of 4-grams and 3-grams of each language's texts, as ``build`` takes them."""
+    out = ([], [], [])
+    for lang, some in texts.items():
+        for text in some:
+            data = np.frombuffer(text.encode(), np.uint8)
+            value, n = np.unique(language_id.grams(data, np.array([0, len(data)])), return_counts=True)
+            out[0].extend([lang] * len(value))
+            out[1].extend(value.tolist())
+            out[2].extend(n.tolist())
+    four = (out[0], np.array(out[1], np.int64), np.array(out[2]))
+    return four, (four[0], four[1] & 0xFFFFFF, four[2])
+
+
+class PlainPPM:
+    """PPM of order 3, method C with exclusion, worked out byte by byte from dictionaries."""
+
+    def __init__(self, texts):
+        self.counts = {}
+        for text in texts:
+            data = b"   " + text.encode()
+            for i in range(3, len(data)):
+                for order in range(4):
+                    seen = self.counts.setdefault(data[i - order : i], {})
+                    seen[data[i]] = seen.get(data[i], 0) + 1
+        self.memo = {}
+
+    def probability(self, context, symbol):
+        if (context, symbol) not in self.memo:
+            self.memo[context, symbol] = self.work_out(context, symbol)
+        return self.memo[context, symbol]
+
+    def work_out(self, context, symbol):
+        shorter = (lambda s: self.probability(context[1:], s)) if context else (lambda s: 1 / 256)
+        seen = self.counts.get(context)
         if not seen:
-            return probability(lang, shorter, symbol)
+            return shorter(symbol)
         total, distinct = sum(seen.values()), len(seen)
-        rest = 1 - sum(probability(lang, shorter, s) for s in seen)
+        rest = 1 - sum(map(shorter, seen))
         if symbol in seen:
-            return seen[symbol] / (total + distinct if rest > 1e-12 else total)
-        return distinct / (total + distinct) * probability(lang, shorter, symbol) / rest
+            return seen[symbol] / (total + distinct if rest > 1e-9 else total)
+        return distinct / (total + distinct) * shorter(symbol) / max(rest, 1e-9)
 
-    probe = np.frombuffer(b"cabana", np.uint8)
-    got = language_id.code_lengths(model, probe, np.array([0, len(probe)]))[0]
-    padded = (32, 32, 32, *probe.tolist())
+    def length(self, text):
+        data = b"   " + text.encode()
+        return sum(-np.log2(self.probability(data[i - 3 : i], data[i])) for i in range(3, len(data)))
+
+
+def test_code_lengths_equal_plain_ppm():
+    """Whole texts, every byte: sums of table entries equal the code lengths of the plain recursion."""
+    rng = random.Random(2)
+    alphabet = {"a": "abcde  fé,1", "b": "klmno  pß.2", "c": "abklx  中-3"}
+    texts = {lang: ["".join(rng.choice(some) for _ in range(rng.randint(1, 400))) for _ in range(12)] for lang, some in alphabet.items()}
+    texts["d"] = ["banana bandana"]
+    model = language_id.build(*gram_counts(texts))
+    probes = [x[0] for x in texts.values()] + ["".join(rng.choice("abcklm xyz é中12.") for _ in range(300)) for _ in range(5)] + ["", "Z"]
+    raw = [t.encode() for t in probes]
+    got = language_id.code_lengths(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     for k, lang in enumerate(model.languages):
-        exact = sum(-np.log2(probability(lang, tuple(padded[i : i + 3]), padded[i + 3])) for i in range(len(probe)))
-        assert abs(got[k] / language_id.UNIT - exact) < 0.02
+        plain = PlainPPM(texts[lang])
+        for j, text in enumerate(probes):
+            assert abs(got[j, k] / language_id.UNIT - plain.length(text)) <= 0.003 * len(raw[j]) + 1e-6
+
+
+def test_two_hundred_languages_keep_order_three():
+    rng = random.Random(3)
+    texts = {f"l{k:03d}": [" ".join(f"{rng.choice('bcdfgklmnprst')}{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.choice('aeiou')}" for _ in range(60))] for k in range(200)}
+    model = language_id.build(*gram_counts(texts))
+    assert len(model.seen[2].values) == sum(len(set(zip(b"   " + t.encode(), b"  " + t.encode(), b" " + t.encode(), t.encode()))) for (t,) in texts.values())
+    names = rng.sample(sorted(texts), 40)
+    raw = [texts[x][0][:80].encode() for x in names]
+    lengths = language_id.code_lengths(model, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [model.languages[k] for k in lengths.argmin(axis=1)] == names
+
+
+def test_large_models_keep_frequent_contexts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = language_id.train(docs)
+    monkeypatch.setattr(language_id, "MOST_ENTRIES", len(whole.seen[2].values) // 2)
+    half = language_id.train(docs)
+    assert 0.2 * len(whole.seen[2].values) < len(half.seen[2].values) <= 0.5 * len(whole.seen[2].values)
+    assert all((a.values == b.values).all() for a, b in zip(whole.seen[:2], half.seen[:2]))
+    same = language_id.predict(docs, whole).join(language_id.predict(docs, half).select("id", F.col("lang_pred").alias("other")), "id")
+    assert same.where("lang_pred = other").count() >= 0.97 * docs.count()
 
 
 def test_language_held_out(spark, odd_docs):
