@@ -3,8 +3,8 @@
 Texts are cut where a rolling hash says so, wherever that stands, so passages that documents share give the same chunks.
 Chunks are counted over all documents; those whose reuse saves most are encoded once and sent to all tasks as a table of
 bounded size, and a worker keeps further chunks that it has met. Joins of chunks are repaired: the text around a join is
-encoded anew and must agree, token by token and across a gap, with the chunks on both sides; where it doesn't, the chunks
-are encoded as one, up to the whole text, until all joins agree.
+encoded anew by the library and must agree, token by token and across a gap, with the chunks on both sides; where it
+doesn't, the chunks are encoded as one, up to the whole text, until all joins agree.
 """
 
 from __future__ import annotations
@@ -25,18 +25,26 @@ from cataloom.llm.text import BASE, BASE_INVERSE, BYTE_VALUES, blocks, mix, powe
 #: Bytes that the rolling hash sees; one place in ``EVERY`` is a cut, if it is ``LEAST`` bytes behind the one before.
 ROLLING, EVERY, LEAST = 16, 1024, 256
 #: Bytes of the chunks that are sent to all tasks, and of those that a worker keeps besides; it then starts anew.
-TABLE_BYTES, KEPT_BYTES = 24 << 20, 24 << 20
-#: Characters on each side of a join that are encoded anew; tokens at a chunk's ends that are held against them.
-AROUND, HELD = 32, 16
+TABLE_BYTES, KEPT_BYTES = 16 << 20, 8 << 20
+#: Characters on each side of a join that are encoded anew; gaps at a chunk's ends that are held against them.
+AROUND, HELD = 32, 12
+#: Strings between white space whose ids a worker keeps; it then starts anew.
+KEPT_PIECES = 2_000_000
+#: Strings that try whether a tokenizer ever looks across white space.
+PROBES = ("a", "B1", "'s", "don't", "<|endoftext|>", "é", "e\u0301", "\u0301x", "中文", "!?", "12", "ΑΣ", "ﬁ", "_", "\x85x", "ß'll")
 
 
 class Chunk(NamedTuple):
-    """Ids of a chunk, its characters, and where its first and last tokens stand in it."""
+    """Ids of a chunk, its characters, and near its ends, by character, the numbers of tokens that stand behind a gap."""
 
     ids: np.ndarray
     size: int
-    head: list[tuple[int, int]]
-    tail: list[tuple[int, int]]
+    head: dict[int, int]
+    tail: dict[int, int]
+
+
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[list(b" \t\n\r\x0b\x0c")] = True
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -93,23 +101,48 @@ def digest(chunk: bytes) -> tuple[int, int]:
     return int.from_bytes(value[:8], "little", signed=True), int.from_bytes(value[8:], "little", signed=True)
 
 
-def agreeing(ids: np.ndarray, spans: list[tuple[int, int]], first: int, w_ids: list[int], w_spans: list[tuple[int, int]], shift: int, last: bool) -> tuple[int, int] | None:
-    """Where a chunk's end and the text around a join agree: two equal tokens, a gap, two equal tokens. Gives the number
-    of tokens before the gap in both. ``spans`` are of the chunk's tokens from ``first`` on; those of the window plus
-    ``shift`` count in the chunk. The outermost such gap from the join is taken: the last, or the first."""
-    at = {s: k for k, (s, _) in enumerate(spans)}
-    order = range(len(w_spans) - 3)
+def agreeing(chunk: Chunk, marks: dict[int, int], ids: list[int], spans: list[tuple[int, int]], shift: int, last: bool) -> tuple[int, int] | None:
+    """Where a chunk and the text around a join agree: a token behind a gap at the same character, and the same ids two
+    tokens before and two from there on. Gives the number of tokens before it in both. Characters of the window plus
+    ``shift`` count in the chunk. The outermost such place from the join is taken: the last, or the first."""
+    order = range(2, len(ids) - 1)
     for q in reversed(order) if last else order:
-        p = at.get(w_spans[q][0] + shift)
-        if p is None or p + 4 > len(spans) or not spans[p + 1][1] < spans[p + 2][0]:
-            continue
-        if all(spans[p + k] == (w_spans[q + k][0] + shift, w_spans[q + k][1] + shift) and ids[first + p + k] == w_ids[q + k] for k in range(4)):
-            return first + p + 2, q + 2
+        if spans[q - 1][1] < spans[q][0]:
+            t = marks.get(spans[q][0] + shift)
+            if t is not None and t >= 2 and chunk.ids[t - 2 : t + 2].tolist() == ids[q - 2 : q + 2]:
+                return t, q
     return None
 
 
+class Pieces:
+    """Ids of strings between white space."""
+
+    def __init__(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.sizes = np.zeros(0, np.int64)
+
+    def add(self, pieces: list[bytes], tokenizer) -> None:
+        """Encode new pieces by the library."""
+        sizes, flat = [], []
+        for start in range(0, len(pieces), 8192):
+            for e in tokenizer.encode_batch_fast([p.decode() for p in pieces[start : start + 8192]], add_special_tokens=False):
+                ids = e.ids
+                sizes.append(len(ids))
+                flat += ids
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.number.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+
+
 class Encoder:
-    """The tokenizer of a file, with chunks that are known: those of the shared table and those met in this worker."""
+    """The tokenizer of a file, with chunks that are known: those of the shared table and those met in this worker.
+
+    Where the tokenizer doesn't look across white space (tried at the start), a new chunk is put together from its pieces
+    between white space, each of which a worker encodes once; else the library encodes the chunk whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -124,15 +157,60 @@ class Encoder:
         self.shared: dict[bytes, Chunk] = {}
         self.kept: dict[bytes, Chunk] = {}
         self.held = 0
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.separable = all(ids(a + space + b) == ids(a) + ids(b) for space in (" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c") for a in PROBES for b in PROBES)
+        self.pieces = Pieces()
 
     def encode_chunks(self, texts: list[str]) -> list[Chunk]:
+        """Some chunks, encoded."""
+        if self.separable:
+            out = []
+            for start in range(0, len(texts), 512):
+                out += self.from_pieces(texts[start : start + 512])
+            return out
+        return self.by_library(texts)
+
+    def from_pieces(self, texts: list[str]) -> list[Chunk]:
+        if len(self.pieces.sizes) > KEPT_PIECES:
+            self.pieces = Pieces()
+        raw = [t.encode() for t in texts]
+        joined = b" ".join(raw)
+        pieces = joined.split()
+        number = list(map(self.pieces.number.get, pieces))
+        if new := list({p: None for p, k in zip(pieces, number, strict=True) if k is None}):
+            self.pieces.add(new, self.tokenizer)
+            number = list(map(self.pieces.number.get, pieces))
+        entry, every = np.array(number, np.int64), self.pieces.sizes
+        sizes, heads = every[entry], (np.cumsum(every) - every)[entry]
+        ids = self.pieces.flat[spread(heads, sizes)]
+        # Where pieces stand: their chunk, the characters and the tokens before them in it.
+        data = np.frombuffer(joined, np.uint8)
+        blank = IS_SPACE[data]
+        starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]])) if len(data) else np.zeros(0, np.int64)
+        characters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        owner = np.searchsorted(ends, starts, side="right")
+        bound = np.searchsorted(owner, np.arange(len(texts) + 1))
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        reach = before[bound].tolist()
+        place = (characters[starts] - characters[np.concatenate([[0], ends[:-1]])][owner]).tolist()
+        token = (before[:-1] - before[bound[owner]]).tolist()
+        bound = bound.tolist()
+        out = []
+        for k, text in enumerate(texts):
+            a, b = bound[k], bound[k + 1]
+            head, tail = slice(a, min(b, a + HELD)), slice(max(a, b - HELD), b)
+            out.append(Chunk(ids[reach[k] : reach[k + 1]], len(text), dict(zip(place[head], token[head], strict=True)), dict(zip(place[tail], token[tail], strict=True))))
+        return out
+
+    def by_library(self, texts: list[str]) -> list[Chunk]:
         out = []
         for start in range(0, len(texts), 1024):
             some = texts[start : start + 1024]
             for text, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                n, where = len(ids), e.token_to_chars
-                out.append(Chunk(np.array(ids, np.int32), len(text), [where(k) for k in range(min(n, HELD))], [where(k) for k in range(max(0, n - HELD), n)]))
+                spans = e.offsets
+                marks = [(spans[k][0], k) for k in range(len(spans)) if not k or spans[k - 1][1] < spans[k][0]]
+                out.append(Chunk(np.array(e.ids, np.int32), len(text), dict(marks[:HELD]), dict(marks[-HELD:])))
         return out
 
     def known(self, chunks: list[bytes]) -> dict[bytes, Chunk]:
@@ -162,8 +240,8 @@ class Encoder:
                 for (row, k), e in zip(some, self.tokenizer.encode_batch(windows[start : start + 4096], add_special_tokens=False), strict=True):
                     a, b = parts[row][k], parts[row][k + 1]
                     ids, spans, left = e.ids, e.offsets, min(AROUND, a.size)
-                    before = agreeing(a.ids, a.tail, len(a.ids) - len(a.tail), ids, spans, a.size - left, False)
-                    after = agreeing(b.ids, b.head, 0, ids, spans, -left, True)
+                    before = agreeing(a, a.tail, ids, spans, a.size - left, False)
+                    after = agreeing(b, b.head, ids, spans, -left, True)
                     if before and after and before[1] <= after[1]:
                         joins[row][k] = (before[0], ids[before[1] : after[1]], after[0])
                     else:
@@ -269,20 +347,17 @@ def shared_chunks(texts: DataFrame, path: str) -> dict[bytes, Chunk]:
             given.update(some)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["chunk"])
 
-    schema = pa.schema([("chunk", pa.binary()), ("ids", pa.binary()), ("size", pa.int32()), ("spans", pa.list_(pa.int32()))])
+    schema = pa.schema([("chunk", pa.binary()), ("ids", pa.binary()), ("size", pa.int32()), ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32()))])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks = batch.column("chunk").to_pylist()
             found = encoder_of(path).encode_chunks([c.decode() for c in chunks])
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([e.ids.tobytes() for e in found], pa.binary()), pa.array([e.size for e in found], pa.int32()), pa.array([[x for span in (*e.head, *e.tail) for x in span] for e in found], pa.list_(pa.int32()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array([e.ids.tobytes() for e in found], pa.binary()), pa.array([e.size for e in found], pa.int32()), *(pa.array([[x for pair in marks.items() for x in pair] for marks in some], pa.list_(pa.int32())) for some in ([e.head for e in found], [e.tail for e in found]))], schema=schema)
 
-    encoded = texts.select("text").mapInArrow(gather, "chunk binary").distinct().mapInArrow(encode, "chunk binary, ids binary, size int, spans array<int>").toArrow()
-    out = {}
-    for row in encoded.to_pylist():
-        ids, spans = np.frombuffer(row["ids"], np.int32), list(zip(row["spans"][::2], row["spans"][1::2], strict=True))
-        out[row["chunk"]] = Chunk(ids, row["size"], spans[: min(len(ids), HELD)], spans[min(len(ids), HELD) :])
-    return out
+    encoded = texts.select("text").mapInArrow(gather, "chunk binary").distinct().mapInArrow(encode, "chunk binary, ids binary, size int, head array<int>, tail array<int>").toArrow()
+    marks = lambda x: dict(zip(x[::2], x[1::2], strict=True))
+    return {row["chunk"]: Chunk(np.frombuffer(row["ids"], np.int32), row["size"], marks(row["head"]), marks(row["tail"])) for row in encoded.to_pylist()}
 
 
 def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
