@@ -34,6 +34,7 @@ SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("t
 SCOPES = frozenset("ul ol table dl td th body html".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S)
+UNENDED = re.compile("<[!?/]")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 WORD = re.compile(r"[a-z]+")
@@ -57,27 +58,33 @@ def element_key(tag: str, attributes: str) -> str:
     return " ".join([tag, *names])
 
 
+#: Nearest block-level ancestors of a block that give features.
+NEAREST = 32
+
 Block = tuple[tuple[str, ...], str, float]
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """(ancestor keys, text, share of link text) of each leaf block with text, in page order.
+    """(keys of the ``NEAREST`` block-level ancestors, text, share of link text) of each leaf block with text, in page order.
 
     Character references are decoded and white space is one space. Comments, scripts, styles and other elements that
-    show no text are skipped; open elements are closed as browsers do it, as far as blocks need it."""
+    show no text are skipped; open elements are closed as browsers do it, as far as blocks need it. The work is in proportion
+    to the page, however deep it nests and whatever it leaves open."""
     out: list[Block] = []
     stack: list[tuple[str, str]] = []
+    around: list[str] = []  # keys of the open block-level elements
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = hidden = links = 0
     at, size = 0, len(page)
+    last_end = page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                path = tuple(key for tag, key in stack if tag in BLOCK_TAGS)
-                out.append((path, text, min(1.0, linked / len(text))))
+                out.append((tuple(around[-NEAREST:]), text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
@@ -86,10 +93,14 @@ def leaf_blocks(page: str) -> list[Block]:
         for tag, _ in stack[index:]:
             hidden -= tag in HIDDEN_TAGS
             links -= tag == "a"
+            opened[tag] -= 1
+            if tag in BLOCK_TAGS:
+                around.pop()
         del stack[index:]
 
     while at < size:
-        m = TOKEN.search(page, at)
+        # Behind the last ">" no tag ends: what stands there is text, up to a comment or the like.
+        m = TOKEN.search(page, at) if at <= last_end else UNENDED.search(page, at)
         end = m.start() if m else size
         if end > at and not hidden:
             parts.append(page[at:end])
@@ -97,12 +108,14 @@ def leaf_blocks(page: str) -> list[Block]:
                 linked += end - at
         if not m:
             break
+        if at > last_end:
+            break
         at = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened.get(tag) else ():
                 if stack[k][0] == tag:
                     if tag in BLOCK_TAGS:
                         flush()
@@ -130,6 +143,9 @@ def leaf_blocks(page: str) -> list[Block]:
             if tag == "textarea":
                 continue
         stack.append((tag, element_key(tag, m[3])))
+        opened[tag] = opened.get(tag, 0) + 1
+        if tag in BLOCK_TAGS:
+            around.append(stack[-1][1])
         hidden += tag in HIDDEN_TAGS
         links += tag == "a"
     flush()
@@ -189,6 +205,8 @@ def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, list[str
         return " ".join(f'<a href="/{word()}">{phrase(1, 2)}</a>' for _ in range(rng.randint(a, b)))
 
     def menu() -> str:
+        if rng.random() < 0.12:
+            return wrap(["menu", "nav", "navigation", "toolbar"], "<tr>" + "".join(f'<td><a href="/{word()}">{phrase(1, 2)}</a></td>' for _ in range(rng.randint(2, 6))) + "</tr>", ("table",), 0.4)
         return wrap(["nav", "menu", "navbar", "main-menu", "navigation", "breadcrumb", "topnav"], links(3, 9), ("nav", "nav", "div"))
 
     def header() -> str:
@@ -243,7 +261,14 @@ def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, list[str
             parts = [f"<h1>{keep(phrase(2, 10) + pick(['', '.']))}</h1>"] if rng.random() < 0.85 else []
             if parts and rng.random() < 0.12:
                 parts = ["<header>" + parts[0] + "</header>"]
+            # Some articles have sections, with or without names.
+            grouped = rng.random() < 0.2
+            section, inside = pick(["section", "section", "div"]), False
             for _ in range(rng.randint(1, 14)):
+                if grouped and rng.random() < 0.35:
+                    named = "" if rng.random() < 0.6 else f' class="{pick(["section", "chapter", "body", "text", "content", "lead", "intro"])}"'
+                    parts.append((f"</{section}>" if inside else "") + f"<{section}{named}>")
+                    inside = True
                 kind = rng.random()
                 if kind < 0.70:
                     parts.append(paragraph())
@@ -261,7 +286,7 @@ def labelled_pages(count: int = 1000, seed: int = 7) -> list[tuple[str, list[str
                     parts.append(f"<figure><img src=x><figcaption>{keep(phrase(2, 9))}</figcaption></figure>")
                 else:
                     parts.append(pick([advert, notice, sidebar, form, form, share, aside])())
-            return "".join(parts)
+            return "".join(parts) + (f"</{section}>" if inside else "")
 
         article = pick(["article", "article", "article", "main", "div", "section"])
         name = "" if article in ("article", "main") and rng.random() < 0.7 else f' {pick(["class", "id"])}="{pick(["content", "article", "post", "entry", "story", "main", "post-content", "article-body", "text"])}"'
