@@ -1,7 +1,7 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
 A logistic model over the presence of words and word beginnings. Besides the labels it is fitted on pairs: a labelled
-text and the same text with its identity terms swapped for others. The squared change of the score over a swap is
+text and the same text with its identity terms swapped for others of their language and kind, or left out. The squared change of the score over a swap is
 penalised, and so are differences between the terms themselves, so that a neutral mention of a group moves no score.
 """
 
@@ -24,17 +24,50 @@ FIT_ROWS, FEATURES, LEAST_GAIN = 10_000, 4096, 6.0
 #: Beginnings of so many bytes are features of a longer word.
 BEGINNINGS = (4, 5, 6)
 #: Weights of the squared norm, of a swap's squared score change, and of differences between terms.
-RIDGE, SWAP_PENALTY, TERM_PENALTY, SWAPS = 1e-5, 1.0, 1e-2, 3
+RIDGE, SWAP_PENALTY, TERM_PENALTY, SWAPS = 1e-5, 3.0, 1e-2, 3
+
+# Identity terms by language and kind; a term is swapped for others of its line.
+TERM_LINES = """
+women men girls boys
+trans gay lesbian straight bisexual queer
+muslim christian jewish hindu buddhist atheist
+muslims christians jews hindus buddhists atheists
+black white asian african european american mexican arab
+blacks whites asians africans europeans americans mexicans arabs
+immigrants refugees migrants foreigners natives
+disabled deaf blind elderly young old
+frauen männer mädchen jungen
+schwule lesben
+muslime christen juden hindus buddhisten atheisten
+schwarze weiße asiaten afrikaner europäer
+einwanderer flüchtlinge ausländer
+behinderte ältere
+mujeres hombres niñas niños
+gays lesbianas
+musulmanes cristianos judíos hindúes budistas ateos
+negros blancos asiáticos africanos europeos
+inmigrantes refugiados extranjeros
+discapacitados ancianos
+femmes hommes filles garçons
+musulmans chrétiens juifs hindous bouddhistes athées
+noirs blancs asiatiques africains européens
+immigrés réfugiés étrangers
+handicapés vieux
+"""
+TERM_KINDS = [line.split() for line in TERM_LINES.strip().splitlines()]
+IDENTITY_TERMS = list(dict.fromkeys(term for line in TERM_KINDS for term in line))
+
 
-# Identity terms that may be swapped for each other.
-IDENTITY_TERMS = (
-    "women men girls boys trans gay lesbian straight bisexual queer muslim muslims christian christians jewish jews hindu hindus buddhist buddhists atheist "
-    "atheists black white asian asians african africans european europeans american americans mexican mexicans arab arabs immigrant immigrants refugee "
-    "refugees disabled deaf blind elderly young old frauen männer mädchen jungen schwule lesben muslime christen juden hindus buddhisten atheisten schwarze "
-    "weiße asiaten afrikaner europäer einwanderer flüchtlinge behinderte ältere mujeres hombres niñas niños gays lesbianas musulmanes cristianos judíos "
-    "hindúes budistas ateos negros blancos asiáticos africanos europeos inmigrantes refugiados discapacitados ancianos femmes hommes filles garçons "
-    "musulmans chrétiens juifs hindous bouddhistes athées noirs blancs asiatiques africains européens immigrés réfugiés handicapés"
-).split()
+def swaps_of(terms: list[str] = IDENTITY_TERMS, kinds: list[list[str]] = TERM_KINDS, count: int = 0) -> list[list[int]]:
+    """For each term the numbers of ``count`` (by default ``SWAPS``) others of its kind, those that follow it."""
+    number = {term: k for k, term in enumerate(terms)}
+    out: list[list[int]] = [[] for _ in terms]
+    for line in kinds:
+        for at, term in enumerate(line):
+            others = [number[x] for x in (line[at + 1 :] + line[:at])[: count or SWAPS]]
+            if not out[number[term]]:
+                out[number[term]] = others
+    return out
 
 
 @dataclass
@@ -132,10 +165,10 @@ def train(sample: DataFrame) -> Model | None:
     known = np.unique(np.concatenate([best["feature"].to_numpy().astype(np.int64).view(np.uint64), *terms]))
     table = Model(known, np.zeros(len(known)), 0.0)
     term_words = np.array([t[0] for t in terms])
-    shared = sample.sparkSession.sparkContext.broadcast((table, np.sort(term_words), np.argsort(term_words), [table.find(t)[1] for t in terms]))
+    shared = sample.sparkSession.sparkContext.broadcast((table, np.sort(term_words), np.argsort(term_words), [table.find(t)[1] for t in terms], swaps_of()))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sorted_terms, which, numbers = shared.value
+        table, sorted_terms, which, numbers, partners = shared.value
         for rows, data, offsets in blocks(batches, "text", 1 << 20):
             row, hashes, word = features(data, offsets)
             at, number = table.find(hashes)
@@ -152,8 +185,11 @@ def train(sample: DataFrame) -> Model | None:
                 changed = []
                 if len(own):
                     rest = mine[~np.isin(word[mine], word[own])]
-                    for step in range(1, SWAPS + 1):
-                        other = [numbers[(int(t) + 17 * step) % len(numbers)] for t in term[own]]
+                    # The sentence without its terms is a counterfactual as well: a mention as such moves no score.
+                    changed.append(np.unique(number[rest]).astype(np.int32).tolist())
+                    for step in range(max(len(partners[t]) for t in term[own])):
+                        # A kind with fewer terms gives the same swap again.
+                        other = [numbers[partners[t][step % len(partners[t])]] for t in term[own]]
                         changed.append(np.unique(np.concatenate([number[rest], *other])).astype(np.int32).tolist())
                 swaps.append(changed)
             yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("weight"), pa.array(lists, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))], names=["label", "weight", "present", "swapped"])
