@@ -19,12 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cataloom.llm.graph import lookup
 from cataloom.llm.storage import light_batches, settle, stored
 from cataloom.llm.text import BASE, BASE_INVERSE, BYTE_VALUES, blocks, mix, powers, raw_bytes, utf8
 
 MATCH, GRAM = 100, 24
 #: Distinct segments of one anchor in a shard; bytes sorted at a time, where no anchor has more; bytes of a partition.
-SHARD_SEGMENTS, SHARD_BYTES, PARTITION_BYTES = 32_768, 1 << 20, 3 << 20
+SHARD_SEGMENTS, SHARD_BYTES, PARTITION_BYTES = 2048, 1 << 20, 3 << 20
+#: One text in so many tells which anchors are hot: those with more than 1/``HOT_SHARE`` of its occurrences. That only
+#: decides how occurrences are dealt, not what is found.
+SAMPLED, HOT_SHARE = 64, 10_000
 #: Bytes of segments that are cut out of texts at a time.
 PIECE_BYTES = 1 << 20
 LOW = np.uint64((1 << 31) - 1)
@@ -186,13 +190,25 @@ def repeated_ranges(texts: DataFrame, match: int = MATCH) -> DataFrame:
             packed = (place[keep] << 14) | ((place - first)[keep] << 7) | (place - last)[keep]
             yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(segment[keep]), rows.column("id").take(pa.array(row[keep])), pa.array(packed)], schema=occurrence)
 
-    seen = texts.mapInArrow(occurrences, f"anchor long, segment long, id {id_kind}, place long").repartition("anchor")
-    same, every = Window.partitionBy("anchor", "segment"), Window.partitionBy("anchor")
-    seen = seen.withColumn("lead", F.min(F.struct("id", "place")).over(same))
-    seen = seen.withColumn("leads", (F.col("lead.id") == F.col("id")) & (F.col("lead.place") == F.col("place"))).drop("lead")
-    seen = seen.withColumn("n", F.count("*").over(every)).withColumn("distinct", F.sum(F.col("leads").cast("int")).over(every)).where("n > 1")
+    kinds = f"anchor long, segment long, id {id_kind}, place long"
+    every = texts.mapInArrow(occurrences, kinds)
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(occurrences, kinds).groupBy("anchor").agg(F.count("*").alias("n"))
+    sample = stored(sample.where("n > 3"), "anchors")
+    hot = sample.where(F.col("n") * HOT_SHARE > F.lit(sample.agg(F.sum("n")).first()[0] or 0)).select("anchor")
+    is_lead = (F.col("lead.id") == F.col("id")) & (F.col("lead.place") == F.col("place"))
     only = lambda c: F.when(F.col("leads"), F.col(c)).alias(c)
-    seen = stored(seen.select("id", "place", "leads", only("anchor"), only("segment"), only("distinct")), "occurrences")
+    columns = ["id", "place", "leads", only("anchor"), only("segment"), only("distinct")]
+    # Anchors with few occurrences meet in one task; hot ones are aggregated by segment first and looked up.
+    same, all_ = Window.partitionBy("anchor", "segment"), Window.partitionBy("anchor")
+    cold = every.join(F.broadcast(hot), "anchor", "left_anti").repartition("anchor").withColumn("lead", F.min(F.struct("id", "place")).over(same)).withColumn("leads", is_lead).drop("lead")
+    cold = cold.withColumn("n", F.count("*").over(all_)).withColumn("distinct", F.sum(F.col("leads").cast("int")).over(all_)).where("n > 1").select(*columns)
+    if hot.limit(1).count():
+        warm = stored(every.join(F.broadcast(hot), "anchor", "left_semi"), "hot-occurrences")
+        by_segment = warm.groupBy("anchor", "segment").agg(F.min(F.struct("id", "place")).alias("lead"), F.count("*").alias("n"))
+        by_anchor = by_segment.groupBy("anchor").agg(F.sum("n").alias("of_anchor"), F.count("*").alias("distinct"))
+        by_segment = by_segment.join(F.broadcast(by_anchor), "anchor").where("of_anchor > 1").drop("of_anchor")
+        cold = cold.unionByName(lookup(warm, by_segment, ["anchor", "segment"], "n", warm.count()).withColumn("leads", is_lead).select(*columns))
+    seen = stored(cold, "occurrences")
 
     # The bytes of the leading segments: one row a distinct segment.
     leads = seen.where("leads")
