@@ -14,7 +14,7 @@ from cataloom.llm.storage import discard, stored
 HOT_SHARE = 10_000
 
 
-def lookup(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int | Column, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``found``, which has one row a key and in ``weight`` how many of ``rows`` have it.
 
     Keys with more than 1/``HOT_SHARE`` of the ``total`` rows number fewer than ``HOT_SHARE``, so they are broadcast and
