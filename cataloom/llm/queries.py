@@ -82,17 +82,22 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Rules of the URL filter, as (verdict, host and path).
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
-#: The tables have no feed of bad URLs; these hosts and sections stand in for one.
-LISTED_HOSTS = r"casino-win|cheap-pills|free-bets|ads-track"
-LISTED_SECTION = r"\.example\.org/fr/"
+#: The tables have no feed of bad URLs; a list of all sections and numbers of some sites stands in for one.
+LISTED_SITES = ["adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED_DOMAINS, LISTED_SECTIONS, LISTED_NUMBERS = ["com", "net", "org"], ["de", "en", "es", "fr"], 1000
+
+
+def url_feed(spark: SparkSession) -> DataFrame:
+    """The canonical URLs that are listed."""
+    explode = lambda texts: F.explode(F.array(*map(F.lit, texts)))
+    rows = spark.range(LISTED_NUMBERS).select("id", explode(LISTED_SITES).alias("site")).select("id", "site", explode(LISTED_DOMAINS).alias("domain")).select("*", explode(LISTED_SECTIONS).alias("section"))
+    return rows.select(F.concat("site", F.lit(".example."), "domain", F.lit("/"), "section", F.lit("/"), F.col("id").cast("string")).alias("canonical"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page url."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
-    feed = pages.select(url_filter.canonical(host, path).alias("canonical")).where(F.col("canonical").rlike(LISTED_HOSTS) | F.col("canonical").rlike(LISTED_SECTION))
-    return url_filter.judge_urls(pages, feed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge_urls(pages, url_feed(spark), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 OP10_SQL = r"""
@@ -115,7 +120,9 @@ WITH parts AS (
     END AS rule
   FROM split
 ), listed AS (
-  SELECT DISTINCT canonical FROM judged WHERE regexp_matches(canonical, 'casino-win|cheap-pills|free-bets|ads-track') OR regexp_matches(canonical, '\.example\.org/fr/')
+  SELECT site || '.example.' || domain || '/' || section || '/' || n AS canonical
+  FROM (SELECT unnest(['adult-x', 'ads-track', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS site), (SELECT unnest(['com', 'net', 'org']) AS domain),
+    (SELECT unnest(['de', 'en', 'es', 'fr']) AS section), (SELECT unnest(range(1000)) AS n)
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

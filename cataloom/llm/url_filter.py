@@ -6,6 +6,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.llm.graph import lookup
+
+#: Entries of the list for each 64-bit word of the filter, and most words: 32 MB. A longer list fills the filter further,
+#: which only passes more rows on to the exact join.
+WORD_ENTRIES, MOST_WORDS = 4, 1 << 22
+
 #: (verdict, host and path): the host part is up to the first "/".
 Rule = tuple[str, str]
 
@@ -62,18 +68,21 @@ def bloom_mask(text: Column, hashes: int = 6) -> Column:
     return mask
 
 
-def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url", listed_url: str = "canonical", n_words: int = 1 << 16) -> DataFrame:
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str = "url", listed_url: str = "canonical", n_words: int | None = None) -> DataFrame:
     """``pages`` with host, path, canonical_url, rule, maybe_listed, is_listed and verdict.
 
     A rule decides where one fits. Elsewhere the verdict is block exactly if the canonical URL is in ``listed``
-    (one string column ``listed_url``; nulls and repeats in it are ignored), else allow. ``n_words`` fixes the filter's
-    size (8 bytes a word; 512 KB by default) whatever the list holds: it reaches tasks as one literal, a full filter
-    only passes more rows on to the exact join. Columns of ``pages`` keep their values, except those named above, which
-    are replaced. Null urls have an empty host, path and canonical URL, match no rule and are never listed.
+    (one string column ``listed_url``; nulls and repeats in it are ignored), else allow. The filter has ``n_words`` words,
+    by default as the list's count asks (``WORD_ENTRIES``, ``MOST_WORDS``), and reaches tasks as one literal. Rows that it
+    stops are done; only possible hits are joined, by their distinct URLs, so a frequent URL is no hot key. Columns of
+    ``pages`` keep their values, except those named above, which are replaced. Null urls have an empty host, path and
+    canonical URL, match no rule and are never listed. Repeated rows are judged each; an empty table gives an empty result.
     """
     names = ("host", "path", "canonical_url", "rule", "maybe_listed", "is_listed", "verdict")
     pages = pages.drop(*[c for c in pages.columns if c.lower() in names])
     keys = listed.select(F.col(listed_url).alias("__listed")).where("__listed is not null").distinct()
+    if n_words is None:
+        n_words = 1 << min(MOST_WORDS.bit_length() - 1, max(10, (keys.count() // WORD_ENTRIES).bit_length()))
     words = bloom_words(keys, "__listed", n_words)
     every = pages.sparkSession.range(n_words).select(F.col("id").cast("int").alias("block"))
     every = every.join(words, "block", "left").select(F.struct("block", F.coalesce("word", F.lit(0).cast("long")).alias("word")).alias("entry"))
@@ -83,10 +92,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], url: str
     word = F.element_at(filter_words.scalar(), F.pmod(F.xxhash64("canonical_url"), F.lit(n_words)).cast("int") + 1)
     mask = bloom_mask(F.col("canonical_url"))
     out = out.withColumn("maybe_listed", F.col("rule").isNull() & (F.col("canonical_url") != "") & (word.bitwiseAND(mask) == mask))
-    # Rows that the filter stops get a key that no listed text has, so that they spread over the join's partitions.
-    out = out.withColumn("__key", F.when(F.col("maybe_listed"), F.concat(F.lit("="), "canonical_url")).otherwise(F.concat(F.lit("-"), F.col(url))))
-    out = out.join(keys, out["__key"] == F.concat(F.lit("="), keys["__listed"]), "left").withColumn("is_listed", F.col("__listed").isNotNull())
+    hits = out.where("maybe_listed")
+    asked = hits.groupBy("canonical_url").agg(F.count("*").alias("__n"))
+    found = asked.join(keys, asked["canonical_url"] == keys["__listed"]).select("canonical_url", "__n", F.lit(True).alias("is_listed"))
+    hits = lookup(hits, found, ["canonical_url"], "__n", asked.agg(F.sum("__n")).scalar(), "left").withColumn("is_listed", F.coalesce("is_listed", F.lit(False)))
+    out = out.where(~F.col("maybe_listed")).withColumn("is_listed", F.lit(False)).unionByName(hits)
     verdicts = F.lit(None).cast("string")
     if rules:
         verdicts = F.create_map(*[F.lit(x) for verdict, text in rules for x in (text, verdict)])[F.col("rule")]
-    return out.withColumn("verdict", F.coalesce(verdicts, F.when(F.col("is_listed"), "block").otherwise("allow"))).drop("__key", "__listed")
+    return out.withColumn("verdict", F.coalesce(verdicts, F.when(F.col("is_listed"), "block").otherwise("allow")))
