@@ -445,6 +445,67 @@ def test_extraction_on_unseen_labelled_pages():
     assert wrong <= 0.01 * total
 
 
+# Pages written and labelled by hand: the article's blocks.
+HAND_LABELLED = [
+    ("""<!DOCTYPE html><html><head><title>T | Site</title><script>var a="<p>no</p>"</script></head><body>
+<div id="page"><div class="topbar"><a href="/">Home</a> | <a href="/about">About</a> | <a href="/contact">Contact</a></div>
+<div id="main-content"><h1 class="entry-title">River walks reopen after the flood</h1>
+<p class="lead">The paths along the river will reopen on Saturday, the council said.</p>
+<p>Repairs took <em>six weeks</em> and cost less than feared.<br>Volunteers cleared most of the debris.</p>
+<div class="ad-slot"><p>Buy one, get one free at our partner shop today.</p></div>
+<h2>What changes</h2><ul><li>Dogs must be kept on a lead.</li><li>Bikes use the upper path.</li></ul></div>
+<div class="comments"><h3>2 comments</h3><div class="comment"><p>Great news, I missed the walk.</p></div><div class="comment"><p>About time they did this.</p></div></div>
+<div id="footer"><p>&copy; 2024 The Valley Paper. All rights reserved.</p></div></div></body></html>""",
+["River walks reopen after the flood","The paths along the river will reopen on Saturday, the council said.","Repairs took six weeks and cost less than feared. Volunteers cleared most of the debris.","What changes","Dogs must be kept on a lead.","Bikes use the upper path."]),
+    ("""<html><body><header><nav><ul><li><a href=/a>News</a><li><a href=/b>Sport</a></ul></nav></header><main><article><header><h1>How to prune roses</h1></header>
+<section><p>Prune in late winter, before buds open.</p><p>Cut just above an outward bud; sterilise the blade first.</p><blockquote><p>A sharp blade makes a clean cut.</p></blockquote></section>
+<aside><h4>Related</h4><ul><li><a href=/x>Feeding roses</a></ul></aside><section><h2>After care</h2><p>Water well &amp; mulch.</p></section></article></main>
+<form action=/subscribe><label>E-mail</label><input name=e><button>Join</button></form><footer>Imprint | Privacy</footer></body></html>""",
+["How to prune roses","Prune in late winter, before buds open.","Cut just above an outward bud; sterilise the blade first.","A sharp blade makes a clean cut.","After care","Water well & mulch."]),
+    ("""<html><body><div class="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div><table class="menu"><tr><td><a href=1>Start</a></td><td><a href=2>Archive</a></td></tr></table>
+<div class="post"><h2>Notes on sourdough</h2><p>Flour, water and salt are all you need.</p><p>Let the dough rest for an hour, then fold it four times.</p><table><tr><td>Flour</td><td>500 g</td></tr></table><p>Bake at 240 degrees.</p></div>
+<div class="sidebar"><h3>Popular</h3><p>Our ten most read recipes of the year.</p></div><div class="footer"><p>Contact us at the usual address.</p></div></body></html>""",
+["Notes on sourdough","Flour, water and salt are all you need.","Let the dough rest for an hour, then fold it four times.","Flour","500 g","Bake at 240 degrees."]),
+    ("""<html><body><p>An old page without any structure has only paragraphs.</p><p>Its second paragraph follows here, and it is plain.</p><hr><p>And a third one ends it.</p></body></html>""",
+["An old page without any structure has only paragraphs.","Its second paragraph follows here, and it is plain.","And a third one ends it."]),
+]
+
+
+@pytest.mark.parametrize("page", range(len(HAND_LABELLED)))
+def test_extraction_on_hand_labelled_pages(page):
+    field = html_crf.trained_field()
+    blocks = html_crf.leaf_blocks(HAND_LABELLED[page][0])
+    assert [b[1] for b, y in zip(blocks, field.decode(blocks)) if y] == HAND_LABELLED[page][1]
+
+
+def test_extraction_on_layouts_left_out_of_training():
+    """Each kind of article element is held out once: a field trained without it still finds most of such articles."""
+    pages = html_crf.labelled_pages(700, seed=21)
+    for mark in ("<main", "<div class=\"comments", "<blockquote"):
+        held = [p for p in pages if mark in p[0]][:80]
+        field = html_crf.train([p for p in pages if mark not in p[0]][:300], rounds=120, ridge=1e-5)
+        wrong = total = 0
+        for page, wanted in held:
+            blocks = html_crf.leaf_blocks(page)
+            wrong += sum(a != b for a, b in zip(html_crf.block_labels(blocks, wanted), field.decode(blocks)))
+            total += len(blocks)
+        assert held and wrong <= 0.08 * total, (mark, wrong, total)
+
+
+def test_parsing_takes_time_in_proportion():
+    """Pages of a megabyte that nest deeply or leave tags, quotes and comments open."""
+    import time
+
+    field = html_crf.trained_field()
+    pages = ["<a " * 350_000, "<div>x" * 100_000, "<div>x" * 50_000 + "</p>" * 50_000, "<b>" * 100_000 + "</i>" * 100_000 + "t", '<a "' * 200_000 + ">", "> <a '" * 200_000, "<!-- " * 200_000, "</" * 300_000, "<script>" * 100_000, "<span>x</p>" * 100_000, "<table><tr><td>" * 60_000, '<p ' + 'id="' * 200_000 + ">x"]
+    for page in pages:
+        start = time.process_time()
+        blocks = html_crf.leaf_blocks(page)
+        field.decode(blocks)
+        assert time.process_time() - start < 20, page[:20]
+    assert len(html_crf.leaf_blocks(pages[1])) == 100_000
+
+
 def test_viterbi_is_the_best_path():
     field = html_crf.trained_field()
     page, _ = html_crf.labelled_pages(1, seed=8)[0]
@@ -505,6 +566,37 @@ def test_toxicity_held_out_and_identity_terms(spark, odd_docs):
     assert toxicity.train(toxicity.labelled_sample(docs, truth.where("false"))) is None
 
 
+def test_swaps_penalty_spares_neutral_mentions(spark):
+    """Labels in which groups are named more often in toxic texts: with the penalty neutral mentions are not flagged."""
+    rng = random.Random(19)
+    rows = []
+    for k in range(600):
+        bad = k % 3 == 0
+        text = words(rng, 12, 200).split()
+        if bad and rng.random() < 0.9:
+            text[rng.randrange(12)] = rng.choice(["idiot", "scum", "moron"])
+        if rng.random() < (0.6 if bad else 0.05):
+            text[rng.randrange(12)] = rng.choice(["muslims", "jews", "immigrants", "gay"])
+        rows.append((k, " ".join(text), int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sample = toxicity.labelled_sample(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    probes = spark.createDataFrame([(k, f"w1 w{k} {t} w3 w{k + 1}") for k, t in enumerate(["muslims", "jews", "immigrants", "gay", "muslims", "jews"] * 5)], "doc_id long, text string")
+    flagged = {}
+    for swap, term in ((0.0, 0.0), (toxicity.SWAP_PENALTY, toxicity.TERM_PENALTY)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity, "SWAP_PENALTY", swap)
+            patch.setattr(toxicity, "TERM_PENALTY", term)
+            flagged[swap] = toxicity.score(probes, toxicity.train(sample)).where("predicted = 1").count()
+    assert flagged[toxicity.SWAP_PENALTY] < flagged[0.0] and flagged[toxicity.SWAP_PENALTY] <= 3, flagged
+
+
+def test_swaps_stay_in_their_language_and_kind():
+    terms, swaps = toxicity.IDENTITY_TERMS, toxicity.swaps_of()
+    line = {t: k for k, some in reversed(list(enumerate(toxicity.TERM_KINDS))) for t in some}
+    assert all(swaps) and all(line[terms[j]] == line[t] or terms[j] in toxicity.TERM_KINDS[line[t]] for t, some in zip(terms, swaps) for j in some)
+    assert all(k not in some for k, some in enumerate(swaps))
+
+
 # Embedding near-dedup
 
 
@@ -572,8 +664,17 @@ def test_shards_are_even_gapless_and_keep_groups_together(spark):
     assert counts.max() - counts.min() <= 1 and len(counts) == 40
     assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
     assert set(out[out.id == 2000]["size"]) == {16} and (out["size"] - 16).sum() == sum(len((t or "").encode()) for _, t in rows)
-    group = out[out.group_rows > 1].groupby("group_id").shard.agg(lambda s: s.value_counts().iloc[0] / len(s))
-    assert group.mean() > 0.8
+    def cut_share(shard):
+        """Share of links between rows of a group that are cut."""
+        whole = kept = 0
+        for _, some in shard[out.group_rows > 1].groupby(out.group_id):
+            whole += len(some) * (len(some) - 1)
+            kept += sum(n * (n - 1) for n in some.value_counts())
+        return 1 - kept / whole
+
+    # Against the start, where rows lie by hash and nearly all links are cut.
+    by_hash = out.id.fillna(-1).astype("int64").map(lambda k: (k * 2654435761 % 2**32) % 40)
+    assert cut_share(by_hash) > 0.9 and cut_share(out.shard) < 0.35, (cut_share(by_hash), cut_share(out.shard))
 
 
 def test_one_large_group_fills_shards(spark):
@@ -619,8 +720,13 @@ def test_bpe_joins_are_repaired(monkeypatch):
     rng = random.Random(8)
     pool = "a b é e\u0301 中 文 x1 !? 's don't \n \t \x85 ﬁ İ <|endoftext|> ß 12 ЖЩ".split(" ")
     texts = [words(rng, 300), "x" * 3000, "中文" * 900, "é" * 700, ""] + ["".join(rng.choice([*pool, " ", " "]) for _ in range(rng.randint(1, 900))) for _ in range(60)]
-    for _ in range(2):
+    assert encoder.separable
+    for whole in (False, True):
+        encoder.separable = not whole
+        encoder.kept = {}
         assert encoded_ids(encoder, texts) == library_ids(encoder, texts)
+    one, two = (f(["ab c'd é中 <|endoftext|>e " * 9, " x", ""]) for f in (encoder.from_pieces, encoder.by_library))
+    assert all(a.ids.tolist() == b.ids.tolist() and a[1:] == b[1:] for a, b in zip(one, two))
     assert encoder.held <= 2000 + sum(len(t.encode()) for t in texts)
 
 
@@ -654,7 +760,7 @@ def test_url_verdicts(spark):
     out = {r.page_id: r for r in url_filter.judge_urls(pages, listed, URL_RULES).collect()}
     assert len(out) == len(urls)
     assert [out[k].rule for k in range(len(urls))] == ["com/", "www.example.com/en/", "example.com/en/", "net/es/", None, None, None, None, None, None, None, None, "com/", "net/fr/", None, None]
-    assert [k for k in out if out[k].verdict == "block"] == [2, 3, 6, 7, 13, 15]
+    assert sorted(k for k in out if out[k].verdict == "block") == [2, 3, 6, 7, 13, 15]
     assert (out[1].host, out[1].path, out[14].host, out[14].path, out[9].host) == ("www.example.com", "/en/1", "xn.org", "", "")
     tiny = url_filter.judge_urls(pages, listed, URL_RULES, n_words=1)
     assert {r.page_id: r.verdict for r in tiny.collect()} == {k: r.verdict for k, r in out.items()}
