@@ -2,8 +2,8 @@
 
 A text is the set of its five-word shingles. In each repetition a set follows the shared tokens that a hash of path and
 token chooses (two a step in expectation), so similar sets share paths. Buckets of one path that are small are compared
-by brute force; larger ones are split again by a further chosen token. What is still large after the last split is
-compared in blocks, so that nothing is dropped. Every pair is judged in the first of the buckets it shares and nowhere
+by brute force; larger ones are split again by a further chosen token, as long as that makes them smaller: sets that keep
+together are near copies, which are compared in blocks, so that nothing is dropped. Every pair is judged in the first of the buckets it shares and nowhere
 else, and accepted by its exact coefficient.
 """
 
@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cataloom.llm.graph import components
+from cataloom.llm.graph import components, lookup
 from cataloom.llm.storage import light_batches, settle, stored
 from cataloom.llm.text import BASE, blocks, mix, raw_bytes, shingles, words
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Tokens that a set follows at each step, in expectation; steps; tokens of a set that later steps choose from.
-BRANCH, DEPTH, CHOICE = 2.0, 3, 64
+#: Tokens that a set follows at each step, in expectation; steps at most; tokens of a set that later steps choose from.
+BRANCH, DEPTH, CHOICE = 2.0, 5, 128
+#: A bucket that keeps more than this share of the rows of the one above is not split again.
+DENSE = 0.5
 #: Chance to find a pair at the threshold: of the 12.5 million pairs of 5,000 near copies 0.13 are lost in expectation.
 TARGET_RECALL = 1 - 1e-8
 #: Largest bucket that is compared at once, and rows of a block of a larger one after the last step.
@@ -34,7 +36,7 @@ PARTS, SKETCHED, SLACK = 64, 128, 0.3
 
 
 def repetitions(recall: float = TARGET_RECALL, similarity: float = SIMILARITY) -> int:
-    """Repetitions until a pair at the threshold shares a path of full depth with this recall.
+    """Repetitions until a pair at the threshold shares a path of full depth with this recall; most paths end earlier.
 
     Of BRANCH chosen tokens a pair shares BRANCH * similarity or more in expectation (Poisson); the chance to share a path
     of each further step follows from the chance of the step before. Later steps choose from the same CHOICE tokens in
@@ -116,20 +118,20 @@ def chosen_paths(where: np.ndarray, token: np.ndarray, n: np.ndarray, repeats: i
 
 
 def chosen_tokens(where: np.ndarray, token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and token of those that later steps choose from, in order of rows."""
+    """Row and half the hash of the tokens that later steps choose from, in order of rows."""
     some = np.flatnonzero(chance(token, SALTS[200]) < np.minimum(1.0, CHOICE / np.maximum(n, 1))[where])
-    return where[some], token[some].view(np.int64)
+    return where[some], (token[some] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def next_paths(row: np.ndarray, path: np.ndarray, choice: np.ndarray, counts: np.ndarray, n: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and path one step below the given paths; ``counts`` tells how many tokens of ``choice`` are each row's."""
+    """Given path (by place) and path one step below it; ``counts`` tells how many tokens of ``choice`` are each row's."""
     starts = np.cumsum(counts) - counts
     again = np.minimum(1.0, BRANCH / np.minimum(np.maximum(n, 1), CHOICE))
     path, parent = path.view(np.uint64), np.repeat(np.arange(len(row)), counts[row])
-    t = choice.view(np.uint64)[spread(starts[row], counts[row])]
+    t = choice.view(np.uint32).astype(np.uint64)[spread(starts[row], counts[row])]
     hit = np.flatnonzero((mix((t + SALTS[300 + level]) ^ path[parent]) >> np.uint64(11)).astype(np.float64) * 2.0**-53 < again[row[parent]])
     parent, t = parent[hit], t[hit]
-    return row[parent], mix(path[parent] * BASE + t).view(np.int64)
+    return parent, mix(path[parent] * BASE + t).view(np.int64)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -303,7 +305,7 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     id_type, id_kind = to_arrow_type(kind), kind.simpleString()
     repeats = repetitions(similarity=similarity)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    profile = pa.schema([("id", id_type), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64())), ("choice", pa.list_(pa.int64()))])
+    profile = pa.schema([("id", id_type), ("n", pa.int32()), ("one", pa.int64()), ("two", pa.int64()), ("sketch", pa.binary()), ("paths", pa.list_(pa.int64())), ("choice", pa.list_(pa.int32()))])
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, "text"):
@@ -316,14 +318,14 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                 lists.append(pa.ListArray.from_arrays(pa.array(edge), pa.array(value)))
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(n.astype(np.int32)), pa.array(one), pa.array(two), pa.array([x.tobytes() for x in marks], pa.binary()), *lists], schema=profile)
 
-    found = stored(texts.mapInArrow(profiles, f"id {id_kind}, n int, one long, two long, sketch binary, paths array<long>, choice array<long>").withColumn("row", F.monotonically_increasing_id()), "profiles")
+    found = stored(texts.mapInArrow(profiles, f"id {id_kind}, n int, one long, two long, sketch binary, paths array<long>, choice array<int>").withColumn("row", F.monotonically_increasing_id()), "profiles")
     usable = found.where("n > 0 and id is not null")
     # The row that stands for its class: the least id, and of rows that repeat it one.
     sizes = usable.groupBy("one", "two", "n").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").cast("int").alias("weight"))
     classes = usable.join(sizes.select(F.col("first.row").alias("row"), "weight"), "row").select(F.col("id").alias("rep"), "weight", "one", "two", "n", "sketch", "paths", "choice")
     classes = stored(classes, "classes")
     settle(docs.sparkSession)
-    child = pa.schema([("rep", id_type), ("path", pa.int64())])
+    child = pa.schema([("rep", id_type), ("path", pa.int64()), ("above", pa.int32())])
 
     def below(level: int):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,24 +334,28 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
                     rows = batch.slice(start, 1024)
                     given, choice = rows.column("given"), rows.column("choice")
                     row = np.repeat(np.arange(rows.num_rows), np.diff(given.offsets.to_numpy()))
-                    row, path = next_paths(row, given.flatten().to_numpy(), choice.flatten().to_numpy(), np.diff(choice.offsets.to_numpy()), rows.column("n").to_numpy(), level)
-                    yield pa.RecordBatch.from_arrays([rows.column("rep").take(pa.array(row)), pa.array(path)], schema=child)
+                    parent, path = next_paths(row, given.flatten().to_numpy(), choice.flatten().to_numpy(), np.diff(choice.offsets.to_numpy()), rows.column("n").to_numpy(), level)
+                    yield pa.RecordBatch.from_arrays([rows.column("rep").take(pa.array(row[parent])), pa.array(path), rows.column("above").flatten().take(pa.array(parent))], schema=child)
 
         return step
 
-    # Small buckets of each level; a large one goes on with the paths below it. Of buckets with the same rows one is kept.
-    here = classes.select("rep", F.explode("paths").alias("path"))
+    # Small buckets of each level; a large one goes on with the paths below it, unless those above did not split it. Of
+    # buckets with the same rows one is kept.
+    here = classes.select("rep", F.explode("paths").alias("path"), F.lit(None).cast("int").alias("above"))
     members = None
     for level in range(1, DEPTH + 1):
-        sizes = stored(here.groupBy("path").agg(F.count("*").cast("int").alias("size"), F.bit_xor(F.xxhash64("rep")).alias("rows")).where("size > 1"), "bucket-sizes")
-        last = level == DEPTH
-        once = (sizes if last else sizes.where(F.col("size") <= SMALL)).groupBy("size", "rows").agg(F.min("path").alias("path")).select("path", "size")
-        final = here.join(once, "path").select("rep", "path", "size")
+        sizes = here.groupBy("path").agg(F.count("*").cast("int").alias("size"), F.min("above").alias("above"), F.bit_xor(F.xxhash64("rep")).alias("rows")).where("size > 1")
+        done = (F.col("size") <= SMALL) | F.coalesce(F.col("size") > F.col("above") * DENSE, F.lit(False)) | F.lit(level == DEPTH)
+        sizes = stored(sizes.withColumn("done", done), "bucket-sizes")
+        once = sizes.where("done").groupBy("size", "rows").agg(F.min("path").alias("path")).select("path", "size")
+        final = here.select("rep", "path").join(once, "path").select("rep", "path", "size")
         members = final if members is None else members.union(final)
-        if not last:
-            wide = here.join(sizes.where(F.col("size") > SMALL).select("path"), "path", "left_semi").groupBy("rep").agg(F.collect_list("path").alias("given"))
-            wide = classes.select("rep", "n", "choice").join(wide, "rep")
-            here = stored(wide.mapInArrow(below(level + 1), f"rep {id_kind}, path long"), "paths-below")
+        split = sizes.where("not done").select("path", "size")
+        if not split.limit(1).count():
+            break
+        wide = here.select("rep", "path").join(split, "path").groupBy("rep").agg(F.collect_list("path").alias("given"), F.collect_list("size").alias("above"))
+        wide = classes.select("rep", "n", "choice").join(wide, "rep")
+        here = stored(wide.mapInArrow(below(level + 1), f"rep {id_kind}, path long, above int"), "paths-below")
     by_rep = members.groupBy("rep").agg(F.collect_set(F.struct("path", "size")).alias("buckets"))
     known = classes.select("rep", "weight", "n", "one", "two", "sketch").join(by_rep, "rep").withColumn("every", F.sort_array("buckets.path"))
     placed = known.withColumn("bucket", F.explode("buckets")).select("rep", "n", "sketch", "every", "bucket.path", F.when(F.col("bucket.size") > SMALL, F.ceil(F.col("bucket.size") / BLOCK)).otherwise(1).cast("int").alias("blocks"))
@@ -422,8 +428,8 @@ def near_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     links = stored(whole.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(verify, f"rep {id_kind}, links long, root {id_kind}"), "links")
     settle(docs.sparkSession)
     joined = components(links.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
-    by_class = classes.select("one", "two", "n", "rep", "weight").join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").drop("node")
-    out = found.select("id", "one", "two", "n").join(by_class, ["one", "two", "n"], "left")
+    by_class = classes.select("one", "two", "n", "rep", "weight", F.col("weight").alias("w")).join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(joined, F.col("rep") == F.col("node"), "left").drop("node")
+    out = lookup(found.select("id", "one", "two", "n"), stored(by_class, "groups"), ["one", "two", "n"], "w", found.count(), "left")
     usable = F.col("id").isNotNull()
     component = F.when(usable, F.coalesce("component", "rep", "id"))
     return out.select(
