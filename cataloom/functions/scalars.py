@@ -52,14 +52,23 @@ def chart_name(kind: str, years: tuple[int, int] | None, include: list[Column])
     return F.concat(base, F.lit("/g:"), F.array_join(F.transform(F.array(*include), url_tag), ",")) if include else base
 
 
+# The forms of file names by page type, tested in this order.
+ALBUM_KINDS = ("album", "mixtape", "ep", "comp")
+CHART_NAME = r"^charts/(\w+)/(album|mixtape|ep)/"
+SEARCH_NAME = r"^search\?searchterm=[^&]+&searchtype=l$"
+LIST_NAME = r"^list/(\w+)/([\w-]+)/?(\d*)/?$"
+
+
 def page_type(file_name: Column) -> Column:
     """album, chart, album_search_result, artist or list_segment by the form of the file name, tested in that order."""
+    # \w and \d stand for letters and digits of all scripts, and $ for the very end.
+    fits = lambda pattern: file_name.rlike("(?U)" + pattern.replace("$", r"\z"))
     return (
-        F.when(file_name.rlike("^release/(album|mixtape|ep|comp)/"), "album")
-        .when(file_name.rlike(r"^charts/(\w+)/(\w+)/"), "chart")
-        .when(file_name.rlike(r"^search\?.*searchtype=l"), "album_search_result")
+        F.when(file_name.rlike(f"^release/({'|'.join(ALBUM_KINDS)})/"), "album")
+        .when(fits(CHART_NAME), "chart")
+        .when(fits(SEARCH_NAME), "album_search_result")
         .when(file_name.startswith("artist"), "artist")
-        .when(file_name.rlike(r"^list/[^/]+/[^/]+(/\d+)?$"), "list_segment")
+        .when(fits(LIST_NAME), "list_segment")
     )
 
 

@@ -39,3 +39,7 @@ def jaro_winkler(a: str, b: str, prefix_weight: float = 0.1) -> float:
 def jaro_winkler_similarity(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
         yield pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+# Filters on the result must not run the function again.
+jaro_winkler_similarity = jaro_winkler_similarity.asNondeterministic()

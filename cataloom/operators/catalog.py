@@ -106,7 +106,10 @@ def add_segments(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return stored.unionByName(seen.select(stored.columns)).distinct()
 
 
-def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
-    """The first ``k`` rows of each key. Spark keeps ``k`` rows a key before the shuffle (window group limit)."""
+def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
+    """The first ``k`` rows of each key, with their ``rank`` if it has a name. Spark keeps ``k`` rows a key before the
+    shuffle (window group limit)."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__rank", F.row_number().over(window)).where(F.col("__rank") <= k).drop("__rank")
+    name = rank or "__rank"
+    out = rows.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
+    return out if rank else out.drop(name)

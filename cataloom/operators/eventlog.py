@@ -38,6 +38,16 @@ def grouped_by(events: DataFrame, group: Column, sequence: str, body: Column) ->
     return events.groupBy(group.alias("group")).agg(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("seq"), body.alias("body")))).alias("events"))
 
 
+def chunked(events: DataFrame, sequence: str, size: int, group: str | None = None) -> DataFrame:
+    """Events with ``chunk``: groups of at most ``size`` consecutive ids of the log; within a group value if one is given,
+    where an event without one is a group of its own by its id. No sort of the whole log is needed."""
+    chunk = F.floor(F.col(sequence) / size)
+    if group is None:
+        return events.withColumn("chunk", chunk.cast("string"))
+    own = F.coalesce(F.concat(F.lit("g:"), F.col(group).cast("string"), F.lit("/"), chunk.cast("string")), F.concat(F.lit("e:"), F.col(sequence).cast("string")))
+    return events.withColumn("chunk", own)
+
+
 def fold_states(events: DataFrame, key: str, sequence: str, state: Column, failed: tuple[int, ...] = FAILED_STATES, states: int = 7, chunk: int = 1024) -> DataFrame:
     """(key, state): states applied in order. From a failed state any state is allowed, otherwise only higher ones; a
     null state in an event deletes what is known.
@@ -62,16 +72,20 @@ def fold_states(events: DataFrame, key: str, sequence: str, state: Column, faile
 
 
 def fold_lookups(events: DataFrame, key: str, sequence: str, step_number: Column, correlation: str) -> DataFrame:
-    """(key, step, correlation): a transition is taken if the step rises or the correlation id differs."""
-    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(sequence).alias("seq"), step_number.alias("step"), F.col(correlation).cast("string").alias("by")))).alias("s"))
-    zero = F.struct(F.lit(0).alias("step"), F.lit(None).cast("string").alias("by"))
-
-    def step(now: Column, e: Column) -> Column:
-        taken = (e["step"] > now["step"]) | ~now["by"].eqNullSafe(e["by"])
-        return F.when(taken, F.struct(e["step"].alias("step"), e["by"].alias("by"))).otherwise(now)
-
-    out = listed.select(key, F.aggregate("s", zero, step).alias("now"))
-    return out.select(key, F.col("now.step").alias("step"), F.col("now.by").alias("correlation"))
+    """(key, step, correlation): a transition is taken if the step rises or the correlation id differs.
+
+    An event of another correlation is always taken, so the correlation is that of the last event, and the step is the
+    highest since the last event of another one. Aggregates by key and correlation say where that was; no task holds all
+    events of a key."""
+    rows = events.select(F.col(key).alias("__key"), F.col(sequence).alias("seq"), step_number.alias("step"), F.col(correlation).cast("string").alias("by"))
+    last = rows.groupBy("__key", "by").agg(F.max("seq").alias("seq"))
+    ends = last.groupBy("__key").agg(F.max_by(F.struct("by"), "seq").alias("last"), F.max("seq").alias("end"))
+    # The last event of another correlation.
+    broken = last.join(ends, "__key").where("seq < end").groupBy("__key").agg(F.max("seq").alias("broken"))
+    ends = ends.join(broken, "__key", "left").select(F.col("__key").alias("k"), F.col("last.by").alias("correlation"), "broken")
+    tail = rows.join(ends, rows["__key"].eqNullSafe(ends["k"]) & rows["by"].eqNullSafe(ends["correlation"])).where("broken is null or seq > broken")
+    # At the very start nothing is known: step 0 without a correlation.
+    return tail.groupBy(F.col("k").alias(key), "correlation").agg(F.when(F.first("broken").isNull() & F.first("correlation").isNull(), F.greatest(F.max("step"), F.lit(0))).otherwise(F.max("step")).alias("step")).select(key, "step", "correlation")
 
 
 def latest_failures(events: DataFrame, key: str, sequence: str, failed: Column, error: Column) -> DataFrame:

@@ -136,10 +136,10 @@ def credited_not_main(spark, sf_dir):
     return catalog.credited_not_main(line, line.where("l_linestatus = 'O'"), "l_suppkey", "l_partkey", "l_returnflag")
 
 
-@plans.add("SELECT DISTINCT l_suppkey AS artist FROM lineitem WHERE l_partkey BETWEEN 100 AND 119")
+@plans.add("SELECT DISTINCT l_suppkey AS artist FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#12' AND p_size = 7")
 def related_artists(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_partkey between 100 and 119")
-    albums = line.groupBy("l_partkey").agg(F.collect_set(F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))).alias("main"), F.collect_set("l_suppkey").alias("credited"))
+    chosen = table(spark, sf_dir, "part").where("p_brand = 'Brand#12' and p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
+    albums = table(spark, sf_dir, "lineitem").join(chosen, "l_partkey", "left_semi").groupBy("l_partkey").agg(F.collect_set(F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))).alias("main"), F.collect_set("l_suppkey").alias("credited"))
     return catalog.related_artists(albums, "main", "credited")
 
 
@@ -150,11 +150,11 @@ def dictionary_joins(spark, sf_dir):
     return out.select("s_suppkey", "s_name", "n_name", "r_name")
 
 
-@plans.add("SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 10 = 0 AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 10 = 1)")
+@plans.add("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_returnflag = 'R')")
 def anti_join_unseen(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
-    seen = line.where("l_orderkey % 10 = 1").select("l_partkey")
-    return line.where("l_orderkey % 10 = 0").select("l_partkey").distinct().join(seen, "l_partkey", "left_anti")
+    seen = line.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey")
+    return line.where("l_returnflag = 'A'").select("l_partkey", "l_suppkey").distinct().join(seen, ["l_partkey", "l_suppkey"], "left_anti")
 
 
 @plans.add("SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount >= 0.1) OR o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 50)")
@@ -173,10 +173,10 @@ def union_by_key(spark, sf_dir):
     return catalog.union_by_key(first, second, "k")
 
 
-@plans.add("SELECT doc_id FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE doc_id % 2 = 0)")
+@plans.add("SELECT doc_id FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(text, '')) FROM documents WHERE lang = 'en')")
 def uncached_bodies(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return docs.join(docs.where("doc_id % 2 = 0").select("h"), "h", "left_anti").select("doc_id")
+    return docs.join(docs.where("lang = 'en'").select("h"), "h", "left_anti").select("doc_id")
 
 
 @plans.add("""

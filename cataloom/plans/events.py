@@ -34,18 +34,35 @@ def group_by_correlation(spark, sf_dir):
     return rows.select("group", F.size("events").cast("long").alias("n"), F.array_join("events.body", ",").alias("roles"))
 
 
+@plans.add("SELECT CASE WHEN event_id % 5 = 0 THEN 'e:' || event_id ELSE 'g:' || user_id || '/' || (event_id // 250) END AS chunk, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1")
+def chunks_by_correlation(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("by"))
+    return eventlog.chunked(events, "event_id", 250, "by").groupBy("chunk").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+
+
 def file_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States from the event table: each event type stands for a file state."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    return events.withColumn("status", (F.pmod(F.crc32(F.col("event_type").cast("binary")) + F.col("event_id"), F.lit(6)) + 1).cast("int"))
+    return events.withColumn("status", ((F.length("event_type") * F.col("event_id") + F.col("event_id") % 7) % 6 + 1).cast("int"))
+
 
+STATES_SQL = "s AS (SELECT user_id, event_id // 500 AS grp, CAST((length(event_type) * event_id + event_id % 7) % 6 + 1 AS INTEGER) AS status, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"
 
-@plans.add()
+
+@plans.add(f"""
+WITH RECURSIVE {STATES_SQL},
+f AS (SELECT user_id, i, status AS state FROM s WHERE i = 1
+  UNION ALL SELECT s.user_id, s.i, CASE WHEN state IN (2, 5) OR status > state THEN status ELSE state END FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)
+SELECT user_id, arg_max(state, i) AS state FROM f GROUP BY user_id""")
 def status_fold(spark, sf_dir):
     return eventlog.fold_states(file_states(spark, sf_dir), "user_id", "event_id", F.col("status"))
 
 
-@plans.add()
+@plans.add(f"""
+WITH RECURSIVE {STATES_SQL},
+f AS (SELECT user_id, i, status AS step, grp FROM s WHERE i = 1
+  UNION ALL SELECT s.user_id, s.i, CASE WHEN status > step OR s.grp <> f.grp THEN status ELSE step END, s.grp FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)
+SELECT user_id, arg_max(step, i) AS step, CAST(arg_max(grp, i) AS VARCHAR) AS correlation FROM f GROUP BY user_id""")
 def lookup_fold(spark, sf_dir):
     rows = file_states(spark, sf_dir).withColumn("by", (F.col("event_id") / 500).cast("long"))
     return eventlog.fold_lookups(rows, "user_id", "event_id", F.col("status"), "by")
@@ -74,7 +91,7 @@ def status_histogram(spark, sf_dir):
 def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as segments of the list of their customer, parts as the items; the state follows from the key."""
     orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    both = orders.select("o_orderkey", F.col("o_custkey").alias("root")).where("root <= 300").join(line.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
+    both = orders.select("o_orderkey", F.col("o_custkey").alias("root")).join(line.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
     segments = both.groupBy("root", "o_orderkey").agg(F.collect_set(F.concat(F.lit("i"), F.col("l_partkey").cast("string"))).alias("items"), F.collect_set(F.concat(F.lit("s"), F.col("o_orderkey").cast("string"))).alias("siblings"))
     found = lookups.list_components(segments, "root", "siblings", "items")
     states = found.select("component").distinct().where("component not like '%7'").select(F.col("component").alias("key"), (F.substring("component", 2, 12).cast("long") % 6 + 1).cast("int").alias("state"))
@@ -84,8 +101,8 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COMPONENTS_SQL = """
-comp AS (SELECT DISTINCT root, component FROM (SELECT o_custkey AS root, 'i' || CAST(l_partkey AS VARCHAR) AS component FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 300
-  UNION ALL SELECT o_custkey, 's' || CAST(o_orderkey AS VARCHAR) FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey <= 300)),
+comp AS (SELECT DISTINCT root, component FROM (SELECT o_custkey AS root, 'i' || CAST(l_partkey AS VARCHAR) AS component FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+  UNION ALL SELECT o_custkey, 's' || CAST(o_orderkey AS VARCHAR) FROM orders JOIN lineitem ON o_orderkey = l_orderkey)),
 st AS (SELECT root, component, CASE WHEN component LIKE '%7' THEN 1 ELSE CAST(substr(component, 2) AS BIGINT) % 6 + 1 END AS s0 FROM comp),
 states AS (SELECT root, component, CASE WHEN root % 5 = 0 THEN CASE WHEN s0 % 2 = 0 THEN 5 ELSE 6 END
   WHEN root % 5 = 1 THEN CASE WHEN component LIKE 's%' THEN 1 ELSE s0 END WHEN root % 5 = 2 THEN 5 ELSE s0 END AS state FROM st)"""
@@ -97,9 +114,9 @@ k AS (SELECT root, count(*) FILTER (WHERE component LIKE 's%') AS segments, coun
   count(*) FILTER (WHERE state = 5) AS failed, count(*) FILTER (WHERE state IN (5, 6)) AS terminal, count(*) FILTER (WHERE state = 6) AS updated FROM states GROUP BY root)
 SELECT c_custkey AS root, CASE WHEN coalesce(segments, 0) = 0 THEN 'Invalid' WHEN parsed = 0 THEN 'Started' WHEN parsed < segments THEN 'InProgress' WHEN failed = n THEN 'Failed'
   WHEN terminal = n THEN 'Completed' ELSE 'InProgress' END AS status, CAST(coalesce(round(100.0 * updated / nullif(n, 0)), 0) AS INTEGER) AS completion
-FROM customer LEFT JOIN k ON root = c_custkey WHERE c_custkey <= 310""")
+FROM customer LEFT JOIN k ON root = c_custkey""")
 def list_status(spark, sf_dir):
-    roots = table(spark, sf_dir, "customer").where("c_custkey <= 310").select(F.col("c_custkey").alias("root"))
+    roots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"))
     return lookups.list_status(roots, _components(spark, sf_dir).withColumn("is_segment", F.col("component").startswith("s")), "root", "is_segment")
 
 

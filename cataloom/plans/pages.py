@@ -32,15 +32,26 @@ def duplicate_lists(spark, sf_dir):
 
 
 @plans.add("""
-WITH q AS (SELECT DISTINCT p_brand, substr(p_name, 1, len(p_name) - 1) AS query FROM part WHERE p_size <= 10),
+WITH q AS (SELECT DISTINCT p_brand, substr(p_name, 1, len(p_name) - 1) AS query FROM part),
 s AS (SELECT query, q.p_brand, p_name, p_partkey, jaro_winkler_similarity(lower(query), lower(p_name)) AS similarity FROM q JOIN part ON q.p_brand = part.p_brand)
 SELECT query, p_brand, first(p_partkey ORDER BY similarity DESC, p_partkey) AS p_partkey, round(max(similarity), 6) AS similarity FROM s WHERE similarity >= 0.8 GROUP BY 1, 2""")
 def jaro_winkler_best(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    queries = part.where("p_size <= 10").select("p_brand", F.expr("substring(p_name, 1, length(p_name) - 1)").alias("query")).distinct()
+    queries = part.select("p_brand", F.expr("substring(p_name, 1, length(p_name) - 1)").alias("query")).distinct()
     return resolve.best_match(queries, part, "query", "p_name", "p_partkey", "p_brand").select("query", "p_brand", "p_partkey", F.round("similarity", 6).alias("similarity"))
 
 
+@plans.add("""
+WITH q AS (SELECT DISTINCT p_brand, substr(p_name, 2) AS query FROM part),
+s AS (SELECT query, q.p_brand, p_partkey, p_name, jaro_winkler_similarity(lower(query), lower(p_name)) AS similarity FROM q JOIN part ON q.p_brand = part.p_brand WHERE p_type IS DISTINCT FROM 'PROMO'),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query, p_brand ORDER BY similarity DESC, p_partkey) AS INTEGER) AS candidate FROM s WHERE similarity >= 0.8)
+SELECT query, p_brand, candidate, p_partkey, p_name, round(similarity, 6) AS similarity FROM r WHERE candidate <= 5""")
+def fuzzy_candidates(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    queries = part.select("p_brand", F.expr("substring(p_name, 2)").alias("query")).distinct()
+    return resolve.match_candidates(queries, part, "query", "p_name", "p_partkey", "p_brand", "p_type", skip="PROMO").withColumn("similarity", F.round("similarity", 6))
+
+
 @plans.add("SELECT p_partkey, base64(encode(lower(p_name) || '␟' || lower(p_brand))) AS identity, 'search?searchterm=' || replace(url_encode(lower(p_brand) || ' ' || lower(p_name)), '%20', '+') || '&searchtype=l' AS address FROM part")
 def search_identity(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.search_identity(F.col("p_name"), F.col("p_brand")).alias("identity"), scalars.search_address(F.col("p_name"), F.col("p_brand")).alias("address"))
@@ -51,14 +62,19 @@ def url_tags(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", scalars.url_tag(F.concat("p_name", F.lit(" & "), "p_brand")).alias("tag"), scalars.chart_name("top", (1990, 1999), [F.col("p_type")]).alias("chart"))
 
 
-NAMES = "CASE p_partkey % 8 WHEN 0 THEN '/release/album/a/' || p_partkey || '/' WHEN 1 THEN 'charts/top/album/' || p_partkey WHEN 2 THEN 'search?searchterm=' || p_partkey || '&searchtype=l' WHEN 3 THEN 'artist/' || p_partkey WHEN 4 THEN '/list/u/' || p_partkey WHEN 5 THEN 'list/u/' || p_partkey || '/3' WHEN 6 THEN 'release/single/a/' || p_partkey ELSE 'release/comp/a/' || p_partkey END"
+#: File names of each form, and near misses of each.
+NAMES = """CASE p_partkey % 16 WHEN 0 THEN '/release/album/a/' || p_partkey || '/' WHEN 1 THEN 'charts/top/album/' || p_partkey WHEN 2 THEN 'search?searchterm=' || p_partkey || '&searchtype=l'
+  WHEN 3 THEN 'artist/' || p_partkey WHEN 4 THEN '/list/u/' || p_partkey WHEN 5 THEN 'list/u/a-b/3' WHEN 6 THEN 'release/single/a/' || p_partkey WHEN 7 THEN 'release/comp/a/' || p_partkey
+  WHEN 8 THEN 'charts/top/song/' || p_partkey WHEN 9 THEN 'search?searchtype=l&searchterm=' || p_partkey WHEN 10 THEN 'search?searchterm=a&b=' || p_partkey || '&searchtype=l' WHEN 11 THEN 'list/u-v/' || p_partkey
+  WHEN 12 THEN 'list/u/a.b/' || p_partkey WHEN 13 THEN 'charts/top/ep' WHEN 14 THEN 'charts/2020/mixtape/' || p_partkey ELSE 'search?searchterm=' || p_partkey || '&searchtype=la' END"""
 
 
 @plans.add(f"""
 WITH n AS (SELECT p_partkey, trim({NAMES}, '/') AS bare FROM part),
-t AS (SELECT p_partkey, CASE WHEN p_partkey % 8 = 4 THEN bare || '/1' ELSE bare END AS f FROM n)
-SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'album' WHEN 1 THEN 'chart' WHEN 2 THEN 'album_search_result' WHEN 3 THEN 'artist' WHEN 4 THEN 'list_segment' WHEN 5 THEN 'list_segment' WHEN 7 THEN 'album' END AS page_type,
-  CASE WHEN p_partkey % 8 <> 6 THEN f END AS file_name, CASE WHEN p_partkey % 8 IN (4, 5) THEN 'list/u/' || p_partkey END AS root FROM t""")
+t AS (SELECT p_partkey, CASE WHEN regexp_matches(bare, '^list/[^/]+/[^/]+$') THEN bare || '/1' ELSE bare END AS f FROM n),
+k AS (SELECT p_partkey, f, CASE WHEN regexp_matches(f, '^release/(album|mixtape|ep|comp)/') THEN 'album' WHEN regexp_matches(f, '^charts/(\\w+)/(album|mixtape|ep)/') THEN 'chart'
+  WHEN regexp_matches(f, '^search\\?searchterm=[^&]+&searchtype=l$') THEN 'album_search_result' WHEN starts_with(f, 'artist') THEN 'artist' WHEN regexp_matches(f, '^list/(\\w+)/([\\w-]+)/?(\\d*)/?$') THEN 'list_segment' END AS page_type FROM t)
+SELECT p_partkey, page_type, CASE WHEN page_type IS NOT NULL THEN f END AS file_name, CASE WHEN page_type = 'list_segment' THEN array_to_string(string_split(f, '/')[1:3], '/') END AS root FROM k""")
 def page_types(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(NAMES.replace("|| p_partkey", "|| cast(p_partkey as string)")).alias("name"))
     rows = rows.select("p_partkey", scalars.normal_file_name(F.col("name")).alias("file_name"))
@@ -79,7 +95,12 @@ def profile_ids(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", scalars.valid_profile_id(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("valid"))
 
 
-@plans.add()
+@plans.add(r"""
+WITH RECURSIVE w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT conv_id, turn, ws, 1 AS i, 0 AS line, ws[1] AS cur FROM w WHERE len(ws) > 0
+  UNION ALL SELECT conv_id, turn, ws, i + 1, CASE WHEN length(cur) + 1 + length(ws[i + 1]) <= 200 THEN line ELSE line + 1 END,
+    CASE WHEN length(cur) + 1 + length(ws[i + 1]) <= 200 THEN cur || ' ' || ws[i + 1] ELSE ws[i + 1] END FROM f WHERE i < len(ws))
+SELECT conv_id, turn, line, arg_max(cur, i) AS chunk FROM f GROUP BY conv_id, turn, line""")
 def text_chunks(spark, sf_dir):
     chunks = scalars.chunks_of_words(F.col("text"), 200)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(chunks).alias("line", "chunk"))
@@ -149,6 +170,14 @@ def parse_list_pages(spark, sf_dir):
     return rows.select("file_name", "root_file_name", "name", F.array_join("other_segments", ",").alias("other_segments"), F.array_join("albums", ",").alias("albums"))
 
 
+@plans.add("""
+SELECT 'search?searchterm=' || p_partkey || '&searchtype=l' AS search, CASE WHEN p_partkey % 4 <> 0 THEN 'hit' END AS name, CASE WHEN p_partkey % 4 <> 0 THEN 'release/album/a/' || p_partkey END AS file_name,
+  CASE WHEN p_partkey % 4 <> 0 THEN 'artist/s1' END AS artists, CASE WHEN p_partkey % 4 = 0 THEN 'no album in the search results' END AS error FROM part""")
+def parse_search_pages(spark, sf_dir):
+    rows = pages.search_results(pages.read_pages(catalogue_pages(spark, sf_dir)))
+    return rows.select("search", "name", "file_name", F.array_join("artists.file_name", ",").alias("artists"), "error")
+
+
 @plans.add("""
 SELECT t AS page_type, CASE WHEN t = 'album_search_result' AND p_partkey % 4 = 0 THEN 'FileParseFailed' ELSE 'FileParsed' END AS event, count(*) AS n
 FROM part, (SELECT unnest(['album', 'chart', 'artist', 'album_search_result', 'list_segment']) AS t) GROUP BY 1, 2""")

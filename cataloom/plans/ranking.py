@@ -189,13 +189,13 @@ def knn_graph(spark, sf_dir):
     return vector_search.neighbour_graph(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", "label", 10).withColumn("similarity", F.round("similarity", 6))
 
 
-SEED = "seed AS (SELECT vec_id, 1 + vec_id % 3 AS factor FROM embeddings WHERE label = 4 AND vec_id % 2 = 0)"
+SEED = "seed AS (SELECT vec_id, 1 + vec_id % 3 AS factor FROM embeddings WHERE label = 4 AND embedding[1] > 0)"
 MEAN = """mean AS (SELECT list(x ORDER BY pos) AS e FROM (SELECT pos, sum(factor * x) / sum(factor) AS x FROM
   (SELECT factor, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM embeddings JOIN seed USING (vec_id)) GROUP BY pos))"""
 
 
 def _seed(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("label = 4 and vec_id % 2 = 0")
+    rows = table(spark, sf_dir, "embeddings").where("label = 4 and embedding[0] > 0")
     return rows.select(F.col("vec_id").alias("file_name"), (1 + F.col("vec_id") % 3).alias("factor"))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -27,6 +28,15 @@ class Node:
     def __init__(self, tag: str, attributes: dict[str, str]) -> None:
         self.tag, self.attributes, self.children = tag, attributes, []
 
+    @cached_property
+    def classes(self) -> frozenset[str]:
+        return frozenset(self.attributes.get("class", "").split())
+
+    @cached_property
+    def below(self) -> list[Node]:
+        """All elements below, in page order; walked once."""
+        return list(self.elements())
+
     def elements(self) -> Iterator[Node]:
         """All elements below, in page order."""
         stack = [iter(self.children)]
@@ -84,19 +94,24 @@ def parse(page: str) -> Node:
 PART = re.compile(r"""^([a-z0-9]*)((?:\.[\w-]+)*)(?:\#([\w-]+))?(?:\[([\w-]+)=['"]([^'"]*)['"]\])?$""")
 
 
-def matches(node: Node, part: str) -> bool:
-    """One step of a selector: tag, classes, id, one attribute."""
-    tag, classes, id_, attribute, value = PART.match(part).groups()
-    own = node.attributes.get("class", "").split()
-    return (not tag or node.tag == tag) and all(c in own for c in classes.split(".") if c) and (not id_ or node.attributes.get("id") == id_) and (not attribute or node.attributes.get(attribute) == value)
+@lru_cache(maxsize=1024)
+def steps(selector: str) -> list[tuple]:
+    """The steps of a selector: tag, classes, id, one attribute and its value."""
+    parts = [PART.match(part).groups() for part in selector.split(" ")]
+    return [(tag, frozenset(c for c in classes.split(".") if c), id_, attribute, value) for tag, classes, id_, attribute, value in parts]
+
+
+def matches(node: Node, step: tuple) -> bool:
+    tag, classes, id_, attribute, value = step
+    return (not tag or node.tag == tag) and (not classes or classes <= node.classes) and (not id_ or node.attributes.get("id") == id_) and (not attribute or node.attributes.get(attribute) == value)
 
 
 def select(root: Node, selector: str) -> list[Node]:
     """Elements below ``root`` by a chain of descendant steps, in page order and once each."""
     found = [root]
-    for part in selector.split(" "):
+    for step in steps(selector):
         seen: set[int] = set()
-        found = [n for r in found for n in r.elements() if matches(n, part) and id(n) not in seen and not seen.add(id(n))]
+        found = [n for r in found for n in r.below if matches(n, step) and id(n) not in seen and not seen.add(id(n))]
     return found
 
 
@@ -168,6 +183,9 @@ def read_page(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
         yield pd.Series([json.dumps(read(parse(p), SPECS[k])) if p is not None and k in SPECS else None for p, k in zip(pages, kinds, strict=True)], dtype="object")
 
 
+# Filters on the result must not run the function again.
+read_page = read_page.asNondeterministic()
+
 REFERENCE = "array<struct<name:string,href:string>>"
 RAW = {
     "album": f"name string, rating string, rating_count string, links string, date string, body string, cover string, artists {REFERENCE}, primary array<string>, secondary array<string>, descriptors array<string>, info array<struct<title:string,value:string>>, tracks array<struct<name:string,rating:string,position:string,seconds:string>>, credits array<struct<name:string,href:string,roles:array<struct<text:string,tracks:string>>>>",
@@ -181,6 +199,8 @@ RAW = {
 def read_pages(pages: DataFrame, file_name: str = "file_name", html: str = "html") -> DataFrame:
     """(file_name, page_type, raw): pages of a known type with their strings as JSON, read once."""
     rows = pages.select(F.col(file_name).alias("file_name"), scalars.page_type(F.col(file_name)).alias("page_type"), F.col(html).alias("html")).where("page_type is not null and html is not null")
+    # Reading takes far longer than moving a page, and few large files make few tasks.
+    rows = rows.repartition(F.xxhash64("file_name"))
     return rows.select("file_name", "page_type", read_page("html", "page_type").alias("raw"))
 
 
