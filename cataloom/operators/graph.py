@@ -23,6 +23,11 @@ def edges(parts: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
     return reduce(lambda a, b: a.union(b), frames).distinct()
 
 
+def edge_lists(edges: DataFrame) -> DataFrame:
+    """(src, edges): the edges of each source in order."""
+    return edges.groupBy("src").agg(F.sort_array(F.collect_set(F.struct("dst", "type", "weight"))).alias("edges"))
+
+
 def undirected(directed: DataFrame) -> DataFrame:
     """Each edge in both directions; parallel edges add up."""
     both = directed.select("src", "dst", "weight").union(directed.select("dst", "src", "weight"))

@@ -59,3 +59,10 @@ def album_lookup_step(album_known: str = "known", parsed: str = "parsed") -> Col
 def pending_imports(imports: DataFrame, lookups: DataFrame, identity: str, done: str = "AlbumParsed") -> DataFrame:
     """Imports whose lookup has not ended."""
     return imports.join(lookups, identity).where(F.col("status") != done)
+
+
+def run_lists(roots: DataFrame, components: DataFrame, root: str, is_segment: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run of some lists: (components to enqueue again, status of each list, the event of each list's new status)."""
+    statuses = list_status(roots, components, root, is_segment)
+    events = statuses.select(F.lit("lookup").alias("topic"), F.concat(F.lit("list/"), F.col(root).cast("string")).alias("key"), F.to_json(F.struct("status", "completion")).alias("event"))
+    return dormant(components).select(root, "component").distinct(), statuses, events

@@ -14,6 +14,10 @@ from pyspark.sql.window import Window
 
 from cataloom.operators.summary import tagged
 
+#: Ranges that the distinct values of a number are cut into; a window holds one of them.
+RANGES = 128
+
+
 @dataclass
 class Settings:
     """Weights of the components, and the rank of what the seed does not know."""
@@ -53,7 +57,10 @@ def number_ranks(candidates: DataFrame, seed: DataFrame, key: str, columns: dict
 
     asked = tall(candidates, key)
     counts = tall(seed).withColumn("n", F.lit(1)).unionByName(asked.select("name", "v").withColumn("n", F.lit(0)))
-    counts = counts.groupBy("name", "v").agg(F.sum("n").alias("n")).withColumn("range", F.floor("v"))
+    counts = counts.groupBy("name", "v").agg(F.sum("n").alias("n"))
+    # Ranges of about as many distinct values each: one row of bounds for each of the few columns.
+    bounds = counts.groupBy("name").agg(F.percentile_approx("v", [k / RANGES for k in range(1, RANGES)]).alias("bounds"))
+    counts = counts.join(F.broadcast(bounds), "name").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col("v")))).drop("bounds")
     by_name = Window.partitionBy("name")
     earlier = by_name.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = counts.groupBy("name", "range").agg(F.sum("n").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cataloom.functions.vectors import cosine_similarity, is_zero, unit
+from cataloom.operators.catalog import latest_by
 
 
 def mean_vector(rows: DataFrame, vector: str, weight: Column, keys: list[str] | None = None, name: str = "mean_vector") -> DataFrame:
@@ -100,3 +101,16 @@ def cache_key(provider: Column, body: Column) -> Column:
 def embedding_body(parts: list[Column]) -> Column:
     """Fields and tags as one text; tags of an array in order."""
     return F.concat_ws(", ", *parts)
+
+
+def put_embeddings(stored: DataFrame, uploaded: DataFrame, keys: list[str], vector: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(embeddings, received): a bulk upload by item and kind of vector. The last of several uploads of a key is taken;
+    vectors of zeros are received and not stored. ``received`` counts what came and what was stored."""
+    good = latest_by(without_zero_vectors(uploaded, vector), keys, order).select(stored.columns)
+    kept = stored.join(good.select(*keys), keys, "left_anti").select(stored.columns).unionByName(good)
+    return kept, uploaded.agg(F.count("*").alias("received"), F.count_if(~is_zero(F.col(vector))).alias("not_zero"))
+
+
+def delete_embeddings(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Embeddings without those of some keys (an item, or an item and a kind)."""
+    return stored.join(gone.select(*keys).distinct(), keys, "left_anti").select(stored.columns)

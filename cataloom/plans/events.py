@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.operators import eventlog, jobs, lookups
+from cataloom.operators import eventlog, files, jobs, lookups
 from cataloom.plans.registry import Plans
 from cataloom.sources.tables import table
 
@@ -125,6 +125,38 @@ def dormant_components(spark, sf_dir):
     return lookups.dormant(_components(spark, sf_dir)).select("root", "component")
 
 
+@plans.add(f"""
+WITH {COMPONENTS_SQL},
+k AS (SELECT root, count(*) FILTER (WHERE component LIKE 's%') AS segments, count(*) FILTER (WHERE component LIKE 's%' AND state IN (4, 5, 6)) AS parsed, count(*) AS n,
+  count(*) FILTER (WHERE state = 5) AS failed, count(*) FILTER (WHERE state IN (5, 6)) AS terminal, count(*) FILTER (WHERE state = 6) AS updated, count(*) FILTER (WHERE state IN (1, 2)) AS enqueued FROM states GROUP BY root)
+SELECT 'list/' || c_custkey AS key, '{{"status":"' || CASE WHEN coalesce(segments, 0) = 0 THEN 'Invalid' WHEN parsed = 0 THEN 'Started' WHEN parsed < segments THEN 'InProgress' WHEN failed = n THEN 'Failed'
+  WHEN terminal = n THEN 'Completed' ELSE 'InProgress' END || '","completion":' || CAST(coalesce(round(100.0 * updated / nullif(n, 0)), 0) AS INTEGER) || '}}' AS event, coalesce(enqueued, 0) AS enqueued
+FROM customer LEFT JOIN k ON root = c_custkey""")
+def list_run(spark, sf_dir):
+    """A run of all lists: the event of each, and how many of its components are enqueued again."""
+    roots = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("root"))
+    enqueued, _, events = lookups.run_lists(roots, _components(spark, sf_dir).withColumn("is_segment", F.col("component").startswith("s")), "root", "is_segment")
+    counts = enqueued.groupBy(F.concat(F.lit("list/"), F.col("root").cast("string")).alias("key")).agg(F.count("*").alias("enqueued"))
+    return events.join(counts, "key", "left").select("key", "event", F.coalesce("enqueued", F.lit(0)).alias("enqueued"))
+
+
+@plans.add("""
+WITH saved AS (SELECT o_orderkey AS file_name FROM orders WHERE o_orderpriority = '1-URGENT'), gone AS (SELECT o_orderkey AS file_name FROM orders WHERE o_orderstatus = 'P'),
+old AS (SELECT o_orderkey AS file_name, o_orderdate AS saved_at FROM orders WHERE o_orderstatus <> 'O'),
+put AS (SELECT file_name, saved_at FROM old WHERE file_name NOT IN (SELECT file_name FROM saved) UNION ALL SELECT file_name, TIMESTAMP '2024-02-01' FROM saved)
+SELECT 'metadata' AS kind, count(*) AS n, count(*) FILTER (WHERE saved_at = TIMESTAMP '2024-02-01') AS fresh FROM put WHERE file_name NOT IN (SELECT file_name FROM gone)
+UNION ALL SELECT 'FileSaved', count(*), 0 FROM saved UNION ALL SELECT 'FileDeleted', count(*), 0 FROM put WHERE file_name IN (SELECT file_name FROM gone)""")
+def file_put_and_delete(spark, sf_dir):
+    """Metadata and events after some files were saved and others deleted."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_name"), F.col("o_orderdate").alias("last_saved_at"), "o_orderstatus", "o_orderpriority")
+    old = orders.where("o_orderstatus <> 'O'").select("file_name", "last_saved_at")
+    now = F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00"))
+    metadata, saved = files.put_files(old, orders.where("o_orderpriority = '1-URGENT'").select("file_name"), now, [F.col("last_saved_at")])
+    metadata, gone = files.delete_files(metadata, orders.where("o_orderstatus = 'P'").select("file_name"))
+    counts = metadata.select(F.lit("metadata").alias("kind"), (F.col("last_saved_at") == now).cast("int").alias("fresh")).unionByName(saved.unionByName(gone).select(F.col("event").alias("kind"), F.lit(0).alias("fresh")))
+    return counts.groupBy("kind").agg(F.count("*").alias("n"), F.sum("fresh").alias("fresh"))
+
+
 @plans.add("SELECT DISTINCT o_custkey AS root FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 100 = 3 OR o_orderkey % 500 = 9")
 def lookups_touched(spark, sf_dir):
     both = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("root")).join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")

@@ -10,6 +10,7 @@ from cataloom.operators import profiles as people
 from cataloom.operators import ranking, recommend, resolve, summary, vector_search
 from cataloom.plans.catalogue import catalogue
 from cataloom.plans.registry import Plans
+from cataloom.sources.storage import written
 from cataloom.sources.tables import table
 
 plans = Plans()
@@ -107,11 +108,17 @@ means AS (SELECT file_name, facet, avg(CASE WHEN r > 0 THEN r ELSE 0.2 END) AS m
 wide AS (SELECT file_name, coalesce(max(CASE WHEN facet = 'primary' THEN m END), 0.2) AS p, coalesce(max(CASE WHEN facet = 'secondary' THEN m END), 0.2) AS s,
   coalesce(max(CASE WHEN facet = 'descriptor' THEN m END), 0.2) AS d, coalesce(max(CASE WHEN facet = 'credit' THEN m END), 0.2) AS k FROM means GROUP BY 1),
 items AS (SELECT c.* FROM c JOIN seed USING (file_name)),
-scored AS (SELECT c.file_name, (4 * p + 2 * s + 7 * d + k
-  + 2 * (SELECT (count(*) FILTER (WHERE i.rating < c.rating) + count(*) FILTER (WHERE i.rating = c.rating) / 2.0) / count(*) FROM items i)
-  + (SELECT (count(*) FILTER (WHERE i.rating_count < c.rating_count) + count(*) FILTER (WHERE i.rating_count = c.rating_count) / 2.0) / count(*) FROM items i)
-  + 2 * (SELECT (count(*) FILTER (WHERE i.descriptor_count < c.descriptor_count) + count(*) FILTER (WHERE i.descriptor_count = c.descriptor_count) / 2.0) / count(*) FROM items i)) / 19.0 AS score
-  FROM c JOIN wide USING (file_name))"""
+numbers AS (SELECT c.file_name,
+  (SELECT (count(*) FILTER (WHERE i.rating < c.rating) + count(*) FILTER (WHERE i.rating = c.rating) / 2.0) / count(*) FROM items i) AS rating_rank,
+  (SELECT (count(*) FILTER (WHERE i.rating_count < c.rating_count) + count(*) FILTER (WHERE i.rating_count = c.rating_count) / 2.0) / count(*) FROM items i) AS rating_count_rank,
+  (SELECT (count(*) FILTER (WHERE i.descriptor_count < c.descriptor_count) + count(*) FILTER (WHERE i.descriptor_count = c.descriptor_count) / 2.0) / count(*) FROM items i) AS descriptor_count_rank FROM c),
+scored AS (SELECT *, (4 * p + 2 * s + 7 * d + k + 2 * rating_rank + rating_count_rank + 2 * descriptor_count_rank) / 19.0 AS score FROM wide JOIN numbers USING (file_name))"""
+
+
+def _assessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The catalogue and the seed of a profile, each made once for all steps that read it."""
+    seed = written(profiles(spark, sf_dir).where("profile = 7").select("file_name", "factor"), "seed")
+    return written(catalogue(spark, sf_dir), "catalogue"), seed
 
 
 @plans.add(SCORES + """
@@ -119,7 +126,7 @@ SELECT file_name, round(score, 6) AS score FROM scored WHERE file_name NOT IN (S
 ORDER BY scored.score DESC, file_name LIMIT 10""")
 def quantile_recommend_topk(spark, sf_dir):
     """The flagship: the ten parts that suit a customer best."""
-    c, seed = catalogue(spark, sf_dir), profiles(spark, sf_dir).where("profile = 7").select("file_name", "factor")
+    c, seed = _assessed(spark, sf_dir)
     request = recommend.Request(exclude_known_artists=False, least_tags={"primary": 1, "secondary": 1, "descriptor": 1})
     out = recommend.recommend("quantile", catalogue=c, seed=seed, settings=ranking.Settings(), request=request, c=recommend.Columns())
     return out.select("file_name", F.round("score", 6).alias("score"))
@@ -127,16 +134,26 @@ def quantile_recommend_topk(spark, sf_dir):
 
 @plans.add(SCORES + " SELECT file_name, round(score, 6) AS score FROM scored")
 def quantile_assess_all(spark, sf_dir):
-    c, seed = catalogue(spark, sf_dir), profiles(spark, sf_dir).where("profile = 7").select("file_name", "factor")
+    c, seed = _assessed(spark, sf_dir)
     return recommend.quantile_scores(c, c, seed, ranking.Settings(), recommend.Columns()).select("file_name", F.round("score", 6).alias("score"))
 
 
 @plans.add(SCORES + " SELECT file_name, round(score, 6) AS score FROM scored WHERE file_name = 42")
 def quantile_assess_one(spark, sf_dir):
-    c, seed = catalogue(spark, sf_dir), profiles(spark, sf_dir).where("profile = 7").select("file_name", "factor")
+    c, seed = _assessed(spark, sf_dir)
     return recommend.quantile_scores(c.where("file_name = 42"), c, seed, ranking.Settings(), recommend.Columns()).select("file_name", F.round("score", 6).alias("score"))
 
 
+@plans.add(SCORES + """
+SELECT file_name, round(p, 6) AS primary_rank, round(s, 6) AS secondary_rank, round(d, 6) AS descriptor_rank, round(k, 6) AS credit_rank, round(rating_rank, 6) AS rating_rank,
+  round(rating_count_rank, 6) AS rating_count_rank, round(descriptor_count_rank, 6) AS descriptor_count_rank FROM scored""")
+def quantile_assess_components(spark, sf_dir):
+    """What each score is made of."""
+    c, seed = _assessed(spark, sf_dir)
+    rows = recommend.quantile_scores(c, c, seed, ranking.Settings(), recommend.Columns())
+    return rows.select("file_name", *[F.round(f"{n}_rank", 6).alias(f"{n}_rank") for n in ("primary", "secondary", "descriptor", "credit", "rating", "rating_count", "descriptor_count")])
+
+
 @plans.add("""
 WITH own AS (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey = 7)
 SELECT p_partkey AS file_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM own) AND len(list_distinct(string_split(p_name, ' '))) >= 2
@@ -207,15 +224,23 @@ def embedding_recommend(spark, sf_dir):
     return out.select("file_name", F.round("similarity", 6).alias("similarity"))
 
 
-@plans.add(f"""
-WITH {SEED}, {MEAN}, near AS (SELECT vec_id, {COSINE.format("embedding", "e")} AS similarity FROM embeddings, mean WHERE vec_id NOT IN (SELECT vec_id FROM seed)
-  ORDER BY 1 - {COSINE.format("embedding", "e")}, vec_id LIMIT 50)
-SELECT vec_id AS file_name, similarity_rank, round(similarity, 6) AS similarity, p_retailprice AS score
-FROM (SELECT *, CAST(row_number() OVER (ORDER BY 1 - similarity, vec_id) - 1 AS INTEGER) AS similarity_rank FROM near) JOIN part ON p_partkey = vec_id + 1 ORDER BY score DESC, file_name LIMIT 10""")
+#: The vectors stand for the parts with the number behind theirs.
+PART_MEAN = f"""mean AS (SELECT list(x ORDER BY pos) AS e FROM (SELECT pos, sum(factor * x) / sum(factor) AS x FROM
+  (SELECT factor, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM embeddings JOIN seed ON vec_id + 1 = file_name) GROUP BY pos)),
+near AS (SELECT vec_id + 1 AS file_name, {COSINE.format("embedding", "e")} AS similarity FROM embeddings, mean WHERE vec_id + 1 NOT IN (SELECT file_name FROM seed)
+  ORDER BY 1 - {COSINE.format("embedding", "e")}, vec_id LIMIT 50)"""
+
+
+@plans.add(SCORES + f""", {PART_MEAN}
+SELECT file_name, similarity_rank, round(similarity, 6) AS similarity, round(score, 6) AS score
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY 1 - similarity, file_name) - 1 AS INTEGER) AS similarity_rank FROM near) JOIN scored USING (file_name) ORDER BY scored.score DESC, file_name LIMIT 10""")
 def reranked_recommend(spark, sf_dir):
-    prices = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("file_name"), F.col("p_retailprice").alias("score"))
-    return recommend.recommend("reranked", vectors=vectors(spark, sf_dir), vector="embedding", scores_of=lambda near: prices.join(near.select("file_name"), "file_name", "left_semi"), seed=_seed(spark, sf_dir), key="file_name", k=10)\
-        .withColumn("similarity", F.round("similarity", 6))
+    """The parts nearest to a profile's mean vector, ordered by their quantile scores."""
+    c, seed = _assessed(spark, sf_dir)
+    parts = vectors(spark, sf_dir).withColumn("file_name", F.col("file_name") + 1)
+    scores_of = lambda near: recommend.quantile_scores(c.join(near.select("file_name"), "file_name", "left_semi"), c, seed, ranking.Settings(), recommend.Columns()).select("file_name", "score")
+    out = recommend.recommend("reranked", vectors=parts, vector="embedding", scores_of=scores_of, seed=seed, key="file_name", k=10)
+    return out.select("file_name", "similarity_rank", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
 @plans.add(f"""
@@ -228,16 +253,35 @@ def best_track_per_item(spark, sf_dir):
     return vector_search.best_in_group(rows.select("label").distinct(), rows, "label", mean, "embedding", "vec_id").withColumn("distance", F.round("distance", 6))
 
 
-@plans.add(f"""
-WITH tracks AS (SELECT vec_id, label, vec_id % 40 AS album, embedding FROM embeddings), seed AS (SELECT 3 AS album, 2 AS factor UNION ALL SELECT 5, 1),
-mean AS (SELECT list(x ORDER BY pos) AS e FROM (SELECT pos, sum(factor * x) / sum(factor) AS x FROM (SELECT factor, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM tracks JOIN seed USING (album)) GROUP BY pos))
+@plans.add(SCORES + f""",
+tracks AS (SELECT vec_id, vec_id % 50 AS album, embedding FROM embeddings),
+recommended AS (SELECT DISTINCT file_name % 50 AS album FROM (SELECT file_name FROM scored WHERE file_name NOT IN (SELECT file_name FROM seed) ORDER BY score DESC, file_name LIMIT 10)),
+own AS (SELECT file_name % 50 AS album, sum(factor) AS factor FROM seed GROUP BY 1),
+mean AS (SELECT list(x ORDER BY pos) AS e FROM (SELECT pos, sum(factor * x) / sum(factor) AS x FROM (SELECT factor, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM tracks JOIN own USING (album)) GROUP BY pos))
 SELECT album, vec_id, round(distance, 6) AS distance FROM (SELECT album, vec_id, 1 - {COSINE.format("embedding", "e")} AS distance,
-  row_number() OVER (PARTITION BY album ORDER BY 1 - {COSINE.format("embedding", "e")}, vec_id) AS r FROM tracks, mean WHERE album IN (10, 11, 12, 13, 14)) WHERE r = 1""")
+  row_number() OVER (PARTITION BY album ORDER BY 1 - {COSINE.format("embedding", "e")}, vec_id) AS r FROM tracks JOIN recommended USING (album), mean) WHERE r = 1""")
 def playlist_draft(spark, sf_dir):
-    tracks = table(spark, sf_dir, "embeddings").withColumn("album", (F.col("vec_id") % 40).cast("int"))
-    seed = spark.createDataFrame([(3, 2), (5, 1)], "album int, factor int")
-    recommended = spark.range(10, 15).select(F.col("id").cast("int").alias("album"))
-    return recommend.playlist_draft(recommended, tracks, seed, "album", "vec_id", "embedding").select("album", "vec_id", F.round("distance", 6).alias("distance"))
+    """For each recommended album its track nearest to the seed's mean track: fifty sets of tracks, dealt to the parts."""
+    c, seed = _assessed(spark, sf_dir)
+    of = (F.col("file_name") % 50).alias("album")
+    tracks = table(spark, sf_dir, "embeddings").withColumn("album", F.col("vec_id") % 50)
+    request = recommend.Request(exclude_known_artists=False, least_tags={"primary": 1, "secondary": 1, "descriptor": 1})
+    best = recommend.recommend("quantile", catalogue=c, seed=seed, settings=ranking.Settings(), request=request, c=recommend.Columns())
+    own = seed.groupBy(of).agg(F.sum("factor").alias("factor"))
+    return recommend.playlist_draft(best.select(of).distinct(), tracks, own, "album", "vec_id", "embedding").select("album", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@plans.add("""
+WITH up AS (SELECT vec_id * 2 AS vec_id, label, embedding FROM embeddings)
+SELECT label, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, (SELECT count(*) FROM up) AS received FROM (
+  SELECT vec_id, label FROM embeddings WHERE (vec_id, label) NOT IN (SELECT (vec_id, label) FROM up) UNION ALL SELECT vec_id, label FROM up) WHERE label <> 3 GROUP BY label""")
+def embedding_upload(spark, sf_dir):
+    """A bulk upload into the stored vectors, and the delete of one kind."""
+    stored = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    up = stored.withColumn("vec_id", F.col("vec_id") * 2)
+    kept, received = vector_search.put_embeddings(stored, up, ["vec_id", "label"], "embedding", [F.col("vec_id")])
+    kept = vector_search.delete_embeddings(kept, spark.createDataFrame([(3,)], "label int"), ["label"])
+    return kept.groupBy("label").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids")).withColumn("received", received.select("received").scalar())
 
 
 @plans.add("SELECT DISTINCT label FROM embeddings")

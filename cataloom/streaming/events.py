@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cataloom.operators.catalog import delete, latest_by, upsert
+from cataloom.operators import graph, lookups
+from cataloom.operators.catalog import latest_by
 from cataloom.operators.eventlog import FAILED_STATES
 
 
@@ -47,44 +48,41 @@ def fold_state_stream(events: DataFrame, key: str, sequence: str, state: Column)
 
 
 class KeyedTable:
-    """A read model by key in versions of Parquet files: a batch writes the version of its number from the one before,
-    so running a batch again replaces what it wrote. Old versions are left for readers until ``vacuum``."""
+    """A read model by key: the changed rows of each batch as a Parquet partition ``batch=<number>``, so that running a
+    batch again replaces what it wrote. Readers take the last change of each key; what a batch costs follows its own
+    rows, not the table."""
 
     def __init__(self, spark: SparkSession, path: str, key: str) -> None:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+    def _exists(self) -> bool:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
     def read(self, before: int | None = None) -> DataFrame | None:
-        """The latest version, or the latest before a batch; None if there is none."""
-        found = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/version={found[-1]}") if found else None
-
-    def _write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/version={batch}")
+        """The rows at hand, or those before a batch; None if nothing was ever written."""
+        if not self._exists():
+            return None
+        rows = self.spark.read.parquet(self.path)
+        kept = [c for c in rows.columns if c not in ("__deleted", "__order", "batch")]
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*kept, "__deleted"), F.struct("__order", "batch")).alias("__row"))
+        return last.where("not __row.__deleted").select(*[F.col("__row")[c].alias(c) for c in kept])
 
     def merge(self, rows: DataFrame, batch: int, order: list[Column], deleted: Column | None = None) -> None:
         """Take in the last row of each key; rows for which ``deleted`` holds remove their key."""
         last = latest_by(rows, [self.key], order)
-        gone = None if deleted is None else last.where(deleted)
-        kept = last if deleted is None else last.where(~deleted)
-        base = self.read(batch)
-        if base is not None:
-            kept = upsert(delete(base, gone, self.key) if gone is not None else base, kept, self.key, order)
-        self._write(kept, batch)
+        marks = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
+        last = last.withColumns({"__deleted": marks, "__order": F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)])})
+        last.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
-    def vacuum(self, keep: int = 2) -> None:
-        jvm = self.spark.sparkContext._jvm
-        fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        for version in self._versions()[:-keep]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={version}"), True)
+    def rewrite(self, path: str) -> KeyedTable:
+        """The rows at hand as a new table without history, for readers to move to."""
+        rows = self.read()
+        out = KeyedTable(self.spark, path, self.key)
+        if rows is not None:
+            out.merge(rows, -1, [F.lit(0)])
+        return out
 
 
 def compact_stream(events: DataFrame, table: KeyedTable, sequence: str, checkpoint: str, deleted: Column | None = None) -> StreamingQuery:
@@ -139,3 +137,19 @@ def export(rows: DataFrame, batch: int, parents: KeyedTable, children: dict[str,
     parents.merge(last.drop(*children), batch, [F.col(sequence)])
     for column, (key, table) in children.items():
         table.merge(last.select(F.col(parents.key).alias(key), sequence, column), batch, [F.col(sequence)])
+
+
+def sync_graph(changed: DataFrame, batch: int, edges: KeyedTable, sequence: str, edges_of: Callable[[DataFrame], DataFrame]) -> None:
+    """Keep a graph in step with changed nodes: the edges of each changed source are replaced as one value, so edges that
+    a node no longer has go. ``edges_of`` gives (src, dst, type, weight) of nodes; a node without edges has an empty list."""
+    last = latest_by(changed, [edges.key], [F.col(sequence)])
+    listed = graph.edge_lists(edges_of(last))
+    rows = last.select(edges.key, sequence).join(listed.withColumnRenamed("src", edges.key), edges.key, "left")
+    edges.merge(rows.withColumn("edges", F.coalesce("edges", F.array().cast(listed.schema["edges"].dataType))), batch, [F.col(sequence)])
+
+
+def run_lists(batch: DataFrame, number: int, components_of: Callable[[DataFrame], DataFrame], out: str) -> None:
+    """Run the lists of a batch of requests: components to enqueue again, statuses and events, each a folder by batch."""
+    roots = batch.select("root").distinct()
+    for name, rows in zip(("enqueued", "statuses", "events"), lookups.run_lists(roots, components_of(roots), "root", "is_segment"), strict=True):
+        rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")

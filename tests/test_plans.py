@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"jaro_winkler_best", "knn_graph", "page_outline", "parse_album_pages", "parse_chart_pages", "parse_artist_pages", "parse_list_pages", "parse_events"}
+PYTHON = {"jaro_winkler_best", "knn_graph", "page_outline", "parse_album_pages", "parse_chart_pages", "parse_artist_pages", "parse_list_pages", "parse_events", "parse_search_pages", "fuzzy_candidates"}
 ONE_ROW_CROSS = {"catalogue_monitor", "keyset_page", "knn_filtered", "similar_excluding_self", "embedding_recommend", "reranked_recommend", "best_track_per_item", "playlist_draft"}
 
 

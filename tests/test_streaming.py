@@ -44,8 +44,36 @@ def test_compaction_stream_equals_batch_and_repeats_safely(spark, log, tmp_path)
     # A replay from the start over the same table.
     streams.compact_stream(streams.read_log(spark, path, rows.schema), table, "event_id", f"{tmp_path}/c2").awaitTermination()
     assert {(r.user_id, r.event_id) for r in table.read().collect()} == expected
-    table.vacuum(1)
-    assert {(r.user_id, r.event_id) for r in table.read().collect()} == expected
+    fresh = table.rewrite(f"{tmp_path}/fresh")
+    assert {(r.user_id, r.event_id) for r in fresh.read().collect()} == expected
+
+
+def test_a_batch_writes_its_own_rows_only(spark, tmp_path):
+    table = streams.KeyedTable(spark, f"{tmp_path}/t", "k")
+    one = lambda rows: spark.createDataFrame(rows, "k string, seq long, gone boolean")
+    table.merge(one([(f"k{i}", i, False) for i in range(50)]), 0, [F.col("seq")], F.col("gone"))
+    table.merge(one([("k1", 100, True), ("new", 101, False)]), 1, [F.col("seq")], F.col("gone"))
+    assert spark.read.parquet(f"{tmp_path}/t/batch=1").count() == 2
+    assert {r.k for r in table.read().collect()} == {f"k{i}" for i in range(50) if i != 1} | {"new"} and table.read(1).count() == 50
+    table.merge(one([("new", 101, False)]), 1, [F.col("seq")], F.col("gone"))
+    assert table.read().count() == 51
+
+
+def test_graph_sync_drops_stale_edges(spark, tmp_path):
+    edges = streams.KeyedTable(spark, f"{tmp_path}/edges", "album")
+    of = lambda albums: albums.select(F.col("album").alias("src"), F.explode("genres").alias("dst"), F.lit("PRIMARY").alias("type"), F.lit(3.0).alias("weight"))
+    schema = "album string, seq long, genres array<string>"
+    streams.sync_graph(spark.createDataFrame([("a", 1, ["x", "y"]), ("b", 2, ["x"])], schema), 0, edges, "seq", of)
+    streams.sync_graph(spark.createDataFrame([("a", 3, ["y"]), ("b", 4, [])], schema), 1, edges, "seq", of)
+    assert {(r.album, e.dst) for r in edges.read().collect() for e in r.edges} == {("a", "y")}
+
+
+def test_list_runs_of_a_batch(spark, tmp_path):
+    components = spark.createDataFrame([(1, "s1", 1, True), (1, "i1", 6, False), (2, "s2", 6, True)], "root long, component string, state int, is_segment boolean")
+    streams.run_lists(spark.createDataFrame([(1,), (2,), (3,), (1,)], "root long"), 0, lambda roots: components.join(roots, "root"), f"{tmp_path}/out")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}").drop("batch").collect()
+    assert [tuple(r) for r in read("enqueued")] == [(1, "s1")]
+    assert {(r.root, r.status) for r in read("statuses")} == {(1, "Started"), (2, "Completed"), (3, "Invalid")} and len(read("events")) == 3
 
 
 def test_deletes_and_pause(spark, log, tmp_path):
