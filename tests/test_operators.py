@@ -36,6 +36,17 @@ def test_page_types_and_names(spark):
     assert values(frame.where("name = 'list/u/name/2'"), scalars.list_root(F.col("file"))) == ["list/u/name"]
 
 
+def test_page_types_are_exact(spark):
+    """The forms as they are, without trimming, and near misses of each."""
+    cases = {
+        "release/album/a/b": "album", "release/mixtape/x": "album", "release/single/x": None, "Release/album/x": None, "charts/2024/album/1/": "chart", "charts/top/ep/x": "chart", "charts/top/song/2020": None, "charts/top/album": None, "charts/a-b/album/1": None,
+        "search?searchterm=foo&searchtype=l": "album_search_result", "search?searchterm=&searchtype=l": None, "search?searchtype=l": None, "search?searchterm=foo&x=1&searchtype=l": None, "search?searchterm=foo&searchtype=la": None, "search?searchterm=foo&searchtype=l\n": None,
+        "artist/foo": "artist", "artists": "artist", "list/u1/long-name_2": "list_segment", "list/u1/long-name/": "list_segment", "list/u1/long-name/1": "list_segment", "list/u1/long-name/1/": "list_segment", "list/u-1/name": None, "list/u1/na.me": None, "list/u1/name/x": None, "list/u1": None, "list/é/ü": "list_segment", "invalid": None,
+    }
+    frame = spark.createDataFrame(list(cases.items()), "name string, kind string")
+    assert {r.name: r.got for r in frame.withColumn("got", scalars.page_type(F.col("name"))).collect()} == cases
+
+
 def test_dates_ulid_chunks_and_folding(spark):
     dates = spark.createDataFrame([("3 May 1991",), ("May 1991",), ("1991",), ("soon",), ("",), (None,)], "t string")
     assert values(dates, scalars.release_date(F.col("t"))) == [date(1991, 5, 3), date(1991, 5, 1), date(1991, 1, 1), None, None, None]
@@ -242,6 +253,13 @@ def test_duplicates_and_best_match(spark):
     assert [(r.q, r.k) for r in resolve.best_match(queries, rows, "q", "name", "k", "artist").collect()] == [("Cafes", 1)]
 
 
+def test_match_candidates_skip_singles_and_stop_at_five(spark):
+    rows = spark.createDataFrame([(k, f"song{k}", "x", "album") for k in range(8)] + [(9, "song", "x", "single")], "k int, name string, artist string, kind string")
+    queries = spark.createDataFrame([("song", "x"), ("zzz", "x"), ("song", "y")], "q string, artist string")
+    found = resolve.match_candidates(queries, rows, "q", "name", "k", "artist", "kind").orderBy("candidate").collect()
+    assert [(r.candidate, r.k) for r in found] == [(n + 1, n) for n in range(5)]
+
+
 def test_list_statuses(spark):
     cases = {"invalid": [], "started": [("s1", 1), ("i", 6)], "progress": [("s1", 4), ("s2", 1)], "failed": [("s1", 5), ("i", 5)], "completed": [("s1", 6), ("i", 5)], "open": [("s1", 6), ("i", 3)]}
     rows = spark.createDataFrame([(r, c, s) for r, some in cases.items() for c, s in some], "root string, component string, state int").withColumn("seg", F.col("component").startswith("s"))
@@ -286,6 +304,28 @@ def test_state_fold_property(spark, states):
     assert [r.state for r in eventlog.fold_states(rows, "file", "id", F.col("state")).collect()] == ([now] if now else [])
 
 
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(1, 6), st.sampled_from(["a", "b", None])), min_size=1, max_size=20), min_size=1, max_size=6))
+def test_lookup_fold_equals_python(spark, logs):
+    wanted, rows, seq = {}, [], 0
+    for k, log in enumerate(logs):
+        step, by = 0, None
+        for new, correlation in log:
+            seq += 1
+            rows.append((f"f{k}", seq, new, correlation))
+            if new > step or correlation != by:
+                step, by = new, correlation
+        wanted[f"f{k}"] = (step, by)
+    frame = spark.createDataFrame(rows, "file string, id long, step int, by string")
+    assert {r.file: (r.step, r.correlation) for r in eventlog.fold_lookups(frame, "file", "id", F.col("step"), "by").collect()} == wanted
+
+
+def test_chunks_of_the_log(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, None), (11, "a")], "id long, by string")
+    assert {r.id: r.chunk for r in eventlog.chunked(rows, "id", 10, "by").collect()} == {1: "g:a/0", 2: "g:a/0", 3: "g:b/0", 4: "e:4", 5: "e:5", 11: "g:a/1"}
+    assert {r.chunk for r in eventlog.chunked(rows, "id", 10).collect()} == {"0", "1"}
+
+
 def test_compaction_is_idempotent_and_keeps_keyless(spark):
     rows = spark.createDataFrame([(1, "a", "k"), (2, "a", "k"), (3, "a", None), (4, "a", None)], "id long, topic string, key string")
     once = eventlog.compact(rows, ["topic", "key"], "id")

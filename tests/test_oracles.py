@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import importlib
 import math
 import os
 
@@ -15,6 +16,10 @@ SF = "/root/testdata/sf0.001"
 QUERIES = {n: q for n, q in entry.queries().items() if not n.startswith("op") and n != "pipeline"} | {n: q for n, q in entry.queries().items() if n.startswith("op") and n in entry.oracle_sql()}
 
 
+#: Queries that SQL can't express, and the test that compares them with something else.
+ELSEWHERE = {"fastrp_embeddings": "test_operators.test_fast_rp_is_stable_and_keeps_neighbours_close"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
@@ -36,7 +41,8 @@ def test_query(spark, duck, name):
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=str)
     sql = entry.oracle_sql().get(name)
     if sql is None:
-        assert rows or frame.columns
+        module, _, test = ELSEWHERE[name].partition(".")
+        assert rows and hasattr(importlib.import_module(f"tests.{module}"), test)
         return
     result = duck.execute(sql)
     names = [d[0] for d in result.description]
