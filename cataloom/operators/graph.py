@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cataloom.sources.storage import written
+
 # Weights of the undirected projection, by edge type.
 EDGE_WEIGHTS = {"ALBUM_ARTIST": 4.0, "CREDITED": 2.0, "DESCRIPTOR": 1.0, "LANGUAGE": 1.0, "PRIMARY": 3.0, "SECONDARY": 1.0}
 
@@ -51,16 +55,16 @@ def scaled(weight: float) -> Column:
 def fast_rp(graph: DataFrame, dims: int = 64, weights: tuple[float, ...] = (0.0, 1.0, 1.0), seed: int = 42) -> DataFrame:
     """(id, embedding): the weighted sum of L2-normalised neighbour means of 1, 2, ... steps from a random projection.
 
-    ``graph`` is undirected (src, dst, weight). A round is one join of the edges with the vectors and one aggregation of
-    vectors by component, with partial sums before the shuffle."""
+    ``graph`` is undirected (src, dst, weight). A round is one join of the edges with the vectors and one weighted mean of
+    vectors, with partial sums before the shuffle. What two steps read is written once."""
+    graph = written(graph, "graph")
     ids = graph.select(F.col("src").alias("id")).distinct()
     current = ids.withColumn("v", random_projection(F.col("id"), dims, seed))
     total = current.select("id", F.transform("v", lambda x: x * weights[0]).alias("e"))
     for weight in weights[1:]:
         sums = graph.join(current, graph["dst"] == current["id"]).select("src", "weight", "v")
-        mean = [(F.sum(F.col("weight") * F.col("v")[k]) / F.sum("weight")).alias(f"c{k}") for k in range(dims)]
-        moved = sums.groupBy(F.col("src").alias("id")).agg(*mean).select("id", F.array(*[f"c{k}" for k in range(dims)]).alias("v"))
+        moved = sums.groupBy(F.col("src").alias("id")).agg(vector_to_array(Summarizer.mean(array_to_vector("v"), F.col("weight"))).alias("v"))
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        current = moved.select("id", F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")).alias("v"))
+        current = written(moved.select("id", F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")).alias("v")), "vectors")
         total = total.join(current, "id").select("id", F.zip_with("e", scaled(weight), lambda a, b: a + b).alias("e"))
     return total.withColumnRenamed("e", "embedding")
