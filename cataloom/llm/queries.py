@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.llm import bpe, decontaminate, embedding_dedup, html_crf, jaccard_join, language_id, sharding, suffix_dedup, toxicity, url_filter
+from cataloom.llm import bpe, decontaminate, embedding_dedup, hard_negatives, html_crf, jaccard_join, language_id, piece_bpe, sharding, suffix_dedup, toxicity, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +100,30 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, url_feed(spark), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; where 7 divides the id, the label moves on by one first."""
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitened coordinates of every vector."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def piece_path() -> str:
+    """The place of the SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the SentencePiece model and decoded again."""
+    return piece_bpe.encode_texts(_table(spark, sf_dir, "documents"), piece_path()).withColumnRenamed("id", "doc_id")
+
+
 OP10_SQL = r"""
 WITH parts AS (
   SELECT page_id, instr(url, '://') AS cut, url FROM pages
@@ -159,6 +183,24 @@ SELECT doc_id, CAST((SELECT count(*) FROM links WHERE a = doc_id) AS BIGINT) AS
 FROM documents JOIN least ON doc_id = node
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 OP7_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
 w AS (SELECT doc_id, s, md5(substr(hx, 2 * s + 1, 200)) AS g FROM (SELECT doc_id, hx, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)),
@@ -175,8 +217,8 @@ FROM d LEFT JOIN pieces USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_jaccard_join, op4_html_extraction, op5_toxicity, op6_embedding_dedup, op7_suffix_dedup, op8_sharding, op9_bpe, op10_url_filter, op11_hard_negatives, op12_whitening, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op6_embedding_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_jaccard_join": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op6_embedding_dedup": OP6_SQL, "op10_url_filter": OP10_SQL, "op11_hard_negatives": OP11_SQL}

@@ -21,6 +21,9 @@ COLUMNS = {
     "op8_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op10_url_filter": "page_id bigint, host string, path string, rule string, verdict string",
+    "op11_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op12_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op13_sentencepiece": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 
 
@@ -30,7 +33,7 @@ def test_columns_and_rows(spark, name):
     assert ", ".join(f"{c} {t}" for c, t in out.dtypes) == COLUMNS[name]
     rows = out.collect()
     source = "pages" if name in ("op4_html_extraction", "op10_url_filter") else "embeddings" if name == "op6_embedding_dedup" else "documents"
-    if name != "op1_decontaminate":
+    if name not in ("op1_decontaminate", "op11_hard_negatives", "op12_whitening"):
         assert len(rows) == spark.read.parquet(f"{SF}/{source}.parquet").count()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     crc = lambda k: zlib.crc32(str(k).encode())
@@ -52,3 +55,11 @@ def test_columns_and_rows(spark, name):
             ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
             assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
             assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    if name == "op13_sentencepiece":
+        from sentencepiece import SentencePieceProcessor
+
+        library = SentencePieceProcessor(model_file=queries.piece_path())
+        for r in rows:
+            ids = library.encode(texts[r.doc_id])
+            assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
