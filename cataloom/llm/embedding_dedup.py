@@ -1,9 +1,9 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products, one representative a group.
 
 The vectors of a label are placed in the cells of their nearest centres and compared within cells. How many cells a
-vector takes is fitted with the centres: so many that two vectors exactly at the threshold share one with the target
-recall. The number of cells grows with the vectors, that of cells a vector takes hardly does, so no step compares all
-pairs of a label. A label that fits one cell is compared whole, without any loss.
+vector takes is measured for the centres on vectors that had no part in fitting them: so many that two vectors exactly at
+the threshold share one with the target recall. The number of cells grows with the vectors, that of cells a vector takes
+much more slowly, so no step compares all pairs of a label. A label that fits one cell is compared whole, without any loss.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from cataloom.llm.text import raw_bytes
 
 THRESHOLD = 0.93
 #: Distinct vectors of a label for each cell, in expectation, and most cells of a label (from 8.4 million vectors on cells
-#: grow instead; they are compared in blocks, so nothing is lost).
+#: grow instead; they are compared in blocks).
 CELL_ROWS, MAX_CELLS = 1024, 8192
-#: k-means is fitted for each label on at most so many vectors (those with the least hash), in so many rounds.
-FIT_ROWS, ITERATIONS = 65_536, 8
-#: Share of pairs at the threshold that share a cell; pairs that are made to measure it.
+#: k-means is fitted for each label on at most so many vectors (by least hash), so that a cell gets 16 or more; rounds.
+FIT_ROWS, ITERATIONS = 131_072, 8
+#: Share of pairs at the threshold that share a cell; pairs that are made to measure it, from vectors left out of fitting.
 TARGET_RECALL, TRIAL_PAIRS = 0.999, 4096
 #: A cell is compared in blocks of so many vectors, and so many products are held at a time; vectors placed at a time.
 BLOCK, TILE, PLACED = 8192, 1 << 20, 16_384
@@ -63,12 +63,12 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ITERATIONS) -> np.ndar
 def cells_needed(x: np.ndarray, c: np.ndarray, threshold: float) -> int:
     """How many of the nearest cells two vectors must take to share one with ``TARGET_RECALL``.
 
-    Measured on pairs at exactly the threshold: rows of the sample, and each turned by that angle in a random direction
-    of the sample's own spread."""
+    Measured on pairs at exactly the threshold: the rows of ``x``, none of which the centres may be fitted on (they would
+    sit on their own centres), and each turned by that angle in a random direction of their own spread."""
     if len(c) == 1:
         return 1
     rng = np.random.default_rng(len(x))
-    a = x[:TRIAL_PAIRS]
+    a = x
     values, axes = np.linalg.eigh(np.cov(x.T) + 1e-12 * np.eye(x.shape[1]))
     turn = (rng.normal(size=a.shape) * np.sqrt(np.maximum(values, 0))) @ axes.T
     turn -= (turn * a).sum(axis=1, keepdims=True) * a
@@ -87,6 +87,15 @@ def cells_needed(x: np.ndarray, c: np.ndarray, threshold: float) -> int:
     return int(np.quantile(np.concatenate(needed), TARGET_RECALL, method="higher"))
 
 
+def fit_cells(x: np.ndarray, n: int, threshold: float) -> tuple[np.ndarray, int]:
+    """Centres for ``n`` vectors of which the unit rows ``x`` are a random part, in random order, and how many cells a
+    vector takes. Some rows are kept from fitting to measure that."""
+    trial = min(TRIAL_PAIRS, len(x) // 2)
+    fitted = x[trial:].astype(np.float32)
+    c = spherical_kmeans(fitted, int(min(MAX_CELLS, -(-n // CELL_ROWS), max(1, len(fitted) // 8))))
+    return c, cells_needed(x[:trial], c, threshold)
+
+
 def first_shared(cells: np.ndarray, cell: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether ``cell`` is the least cell that both rows of a pair are in. Rows of ``cells`` are in order."""
     out = np.ones(len(i), bool)
@@ -175,18 +184,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: st
     known = classes.join(F.broadcast(counts), ["label", "dims"]) if counts.count() <= 100_000 else classes.join(counts, ["label", "dims"])
     known = known.withColumn("part", F.pmod(F.xxhash64("k"), parts).cast("int"))
     wide = known.where(F.col("n") > CELL_ROWS)
-    sample = wide.where(head * F.col("n") <= FIT_ROWS)
+    sample = wide.where(head * F.col("n") <= FIT_ROWS + TRIAL_PAIRS)
     centre = pa.schema([("label", to_arrow_type(label_type)), ("dims", pa.int32()), ("part", pa.int32()), ("taken", pa.int32()), ("centres", pa.binary())])
 
     def fit(table: pa.Table) -> pa.Table:
         """Centres and cells to take of one label, a row for each part of its vectors."""
         table = table.combine_chunks()
-        k = pc.sort_indices(table, sort_keys=[("k", "ascending")])[:FIT_ROWS]
+        k = pc.sort_indices(table, sort_keys=[("k", "ascending")])[: FIT_ROWS + TRIAL_PAIRS]
         table = table.take(k).combine_chunks()
         n, dims = table["n"][0].as_py(), table["dims"][0].as_py()
         x = unit(np.frombuffer(raw_bytes(table["v"])[0], number).reshape(-1, dims))
-        c = spherical_kmeans(x, int(min(MAX_CELLS, -(-n // CELL_ROWS), max(1, len(x) // 8))))
-        taken = cells_needed(x, c, threshold)
+        c, taken = fit_cells(x, n, threshold)
         out = -(-n // PLACED)
         label = table["label"].take(pa.array(np.zeros(out, np.int64)))
         return pa.Table.from_arrays([label, pa.array([dims] * out, pa.int32()), pa.array(range(out), pa.int32()), pa.array([taken] * out, pa.int32()), pa.array([c.astype(np.float32).tobytes()] * out, pa.binary())], schema=centre)
