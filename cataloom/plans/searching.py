@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cataloom.functions import scalars
-from cataloom.operators import search, stores
+from cataloom.operators import search, stores, text_index
 from cataloom.plans.catalogue import catalogue
 from cataloom.plans.registry import Plans
+from cataloom.sources.storage import new_folder
 from cataloom.sources.tables import table
 
 plans = Plans()
@@ -160,3 +161,85 @@ def store_get_many(spark, sf_dir):
     latest = rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max("expires_at").alias("expires_at"))
     keys = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
     return stores.get_many(latest.join(store.select("user_id"), "user_id", "left_semi"), keys, "user_id", F.lit("2024-01-31").cast("timestamp_ntz")).select("user_id", "event_id")
+
+
+TOKENS_SQL = TERMS_SQL.replace("list_distinct(", "", 1)[:-1]
+ONE_SQL = r"regexp_replace(regexp_replace({0}, '(ss|i)es$', '\1'), '(.[^s])s$', '\1')"
+VOWEL_SQL = "([aeiou]|.y)"
+#: The stem of w in three levels: one, bare (without ed or ing) and the whole.
+STEM_SQL = rf"""
+  SELECT *, CASE WHEN length(w) <= 2 THEN w WHEN regexp_matches(two, '{VOWEL_SQL}.*y$') THEN regexp_replace(two, 'y$', 'i') ELSE two END AS term FROM (
+  SELECT *, CASE WHEN one LIKE '%eed' THEN CASE WHEN regexp_matches(one, '{VOWEL_SQL}[^aeiouy]+eed$') THEN regexp_replace(one, 'd$', '') ELSE one END
+    WHEN regexp_matches(one, '{VOWEL_SQL}.*(ed|ing)$') THEN CASE WHEN regexp_matches(bare, '(at|bl|iz)$') THEN bare || 'e'
+      WHEN regexp_matches(bare, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(bare, length(bare) - 1) WHEN regexp_matches(bare, '^[^aeiou]+[aeiouy][^aeiouwxy]$') THEN bare || 'e' ELSE bare END
+    ELSE one END AS two FROM (
+  SELECT *, regexp_replace(one, '(ed|ing)$', '') AS bare FROM (SELECT *, {ONE_SQL.format("w")} AS one FROM (__WORDS__))))"""
+#: Postings, corpus and scores: __TEXTS__ gives (key, f, weight), __ASKED__ gives (query_id, text).
+BM25_SQL = f"""
+texts AS (__TEXTS__), words AS (SELECT key, weight, unnest({TOKENS_SQL.replace("text", "f")}) AS w FROM texts),
+sizes AS (SELECT key, sum(weight * len({TOKENS_SQL.replace("text", "f")})) AS length FROM texts GROUP BY key), corpus AS (SELECT count(*) AS n, avg(length) AS mean FROM sizes),
+postings AS (SELECT key, term, sum(weight) AS tf FROM ({STEM_SQL.replace("__WORDS__", "SELECT * FROM words")}) GROUP BY key, term),
+counts AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+queries AS (__ASKED__), query_words AS (SELECT query_id, unnest({TOKENS_SQL}) AS w FROM queries),
+asked AS (SELECT DISTINCT query_id, term AS asked FROM ({STEM_SQL.replace("__WORDS__", "SELECT * FROM query_words")})),
+near AS (__NEAR__),
+hits AS (SELECT query_id, asked, key, max(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score
+  FROM near JOIN counts USING (term) JOIN postings USING (term) JOIN sizes USING (key), corpus GROUP BY query_id, asked, key),
+found AS (SELECT query_id, key, round(sum(score), 9) AS score, count(*) AS met FROM hits GROUP BY query_id, key)"""
+EXACT_SQL = "SELECT query_id, asked, asked AS term, 1.0 AS boost FROM asked"
+EDITS_SQL = "CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END"
+FUZZY_SQL = f"""SELECT query_id, asked, term, 1 - e / least(length(asked), length(term)) AS boost FROM (SELECT query_id, asked, term, levenshtein(asked, term) AS e FROM asked, counts
+  WHERE abs(length(asked) - length(term)) <= 2) WHERE e <= {EDITS_SQL}"""
+
+
+def bm25_sql(texts: str, asked: str, near: str, select: str) -> str:
+    return "WITH " + BM25_SQL.replace("__TEXTS__", texts).replace("__ASKED__", asked).replace("__NEAR__", near) + select
+
+
+ALBUM_TEXTS_SQL = """SELECT p_partkey AS key, p_name AS f, 2.0 AS weight FROM part UNION ALL
+  SELECT p_partkey, names, 1.0 FROM part LEFT JOIN (SELECT l_partkey, string_agg(DISTINCT s_name, ' ') AS names FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY l_partkey) ON p_partkey = l_partkey"""
+
+
+def album_index(spark, sf_dir) -> text_index.TextIndex:
+    """Part names with weight 2, the names of their suppliers as artists with weight 1."""
+    line, supplier = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct(), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    artists = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_partkey").agg(F.concat_ws(" ", F.collect_set("s_name")).alias("artists"))
+    rows = table(spark, sf_dir, "part").join(artists, F.col("p_partkey") == F.col("l_partkey"), "left").select("p_partkey", "p_name", "artists")
+    return text_index.TextIndex.build(rows, "p_partkey", {"p_name": 2.0, "artists": 1.0}, new_folder(spark, "album-index"))
+
+
+def document_index(spark, sf_dir) -> text_index.TextIndex:
+    return text_index.TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0}, new_folder(spark, "document-index"))
+
+
+@plans.add(bm25_sql(ALBUM_TEXTS_SQL, "SELECT 0 AS query_id, 'Hot Rings, Supplier 000000007' AS text", EXACT_SQL, """
+SELECT key AS file_name, round(score, 6) AS score FROM found WHERE met = (SELECT count(*) FROM asked) ORDER BY found.score DESC, key LIMIT 20"""))
+def text_search_ranked(spark, sf_dir):
+    """Albums and artists that hold all terms, best first."""
+    return album_index(spark, sf_dir).search("Hot Rings, Supplier 000000007", 20).select(F.col("key").alias("file_name"), F.round("score", 6).alias("score"))
+
+
+@plans.add(bm25_sql("SELECT doc_id AS key, text AS f, 1.0 AS weight FROM documents", "SELECT 0 AS query_id, 'thereblu tionings, ouentre' AS text", FUZZY_SQL, """
+SELECT key AS doc_id, round(score, 6) AS score FROM found ORDER BY found.score DESC, key LIMIT 20"""))
+def text_search_fuzzy_ranked(spark, sf_dir):
+    """Documents that hold any of the terms or one within the edits that its length allows, best first."""
+    return document_index(spark, sf_dir).search("thereblu tionings, ouentre", 20, need_all=False, fuzzy=True).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@plans.add(bm25_sql("SELECT doc_id AS key, text AS f, 1.0 AS weight FROM documents", "SELECT item_id AS query_id, text FROM benchmark", EXACT_SQL, """
+SELECT query_id AS item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS INTEGER) AS rank, key AS doc_id, round(score, 6) AS score FROM found QUALIFY rank <= 10"""))
+def text_search_many(spark, sf_dir):
+    """The ten documents most like each benchmark item, in one pass for all items."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = document_index(spark, sf_dir).search_many(items, 10, need_all=False)
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@plans.add(f"""
+WITH dictionary AS (SELECT DISTINCT unnest({TERMS_SQL}) AS term FROM documents), words AS (SELECT DISTINCT unnest({TERMS_SQL}) AS asked FROM benchmark)
+SELECT asked, term, edits FROM (SELECT asked, term, CAST(levenshtein(asked, term) AS INTEGER) AS edits FROM words JOIN dictionary ON abs(length(asked) - length(term)) <= {EDITS_SQL}) WHERE edits <= {EDITS_SQL}""")
+def near_terms(spark, sf_dir):
+    """For each distinct word of the benchmark, the words of all documents within the edits that its length allows."""
+    dictionary = table(spark, sf_dir, "documents").select(F.explode(scalars.terms(F.col("text"))).alias("term"))
+    words = table(spark, sf_dir, "benchmark").select(F.explode(scalars.terms(F.col("text"))).alias("asked"))
+    return text_index.near_terms(words, text_index.neighbourhoods(dictionary))
