@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cataloom.operators import profiles as people
-from cataloom.operators import ranking, recommend, resolve, summary, vector_search
+from cataloom.operators import ranking, recommend, resolve, summary, tracks, vector_index, vector_search
 from cataloom.plans.catalogue import catalogue
 from cataloom.plans.registry import Plans
-from cataloom.sources.storage import written
+from cataloom.sources.storage import new_folder, written
 from cataloom.sources.tables import table
 
 plans = Plans()
@@ -206,6 +206,50 @@ def knn_graph(spark, sf_dir):
     return vector_search.neighbour_graph(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", "label", 10).withColumn("similarity", F.round("similarity", 6))
 
 
+@plans.add()
+def knn_approximate(spark, sf_dir):
+    """About the ten nearest of the same three labels for every hundredth vector, from an index of cells and codes."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = vector_index.VectorIndex.build(rows, "vec_id", "embedding", new_folder(spark, "vector-index"), ["label"])
+    found = index.search_many(rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10, where=F.col("label").isin(1, 4, 7))
+    return found.select("query_id", "rank", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+#: Line items as tracks of a part, with nine numbers of theirs as features in the place of audio features.
+TRACKS_SQL = """tracks AS (SELECT l_orderkey * 10 + l_linenumber AS spotify_id, l_partkey AS album_file_name, [CAST(l_discount AS FLOAT), CAST(l_tax AS FLOAT), CAST(l_discount * l_tax AS FLOAT),
+  CAST(l_linenumber / 7.0 AS FLOAT), CAST(l_discount + l_tax AS FLOAT), CAST(-l_quantity AS FLOAT), CAST(l_suppkey % 10 / 10.0 AS FLOAT), CAST(l_extendedprice / 500 AS FLOAT), CAST(l_partkey % 10 / 10.0 AS FLOAT)] AS e FROM lineitem)"""
+
+
+def tracks_of(spark, sf_dir):
+    values = ["l_discount", "l_tax", "l_discount * l_tax", "l_linenumber / 7.0D", "l_discount + l_tax", "-l_quantity", "l_suppkey % 10 / 10.0D", "l_extendedprice / 500", "l_partkey % 10 / 10.0D"]
+    features = F.struct(*[F.expr(v).alias(name) for name, v in zip(tracks.FEATURES, values, strict=True)])
+    line = table(spark, sf_dir, "lineitem")
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("spotify_id"), F.col("l_partkey").alias("album_file_name"), tracks.feature_vector(features).alias("embedding"))
+
+
+@plans.add(f"""
+WITH {TRACKS_SQL}, q AS (SELECT e AS q FROM tracks ORDER BY spotify_id LIMIT 1)
+SELECT spotify_id, album_file_name, round({COSINE.format("e", "q")}, 6) AS similarity FROM tracks, q WHERE album_file_name IN (SELECT p_partkey FROM part WHERE p_size < 20)
+ORDER BY 1 - {COSINE.format("e", "q")}, spotify_id LIMIT 50""")
+def track_knn_filtered(spark, sf_dir):
+    """The tracks of small albums nearest to the first track."""
+    rows = tracks_of(spark, sf_dir)
+    query = rows.agg(F.min_by("embedding", "spotify_id").alias("mean_vector"))
+    albums = table(spark, sf_dir, "part").where("p_size < 20").select("p_partkey")
+    out = tracks.similar_tracks(rows, tracks.TrackFilter(albums=albums), query, 50)
+    return out.select("spotify_id", "album_file_name", F.round("similarity", 6).alias("similarity"))
+
+
+@plans.add(f"""
+WITH {TRACKS_SQL}, found AS (SELECT * FROM tracks WHERE album_file_name IN (SELECT p_partkey FROM part WHERE p_size < 3))
+SELECT spotify_id, album_file_name, round(CAST(e[6] AS DOUBLE), 4) AS loudness, (SELECT count(*) FROM found) AS total FROM found ORDER BY spotify_id LIMIT 30 OFFSET 15""")
+def track_page_with_total(spark, sf_dir):
+    """A page of the tracks of the smallest albums, with their total."""
+    albums = table(spark, sf_dir, "part").where("p_size < 3").select("p_partkey")
+    out = tracks.find_tracks(tracks_of(spark, sf_dir), tracks.TrackFilter(albums=albums), offset=15, limit=30)
+    return out.select("spotify_id", "album_file_name", F.round(F.col("embedding")[5].cast("double"), 4).alias("loudness"), "total")
+
+
 SEED = "seed AS (SELECT vec_id, 1 + vec_id % 3 AS factor FROM embeddings WHERE label = 4 AND embedding[1] > 0)"
 MEAN = """mean AS (SELECT list(x ORDER BY pos) AS e FROM (SELECT pos, sum(factor * x) / sum(factor) AS x FROM
   (SELECT factor, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM embeddings JOIN seed USING (vec_id)) GROUP BY pos))"""

@@ -17,7 +17,10 @@ QUERIES = {n: q for n, q in entry.queries().items() if not n.startswith("op") an
 
 
 #: Queries that SQL can't express, and the test that compares them with something else.
-ELSEWHERE = {"fastrp_embeddings": "test_operators.test_fast_rp_is_stable_and_keeps_neighbours_close"}
+ELSEWHERE = {
+    "fastrp_embeddings": "test_operators.test_fast_rp_is_stable_and_keeps_neighbours_close",
+    "knn_approximate": "test_vector_index.test_recall_of_queries_outside_the_index",
+}
 
 
 @pytest.fixture(scope="module")
