@@ -45,4 +45,5 @@ def find_tracks(rows: DataFrame, wanted: TrackFilter, track: str = "spotify_id",
 
 def similar_tracks(rows: DataFrame, wanted: TrackFilter, query: DataFrame, k: int, track: str = "spotify_id", album: str = "album_file_name", vector: str = "embedding") -> DataFrame:
     """The ``k`` tracks nearest to the one vector of ``query`` by cosine, exactly, among those that pass the filter."""
-    return vector_search.nearest(wanted.apply(rows, track, album), query, vector, track, k, query_vector=query.columns[0])
+    asked = query.select(F.col(query.columns[0]).alias("__query"))
+    return vector_search.nearest(wanted.apply(rows, track, album), asked, vector, track, k, query_vector="__query")
