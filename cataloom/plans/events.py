@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cataloom.operators import eventlog, files, jobs, lookups
 from cataloom.plans.registry import Plans
 from cataloom.sources.tables import table
+from cataloom.streaming import stateful
 
 plans = Plans()
 
@@ -178,6 +179,26 @@ def album_lookup_actions(spark, sf_dir):
     return rows.select("o_orderkey", lookups.album_lookup_step().alias("action"))
 
 
+@plans.add("""
+WITH RECURSIVE e AS (SELECT event_id, CASE WHEN event_id % 7 = 6 AND event_id % 2 = 0 THEN NULL ELSE user_id END AS k, event_id % 7 AS kind, CAST(event_id % 50 AS VARCHAR) AS album FROM events),
+known AS (SELECT DISTINCT album FROM e WHERE k IS NULL AND CAST(album AS INTEGER) % 4 = 0), s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id) AS i FROM e WHERE k IS NOT NULL),
+f AS (SELECT k, 0::BIGINT AS i, 0 AS step, NULL::VARCHAR AS album FROM (SELECT DISTINCT k FROM s)
+  UNION ALL SELECT s.k, s.i, CASE WHEN step = 0 THEN CASE WHEN kind = 0 THEN 2 ELSE 0 END WHEN kind = 1 AND step < 3 THEN 3 WHEN kind = 3 AND step < 4 THEN 4 WHEN kind = 2 AND step < 5 THEN 6
+    WHEN f.album IS NULL THEN step WHEN kind = 4 AND step < 7 THEN 7 WHEN kind = 5 AND step < 8 THEN 8 WHEN kind = 6 THEN 9 ELSE step END,
+    CASE WHEN kind = 2 AND step BETWEEN 1 AND 4 THEN s.album ELSE f.album END FROM f JOIN s ON s.k = f.k AND s.i = f.i + 1),
+last AS (SELECT k, arg_max(step, i) AS step, arg_max(CASE WHEN album IS NULL THEN '' ELSE album END, i) AS album FROM f GROUP BY k)
+SELECT 'lookup:' || k AS key, nullif(album, '') AS album, CASE WHEN album IN (SELECT album FROM known) THEN 'AlbumParsed'
+  ELSE ['', 'SearchCrawling', 'SearchParsing', 'SearchParseFailed', '', 'AlbumCrawling', 'AlbumParsing', 'AlbumParseFailed', 'AlbumParsed'][step] END AS step FROM last WHERE step > 0""")
+def lookup_outcomes(spark, sf_dir):
+    """How far the lookup of each user gets, from its events and albums that are parsed for other reasons."""
+    kinds = ["Started", "SearchSaved", "SearchParsed", "SearchParseFailed", "AlbumSaved", "AlbumParseFailed", "AlbumParsed"]
+    kind, album = F.col("event_id") % 7, (F.col("event_id") % 50).cast("string")
+    other = (kind == 6) & (F.col("event_id") % 2 == 0)
+    key = F.when(other, F.when(F.col("event_id") % 50 % 4 == 0, F.concat(F.lit("album:"), album))).otherwise(F.concat(F.lit("lookup:"), F.col("user_id").cast("string")))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), key.alias("key"), F.array(*map(F.lit, kinds))[kind.cast("int")].alias("kind"), F.lit("page").alias("file_name"), album.alias("detail"))
+    return stateful.lookup_outcomes(rows.where("key is not null")).select("key", "album", "step")
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as jobs: priority, due date, some claimed."""
     o = table(spark, sf_dir, "orders")
