@@ -7,6 +7,7 @@ fails is run again, so every sink here gives the same result when a batch repeat
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,25 +50,51 @@ def fold_state_stream(events: DataFrame, key: str, sequence: str, state: Column)
 
 class KeyedTable:
     """A read model by key: the changed rows of each batch as a Parquet partition ``batch=<number>``, so that running a
-    batch again replaces what it wrote. Readers take the last change of each key; what a batch costs follows its own
-    rows, not the table."""
+    batch again replaces what it wrote. Readers take the last change of each key. Every ``snapshot_every`` batches the last
+    rows of all keys are written beside, so that a read costs a snapshot and the batches since, not the whole history."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str) -> None:
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: str, snapshot_every: int = 50) -> None:
+        self.spark, self.path, self.key, self.snapshot_every = spark, path.rstrip("/"), key, snapshot_every
 
-    def _exists(self) -> bool:
+    def _names(self) -> list[str]:
+        """The names of folders in the table's folder."""
         folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+
+    def _snapshot(self, names: list[str], before: int | None) -> int | None:
+        """The last finished snapshot of the batches before one."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        done = sorted(int(n.partition("=")[2]) for n in names if n.startswith("_snapshot="))
+        for number in reversed([k for k in done if before is None or k < before]):
+            if files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_snapshot={number}/_SUCCESS")):
+                return number
+        return None
+
+    def batches(self) -> list[int]:
+        """The numbers of the batches written so far."""
+        return sorted(int(n.partition("=")[2]) for n in self._names() if n.startswith("batch="))
+
+    def _last(self, before: int | None) -> DataFrame | None:
+        """The last change of each key, deletions included."""
+        names = self._names()
+        since = self._snapshot(names, before)
+        parts = [int(n.partition("=")[2]) for n in names if n.startswith("batch=")]
+        parts = [k for k in parts if (before is None or k < before) and (since is None or k > since)]
+        found = [self.spark.read.option("basePath", self.path).parquet(*[f"{self.path}/batch={k}" for k in parts])] if parts else []
+        found += [self.spark.read.parquet(f"{self.path}/_snapshot={since}")] if since is not None else []
+        if not found:
+            return None
+        rows = reduce(lambda a, b: a.unionByName(b.select(a.columns)), found)
+        kept = [c for c in rows.columns if c != "batch"]
+        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*kept, "batch"), F.struct("__order", "batch")).alias("__row"))
+        return last.select(*[F.col("__row")[c].alias(c) for c in (*kept, "batch")])
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """The rows at hand, or those before a batch; None if nothing was ever written."""
-        if not self._exists():
-            return None
-        rows = self.spark.read.parquet(self.path)
-        kept = [c for c in rows.columns if c not in ("__deleted", "__order", "batch")]
-        rows = rows if before is None else rows.where(F.col("batch") < before)
-        last = rows.groupBy(self.key).agg(F.max_by(F.struct(*kept, "__deleted"), F.struct("__order", "batch")).alias("__row"))
-        return last.where("not __row.__deleted").select(*[F.col("__row")[c].alias(c) for c in kept])
+        last = self._last(before)
+        return None if last is None else last.where("not __deleted").drop("__deleted", "__order", "batch")
 
     def merge(self, rows: DataFrame, batch: int, order: list[Column], deleted: Column | None = None) -> None:
         """Take in the last row of each key; rows for which ``deleted`` holds remove their key."""
@@ -75,6 +102,8 @@ class KeyedTable:
         marks = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
         last = last.withColumns({"__deleted": marks, "__order": F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)])})
         last.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if batch >= 0 and batch % self.snapshot_every == self.snapshot_every - 1:
+            self._last(batch + 1).write.mode("overwrite").parquet(f"{self.path}/_snapshot={batch}")
 
     def rewrite(self, path: str) -> KeyedTable:
         """The rows at hand as a new table without history, for readers to move to."""
