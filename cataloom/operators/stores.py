@@ -45,3 +45,16 @@ def count_by_field(documents: DataFrame, json: str, path: str, values: list[str]
     if values is not None:
         rows = rows.where(F.col("value").isin(values))
     return rows.groupBy("value").agg(F.count("*").alias("n"))
+
+
+def json_entries(rows: DataFrame, json: str) -> DataFrame:
+    """A row for each top-level entry of a variant column: ``key`` of an object's field (null in an array), ``pos`` and
+    ``value``, a variant. Rows whose value is null, a scalar or empty give none."""
+    return rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(json).outer()))
+
+
+def entries_containing(rows: DataFrame, json: str, path: str, value: object) -> DataFrame:
+    """Rows of which the array at a path has a value, or the object has it in a field, compared as text."""
+    at = f"$.{path}" if path else "$"
+    entries = F.coalesce(F.try_variant_get(json, at, "array<variant>"), F.map_values(F.try_variant_get(json, at, "map<string,variant>")))
+    return rows.where(F.coalesce(F.exists(entries, lambda v: F.try_variant_get(v, "$", "string") == F.lit(str(value))), F.lit(False)))

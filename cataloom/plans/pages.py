@@ -147,26 +147,26 @@ SELECT 'release/album/a/' || p_partkey AS file_name, p_name AS name, CASE WHEN p
   'artist/s' || (p_partkey % 100) || ',artist/s' || (p_partkey % 100 + 1) AS artists, 'Artist ' || (p_partkey % 100) AS first_artist, 'English,French' AS languages, strftime(make_date(1950 + p_size, 5, 3), '%Y-%m-%d') AS release_date,
   61 AS first_duration, 'producer' AS first_role FROM part""")
 def parse_album_pages(spark, sf_dir):
-    a = pages.albums(pages.read_pages(catalogue_pages(spark, sf_dir))).where("error is null")
+    a = pages.albums(pages.read_pages(catalogue_pages(spark, sf_dir), ["album"])).where("error is null")
     return a.select("file_name", "name", "rating_count", F.array_join("primary_genres", ",").alias("primary_genres"), F.array_join("secondary_genres", ",").alias("secondary_genres"), F.array_join("artists.file_name", ",").alias("artists"), F.col("artists")[0]["name"].alias("first_artist"),
                     F.array_join("languages", ",").alias("languages"), F.col("release_date").cast("string").alias("release_date"), F.col("tracks")[0]["duration_seconds"].alias("first_duration"), F.col("credits")[0]["roles"][0].alias("first_role"))
 
 
 @plans.add("SELECT 'charts/top/album/' || p_partkey AS chart, 'release/album/a/' || p_partkey AS file_name, p_name AS name, p_brand AS primary_genres FROM part WHERE p_partkey % 7 <> 0")
 def parse_chart_pages(spark, sf_dir):
-    rows = pages.chart_albums(pages.read_pages(catalogue_pages(spark, sf_dir)))
+    rows = pages.chart_albums(pages.read_pages(catalogue_pages(spark, sf_dir), ["chart"]))
     return rows.select("chart", "file_name", "name", F.array_join("primary_genres", ",").alias("primary_genres"))
 
 
 @plans.add("SELECT 'artist/a' || p_partkey AS file_name, 'A' AS name, 'release/album/a/' || p_partkey || ',release/comp/a/' || p_partkey AS albums FROM part")
 def parse_artist_pages(spark, sf_dir):
-    rows = pages.artists(pages.read_pages(catalogue_pages(spark, sf_dir)))
+    rows = pages.artists(pages.read_pages(catalogue_pages(spark, sf_dir), ["artist"]))
     return rows.select("file_name", "name", F.array_join("albums.file_name", ",").alias("albums"))
 
 
 @plans.add("SELECT 'list/u/' || p_partkey || '/1' AS file_name, 'list/u/' || p_partkey AS root_file_name, 'List' AS name, 'list/u/' || p_partkey || '/2' AS other_segments, 'release/album/a/' || p_partkey AS albums FROM part")
 def parse_list_pages(spark, sf_dir):
-    rows = pages.list_segments(pages.read_pages(catalogue_pages(spark, sf_dir)))
+    rows = pages.list_segments(pages.read_pages(catalogue_pages(spark, sf_dir), ["list_segment"]))
     return rows.select("file_name", "root_file_name", "name", F.array_join("other_segments", ",").alias("other_segments"), F.array_join("albums", ",").alias("albums"))
 
 
@@ -174,7 +174,7 @@ def parse_list_pages(spark, sf_dir):
 SELECT 'search?searchterm=' || p_partkey || '&searchtype=l' AS search, CASE WHEN p_partkey % 4 <> 0 THEN 'hit' END AS name, CASE WHEN p_partkey % 4 <> 0 THEN 'release/album/a/' || p_partkey END AS file_name,
   CASE WHEN p_partkey % 4 <> 0 THEN 'artist/s1' END AS artists, CASE WHEN p_partkey % 4 = 0 THEN 'no album in the search results' END AS error FROM part""")
 def parse_search_pages(spark, sf_dir):
-    rows = pages.search_results(pages.read_pages(catalogue_pages(spark, sf_dir)))
+    rows = pages.search_results(pages.read_pages(catalogue_pages(spark, sf_dir), ["album_search_result"]))
     return rows.select("search", "name", "file_name", F.array_join("artists.file_name", ",").alias("artists"), "error")
 
 

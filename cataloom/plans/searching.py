@@ -8,6 +8,7 @@ from cataloom.functions import scalars
 from cataloom.operators import search, stores, text_index
 from cataloom.plans.catalogue import catalogue
 from cataloom.plans.registry import Plans
+from cataloom.sources.keyed import KeyedScan
 from cataloom.sources.storage import new_folder
 from cataloom.sources.tables import table
 
@@ -243,3 +244,27 @@ def near_terms(spark, sf_dir):
     dictionary = table(spark, sf_dir, "documents").select(F.explode(scalars.terms(F.col("text"))).alias("term"))
     words = table(spark, sf_dir, "benchmark").select(F.explode(scalars.terms(F.col("text"))).alias("asked"))
     return text_index.near_terms(words, text_index.neighbourhoods(dictionary))
+
+
+@plans.add("""
+SELECT entry AS key, value, count(*) AS n FROM (
+  SELECT 'k' AS entry, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT 'type', event_type FROM events
+  UNION ALL SELECT 'user', CAST(user_id % 10 AS VARCHAR) FROM events WHERE user_id IS NOT NULL) WHERE value IS NOT NULL GROUP BY entry, value""")
+def json_top_level_values(spark, sf_dir):
+    """How often each top-level entry of the events' documents has each value."""
+    fields = F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.col("event_type").alias("type"), (F.col("user_id") % 10).alias("user"))
+    docs = table(spark, sf_dir, "events").select("event_id", F.parse_json(F.to_json(fields)).alias("json"))
+    return stores.json_entries(docs, "json").groupBy("key", F.try_variant_get("value", "$", "string").alias("value")).agg(F.count("*").alias("n"))
+
+
+@plans.add("""
+SELECT l_orderkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 3) OR l_orderkey IN (7, 32, 33, 999999999) GROUP BY l_orderkey""")
+def keyed_scan(spark, sf_dir):
+    """Items of some orders, from a table in buckets of its keys: four keys by their buckets, the others by a join that
+    leaves the table where it is."""
+    store = KeyedScan.save(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", new_folder(spark, "keyed-items"), buckets=16)
+    wanted = table(spark, sf_dir, "orders").where("o_custkey % 50 = 3").select("o_orderkey")
+    few = [7, 32, 33, 999_999_999]
+    rows = store.get_many(wanted.where(~F.col("o_orderkey").isin(few)), "o_orderkey").unionByName(store.get(few))
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))

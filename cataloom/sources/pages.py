@@ -196,9 +196,11 @@ RAW = {
 }
 
 
-def read_pages(pages: DataFrame, file_name: str = "file_name", html: str = "html") -> DataFrame:
-    """(file_name, page_type, raw): pages of a known type with their strings as JSON, read once."""
+def read_pages(pages: DataFrame, kinds: list[str] | None = None, file_name: str = "file_name", html: str = "html") -> DataFrame:
+    """(file_name, page_type, raw): pages of the types asked for (all known ones for none given) with their strings as JSON,
+    each read once. Pages of other types aren't read."""
     rows = pages.select(F.col(file_name).alias("file_name"), scalars.page_type(F.col(file_name)).alias("page_type"), F.col(html).alias("html")).where("page_type is not null and html is not null")
+    rows = rows if kinds is None else rows.where(F.col("page_type").isin(kinds))
     # Reading takes far longer than moving a page, and few large files make few tasks.
     rows = rows.repartition(F.xxhash64("file_name"))
     return rows.select("file_name", "page_type", read_page("html", "page_type").alias("raw"))
@@ -287,12 +289,29 @@ def list_segments(raw: DataFrame) -> DataFrame:
     return r.select("file_name", scalars.list_root(F.col("file_name")).alias("root_file_name"), "name", names(pages).alias("other_segments"), names(F.col("albums")).alias("albums"), F.when(F.col("name").isNull(), "missing name").alias("error"))
 
 
+def parse_errors(r: dict[str, Column]) -> dict[str, Column]:
+    """What is missing in a page of each type, from its strings; null if nothing is. Charts leave items out instead."""
+    album, artist, search, listing = (r[kind] for kind in ("album", "artist", "album_search_result", "list_segment"))
+    is_album = lambda i: i["name"].isNotNull() & (scalars.page_type(scalars.normal_file_name(i["href"])) == "album")
+    return {
+        "album": F.when(album["name"].isNull(), "missing name").when(album["rating"].isNull(), "missing ratingValue").when(album["rating_count"].isNull(), "missing ratingCount")
+        .when(album["body"].isNull(), "missing release page").when(F.exists(album["artists"], lambda a: scalars.normal_file_name(a["href"]).isNull()), "bad artist link"),
+        "artist": F.when(artist["name"].isNull(), "missing name"),
+        "album_search_result": F.when(~F.coalesce(F.exists(search["items"], is_album), F.lit(False)), "no album in the search results"),
+        "list_segment": F.when(listing["name"].isNull(), "missing name"),
+    }
+
+
 def parse_events(raw: DataFrame) -> DataFrame:
-    """(file_name, page_type, event, error): what each page's parse reports to the event log."""
-    errors = albums(raw).select("file_name", "error").unionByName(artists(raw).select("file_name", "error"))
-    errors = errors.unionByName(search_results(raw).select(F.col("search").alias("file_name"), "error")).unionByName(list_segments(raw).select("file_name", "error"))
-    joined = raw.select("file_name", "page_type").join(errors.where("error is not null"), "file_name", "left")
-    return joined.select("file_name", "page_type", F.when(F.col("error").isNull(), "FileParsed").otherwise("FileParseFailed").alias("event"), "error")
+    """(file_name, page_type, event, error): what each page's parse reports to the event log, in one pass."""
+    rows = raw
+    for kind in SPECS:  # a page has the strings of its own type only
+        rows = rows.withColumn(f"r_{kind}", F.when(F.col("page_type") == kind, F.from_json("raw", RAW[kind])))
+    error = F.lit(None).cast("string")
+    for kind, missing in parse_errors({kind: F.col(f"r_{kind}") for kind in SPECS}).items():
+        error = F.when(F.col("page_type") == kind, missing).otherwise(error)
+    rows = rows.withColumn("error", error)
+    return rows.select("file_name", "page_type", F.when(F.col("error").isNull(), "FileParsed").otherwise("FileParseFailed").alias("event"), "error")
 
 
 @F.pandas_udf(T.StructType().add("title", T.StringType()).add("headings", T.ArrayType(T.StringType())).add("links", T.ArrayType(T.StringType())))
