@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +18,8 @@ from cataloom.operators.summary import tagged
 
 #: Ranges that the distinct values of a number are cut into; a window holds one of them.
 RANGES = 128
+#: A seed of at most so many rows goes to every task as sorted numbers; a larger one is joined by ranges.
+SEED_ROWS = 100_000
 
 
 @dataclass
@@ -72,36 +76,68 @@ def number_ranks(candidates: DataFrame, seed: DataFrame, key: str, columns: dict
     return found.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("rank"))).alias(f"{n}_rank") for n in columns])
 
 
+def rank_among(sorted_values: np.ndarray) -> Column:
+    """A function of a number: its mid-rank among ``sorted_values``; null for a null, or among none."""
+
+    @F.pandas_udf("double")
+    def rank(values: pd.Series) -> pd.Series:
+        v = values.to_numpy(np.float64, na_value=np.nan)
+        low, high = np.searchsorted(sorted_values, v, "left"), np.searchsorted(sorted_values, v, "right")
+        return pd.Series((low + high) / 2.0 / len(sorted_values) if len(sorted_values) else np.full(len(v), np.nan)).where(values.notna())
+
+    return rank
+
+
 def assess(candidates: DataFrame, key: str, tags: dict[str, str], numbers: dict[str, str], ranks: DataFrame, seed: DataFrame, settings: Settings) -> DataFrame:
-    """(key, score, one rank a component) of every candidate.
+    """(key, score, one rank a component) of every candidate, one row a key.
 
     ``tags`` maps facets to array columns, ``numbers`` components to columns. A tag that the seed does not have, or whose
     rank is 0, counts as novel, and so does a candidate without tags. A component of weight 0 drops out; a candidate
-    whose score is not a number is left out.
+    whose score is not a number is left out. Candidates are read once: their numbers stay beside their tags through the
+    one aggregation, and are ranked after it.
     """
     used = {f: c for f, c in tags.items() if settings.tag_weights.get(f, 0)}
-    out = candidates.select(key)
-    if used:
-        entries = tagged({f: F.col(c) for f, c in used.items()})
-        tall = candidates.select(key, F.explode(entries).alias("e")).select(key, "e.facet", "e.item").join(ranks.select("facet", "item", "rank"), ["facet", "item"], "left")
-        known = F.when(F.col("rank") > 0, F.col("rank")).otherwise(settings.novelty)
-        means = tall.groupBy(key).agg(*[F.avg(F.when(F.col("facet") == f, known)).alias(f"{f}_rank") for f in used])
-        out = out.join(means, key, "left")
-    for f in used:
-        out = out.withColumn(f"{f}_rank", F.coalesce(f"{f}_rank", F.lit(settings.novelty)))
     counted = {n: c for n, c in numbers.items() if settings.number_weights.get(n, 0)}
-    if counted:
-        out = out.join(number_ranks(candidates, seed, key, counted), key, "left")
     weights = [(f, settings.tag_weights[f]) for f in used] + [(n, settings.number_weights[n]) for n in counted]
     total = sum(w for _, w in weights)
+    values = {n: F.col(c).cast("double").alias(f"__{n}") for n, c in counted.items()}
+    out = candidates.select(key, *values.values())
+    if used:
+        entries = tagged({f: F.col(c) for f, c in used.items()})
+        tall = candidates.select(key, *values.values(), F.explode_outer(entries).alias("e")).select("*", "e.facet", "e.item").drop("e")
+        tall = tall.join(ranks.select("facet", "item", "rank"), ["facet", "item"], "left")
+        known = F.when(F.col("rank") > 0, F.col("rank")).otherwise(settings.novelty)
+        out = tall.groupBy(key).agg(*[F.coalesce(F.avg(F.when(F.col("facet") == f, known)), F.lit(settings.novelty)).alias(f"{f}_rank") for f in used], *[F.first(f"__{n}").alias(f"__{n}") for n in counted])
     if not total:
         return out.withColumn("score", F.lit(None).cast("double")).where("false")
+    if counted:
+        own = seed.select(*[F.col(c).cast("double").alias(n) for n, c in counted.items()])
+        some = own.limit(SEED_ROWS + 1).toArrow()
+        if some.num_rows <= SEED_ROWS:
+            sorted_values = {n: np.sort(some[n].drop_null().to_numpy()) for n in counted}
+            out = out.withColumns({f"{n}_rank": rank_among(sorted_values[n])(F.col(f"__{n}")) for n in counted})
+        else:
+            asked = out.select(key, *[F.col(f"__{n}").alias(n) for n in counted])
+            out = out.join(number_ranks(asked, own, key, {n: n for n in counted}), key, "left")
     score: Column = F.lit(0.0)
     for name, w in weights:
         score = score + F.col(f"{name}_rank") * float(w)
+    out = out.drop(*[f"__{n}" for n in counted])
     return out.withColumn("score", score / float(total)).where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
+def row_numbers(rows: DataFrame, by: str, tie: str, name: str = "rank", descending: bool = False) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, 3, ... by a column, ties by another. Rows are numbered inside ranges of the column, and
+    a range starts where the earlier ones end, so no window holds all rows."""
+    bounds = rows.agg(F.percentile_approx(by, [k / RANGES for k in range(1, RANGES)]).alias("__bounds"))  # one row
+    placed = rows.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(by))) * (-1 if descending else 1)).drop("__bounds")
+    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))  # at most RANGES rows
+    starts = counts.select(F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(by) if descending else F.asc(by), tie))
+    out = placed.withColumn("__place", inside).join(F.broadcast(starts), F.col("__range") == F.col("__of"))
+    return out.withColumn(name, (F.col("__start") + F.col("__place")).cast("int")).drop("__range", "__of", "__start", "__place")
+
+
 def top(rows: DataFrame, k: int, score: str, key: str) -> DataFrame:
     """The ``k`` best by score, ties by key."""
     return rows.orderBy(F.desc(score), key).limit(k)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.operators import ranking, search, summary, vector_search
+from cataloom.sources.storage import written
 
 
 @dataclass
@@ -39,29 +40,41 @@ def seed_items(catalogue: DataFrame, seed: DataFrame, c: Columns) -> DataFrame:
     return catalogue.join(seed.groupBy(c.key).agg(F.sum("factor").alias("factor")), c.key)
 
 
-def candidates(catalogue: DataFrame, seed: DataFrame, request: Request, c: Columns, predicate=None) -> DataFrame:
+def known_items(catalogue: DataFrame, seed: DataFrame, c: Columns) -> DataFrame:
+    """``seed_items`` worked out once for all that reads them: as rows at hand where the seed is small (at most
+    ``ranking.SEED_ROWS`` rows, which is checked), as a written table where it isn't."""
+    items = seed_items(catalogue, seed, c).select(*dict.fromkeys([c.key, "factor", c.artists, *c.tags.values(), *c.numbers.values()]))
+    some = items.limit(ranking.SEED_ROWS + 1).toArrow()
+    return catalogue.sparkSession.createDataFrame(some) if some.num_rows <= ranking.SEED_ROWS else written(items, "seed-items")
+
+
+def candidates(catalogue: DataFrame, seed: DataFrame, request: Request, c: Columns, predicate=None, items: DataFrame | None = None) -> DataFrame:
     """Rows that may be recommended: not in the seed, with enough tags, by the request's search, without the seed's
-    artists if so asked. Anti joins, so seeds of any size work."""
+    artists if so asked. Anti joins, so seeds of any size work. ``items`` are the seed's rows of the catalogue, if they
+    are at hand; then no more is asked of ``seed``."""
+    seed = seed if items is None else items
     rows = catalogue.join(seed.select(c.key), c.key, "left_anti")
     rows = rows.where(search.all_of([F.size(c.tags[f]) >= n for f, n in request.least_tags.items() if f in c.tags]))
     if predicate is not None:
         rows = rows.where(predicate)
     if request.exclude_known_artists:
-        known = seed_items(catalogue, seed, c).select(F.explode(c.artists).alias("__artist")).distinct()
+        known = (seed_items(catalogue, seed, c) if items is None else items).select(F.explode(c.artists).alias("__artist")).distinct()
         met = rows.select(c.key, F.explode(c.artists).alias("__artist")).join(known, "__artist", "left_semi").select(c.key).distinct()
         rows = rows.join(met, c.key, "left_anti")
     return rows
 
 
-def quantile_scores(rows: DataFrame, catalogue: DataFrame, seed: DataFrame, settings: ranking.Settings, c: Columns) -> DataFrame:
-    items = seed_items(catalogue, seed, c)
+def quantile_scores(rows: DataFrame, catalogue: DataFrame, seed: DataFrame, settings: ranking.Settings, c: Columns, items: DataFrame | None = None) -> DataFrame:
+    """Scores of ``rows`` against the seed's rows of the catalogue (``items``, if they are at hand)."""
+    items = known_items(catalogue, seed, c) if items is None else items
     factors = summary.facet_factors(items, "factor", {f: F.col(column) for f, column in c.tags.items()})
     return ranking.assess(rows, c.key, c.tags, c.numbers, ranking.tag_ranks(factors), items, settings)
 
 
 def recommend_by_quantile(catalogue: DataFrame, seed: DataFrame, settings: ranking.Settings, request: Request, c: Columns, predicate=None) -> DataFrame:
-    rows = candidates(catalogue, seed, request, c, predicate)
-    return ranking.top(quantile_scores(rows, catalogue, seed, settings, c), request.k, "score", c.key)
+    items = known_items(catalogue, seed, c)
+    rows = candidates(catalogue, seed, request, c, predicate, items)
+    return ranking.top(quantile_scores(rows, catalogue, seed, settings, c, items), request.k, "score", c.key)
 
 
 def recommend_by_embedding(vectors: DataFrame, vector: str, seed: DataFrame, key: str, k: int) -> DataFrame:
@@ -72,8 +85,10 @@ def recommend_by_embedding(vectors: DataFrame, vector: str, seed: DataFrame, key
 
 
 def recommend_reranked(vectors: DataFrame, vector: str, scores_of, seed: DataFrame, key: str, k: int, least: int = 50) -> DataFrame:
-    """Candidates by embedding, ordered by ``scores_of(candidates)`` (key, score)."""
-    near = recommend_by_embedding(vectors, vector, seed, key, vector_search.candidates_to_rerank(k, least))
+    """Candidates by embedding, ordered by ``scores_of(candidates)`` (key, score). They are few by their number asked for,
+    so they are taken once and given to both steps as rows at hand."""
+    near = recommend_by_embedding(vectors, vector, seed, key, vector_search.candidates_to_rerank(k, least)).select(key, "similarity", "distance")
+    near = vectors.sparkSession.createDataFrame(near.toArrow())
     return vector_search.rerank(near, scores_of(near), key, k)
 
 

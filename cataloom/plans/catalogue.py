@@ -15,10 +15,10 @@ plans = Plans()
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested rows: name tokens as descriptors, brand and type as tags, suppliers as artists, return flags as roles."""
     part, line = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    main = line.select("l_partkey", F.col("l_suppkey").cast("string").alias("artist")).distinct()
-    artists = main.groupBy("l_partkey").agg(F.sort_array(F.collect_set("artist")).alias("artists"))
-    credits = line.select("l_partkey", F.concat(F.col("l_suppkey").cast("string"), F.lit(":"), F.lower("l_returnflag")).alias("tag")).groupBy("l_partkey").agg(F.sort_array(F.collect_set("tag")).alias("credit_tags"))
-    out = catalog.hydrate(part.withColumnRenamed("p_partkey", "l_partkey"), "l_partkey", {"artists": artists, "credit_tags": credits})
+    tag = F.concat(F.col("l_suppkey").cast("string"), F.lit(":"), F.lower("l_returnflag"))
+    people = line.groupBy("l_partkey").agg(F.sort_array(F.collect_set(F.col("l_suppkey").cast("string"))).alias("artists"), F.sort_array(F.collect_set(tag)).alias("credit_tags"))
+    out = part.withColumnRenamed("p_partkey", "l_partkey").join(people, "l_partkey", "left")
+    out = out.withColumns({name: F.coalesce(name, F.array().cast("array<string>")) for name in ("artists", "credit_tags")})
     return out.select(
         F.col("l_partkey").alias("file_name"), F.col("p_name").alias("name"), "artists", "credit_tags", F.array("p_brand").alias("primary_tags"), F.array("p_type").alias("secondary_tags"),
         F.array_distinct(F.split("p_name", " ")).alias("descriptors"), F.col("p_retailprice").alias("rating"), F.col("p_size").alias("rating_count"),

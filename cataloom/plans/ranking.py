@@ -10,7 +10,7 @@ from cataloom.operators import profiles as people
 from cataloom.operators import ranking, recommend, resolve, summary, tracks, vector_index, vector_search
 from cataloom.plans.catalogue import catalogue
 from cataloom.plans.registry import Plans
-from cataloom.sources.storage import new_folder, written
+from cataloom.sources.storage import new_folder
 from cataloom.sources.tables import table
 
 plans = Plans()
@@ -116,9 +116,8 @@ scored AS (SELECT *, (4 * p + 2 * s + 7 * d + k + 2 * rating_rank + rating_count
 
 
 def _assessed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The catalogue and the seed of a profile, each made once for all steps that read it."""
-    seed = written(profiles(spark, sf_dir).where("profile = 7").select("file_name", "factor"), "seed")
-    return written(catalogue(spark, sf_dir), "catalogue"), seed
+    """The catalogue and the seed of a profile."""
+    return catalogue(spark, sf_dir), profiles(spark, sf_dir).where("profile = 7").select("file_name", "factor")
 
 
 @plans.add(SCORES + """
@@ -383,12 +382,11 @@ def profile_on_originals(spark, sf_dir):
 
 @plans.add("""
 WITH hits AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM supplier WHERE s_acctbal > 0)
-SELECT s_suppkey, CAST(rank AS INTEGER) AS rank, s_name, n AS album_count FROM hits JOIN supplier USING (s_suppkey) JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1) USING (s_suppkey)""")
+SELECT s_suppkey, CAST(rank AS INTEGER) AS rank, s_name, n AS album_count FROM hits JOIN supplier USING (s_suppkey) JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n FROM lineitem GROUP BY 1) USING (s_suppkey)""")
 def hits_with_overviews(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier")
-    # The rank of a page of hits.
-    hits = supplier.where("s_acctbal > 0").select("s_suppkey", F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("rank"))
-    overviews = table(spark, sf_dir, "lineitem").where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("album_count"))
+    hits = ranking.row_numbers(supplier.where("s_acctbal > 0").select("s_suppkey", "s_acctbal"), "s_acctbal", "s_suppkey", descending=True).select("s_suppkey", "rank")
+    overviews = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("album_count"))
     return people.with_overviews(hits, supplier.select("s_suppkey", "s_name"), overviews, "s_suppkey", "rank").select("s_suppkey", "rank", "s_name", "album_count")
 
 
