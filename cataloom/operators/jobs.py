@@ -18,6 +18,11 @@ def next_jobs(jobs: DataFrame, name: str | None, now: Column, n: int) -> DataFra
     return rows.orderBy("priority", "next_execution", "id").limit(n)
 
 
+def find(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The jobs of the asked ids, each once."""
+    return jobs.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def put(existing: DataFrame, asked: DataFrame) -> DataFrame:
     """The job table after puts: claimed jobs stay, existing ones change only if ``overwrite`` is set or the interval
     differs, new ones are added."""

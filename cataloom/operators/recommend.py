@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cataloom.operators import ranking, search, summary, vector_search
@@ -25,6 +25,21 @@ class Request:
         return self.count or 10
 
 
+def effective_settings(settings: Column) -> Column:
+    """(count, exclude_known_artists) of settings as they came, a struct of both: without settings 10 and true; with
+    settings, a count that is 0 or unset is 10, and an unset flag is false."""
+    count = F.coalesce(F.nullif(settings["count"], F.lit(0)), F.lit(10)).cast("int")
+    flag = F.when(settings.isNull(), True).otherwise(F.coalesce(settings["exclude_known_artists"], F.lit(False)))
+    return F.struct(count.alias("count"), flag.alias("exclude_known_artists"))
+
+
+def request_of(settings: dict | None, **further) -> Request:
+    """A request from settings by the rules of ``effective_settings``."""
+    given = settings or {}
+    flag = True if settings is None else bool(given.get("exclude_known_artists") or False)
+    return Request(count=given.get("count") or 10, exclude_known_artists=flag, **further)
+
+
 @dataclass
 class Columns:
     """The columns of a nested catalogue."""

@@ -139,14 +139,15 @@ class TextIndex:
         near = near_terms(asked, self._read("near"))
         return asked.join(near, "asked").withColumn("boost", 1 - F.col("edits") / F.least(F.length("asked"), F.length("term"))).drop("edits")
 
-    def scored(self, postings: DataFrame, terms: DataFrame, asked: DataFrame, need_all: bool) -> DataFrame:
+    def scored(self, postings: DataFrame, terms: DataFrame, asked: DataFrame, need_all: bool, fuzzy: bool) -> DataFrame:
         """(query_id, key, score): the sum over a query's terms of the best of what stands for each. Scores are rounded, so
         that the order of sums doesn't decide between equal texts."""
         n, mean = self.stats["n"], self.stats["mean"] or 1.0
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
         hits = postings.join(asked.join(terms.select("term", "df"), "term"), "term").select("query_id", "needed", "asked", "key", (F.col("boost") * weight).alias("score"))
-        each = hits.groupBy("query_id", "needed", "key", "asked").agg(F.max("score").alias("score"))
+        # Without edits only a term itself stands for it.
+        each = hits.groupBy("query_id", "needed", "key", "asked").agg(F.max("score").alias("score")) if fuzzy else hits
         found = each.groupBy("query_id", "needed", "key").agg(F.round(F.sum("score"), 9).alias("score"), F.count("*").alias("met"))
         return (found.where("met = needed") if need_all else found).select("query_id", "key", "score")
 
@@ -159,10 +160,10 @@ class TextIndex:
         wanted, shards = sorted({r["term"] for r in rows}), sorted({r["shard"] for r in rows})
         pruned = lambda name: self._read(name).where(F.col("shard").isin(shards) & F.col("term").isin(wanted))
         known = self.spark.createDataFrame([(0, r["asked"], r["needed"], r["term"], r["boost"]) for r in rows], "query_id int, asked string, needed int, term string, boost double")
-        return self.scored(pruned("postings"), pruned("terms"), known, need_all).orderBy(F.desc("score"), "key").limit(k).select("key", "score")
+        return self.scored(pruned("postings"), pruned("terms"), known, need_all, fuzzy).orderBy(F.desc("score"), "key").limit(k).select("key", "score")
 
     def search_many(self, queries: DataFrame, k: int, need_all: bool = True, fuzzy: bool = False) -> DataFrame:
         """(query_id, rank, key, score): the ``k`` best texts of each of many queries (query_id, text)."""
-        found = self.scored(self._read("postings"), self._read("terms"), self.asked_terms(queries, fuzzy), need_all)
+        found = self.scored(self._read("postings"), self._read("terms"), self.asked_terms(queries, fuzzy), need_all, fuzzy)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")

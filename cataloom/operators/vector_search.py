@@ -98,6 +98,16 @@ def cache_key(provider: Column, body: Column) -> Column:
     return F.concat(F.lit("embedding_cache:"), provider, F.lit(":"), F.sha2(body, 256))
 
 
+# Fixed value: days for which a vector made for a text is used again.
+CACHE_DAYS = 14
+
+
+def uncached(bodies: DataFrame, cache: DataFrame, now: Column, key: str = "cache_key", made_at: str = "made_at") -> DataFrame:
+    """Bodies to make vectors for: those whose cache key has no entry, or only entries that are too old."""
+    fresh = cache.where(F.col(made_at) + F.make_dt_interval(F.lit(CACHE_DAYS)) > now).select(key)
+    return bodies.join(fresh, key, "left_anti")
+
+
 def embedding_body(parts: list[Column]) -> Column:
     """Fields and tags as one text; tags of an array in order."""
     return F.concat_ws(", ", *parts)

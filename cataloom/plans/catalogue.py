@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cataloom.operators import catalog
+from cataloom.operators import catalog, vector_search
 from cataloom.plans.registry import Plans
 from cataloom.sources.tables import table
 
@@ -179,6 +179,17 @@ def uncached_bodies(spark, sf_dir):
     return docs.join(docs.where("lang = 'en'").select("h"), "h", "left_anti").select("doc_id")
 
 
+@plans.add("""
+WITH made AS (SELECT sha256(coalesce(text, '')) AS h, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 30 AS INTEGER)) AS made_at FROM documents WHERE doc_id % 3 <> 0)
+SELECT doc_id FROM documents WHERE sha256(coalesce(text, '')) NOT IN (SELECT h FROM made WHERE made_at + INTERVAL 14 DAY > TIMESTAMP '2024-01-25')""")
+def uncached_bodies_by_age(spark, sf_dir):
+    """Documents to make vectors for: no entry of the cache is younger than two weeks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("cache_key"))
+    made = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 30).cast("int"))
+    cache = docs.where("doc_id % 3 <> 0").select("cache_key", made.alias("made_at"))
+    return vector_search.uncached(docs, cache, F.lit("2024-01-25").cast("timestamp_ntz")).select("doc_id")
+
+
 @plans.add("""
 SELECT l_partkey, l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01')
 UNION ALL SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'

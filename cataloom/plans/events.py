@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cataloom.functions import scalars
 from cataloom.operators import eventlog, files, jobs, lookups
 from cataloom.plans.registry import Plans
 from cataloom.sources.tables import table
@@ -206,6 +207,22 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("name"), F.col("o_orderdate").alias("next_execution"), claimed.alias("claimed_at"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.when(F.col("o_orderkey") % 2 == 0, 3600).alias("interval_seconds"))
 
 
+@plans.add("SELECT o_orderkey AS id, o_orderstatus AS name FROM orders WHERE o_orderkey IN (SELECT l_orderkey + 1 FROM lineitem WHERE l_quantity > 40)")
+def find_jobs(spark, sf_dir):
+    """The jobs of some ids; ids repeat, and some have no job."""
+    ids = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select((F.col("l_orderkey") + 1).alias("id"))
+    return jobs.find(_jobs(spark, sf_dir), ids).select("id", "name")
+
+
+@plans.add("SELECT event_id, date_trunc('milliseconds', ts) AS made_at FROM events")
+def ulid_times(spark, sf_dir):
+    """The time of each event, read back from an id that begins with it."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    digits = [F.substring(F.lit(scalars.ULID_DIGITS), (F.floor(ms / F.lit(32**k)) % 32 + 1).cast("int"), F.lit(1)) for k in range(9, -1, -1)]
+    ids = table(spark, sf_dir, "events").where("ts is not null").select("event_id", F.concat(*digits, F.lit("0" * 16)).alias("ulid"))
+    return ids.select("event_id", scalars.ulid_time(F.col("ulid")).cast("timestamp_ntz").alias("made_at"))
+
+
 NOW = "1996-01-01"
 
 

@@ -126,7 +126,7 @@ def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda i: F.concat(F.lit('<a href="/artist/s'), (F.col("p_partkey") % 100 + i).cast("string"), F.lit('">Artist '), (F.col("p_partkey") % 100 + i).cast("string"), F.lit(" &amp;amp;</a>"))
     album = F.concat(
         F.lit('<html><meta itemprop="name" content="'), name, F.lit('"><meta itemprop="ratingValue" content="'), F.col("p_retailprice").cast("string"), F.lit('"><meta itemprop="ratingCount" content="'), F.when(F.col("p_partkey") % 9 == 0, "none").otherwise(F.col("p_size").cast("string")),
-        F.lit('"><div class="release_page"><span itemprop="byArtist">'), link(0), link(1), F.lit('</span><div class="release_pri_genres"><a class="genre">'), F.col("p_brand"), F.lit('</a></div><div class="release_sec_genres"><a class="genre">'), F.col("p_type"),
+        F.lit('"><div id="media_link_button_container_top" data-links="{&quot;spotify&quot;:{&quot;first&quot;:{&quot;default&quot;:false},&quot;id'), key, F.lit('&quot;:{&quot;default&quot;:'), (F.col("p_partkey") % 3 != 0).cast("string"), F.lit('}}}"></div><div class="release_page"><span itemprop="byArtist">'), link(0), link(1), F.lit('</span><div class="release_pri_genres"><a class="genre">'), F.col("p_brand"), F.lit('</a></div><div class="release_sec_genres"><a class="genre">'), F.col("p_type"),
         F.lit('</a></div><table class="album_info"><tr><th>Languages</th><td>English, French</td></tr></table><span class="issue_year ymd" title="3 May '), (F.lit(1950) + F.col("p_size")).cast("string"),
         F.lit('"></span></div><ul id="tracks"><li class="tracklist_line"><span class="tracklist_num">A1</span><span class="rendered_text">One</span><span class="tracklist_duration"><meta data-inseconds="61"></span></li></ul>'
               '<ul id="credits_"><li>'), link(2), F.lit('<span class="role_name">producer<span class="role_tracks"> 1-2</span></span></li></ul></html>'),
@@ -152,6 +152,12 @@ def parse_album_pages(spark, sf_dir):
                     F.array_join("languages", ",").alias("languages"), F.col("release_date").cast("string").alias("release_date"), F.col("tracks")[0]["duration_seconds"].alias("first_duration"), F.col("credits")[0]["roles"][0].alias("first_role"))
 
 
+@plans.add("SELECT 'release/album/a/' || p_partkey AS file_name, CASE WHEN p_partkey % 3 <> 0 THEN 'id' || p_partkey END AS spotify_id FROM part")
+def parse_streaming_ids(spark, sf_dir):
+    """The id that an album page marks as its default."""
+    return pages.albums(pages.read_pages(catalogue_pages(spark, sf_dir), ["album"])).select("file_name", "spotify_id")
+
+
 @plans.add("SELECT 'charts/top/album/' || p_partkey AS chart, 'release/album/a/' || p_partkey AS file_name, p_name AS name, p_brand AS primary_genres FROM part WHERE p_partkey % 7 <> 0")
 def parse_chart_pages(spark, sf_dir):
     rows = pages.chart_albums(pages.read_pages(catalogue_pages(spark, sf_dir), ["chart"]))

@@ -249,6 +249,14 @@ def track_page_with_total(spark, sf_dir):
     return out.select("spotify_id", "album_file_name", F.round(F.col("embedding")[5].cast("double"), 4).alias("loudness"), "total")
 
 
+@plans.add(f"""
+WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 10)
+SELECT vec_id, round({COSINE.format("embedding", "e")}, 6) AS similarity FROM embeddings, q ORDER BY 1 - {COSINE.format("embedding", "e")}, vec_id LIMIT 10""")
+def similar_including_self(spark, sf_dir):
+    """As the artist search has it: the item itself is one of its neighbours."""
+    return vector_search.similar_to(table(spark, sf_dir, "embeddings"), 10, "embedding", "vec_id", exclude_self=False).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 SEED = "seed AS (SELECT vec_id, 1 + vec_id % 3 AS factor FROM embeddings WHERE label = 4 AND embedding[1] > 0)"
 MEAN = """mean AS (SELECT list(x ORDER BY pos) AS e FROM (SELECT pos, sum(factor * x) / sum(factor) AS x FROM
   (SELECT factor, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM embeddings JOIN seed USING (vec_id)) GROUP BY pos))"""
@@ -314,6 +322,34 @@ def playlist_draft(spark, sf_dir):
     return recommend.playlist_draft(best.select(of).distinct(), tracks, own, "album", "vec_id", "embedding").select("album", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+LIST_SEED = "seed AS (SELECT DISTINCT l_partkey AS file_name, 1 AS factor FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey = 11)"
+
+
+@plans.add(f"""
+WITH {LIST_SEED}, parts AS (SELECT vec_id + 1 AS file_name, embedding FROM embeddings), {MEAN.replace("embeddings JOIN seed USING (vec_id)", "parts JOIN seed USING (file_name)")}
+SELECT file_name, round({COSINE.format("embedding", "e")}, 6) AS similarity FROM parts, mean WHERE file_name NOT IN (SELECT file_name FROM seed)
+  AND file_name IN (SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 40) ORDER BY 1 - {COSINE.format("embedding", "e")}, file_name LIMIT 5""")
+def list_recommend_adventurous(spark, sf_dir):
+    """From the list of a customer's orders, the parts nearest to it by embedding within a range of years."""
+    both = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
+    segments = both.groupBy(F.col("o_custkey").alias("root_file_name"), "o_orderkey").agg(F.collect_set("l_partkey").alias("albums"))
+    rows = catalogue(spark, sf_dir).withColumn("release_year", F.col("rating_count"))
+    parts = vectors(spark, sf_dir).withColumn("file_name", F.col("file_name") + 1)
+    out = recommend.recommend_for_list(segments, 11, rows, parts, "embedding", "adventurous", (5, 40), recommend.Columns())
+    return out.select("file_name", F.round("similarity", 6).alias("similarity"))
+
+
+@plans.add("""
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 5 IN (0, 1) THEN 10 ELSE c_custkey % 5 END AS count,
+  CASE WHEN c_custkey % 4 = 0 THEN true WHEN c_custkey % 4 = 1 THEN false ELSE c_custkey % 4 = 2 END AS exclude_known_artists FROM customer""")
+def recommendation_settings(spark, sf_dir):
+    """What requests mean that come without settings, with some unset, and with all."""
+    k = F.col("c_custkey")
+    count = F.when(k % 5 != 1, (k % 5).cast("int"))
+    settings = F.when(k % 4 != 0, F.struct(count.alias("count"), F.when(k % 4 != 1, k % 4 == 2).alias("exclude_known_artists")))
+    return table(spark, sf_dir, "customer").select("c_custkey", recommend.effective_settings(settings).alias("s")).select("c_custkey", F.col("s.count").cast("long").alias("count"), "s.exclude_known_artists")
+
+
 @plans.add("""
 WITH up AS (SELECT vec_id * 2 AS vec_id, label, embedding FROM embeddings)
 SELECT label, count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, (SELECT count(*) FROM up) AS received FROM (

@@ -367,3 +367,27 @@ def test_schemas_read_rows(spark):
 
     for name in ("ALBUM", "ARTIST", "EMBEDDING", "TRACK", "EVENT", "SUBSCRIBER", "DOCUMENT", "KEY_VALUE", "JOB", "PROFILE_ITEM", "LIST_SEGMENT", "FILE_STATE", "NODE", "EDGE"):
         assert spark.createDataFrame([], getattr(schema, name)).count() == 0
+
+
+def test_requests_of_settings():
+    flags = [recommend.request_of(s).exclude_known_artists for s in (None, {}, {"exclude_known_artists": None}, {"exclude_known_artists": True}, {"exclude_known_artists": False})]
+    assert flags == [True, False, False, True, False]
+    assert [recommend.request_of(s).k for s in (None, {"count": 0}, {"count": 3})] == [10, 10, 3]
+
+
+def test_numbers_by_ranges_equal_a_sort(spark):
+    rows = [(k, v) for k, v in enumerate([5.0, None, 1.0, 5.0, -2.0, 1.0, 9.0, None] * 40)]
+    frame = spark.createDataFrame(rows, "k int, v double")
+    for descending in (False, True):
+        want = sorted(rows, key=lambda r: (((r[1] is not None) if not descending else (r[1] is None)), (-1 if descending else 1) * (r[1] or 0), r[0]))
+        found = {r.k: r["rank"] for r in ranking.row_numbers(frame, "v", "k", descending=descending).collect()}
+        assert [found[k] for k, _ in want] == list(range(1, len(rows) + 1))
+
+
+def test_large_seeds_are_ranked_by_ranges_and_give_the_same(spark, monkeypatch):
+    c = spark.createDataFrame([(f"i{k}", ["a"], [f"t{k % 3}"], [f"t{k % 7}"], [f"p{k}"], [], float(k % 11), k % 5, 1) for k in range(60)], "file_name string, artists array<string>, primary_tags array<string>, secondary_tags array<string>, descriptors array<string>, credit_tags array<string>, rating double, rating_count int, descriptor_count int")
+    seed = c.where("rating_count < 2").select("file_name", "rating_count").withColumnRenamed("rating_count", "factor")
+    run = lambda: {r.file_name: round(r.score, 9) for r in recommend.quantile_scores(c, c, seed, ranking.Settings(), recommend.Columns()).collect()}
+    small = run()
+    monkeypatch.setattr(ranking, "SEED_ROWS", 3)
+    assert len(small) == 60 and run() == small
