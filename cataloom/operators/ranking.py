@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,8 +16,9 @@ from cataloom.operators.summary import tagged
 
 #: Ranges that the distinct values of a number are cut into; a window holds one of them.
 RANGES = 128
-#: A seed of at most so many rows goes to every task as sorted numbers; a larger one is joined by ranges.
-SEED_ROWS = 100_000
+#: The numbers of a seed of at most so many rows are part of the plan; those of a larger one are joined by ranges. A seed of
+#: at most ``SEED_ROWS`` rows is kept at hand between steps; a larger one is written.
+PLAN_ROWS, SEED_ROWS = 500, 100_000
 
 
 @dataclass
@@ -76,16 +75,13 @@ def number_ranks(candidates: DataFrame, seed: DataFrame, key: str, columns: dict
     return found.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("rank"))).alias(f"{n}_rank") for n in columns])
 
 
-def rank_among(sorted_values: np.ndarray) -> Column:
-    """A function of a number: its mid-rank among ``sorted_values``; null for a null, or among none."""
-
-    @F.pandas_udf("double")
-    def rank(values: pd.Series) -> pd.Series:
-        v = values.to_numpy(np.float64, na_value=np.nan)
-        low, high = np.searchsorted(sorted_values, v, "left"), np.searchsorted(sorted_values, v, "right")
-        return pd.Series((low + high) / 2.0 / len(sorted_values) if len(sorted_values) else np.full(len(v), np.nan)).where(values.notna())
-
-    return rank
+def rank_among(values: list[float], number: Column) -> Column:
+    """The mid-rank of a number among a few others; null for a null, or among none."""
+    if not values:
+        return F.lit(None).cast("double")
+    sought = F.array(*[F.lit(v) for v in values])
+    below, equal = F.size(F.filter(sought, lambda v: v < number)), F.size(F.filter(sought, lambda v: v == number))
+    return F.when(number.isNotNull(), (below + equal / 2.0) / float(len(values)))
 
 
 def assess(candidates: DataFrame, key: str, tags: dict[str, str], numbers: dict[str, str], ranks: DataFrame, seed: DataFrame, settings: Settings) -> DataFrame:
@@ -112,10 +108,9 @@ def assess(candidates: DataFrame, key: str, tags: dict[str, str], numbers: dict[
         return out.withColumn("score", F.lit(None).cast("double")).where("false")
     if counted:
         own = seed.select(*[F.col(c).cast("double").alias(n) for n, c in counted.items()])
-        some = own.limit(SEED_ROWS + 1).toArrow()
-        if some.num_rows <= SEED_ROWS:
-            sorted_values = {n: np.sort(some[n].drop_null().to_numpy()) for n in counted}
-            out = out.withColumns({f"{n}_rank": rank_among(sorted_values[n])(F.col(f"__{n}")) for n in counted})
+        some = own.limit(PLAN_ROWS + 1).toArrow()
+        if some.num_rows <= PLAN_ROWS:
+            out = out.withColumns({f"{n}_rank": rank_among(some[n].drop_null().to_pylist(), F.col(f"__{n}")) for n in counted})
         else:
             asked = out.select(key, *[F.col(f"__{n}").alias(n) for n in counted])
             out = out.join(number_ranks(asked, own, key, {n: n for n in counted}), key, "left")
@@ -130,7 +125,7 @@ def row_numbers(rows: DataFrame, by: str, tie: str, name: str = "rank", descendi
     """``rows`` with ``name``: 1, 2, 3, ... by a column, ties by another. Rows are numbered inside ranges of the column, and
     a range starts where the earlier ones end, so no window holds all rows."""
     bounds = rows.agg(F.percentile_approx(by, [k / RANGES for k in range(1, RANGES)]).alias("__bounds"))  # one row
-    placed = rows.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(by))) * (-1 if descending else 1)).drop("__bounds")
+    placed = rows.withColumn("__bounds", bounds.scalar()).withColumn("__range", F.size(F.filter("__bounds", lambda b: b < F.col(by))) * (-1 if descending else 1)).drop("__bounds")
     counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))  # at most RANGES rows
     starts = counts.select(F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(by) if descending else F.asc(by), tie))

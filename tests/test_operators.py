@@ -389,5 +389,6 @@ def test_large_seeds_are_ranked_by_ranges_and_give_the_same(spark, monkeypatch):
     seed = c.where("rating_count < 2").select("file_name", "rating_count").withColumnRenamed("rating_count", "factor")
     run = lambda: {r.file_name: round(r.score, 9) for r in recommend.quantile_scores(c, c, seed, ranking.Settings(), recommend.Columns()).collect()}
     small = run()
+    monkeypatch.setattr(ranking, "PLAN_ROWS", 3)
     monkeypatch.setattr(ranking, "SEED_ROWS", 3)
     assert len(small) == 60 and run() == small

@@ -9,8 +9,8 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"jaro_winkler_best", "knn_graph", "page_outline", "parse_album_pages", "parse_chart_pages", "parse_artist_pages", "parse_list_pages", "parse_events", "parse_search_pages", "fuzzy_candidates"}
-ONE_ROW_CROSS = {"catalogue_monitor", "keyset_page", "knn_filtered", "similar_excluding_self", "embedding_recommend", "reranked_recommend", "best_track_per_item", "playlist_draft"}
+PYTHON = {"jaro_winkler_best", "knn_graph", "page_outline", "parse_album_pages", "parse_chart_pages", "parse_artist_pages", "parse_list_pages", "parse_events", "parse_search_pages", "parse_streaming_ids", "fuzzy_candidates", "knn_approximate"}
+ONE_ROW_CROSS = {"catalogue_monitor", "keyset_page", "knn_filtered", "similar_excluding_self", "embedding_recommend", "reranked_recommend", "best_track_per_item", "playlist_draft", "similar_including_self", "list_recommend_adventurous", "track_knn_filtered", "track_page_with_total"}
 
 
 def plan(frame) -> str:
