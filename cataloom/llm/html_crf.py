@@ -35,6 +35,8 @@ SCOPES = frozenset("ul ol table dl td th body html".split())
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S)
 UNENDED = re.compile("<[!?/]")
+#: A tag that the end of the page cuts off.
+CUT_TAG = re.compile("<[/!?]?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW_TAGS}
 WORD = re.compile(r"[a-z]+")
@@ -99,9 +101,11 @@ def leaf_blocks(page: str) -> list[Block]:
         del stack[index:]
 
     while at < size:
-        # Behind the last ">" no tag ends: what stands there is text, up to a comment or the like.
+        # Behind the last ">" no tag ends: what stands there is text, up to a comment or the like, or to a tag that was cut.
         m = TOKEN.search(page, at) if at <= last_end else UNENDED.search(page, at)
         end = m.start() if m else size
+        if at > last_end and (cut := CUT_TAG.search(page, at, end)):
+            end = cut.start()
         if end > at and not hidden:
             parts.append(page[at:end])
             if links:

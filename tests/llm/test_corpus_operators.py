@@ -506,6 +506,12 @@ def test_parsing_takes_time_in_proportion():
     assert len(html_crf.leaf_blocks(pages[1])) == 100_000
 
 
+def test_a_tag_cut_off_by_the_end_is_no_text():
+    texts = lambda page: [b[1] for b in html_crf.leaf_blocks(page)]
+    assert texts("<p>hello there</p><a hre") == ["hello there"] and texts('<p>one <b class="x') == ["one"] and texts("two</p") == ["two"] and texts("<p>z<a b </c d") == ["z"]
+    assert texts("<p>1 < 2 and a <3") == ["1 < 2 and a <3"] and texts("<") == ["<"] and texts("<p>x</p>y <!-- z") == ["x", "y"]
+
+
 def test_viterbi_is_the_best_path():
     field = html_crf.trained_field()
     page, _ = html_crf.labelled_pages(1, seed=8)[0]
