@@ -91,6 +91,21 @@ def test_jaccard_join_large_buckets(spark, monkeypatch):
     assert found == {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets) for i in sets}
 
 
+def test_sketches_tell_near_copies_from_texts_with_a_passage_in_common():
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+
+    def sketches(own: int, copies: int) -> np.ndarray:
+        sets = [np.sort(np.concatenate([base[: 400 - own], rng.integers(1, 1 << 62, own).astype(np.uint64)])) for _ in range(copies)]
+        return jaccard_join.sketch(np.repeat(np.arange(copies), 400), np.concatenate(sets), copies)
+
+    assert jaccard_join.keeps_together(sketches(20, 32), 0.8)
+    assert jaccard_join.keeps_together(sketches(40, 32), 0.8)  # coefficient 0.82
+    assert not jaccard_join.keeps_together(sketches(300, 32), 0.8)
+    assert not jaccard_join.keeps_together(np.concatenate([sketches(20, 12), sketches(390, 20)]), 0.8)
+    assert not jaccard_join.keeps_together(sketches(20, 1), 0.8)
+
+
 def test_jaccard_join_loses_no_link_of_a_large_group(spark):
     """300 different near copies of one text, most pairs near the threshold: every link is counted."""
     rng = np.random.default_rng(18)
