@@ -29,7 +29,7 @@ TABLE_BYTES, KEPT_BYTES = 16 << 20, 8 << 20
 #: Characters on each side of a join that are encoded anew; gaps at a chunk's ends that are held against them.
 AROUND, HELD = 32, 12
 #: Strings between white space whose ids a worker keeps; it then starts anew.
-KEPT_PIECES = 2_000_000
+KEPT_PIECES = 400_000
 #: Strings that try whether a tokenizer ever looks across white space.
 PROBES = ("a", "B1", "'s", "don't", "<|endoftext|>", "é", "e\u0301", "\u0301x", "中文", "!?", "12", "ΑΣ", "ﬁ", "_", "\x85x", "ß'll")
 
