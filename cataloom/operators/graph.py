@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,8 @@ from cataloom.sources.storage import written
 
 # Weights of the undirected projection, by edge type.
 EDGE_WEIGHTS = {"ALBUM_ARTIST": 4.0, "CREDITED": 2.0, "DESCRIPTOR": 1.0, "LANGUAGE": 1.0, "PRIMARY": 3.0, "SECONDARY": 1.0}
+#: Blocks of nodes to each of which a neighbour's vector goes at most once.
+BLOCKS = 64
 
 
 def nodes(parts: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -48,23 +48,36 @@ def random_projection(id_: Column, dims: int, seed: int) -> Column:
     return F.array(*[component(F.lit(k)) for k in range(dims)])
 
 
-def scaled(weight: float) -> Column:
-    return F.transform("v", lambda x: x * weight)
+def scaled(v: str | Column, weight: float) -> Column:
+    return F.transform(v, lambda x: x * weight)
 
 
-def fast_rp(graph: DataFrame, dims: int = 64, weights: tuple[float, ...] = (0.0, 1.0, 1.0), seed: int = 42) -> DataFrame:
-    """(id, embedding): the weighted sum of L2-normalised neighbour means of 1, 2, ... steps from a random projection.
+def fast_rp(graph: DataFrame, dims: int = 64, weights: tuple[float, ...] = (0.0, 1.0, 1.0), seed: int = 42, wanted: Column | None = None) -> DataFrame:
+    """(id, embedding): the weighted sum of L2-normalised neighbour means of 1, 2, ... steps from a random projection; with
+    ``wanted``, a condition on ``id``, of those nodes alone.
 
-    ``graph`` is undirected (src, dst, weight). A round is one join of the edges with the vectors and one weighted mean of
-    vectors, with partial sums before the shuffle. What two steps read is written once."""
+    ``graph`` is undirected (src, dst, weight). The random vector of a neighbour follows from its id, so the first round
+    joins nothing. In later rounds sources are dealt to blocks, a vector is sent once to each block that has an edge to its
+    node, and a block adds up what its sources meet: no vector is shuffled for an edge."""
     graph = written(graph, "graph")
-    ids = graph.select(F.col("src").alias("id")).distinct()
-    current = ids.withColumn("v", random_projection(F.col("id"), dims, seed))
-    total = current.select("id", F.transform("v", lambda x: x * weights[0]).alias("e"))
-    for weight in weights[1:]:
-        sums = graph.join(current, graph["dst"] == current["id"]).select("src", "weight", "v")
-        moved = sums.groupBy(F.col("src").alias("id")).agg(vector_to_array(Summarizer.mean(array_to_vector("v"), F.col("weight"))).alias("v"))
+    wanted = F.lit(True) if wanted is None else wanted
+    total = graph.select(F.col("src").alias("id")).where(wanted).distinct()
+    total = total.withColumn("e", scaled(random_projection(F.col("id"), dims, seed), weights[0]))
+    current = None
+    for step, weight in enumerate(weights[1:], 2):
+        last = step == len(weights)
+        rows = graph.withColumnRenamed("src", "id").where(wanted if last else F.lit(True))
+        rows = rows.withColumn("block", F.pmod(F.hash("id"), F.lit(BLOCKS)))
+        if current is None:
+            met = rows.withColumn("v", random_projection(F.col("dst"), dims, seed))
+        else:
+            sent = rows.select("block", "dst").distinct().join(current.withColumnRenamed("id", "dst"), "dst")
+            met = rows.repartitionById(BLOCKS, "block").join(sent.repartitionById(BLOCKS, "block"), ["block", "dst"])
+        # A mean's length falls out when it is normalised, so sums do.
+        sums = met.groupBy("block", "id").agg(*[F.sum(F.col("weight") * F.col("v")[k]).alias(f"v{k}") for k in range(dims)])
+        moved = sums.select("id", F.array(*[f"v{k}" for k in range(dims)]).alias("v"))
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        current = written(moved.select("id", F.when(length > 0, F.transform("v", lambda x: x / length)).otherwise(F.col("v")).alias("v")), "vectors")
-        total = total.join(current, "id").select("id", F.zip_with("e", scaled(weight), lambda a, b: a + b).alias("e"))
+        current = moved.withColumn("length", length).select("id", F.when(F.col("length") > 0, F.transform("v", lambda x: x / F.col("length"))).otherwise(F.col("v")).alias("v"))
+        current = current if last else written(current, "vectors")
+        total = total.join(current, "id").select("id", F.zip_with("e", scaled("v", weight), lambda a, b: a + b).alias("e"))
     return total.withColumnRenamed("e", "embedding")

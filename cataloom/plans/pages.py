@@ -235,5 +235,4 @@ def graph_projection(spark, sf_dir):
 
 @plans.add()
 def fastrp_embeddings(spark, sf_dir):
-    vectors = graph.fast_rp(graph.undirected(part_graph(spark, sf_dir)), dims=32)
-    return vectors.where("id like 'Album:%'")
+    return graph.fast_rp(graph.undirected(part_graph(spark, sf_dir)), dims=32, wanted=F.col("id").like("Album:%"))

@@ -392,3 +392,25 @@ def test_large_seeds_are_ranked_by_ranges_and_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(ranking, "PLAN_ROWS", 3)
     monkeypatch.setattr(ranking, "SEED_ROWS", 3)
     assert len(small) == 60 and run() == small
+
+
+def test_fast_rp_equals_plain_rounds_and_sends_no_vector_for_an_edge(spark):
+    """A hub of 3,000 edges and pairs of its leaves; vectors of a round are read once a block, not once an edge."""
+    edges = [("hub", f"n{k}", 1.0 + k % 3) for k in range(3000)] + [(f"n{k}", f"n{k + 1}", 2.0) for k in range(0, 3000, 2)]
+    both = graph.undirected(spark.createDataFrame(edges, "src string, dst string, weight double"))
+    found = graph.fast_rp(both, dims=8, weights=(0.5, 1.0, 2.0))
+    got = {r.id: np.array(r.embedding) for r in found.collect()}
+    ids = spark.createDataFrame([(i,) for i in got], "id string")
+    start = {r.id: np.array(r.v) for r in ids.withColumn("v", graph.random_projection(F.col("id"), 8, 42)).collect()}
+    now, want = start, {i: 0.5 * v for i, v in start.items()}
+    for weight in (1.0, 2.0):
+        sums = {i: np.zeros(8) for i in got}
+        for a, b, w in edges:
+            sums[a] = sums[a] + w * now[b]
+            sums[b] = sums[b] + w * now[a]
+        now = {i: v / (np.linalg.norm(v) or 1.0) for i, v in sums.items()}
+        want = {i: want[i] + weight * now[i] for i in want}
+    assert len(got) == 3001 and max(np.abs(got[i] - want[i]).max() for i in got) < 1e-9
+    some = {r.id: np.array(r.embedding) for r in graph.fast_rp(both, dims=8, weights=(0.5, 1.0, 2.0), wanted=F.col("id") == "hub").collect()}
+    assert list(some) == ["hub"] and np.abs(some["hub"] - want["hub"]).max() < 1e-9
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().toString()
