@@ -11,8 +11,8 @@ from cataloom.sources.storage import written
 
 # Weights of the undirected projection, by edge type.
 EDGE_WEIGHTS = {"ALBUM_ARTIST": 4.0, "CREDITED": 2.0, "DESCRIPTOR": 1.0, "LANGUAGE": 1.0, "PRIMARY": 3.0, "SECONDARY": 1.0}
-#: Blocks of nodes to each of which a neighbour's vector goes at most once.
-BLOCKS = 64
+#: Edges that a task keeps at once, and blocks of nodes to each of which a neighbour's vector goes at most once.
+EDGES, BLOCKS = 400_000, 64
 
 
 def nodes(parts: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -22,9 +22,15 @@ def nodes(parts: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
 
 
 def edges(parts: list[tuple[str, DataFrame, Column, Column]]) -> DataFrame:
-    """(src, dst, type, weight) without repeats."""
+    """(src, dst, type, weight) without repeats. The rows are counted first, so that a task keeps as many whatever the size."""
     frames = [rows.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit(EDGE_WEIGHTS[kind]).alias("weight")) for kind, rows, src, dst in parts]
-    return reduce(lambda a, b: a.union(b), frames).distinct()
+    found = reduce(lambda a, b: a.union(b), frames)
+    return found.repartition(tasks(found), "src", "dst").distinct()
+
+
+def tasks(edges: DataFrame) -> int:
+    """How many partitions hold the edges with ``EDGES`` in each."""
+    return edges.count() // EDGES + 1
 
 
 def edge_lists(edges: DataFrame) -> DataFrame:
@@ -33,9 +39,10 @@ def edge_lists(edges: DataFrame) -> DataFrame:
 
 
 def undirected(directed: DataFrame) -> DataFrame:
-    """Each edge in both directions; parallel edges add up."""
+    """Each edge in both directions; parallel edges add up. The edges of a source end in one partition."""
+    directed = written(directed, "directed")
     both = directed.select("src", "dst", "weight").union(directed.select("dst", "src", "weight"))
-    return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return both.repartition(tasks(both), "src").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def random_projection(id_: Column, dims: int, seed: int) -> Column:

@@ -414,3 +414,15 @@ def test_fast_rp_equals_plain_rounds_and_sends_no_vector_for_an_edge(spark):
     some = {r.id: np.array(r.embedding) for r in graph.fast_rp(both, dims=8, weights=(0.5, 1.0, 2.0), wanted=F.col("id") == "hub").collect()}
     assert list(some) == ["hub"] and np.abs(some["hub"] - want["hub"]).max() < 1e-9
     assert "ObjectHashAggregate" not in found._jdf.queryExecution().toString()
+
+
+def test_undirected_edges_are_dealt_by_their_number(spark, monkeypatch):
+    """The more edges the more partitions, so that a task keeps as many."""
+    monkeypatch.setattr(graph, "EDGES", 100)
+    rows = spark.range(450).select(F.col("id").cast("string").alias("a"), (F.col("id") % 7).cast("string").alias("b"))
+    directed = graph.edges([("CREDITED", rows, F.concat(F.lit("x"), F.col("a")), F.concat(F.lit("y"), F.col("b")))])
+    assert directed.rdd.getNumPartitions() == 5
+    both = graph.undirected(directed)
+    assert both.rdd.getNumPartitions() == 10 and both.count() == 900
+    at = both.select("src", F.spark_partition_id().alias("p")).groupBy("src").agg(F.count_distinct("p").alias("n"))
+    assert at.where("n > 1").count() == 0
