@@ -2,8 +2,8 @@
 
 ``TextIndex.build`` reads each text once and writes postings (term, key, weighted frequency, length), the dictionary of terms
 with their document counts and deletion neighbourhoods, and the corpus' size. Postings are laid out by a shard of the term
-and ordered by term, so a search reads the shards of its terms and of those the row groups that hold them; a term that is
-in very many texts spreads over as many files as its postings need. Scores are BM25 with field weights, summed by partial
+and ordered by term, so a search reads the shards of its terms and of those the row groups that hold them; a shard has as
+many files as its postings need, by key, so a term that is in very many texts spreads over all of them. Scores are BM25 with field weights, summed by partial
 aggregates; no text is read again.
 """
 
@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cataloom.functions import scalars
+from cataloom.sources.storage import written
 
 #: BM25's saturation of frequencies and weight of lengths.
 K1, B = 1.2, 0.75
 #: Folders of postings, of the dictionary and of neighbourhoods.
 SHARDS = 16
+#: Words, and pairs of query and text, that a task adds up.
+POSTINGS = PAIRS = 1_000_000
 #: Deletions are made in so many first characters; that loses no term within two edits.
 PREFIX = 7
 VOWEL = "([aeiou]|.y)"
@@ -94,6 +97,15 @@ def _shard(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
 
 
+def _counted(rows: DataFrame, words: str, weight: float) -> DataFrame:
+    """``rows`` with the ordered array ``words`` as (word, tf): each word once, with ``weight`` for each time it occurs."""
+    here = F.col(words)
+    first = F.filter(F.sequence(F.lit(0), F.size(here) - 1), lambda i: (i == 0) | (F.get(here, i) != F.get(here, i - 1)))
+    out = rows.withColumn("__first", first)
+    ends = lambda j: F.coalesce(F.get(F.col("__first"), j + 1), F.size(here))
+    return out.withColumn(words, F.transform("__first", lambda i, j: F.struct(F.get(here, i).alias("word"), ((ends(j) - i) * F.lit(weight)).alias("tf")))).drop("__first")
+
+
 class TextIndex:
     """An inverted index in a folder. Null texts count as empty; a text without terms is counted in the corpus' size."""
 
@@ -102,27 +114,31 @@ class TextIndex:
         self.stats = spark.read.parquet(f"{self.path}/stats").first()
 
     @staticmethod
-    def build(rows: DataFrame, key: str, fields: dict[str, float], path: str) -> TextIndex:
-        """Index the text columns ``fields`` (with their weights) of ``rows``, one row a key."""
+    def build(rows: DataFrame, key: str, fields: dict[str, float], path: str, fuzzy: bool = True) -> TextIndex:
+        """Index the text columns ``fields`` (with their weights) of ``rows``, one row a key; without ``fuzzy`` for exact
+        searches alone, which read no neighbourhoods."""
 
         lists = [tokens(F.col(c)) for c in fields]
         sizes = [F.when(F.get(F.col(f"f{k}"), F.lit(0)) == "", 0).otherwise(F.size(f"f{k}")) for k in range(len(lists))]
-        texts = rows.select(F.col(key).alias("key"), *[terms.alias(f"f{k}") for k, terms in enumerate(lists)])
-        texts = texts.withColumn("length", reduce(lambda a, b: a + b, [size * float(w) for size, w in zip(sizes, fields.values(), strict=True)]))
-        # The fields' terms end to end; the place of a term tells its field, and that its weight.
-        ends = [reduce(lambda a, b: a + b, [F.size(f"f{j}") for j in range(k + 1)]) for k in range(len(lists))]
-        weight = reduce(lambda rest, k: F.when(F.col("pos") < ends[k], F.lit(float(list(fields.values())[k]))).otherwise(rest), reversed(range(len(lists))), F.lit(0.0))
-        words = texts.select("*", F.posexplode(F.concat(*[f"f{k}" for k in range(len(lists))])).alias("pos", "word")).where("word != ''").withColumn("weight", weight)
-        words = words.groupBy("key", "length", "word").agg(F.sum("weight").alias("tf"))
-        found = stemmed(words, "word", "term").groupBy("key", "length", "term").agg(F.sum("tf").alias("tf"))
-        laid = found.withColumn("shard", _shard(F.col("term"))).repartitionByRange("shard", "term", "key").sortWithinPartitions("shard", "term", "key")
-        laid.select("shard", "term", "key", "tf", "length").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+        texts = rows.select(F.col(key).alias("key"), *[F.array_sort(terms).alias(f"f{k}") for k, terms in enumerate(lists)])
+        length = reduce(lambda a, b: a + b, [size * float(w) for size, w in zip(sizes, fields.values(), strict=True)])
+        texts = texts.withColumn("length", length).withColumn("size", reduce(lambda a, b: a + b, sizes))
+        texts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
         spark = rows.sparkSession
+        # A text counts its own words; each goes once to its place, where those of a stem are added up.
+        spread = spark.read.parquet(f"{path}/stats").first()["size"] // (SHARDS * POSTINGS) + 1
+        counted = reduce(lambda out, k: _counted(out, f"f{k}", float(list(fields.values())[k])), range(len(lists)), texts)
+        words = counted.select("key", "length", F.explode(F.concat(*[f"f{k}" for k in range(len(lists))])).alias("x")).select("key", "length", "x.word", "x.tf").where("word != ''")
+        found = stemmed(words, "word", "term").drop("word").withColumn("shard", _shard(F.col("term")))
+        place = F.col("shard") * F.lit(spread) + F.pmod(F.xxhash64("key", F.lit(1)), F.lit(spread))
+        found = found.withColumn("place", place.cast("int")).repartitionById(SHARDS * spread, "place")
+        laid = found.groupBy("place", "shard", "term", "key", "length").agg(F.sum("tf").alias("tf")).sortWithinPartitions("shard", "term", "key")
+        laid.select("shard", "term", "key", "tf", "length").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
         postings.groupBy("term", "shard").agg(F.count("*").alias("df")).repartition("shard").sortWithinPartitions("term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/terms")
-        texts.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/stats")
-        near = neighbourhoods(spark.read.parquet(f"{path}/terms")).withColumn("shard", _shard(F.col("deletion")))
-        near.repartition("shard").sortWithinPartitions("deletion").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/near")
+        if fuzzy:
+            near = neighbourhoods(spark.read.parquet(f"{path}/terms")).withColumn("shard", _shard(F.col("deletion")))
+            near.repartition("shard").sortWithinPartitions("deletion").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(f"{path}/near")
         return TextIndex(spark, path)
 
     def _read(self, name: str) -> DataFrame:
@@ -139,13 +155,14 @@ class TextIndex:
         near = near_terms(asked, self._read("near"))
         return asked.join(near, "asked").withColumn("boost", 1 - F.col("edits") / F.least(F.length("asked"), F.length("term"))).drop("edits")
 
-    def scored(self, postings: DataFrame, terms: DataFrame, asked: DataFrame, need_all: bool, fuzzy: bool) -> DataFrame:
+    def scored(self, postings: DataFrame, terms: DataFrame | None, asked: DataFrame, need_all: bool, fuzzy: bool) -> DataFrame:
         """(query_id, key, score): the sum over a query's terms of the best of what stands for each. Scores are rounded, so
-        that the order of sums doesn't decide between equal texts."""
+        that the order of sums doesn't decide between equal texts. Without ``terms`` the asked ones have their ``df``."""
         n, mean = self.stats["n"], self.stats["mean"] or 1.0
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-        hits = postings.join(asked.join(terms.select("term", "df"), "term"), "term").select("query_id", "needed", "asked", "key", (F.col("boost") * weight).alias("score"))
+        known = asked if terms is None else asked.join(terms.select("term", "df"), "term")
+        hits = postings.join(known, "term").select("query_id", "needed", "asked", "key", (F.col("boost") * weight).alias("score"))
         # Without edits only a term itself stands for it.
         each = hits.groupBy("query_id", "needed", "key", "asked").agg(F.max("score").alias("score")) if fuzzy else hits
         found = each.groupBy("query_id", "needed", "key").agg(F.round(F.sum("score"), 9).alias("score"), F.count("*").alias("met"))
@@ -164,6 +181,11 @@ class TextIndex:
 
     def search_many(self, queries: DataFrame, k: int, need_all: bool = True, fuzzy: bool = False) -> DataFrame:
         """(query_id, rank, key, score): the ``k`` best texts of each of many queries (query_id, text)."""
-        found = self.scored(self._read("postings"), self._read("terms"), self.asked_terms(queries, fuzzy), need_all, fuzzy)
+        known = written(self.asked_terms(queries, fuzzy).join(self._read("terms").select("term", "df"), "term"), "asked")
+        # Only postings are shuffled, by text: a task has all hits of its texts and passes on the best of each query.
+        pairs = known.select("query_id").distinct().count() * self.stats["n"]
+        postings = self._read("postings").join(known.select("term").distinct(), "term", "left_semi")
+        postings = postings.repartition(max(pairs // PAIRS, self.stats["size"] // POSTINGS) + 1, "key")
+        found = self.scored(postings, None, known, need_all, fuzzy)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")

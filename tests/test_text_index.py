@@ -106,3 +106,20 @@ def test_a_search_reads_the_shards_and_terms_that_it_asks_for(index):
     plan = index.search("red rings", 3)._jdf.queryExecution().toString()
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "postings" in line]
     assert scans and all("PartitionFilters: [" in s and "shard#" in s.split("PartitionFilters: [")[1].split("]")[0] and "In(term" in s for s in scans)
+
+
+def test_exact_searches_need_no_neighbourhoods_and_many_shuffle_postings_alone(spark, tmp_path, monkeypatch):
+    """Several files a shard and few pairs a task give the same rows; hits are added up without a shuffle of their own."""
+    rows = spark.createDataFrame(TEXTS + [(k, f"red ring {k % 7}", "hop " * (k % 4)) for k in range(10, 200)], "id long, name string, artists string")
+    queries = spark.createDataFrame([(1, "red rings"), (2, "hopping 3 ring"), (3, "zzz")], "query_id long, text string")
+    plain = TextIndex.build(rows, "id", {"name": 2.0, "artists": 1.0}, f"file://{tmp_path}/a")
+    want = sorted(plain.search_many(queries, 5, need_all=False).collect())
+    monkeypatch.setattr(text_index, "POSTINGS", 10)
+    monkeypatch.setattr(text_index, "PAIRS", 50)
+    spread = TextIndex.build(rows, "id", {"name": 2.0, "artists": 1.0}, f"file://{tmp_path}/b", fuzzy=False)
+    found = spread.search_many(queries, 5, need_all=False)
+    assert sorted(found.collect()) == want and len(want) == 10
+    assert not (tmp_path / "b" / "near").exists() and (tmp_path / "a" / "near").exists()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[: plan.index("Initial Plan")]
+    assert final.count("hashpartitioning(key#") == 1 and "hashpartitioning(query_id#" in final and final.count("Exchange hashpartitioning") == 3
