@@ -155,7 +155,7 @@ def parse_album_pages(spark, sf_dir):
 @plans.add("SELECT 'release/album/a/' || p_partkey AS file_name, CASE WHEN p_partkey % 3 <> 0 THEN 'id' || p_partkey END AS spotify_id FROM part")
 def parse_streaming_ids(spark, sf_dir):
     """The id that an album page marks as its default."""
-    return pages.albums(pages.read_pages(catalogue_pages(spark, sf_dir), ["album"])).select("file_name", "spotify_id")
+    return pages.albums(pages.read_pages(catalogue_pages(spark, sf_dir), ["album"], parts={"album": ["links"]})).select("file_name", "spotify_id")
 
 
 @plans.add("SELECT 'charts/top/album/' || p_partkey AS chart, 'release/album/a/' || p_partkey AS file_name, p_name AS name, p_brand AS primary_genres FROM part WHERE p_partkey % 7 <> 0")

@@ -176,15 +176,17 @@ def read(root: Node, spec: Spec) -> dict:
     return out
 
 
-@F.pandas_udf(T.StringType())
-def read_page(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """The strings of each page (html, page type) as JSON; null for an unknown type or no page."""
-    for pages, kinds in parts:
-        yield pd.Series([json.dumps(read(parse(p), SPECS[k])) if p is not None and k in SPECS else None for p, k in zip(pages, kinds, strict=True)], dtype="object")
+def reader(specs: dict[str, Spec]):  # noqa: ANN201
+    """The function (html, page type) that reads the strings of each page as JSON; null for an unknown type or no page."""
 
+    @F.pandas_udf(T.StringType())
+    def read_page(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for pages, kinds in parts:
+            yield pd.Series([json.dumps(read(parse(p), specs[k])) if p is not None and k in specs else None for p, k in zip(pages, kinds, strict=True)], dtype="object")
+
+    # Filters on the result must not run the function again.
+    return read_page.asNondeterministic()
 
-# Filters on the result must not run the function again.
-read_page = read_page.asNondeterministic()
 
 REFERENCE = "array<struct<name:string,href:string>>"
 RAW = {
@@ -196,14 +198,20 @@ RAW = {
 }
 
 
-def read_pages(pages: DataFrame, kinds: list[str] | None = None, file_name: str = "file_name", html: str = "html") -> DataFrame:
+#: Tasks of reading for each core: enough for an even end.
+TASKS_A_CORE = 4
+
+
+def read_pages(pages: DataFrame, kinds: list[str] | None = None, file_name: str = "file_name", html: str = "html", parts: dict[str, list[str]] | None = None) -> DataFrame:
     """(file_name, page_type, raw): pages of the types asked for (all known ones for none given) with their strings as JSON,
-    each read once. Pages of other types aren't read."""
+    each read once. Pages of other types aren't read. Of types in ``parts`` only those parts of the whole page are taken
+    (see ``SPECS``); what comes from others is then null."""
     rows = pages.select(F.col(file_name).alias("file_name"), scalars.page_type(F.col(file_name)).alias("page_type"), F.col(html).alias("html")).where("page_type is not null and html is not null")
     rows = rows if kinds is None else rows.where(F.col("page_type").isin(kinds))
-    # Reading takes far longer than moving a page, and few large files make few tasks.
-    rows = rows.repartition(F.xxhash64("file_name"))
-    return rows.select("file_name", "page_type", read_page("html", "page_type").alias("raw"))
+    # Reading takes far longer than moving a page, so its tasks go by the cores and not by the few bytes that are moved.
+    rows = rows.repartition(TASKS_A_CORE * pages.sparkSession.sparkContext.defaultParallelism, F.xxhash64("file_name"))
+    specs = {kind: {name: spec[name] for name in (parts or {}).get(kind, spec)} for kind, spec in SPECS.items()}
+    return rows.select("file_name", "page_type", reader(specs)("html", "page_type").alias("raw"))
 
 
 def _references(values: Column) -> Column:
@@ -302,8 +310,13 @@ def parse_errors(r: dict[str, Column]) -> dict[str, Column]:
     }
 
 
+#: The parts of a page that decide whether its parse fails.
+DECIDING = {"album": ["name", "rating", "rating_count", "body", "artists"], "chart": [], "artist": ["name"], "album_search_result": ["items"], "list_segment": ["name"]}
+
+
 def parse_events(raw: DataFrame) -> DataFrame:
-    """(file_name, page_type, event, error): what each page's parse reports to the event log, in one pass."""
+    """(file_name, page_type, event, error): what each page's parse reports to the event log, in one pass. It needs the
+    parts ``DECIDING`` alone."""
     rows = raw
     for kind in SPECS:  # a page has the strings of its own type only
         rows = rows.withColumn(f"r_{kind}", F.when(F.col("page_type") == kind, F.from_json("raw", RAW[kind])))

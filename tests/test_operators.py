@@ -426,3 +426,16 @@ def test_undirected_edges_are_dealt_by_their_number(spark, monkeypatch):
     assert both.rdd.getNumPartitions() == 10 and both.count() == 900
     at = both.select("src", F.spark_partition_id().alias("p")).groupBy("src").agg(F.count_distinct("p").alias("n"))
     assert at.where("n > 1").count() == 0
+
+
+def test_pages_are_read_by_parts_in_tasks_for_all_cores(spark):
+    """Parts left out change no other column and no event; the tasks of reading aren't coalesced to the bytes moved."""
+    html = '<meta itemprop="name" content="N"><meta itemprop="ratingValue" content="1"><meta itemprop="ratingCount" content="2"><div class="release_page"></div><div id="media_link_button_container_top" data-links="{&quot;spotify&quot;:{&quot;i%d&quot;:{&quot;default&quot;:true}}}"></div>'
+    rows = spark.createDataFrame([(f"release/album/a/{k}", html % k if k % 3 else "<p>") for k in range(60)] + [("artist/a", "<p>")], "file_name string, html string")
+    whole, some = pages.read_pages(rows), pages.read_pages(rows, parts={"album": ["links"]})
+    ids = lambda raw: sorted((r.file_name, r.spotify_id) for r in pages.albums(raw).collect())
+    assert ids(whole) == ids(some) and sum(i is not None for _, i in ids(some)) == 40
+    events = lambda raw: sorted((r.file_name, r.event, r.error) for r in pages.parse_events(raw).collect())
+    assert events(whole) == events(pages.read_pages(rows, parts=pages.DECIDING))
+    assert whole.rdd.getNumPartitions() == pages.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert set(events(some)) != set(events(whole))
