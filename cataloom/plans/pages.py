@@ -188,7 +188,7 @@ def parse_search_pages(spark, sf_dir):
 SELECT t AS page_type, CASE WHEN t = 'album_search_result' AND p_partkey % 4 = 0 THEN 'FileParseFailed' ELSE 'FileParsed' END AS event, count(*) AS n
 FROM part, (SELECT unnest(['album', 'chart', 'artist', 'album_search_result', 'list_segment']) AS t) GROUP BY 1, 2""")
 def parse_events(spark, sf_dir):
-    raw = pages.read_pages(catalogue_pages(spark, sf_dir))
+    raw = pages.read_pages(catalogue_pages(spark, sf_dir), parts=pages.DECIDING)
     return pages.parse_events(raw).groupBy("page_type", "event").agg(F.count("*").alias("n"))
 
 
