@@ -16,10 +16,16 @@ from cataloom.sources.tables import table
 plans = Plans()
 
 
+#: Line items that a task keeps at once.
+LINES = 200_000
+
+
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(profile, file_name, factor): how often each customer bought each part."""
     orders, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     bought = orders.select("o_orderkey", "o_custkey").join(line.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
+    # A customer's items meet in one of as many tasks as the line items fill.
+    bought = bought.select("o_custkey", "l_partkey").repartition(line.count() // LINES + 1, "o_custkey")
     return bought.groupBy(F.col("o_custkey").alias("profile"), F.col("l_partkey").alias("file_name")).agg(F.count("*").alias("factor"))
 
 

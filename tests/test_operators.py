@@ -439,3 +439,15 @@ def test_pages_are_read_by_parts_in_tasks_for_all_cores(spark):
     assert events(whole) == events(pages.read_pages(rows, parts=pages.DECIDING))
     assert whole.rdd.getNumPartitions() == pages.TASKS_A_CORE * spark.sparkContext.defaultParallelism
     assert set(events(some)) != set(events(whole))
+
+
+def test_profiles_are_dealt_by_the_number_of_line_items(spark, monkeypatch):
+    from cataloom.plans import ranking
+
+    monkeypatch.setattr(ranking, "LINES", 1000)
+    sf = "/root/testdata/sf0.001"
+    tasks = spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1000 + 1
+    rows = ranking.profiles(spark, sf)
+    assert rows.rdd.getNumPartitions() == tasks > 1
+    places = rows.select("profile", F.spark_partition_id().alias("at")).distinct()
+    assert places.count() == places.select("profile").distinct().count()
