@@ -13,6 +13,9 @@ from cataloom.streaming import stateful
 
 plans = Plans()
 
+#: Line items that a task keeps at once.
+LINES = 200_000
+
 
 @plans.add("SELECT event_id, event_type, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def compact_latest(spark, sf_dir):
@@ -161,8 +164,10 @@ def file_put_and_delete(spark, sf_dir):
 
 @plans.add("SELECT DISTINCT o_custkey AS root FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_partkey % 100 = 3 OR o_orderkey % 500 = 9")
 def lookups_touched(spark, sf_dir):
-    both = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("root")).join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
-    segments = both.groupBy("root", "o_orderkey").agg(F.collect_set(F.concat(F.lit("i"), F.col("l_partkey").cast("string"))).alias("items"), F.collect_set(F.concat(F.lit("s"), F.col("o_orderkey").cast("string"))).alias("siblings"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    both = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("root")).join(line, "o_orderkey")
+    # A list's pages meet in one of as many tasks as the line items fill.
+    segments = both.repartition(line.count() // LINES + 1, "root").groupBy("root", "o_orderkey").agg(F.collect_set(F.concat(F.lit("i"), F.col("l_partkey").cast("string"))).alias("items"), F.collect_set(F.concat(F.lit("s"), F.col("o_orderkey").cast("string"))).alias("siblings"))
     changed = both.select(F.explode(F.array(F.when(F.col("l_partkey") % 100 == 3, F.concat(F.lit("i"), F.col("l_partkey").cast("string"))), F.when(F.col("o_orderkey") % 500 == 9, F.concat(F.lit("s"), F.col("o_orderkey").cast("string"))))).alias("key")).where("key is not null").distinct()
     return lookups.touched(segments, changed, "root", "siblings", "items")
 

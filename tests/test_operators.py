@@ -441,13 +441,15 @@ def test_pages_are_read_by_parts_in_tasks_for_all_cores(spark):
     assert set(events(some)) != set(events(whole))
 
 
-def test_profiles_are_dealt_by_the_number_of_line_items(spark, monkeypatch):
-    from cataloom.plans import ranking
+def test_profiles_and_lists_are_dealt_by_the_number_of_line_items(spark, monkeypatch):
+    from cataloom.plans import events, ranking
 
     monkeypatch.setattr(ranking, "LINES", 1000)
+    monkeypatch.setattr(events, "LINES", 1000)
     sf = "/root/testdata/sf0.001"
     tasks = spark.read.parquet(f"{sf}/lineitem.parquet").count() // 1000 + 1
     rows = ranking.profiles(spark, sf)
     assert rows.rdd.getNumPartitions() == tasks > 1
     places = rows.select("profile", F.spark_partition_id().alias("at")).distinct()
     assert places.count() == places.select("profile").distinct().count()
+    assert "hashpartitioning(root#" in (plan := events.lookups_touched(spark, sf)._jdf.queryExecution().toString()) and f", {tasks}), REPARTITION_BY_NUM" in plan
