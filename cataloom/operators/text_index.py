@@ -1,7 +1,7 @@
 """Ranked text search over an inverted index that is kept as tables, and terms within a few edits of each other.
 
-``TextIndex.build`` reads each text once and writes postings (term, key, weighted frequency, length), the dictionary of terms
-with their document counts and deletion neighbourhoods, and the corpus' size. Postings are laid out by a shard of the term
+``TextIndex.build`` takes each text apart once and writes postings (term, key, weighted frequency, length), the dictionary of
+terms with their document counts, deletion neighbourhoods if asked to, and the corpus' size. Postings are laid out by a shard of the term
 and ordered by term, so a search reads the shards of its terms and of those the row groups that hold them; a shard has as
 many files as its postings need, by key, so a term that is in very many texts spreads over all of them. Scores are BM25 with field weights, summed by partial
 aggregates; no text is read again.
@@ -26,25 +26,32 @@ SHARDS = 16
 POSTINGS = PAIRS = 1_000_000
 #: Deletions are made in so many first characters; that loses no term within two edits.
 PREFIX = 7
+#: Bytes of a word and what is between it and the next, about.
+WORD_BYTES = 6
 VOWEL = "([aeiou]|.y)"
 
 
 def stemmed(rows: DataFrame, term: str, name: str) -> DataFrame:
     """``rows`` with ``name``: the folded term of the column ``term`` without its inflection (plural s, ed, ing and final y,
-    by the first step of Porter's algorithm). Terms of two characters stay as they are."""
+    by the first step of Porter's algorithm). Terms of two characters stay as they are.
+
+    Most terms have none of these endings: an ending is looked at before an expression searches the term for it."""
     one, bare, two = F.col("__one"), F.col("__bare"), F.col("__two")
+    cut = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
     mended = (
         F.when(bare.rlike("(at|bl|iz)$"), F.concat(bare, F.lit("e")))
         .when(bare.rlike("(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.substring(bare, F.lit(1), F.length(bare) - 1))
         .when(bare.rlike("^[^aeiou]+[aeiouy][^aeiouwxy]$"), F.concat(bare, F.lit("e")))
         .otherwise(bare)
     )
-    past = F.when(one.rlike(f"{VOWEL}[^aeiouy]+eed$"), F.regexp_replace(one, "d$", "")).otherwise(one)
+    past = F.when(one.rlike(f"{VOWEL}[^aeiouy]+eed$"), cut(one, 1)).otherwise(one)
+    inflected = (one.endswith("ed") | one.endswith("ing")) & one.rlike(f"{VOWEL}.*(ed|ing)$")
     # One column a step, so that no expression is repeated in the next.
-    out = rows.withColumn("__one", F.regexp_replace(F.regexp_replace(term, "(ss|i)es$", "$1"), "(.[^s])s$", "$1"))
-    out = out.withColumn("__bare", F.regexp_replace("__one", "(ed|ing)$", ""))
-    out = out.withColumn("__two", F.when(one.endswith("eed"), past).when(one.rlike(f"{VOWEL}.*(ed|ing)$"), mended).otherwise(one))
-    last = F.when(two.rlike(f"{VOWEL}.*y$"), F.regexp_replace(two, "y$", "i")).otherwise(two)
+    singular = F.regexp_replace(F.regexp_replace(term, "(ss|i)es$", "$1"), "(.[^s])s$", "$1")
+    out = rows.withColumn("__one", F.when(F.col(term).endswith("s"), singular).otherwise(F.col(term)))
+    out = out.withColumn("__bare", F.when(one.endswith("ed"), cut(one, 2)).when(one.endswith("ing"), cut(one, 3)).otherwise(one))
+    out = out.withColumn("__two", F.when(one.endswith("eed"), past).when(inflected, mended).otherwise(one))
+    last = F.when(two.endswith("y") & two.rlike(f"{VOWEL}.*y$"), F.concat(cut(two, 1), F.lit("i"))).otherwise(two)
     return out.withColumn(name, F.when(F.length(term) <= 2, F.col(term)).otherwise(last)).drop("__one", "__bare", "__two")
 
 
@@ -93,6 +100,15 @@ def near_terms(asked: DataFrame, near: DataFrame) -> DataFrame:
     return met.withColumn("edits", F.levenshtein("asked", "term")).where("edits <= k").select("asked", "term", "edits")
 
 
+def compared_terms(asked: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The rows of ``near_terms`` for few asked terms and a dictionary of distinct terms: each term is compared with the asked
+    ones of about its length where it lies. That reads the dictionary once and needs no neighbourhoods of it."""
+    terms = asked.where("asked is not null and asked != ''").select("asked").distinct().withColumn("k", allowed_edits(F.col("asked")))
+    met = dictionary.select("term").join(F.broadcast(terms), F.abs(F.length("asked") - F.length("term")) <= F.col("k"))
+    # Beyond two edits, the most that any term allows, the distance is -1.
+    return met.withColumn("edits", F.levenshtein("asked", "term", 2)).where("edits between 0 and k").select("asked", "term", "edits")
+
+
 def _shard(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
 
@@ -115,18 +131,20 @@ class TextIndex:
 
     @staticmethod
     def build(rows: DataFrame, key: str, fields: dict[str, float], path: str, fuzzy: bool = True) -> TextIndex:
-        """Index the text columns ``fields`` (with their weights) of ``rows``, one row a key; without ``fuzzy`` for exact
-        searches alone, which read no neighbourhoods."""
+        """Index the text columns ``fields`` (with their weights) of ``rows``, one row a key; ``fuzzy`` adds deletion
+        neighbourhoods, which only fuzzy searches for many queries read."""
 
+        # How much there is tells how postings are laid out; that takes no tokens.
+        known = rows.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"b{k}") for k, c in enumerate(fields)]).first()
+        n, size = known["n"], sum(known[1:]) // WORD_BYTES
         lists = [tokens(F.col(c)) for c in fields]
         sizes = [F.when(F.get(F.col(f"f{k}"), F.lit(0)) == "", 0).otherwise(F.size(f"f{k}")) for k in range(len(lists))]
-        texts = rows.select(F.col(key).alias("key"), *[F.array_sort(terms).alias(f"f{k}") for k, terms in enumerate(lists)])
+        texts = rows.select(F.col(key).alias("key"), *[F.sort_array(terms).alias(f"f{k}") for k, terms in enumerate(lists)])
         length = reduce(lambda a, b: a + b, [size * float(w) for size, w in zip(sizes, fields.values(), strict=True)])
-        texts = texts.withColumn("length", length).withColumn("size", reduce(lambda a, b: a + b, sizes))
-        texts.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        texts = texts.withColumn("length", length)
         spark = rows.sparkSession
         # A text counts its own words; each goes once to its place, where those of a stem are added up.
-        spread = spark.read.parquet(f"{path}/stats").first()["size"] // (SHARDS * POSTINGS) + 1
+        spread = size // (SHARDS * POSTINGS) + 1
         counted = reduce(lambda out, k: _counted(out, f"f{k}", float(list(fields.values())[k])), range(len(lists)), texts)
         words = counted.select("key", "length", F.explode(F.concat(*[f"f{k}" for k in range(len(lists))])).alias("x")).select("key", "length", "x.word", "x.tf").where("word != ''")
         found = stemmed(words, "word", "term").drop("word").withColumn("shard", _shard(F.col("term")))
@@ -135,7 +153,10 @@ class TextIndex:
         laid = found.groupBy("place", "shard", "term", "key", "length").agg(F.sum("tf").alias("tf")).sortWithinPartitions("shard", "term", "key")
         laid.select("shard", "term", "key", "tf", "length").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(f"{path}/postings")
         postings = spark.read.parquet(f"{path}/postings")
-        postings.groupBy("term", "shard").agg(F.count("*").alias("df")).repartition("shard").sortWithinPartitions("term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/terms")
+        postings.groupBy("term", "shard").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).repartition("shard").sortWithinPartitions("term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/terms")
+        # Each word of a text counts in its length and in one term's frequency, so the frequencies add up to the lengths.
+        mean = F.coalesce(F.sum("tf"), F.lit(0.0)) / F.lit(float(max(n, 1)))
+        spark.read.parquet(f"{path}/terms").agg(F.lit(n).cast("long").alias("n"), mean.alias("mean"), F.lit(size).cast("long").alias("size")).write.mode("overwrite").parquet(f"{path}/stats")
         if fuzzy:
             near = neighbourhoods(spark.read.parquet(f"{path}/terms")).withColumn("shard", _shard(F.col("deletion")))
             near.repartition("shard").sortWithinPartitions("deletion").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(f"{path}/near")
@@ -144,15 +165,16 @@ class TextIndex:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
-    def asked_terms(self, queries: DataFrame, fuzzy: bool) -> DataFrame:
+    def asked_terms(self, queries: DataFrame, fuzzy: bool, few: bool = False) -> DataFrame:
         """(query_id, asked, needed, term, boost): the distinct stems of each query and the indexed terms that stand for
-        them. A term ``edits`` away counts less by its share of edits in the shorter of both."""
+        them; ``few`` queries need no neighbourhoods. A term ``edits`` away counts less by its share of edits in the shorter
+        of both."""
         words = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).where("word != ''")
         asked = stemmed(words, "word", "asked").groupBy("query_id").agg(F.collect_set("asked").alias("asked"))
         asked = asked.select("query_id", F.size("asked").alias("needed"), F.explode("asked").alias("asked"))
         if not fuzzy:
             return asked.withColumns({"term": F.col("asked"), "boost": F.lit(1.0)})
-        near = near_terms(asked, self._read("near"))
+        near = compared_terms(asked, self._read("terms")) if few else near_terms(asked, self._read("near"))
         return asked.join(near, "asked").withColumn("boost", 1 - F.col("edits") / F.least(F.length("asked"), F.length("term"))).drop("edits")
 
     def scored(self, postings: DataFrame, terms: DataFrame | None, asked: DataFrame, need_all: bool, fuzzy: bool) -> DataFrame:
@@ -171,7 +193,7 @@ class TextIndex:
     def search(self, text: str, k: int, need_all: bool = True, fuzzy: bool = False) -> DataFrame:
         """(key, score) of the ``k`` best texts for one query, ties by key. Terms count once; with ``need_all`` each must
         be met. Only the shards and row groups of its terms are read."""
-        asked = self.asked_terms(self.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(text).alias("text")), fuzzy)
+        asked = self.asked_terms(self.spark.range(1).select(F.lit(0).alias("query_id"), F.lit(text).alias("text")), fuzzy, few=True)
         # One query's terms, and of a fuzzy one the dictionary's terms near them: literals that prune the scans.
         rows = asked.withColumn("shard", _shard(F.col("term"))).collect()
         wanted, shards = sorted({r["term"] for r in rows}), sorted({r["shard"] for r in rows})

@@ -123,3 +123,25 @@ def test_exact_searches_need_no_neighbourhoods_and_many_shuffle_postings_alone(s
     plan = found._jdf.queryExecution().executedPlan().toString()
     final = plan[: plan.index("Initial Plan")]
     assert final.count("hashpartitioning(key#") == 1 and "hashpartitioning(query_id#" in final and final.count("Exchange hashpartitioning") == 3
+
+
+def test_compared_terms_equal_near_terms(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 11))) for _ in range(400)} | {"aaaaaaaa", "aaaaaaa", "ab" * 9, "x" * 5000})
+    dictionary = spark.createDataFrame([(w, 1) for w in words], "term string, df long")
+    asked = spark.createDataFrame([(w,) for w in [*words[::40], "aaaaaa", "x" * 4999, "zz", "zzzzzz", "", None, "aaaaaa"]], "asked string")
+    found = sorted(text_index.compared_terms(asked, dictionary).collect())
+    assert found == sorted(text_index.near_terms(asked, text_index.neighbourhoods(dictionary)).collect()) and len(found) > 40
+
+
+def test_a_fuzzy_search_reads_the_dictionary_and_no_neighbourhoods(spark, tmp_path, index):
+    """An index without neighbourhoods gives the rows of one with them; its size comes from the postings."""
+    rows = spark.createDataFrame(TEXTS + [(100, None, None), (101, "", "?")], "id long, name string, artists string")
+    plain = TextIndex.build(rows, "id", {"name": 2.0, "artists": 1.0}, f"file://{tmp_path}/plain", fuzzy=False)
+    full = TextIndex.build(rows, "id", {"name": 2.0, "artists": 1.0}, f"file://{tmp_path}/full")
+    words = [2.0 * len(re.findall(r"\w+", n or "")) + len(re.findall(r"\w+", a or "")) for _, n, a in TEXTS]
+    assert plain.stats["n"] == len(TEXTS) + 2 and plain.stats["mean"] == pytest.approx(sum(words) / (len(TEXTS) + 2))
+    for text in ("hoppper", "rad rngs, hoping", "zzzzzz", ""):
+        found = plain.search(text, 5, need_all=False, fuzzy=True).collect()
+        assert found == full.search(text, 5, need_all=False, fuzzy=True).collect()
+    assert len(plain.search("rad rngs, hoping", 5, need_all=False, fuzzy=True).collect()) == 5
