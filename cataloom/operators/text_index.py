@@ -177,13 +177,12 @@ class TextIndex:
         near = compared_terms(asked, self._read("terms")) if few else near_terms(asked, self._read("near"))
         return asked.join(near, "asked").withColumn("boost", 1 - F.col("edits") / F.least(F.length("asked"), F.length("term"))).drop("edits")
 
-    def scored(self, postings: DataFrame, terms: DataFrame | None, asked: DataFrame, need_all: bool, fuzzy: bool) -> DataFrame:
+    def scored(self, postings: DataFrame, known: DataFrame, need_all: bool, fuzzy: bool) -> DataFrame:
         """(query_id, key, score): the sum over a query's terms of the best of what stands for each. Scores are rounded, so
-        that the order of sums doesn't decide between equal texts. Without ``terms`` the asked ones have their ``df``."""
+        that the order of sums doesn't decide between equal texts. ``known`` are asked terms with their ``df``."""
         n, mean = self.stats["n"], self.stats["mean"] or 1.0
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-        known = asked if terms is None else asked.join(terms.select("term", "df"), "term")
         hits = postings.join(known, "term").select("query_id", "needed", "asked", "key", (F.col("boost") * weight).alias("score"))
         # Without edits only a term itself stands for it.
         each = hits.groupBy("query_id", "needed", "key", "asked").agg(F.max("score").alias("score")) if fuzzy else hits
@@ -199,7 +198,9 @@ class TextIndex:
         wanted, shards = sorted({r["term"] for r in rows}), sorted({r["shard"] for r in rows})
         pruned = lambda name: self._read(name).where(F.col("shard").isin(shards) & F.col("term").isin(wanted))
         known = self.spark.createDataFrame([(0, r["asked"], r["needed"], r["term"], r["boost"]) for r in rows], "query_id int, asked string, needed int, term string, boost double")
-        return self.scored(pruned("postings"), pruned("terms"), known, need_all, fuzzy).orderBy(F.desc("score"), "key").limit(k).select("key", "score")
+        # They go to the postings, so that a term in very many texts stays where its postings lie.
+        known = F.broadcast(known.join(pruned("terms").select("term", "df"), "term"))
+        return self.scored(pruned("postings"), known, need_all, fuzzy).orderBy(F.desc("score"), "key").limit(k).select("key", "score")
 
     def search_many(self, queries: DataFrame, k: int, need_all: bool = True, fuzzy: bool = False) -> DataFrame:
         """(query_id, rank, key, score): the ``k`` best texts of each of many queries (query_id, text)."""
@@ -208,6 +209,6 @@ class TextIndex:
         pairs = known.select("query_id").distinct().count() * self.stats["n"]
         postings = self._read("postings").join(known.select("term").distinct(), "term", "left_semi")
         postings = postings.repartition(max(pairs // PAIRS, self.stats["size"] // POSTINGS) + 1, "key")
-        found = self.scored(postings, None, known, need_all, fuzzy)
+        found = self.scored(postings, known, need_all, fuzzy)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "key", "score")

@@ -145,3 +145,17 @@ def test_a_fuzzy_search_reads_the_dictionary_and_no_neighbourhoods(spark, tmp_pa
         found = plain.search(text, 5, need_all=False, fuzzy=True).collect()
         assert found == full.search(text, 5, need_all=False, fuzzy=True).collect()
     assert len(plain.search("rad rngs, hoping", 5, need_all=False, fuzzy=True).collect()) == 5
+
+
+def test_a_search_leaves_postings_where_they_lie(spark, index):
+    """Hits are added up by text; no term's postings go to one task, however large Spark takes the tables to be."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.search("red rings", 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    scan = next(k for k, line in enumerate(lines) if "FileScan parquet" in line and "postings" in line)
+    above = next(line for line in reversed(lines[:scan]) if "Join" in line or "Exchange" in line)
+    assert "BroadcastHashJoin" in above
