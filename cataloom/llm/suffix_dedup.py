@@ -4,8 +4,9 @@ A string of ``match`` bytes is assigned to its anchor: the first of its ``GRAM``
 strings have equal anchors at equal offsets, so only strings of anchors that occur twice can repeat, and all equal
 strings meet under one anchor. Consecutive strings with one anchor form a segment. Distinct segments are dealt by
 anchor to shards; each shard sorts its suffixes to depth ``match`` by Larsson-Sadakane refinement, takes common prefixes
-by Kasai's rule, and finds the first place of every string. An anchor with very many distinct segments is dealt to
-several shards, whose first places are merged by binary search.
+by Kasai's rule, and finds the first place of every string. Strings of a crowded anchor, one that stands in very many
+contexts, get finer anchors: the anchor with nearly all bytes of the string. An anchor that still has very many distinct
+segments is dealt to several shards, whose first places are merged by binary search.
 """
 
 from __future__ import annotations
@@ -26,18 +27,21 @@ from cataloom.llm.text import BASE, BASE_INVERSE, BYTE_VALUES, blocks, mix, powe
 MATCH, GRAM = 100, 24
 #: Distinct segments of one anchor in a shard; bytes sorted at a time, where no anchor has more; bytes of a partition.
 SHARD_SEGMENTS, SHARD_BYTES, PARTITION_BYTES = 2048, 1 << 20, 3 << 20
-#: One text in so many tells which anchors are hot: those with more than 1/``HOT_SHARE`` of its occurrences. That only
-#: decides how occurrences are dealt, not what is found.
-SAMPLED, HOT_SHARE = 64, 10_000
+#: One text in so many tells which anchors are hot: those with more than 1/``HOT_SHARE`` of its occurrences; and which are
+#: crowded: those with so many distinct segments that a shard may not hold them, and with more than 1/``CROWDED_SHARE`` of
+#: the occurrences of such anchors. That only decides how occurrences are dealt, not what is found.
+SAMPLED, HOT_SHARE, CROWDED_SHARE = 64, 10_000, 400_000
 #: Bytes of segments that are cut out of texts at a time.
 PIECE_BYTES = 1 << 20
 LOW = np.uint64((1 << 31) - 1)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, ...]:
+def segments(data: np.ndarray, offsets: np.ndarray, match: int = MATCH, crowded: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Row, anchor hash, segment hash, anchor place, first and last string start of every segment, in order.
 
-    Places count from the start of the row. Of segments that repeat inside a row all are given."""
+    Places count from the start of the row. Of segments that repeat inside a row all are given. A segment whose anchor is
+    among ``crowded`` (sorted hashes) is cut where strings reach a multiple of some bytes before the anchor. The strings of
+    such a piece share all but a few bytes; these, with the anchor, are hashed to its anchor hash."""
     gram = min(GRAM, match)
     n = len(data)
     if n < match:
@@ -61,10 +65,24 @@ def segments(data: np.ndarray, offsets: np.ndarray, match: int = MATCH) -> tuple
     cut = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
     first, last = inside[cut], inside[np.concatenate([cut[1:] - 1, [len(inside) - 1]])]
     row, anchor = row[cut], anchor[cut]
+    name = grams[anchor]
+    if crowded is not None and len(crowded):
+        step = max(1, match // 12)
+        fine = crowded[np.minimum(np.searchsorted(crowded, name), len(crowded) - 1)] == name
+        far, near = (anchor - first) // step, (anchor - last) // step
+        count = np.where(fine, far - near + 1, 1)
+        of = np.repeat(np.arange(len(count)), count)
+        reach = (far[of] - np.arange(len(of)) + np.repeat(np.cumsum(count) - count, count)) * step
+        row, anchor, first, last, name, fine = row[of], anchor[of], first[of], last[of], name[of], fine[of]
+        first = np.where(fine, np.maximum(first, anchor - reach - step + 1), first)
+        last = np.where(fine, np.minimum(last, anchor - reach), last)
+        begin = (anchor - reach)[fine]
+        shared = (total[begin + match - step + 1] - total[begin]) * down[begin]
+        name[fine] = mix(shared + mix(name[fine]) + mix(reach[fine].astype(np.uint64) + np.uint64(1)))
     content = (total[last + match] - total[first]) * down[first]
     segment = mix(content + mix(((last - first) * 256 + (anchor - first)).astype(np.uint64)))
     base = offsets[row]
-    return row, grams[anchor].view(np.int64), segment.view(np.int64), anchor - base, first - base, last - base
+    return row, name.view(np.int64), segment.view(np.int64), anchor - base, first - base, last - base
 
 
 def first_in_row(row: np.ndarray, anchor: np.ndarray, segment: np.ndarray) -> np.ndarray:
@@ -176,23 +194,39 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str, carry: list[str])
     return rows, rows.select("id", "text").dropDuplicates(["id"])
 
 
-def repeated_ranges(texts: DataFrame, match: int = MATCH) -> DataFrame:
-    """(id, ranges): for rows (unique id, text), byte ranges [from, to) that are covered by strings of ``match`` bytes
-    found earlier in another row or place. Segments that repeat inside one row are left to the reader of the row."""
-    spark = texts.sparkSession
-    arrow_id, id_kind = _ids(spark, texts, "id")
-    occurrence = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("id", arrow_id), ("place", pa.int64())])
+def occurrences(texts: DataFrame, match: int, crowded: np.ndarray | None = None) -> DataFrame:
+    """(anchor, segment, id, place) of every segment of rows (id, text); of those that repeat inside a row the first."""
+    arrow_id, id_kind = _ids(texts.sparkSession, texts, "id")
+    schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("id", arrow_id), ("place", pa.int64())])
 
-    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches, "text"):
-            row, anchor, segment, place, first, last = segments(data, offsets, match)
+            row, anchor, segment, place, first, last = segments(data, offsets, match, crowded)
             keep = np.flatnonzero(first_in_row(row, anchor, segment))
             packed = (place[keep] << 14) | ((place - first)[keep] << 7) | (place - last)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(segment[keep]), rows.column("id").take(pa.array(row[keep])), pa.array(packed)], schema=occurrence)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(segment[keep]), rows.column("id").take(pa.array(row[keep])), pa.array(packed)], schema=schema)
+
+    return texts.mapInArrow(found, f"anchor long, segment long, id {id_kind}, place long")
+
+
+def crowded_anchors(sample: DataFrame, match: int = MATCH) -> np.ndarray:
+    """Sorted hashes of the anchors that stand in very many contexts, told from sampled rows (id, text): fewer than
+    ``CROWDED_SHARE``. Those whose contexts often repeat, as in near copies, are left: finer anchors would only add rows."""
+    by_segment = occurrences(sample, match).groupBy("anchor", "segment").agg(F.count("*").alias("n"))
+    by_anchor = by_segment.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("distinct"))
+    found = stored(by_anchor.where((F.col("distinct") > SHARD_SEGMENTS * 3 // 4 // SAMPLED) & (F.col("distinct") * 4 > F.col("n") * 3)), "crowded")
+    found = found.where(F.col("n") * CROWDED_SHARE > F.lit(found.agg(F.sum("n")).first()[0] or 0))
+    return np.sort(found.select("anchor").toArrow()["anchor"].to_numpy().view(np.uint64))
 
-    kinds = f"anchor long, segment long, id {id_kind}, place long"
-    every = texts.mapInArrow(occurrences, kinds)
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0).mapInArrow(occurrences, kinds).groupBy("anchor").agg(F.count("*").alias("n"))
+
+def repeated_ranges(texts: DataFrame, sample: DataFrame, crowded: np.ndarray, match: int = MATCH) -> DataFrame:
+    """(id, ranges): for rows (unique id, text), byte ranges [from, to) that are covered by strings of ``match`` bytes
+    found earlier in another row or place. Segments that repeat inside one row are left to the reader of the row.
+    ``sample`` has some of the rows, ``crowded`` the anchors whose segments are cut into finer ones."""
+    spark = texts.sparkSession
+    arrow_id, id_kind = _ids(spark, texts, "id")
+    every = occurrences(texts, match, crowded)
+    sample = occurrences(sample, match, crowded).groupBy("anchor").agg(F.count("*").alias("n"))
     sample = stored(sample.where("n > 3"), "anchors")
     hot = sample.where(F.col("n") * HOT_SHARE > F.lit(sample.agg(F.sum("n")).first()[0] or 0)).select("anchor")
     is_lead = (F.col("lead.id") == F.col("id")) & (F.col("lead.place") == F.col("place"))
@@ -336,36 +370,34 @@ def one_shard(table: pa.Table, match: int, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def merged(table: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
-    """Merge the first strings of several shards: each shard's sorted hashes are searched in those merged so far, and
-    of two equal strings the later place is removed."""
-    w = np.empty(len(table), dtype=[("a", np.int64), ("b", np.int64)])
-    w["a"], w["b"] = table["w1"].to_numpy(), table["w2"].to_numpy()
-    part, ids = table["part"].to_numpy(), table["id"].combine_chunks()
-    low = table["from"].to_numpy().astype(np.int64)
-    seniority = (_rank(ids) << 31) | low
-    removed = np.zeros(len(w), bool)
-    have = np.zeros(0, np.int64)
-    for k in np.unique(part):
-        mine = np.flatnonzero(part == k)
-        mine = mine[np.argsort(w[mine], order=("a", "b"))]
-        if len(have):
-            at = np.minimum(np.searchsorted(w[have]["a"], w[mine]["a"]), len(have) - 1)
-            # Equal first hashes are rare beyond equal strings; step over those with another second hash.
-            while True:
-                wrong = (w["a"][have[at]] == w["a"][mine]) & (w["b"][have[at]] < w["b"][mine]) & (at + 1 < len(have))
-                if not wrong.any():
-                    break
-                at = at + wrong
-            equal = np.flatnonzero((w["a"][have[at]] == w["a"][mine]) & (w["b"][have[at]] == w["b"][mine]))
-            mine_e, have_e = mine[equal], have[at[equal]]
-            mine_later = seniority[mine_e] > seniority[have_e]
-            removed[mine_e[mine_later]] = True
-            removed[have_e[~mine_later]] = True
-            have[at[equal[~mine_later]]] = mine_e[~mine_later]
-            have = np.concatenate([have, np.delete(mine, equal)])
-            have = have[np.argsort(w[have], order=("a", "b"))]
-        else:
-            have = mine
+    """Merge the first strings of several shards, two and two: the sorted hashes of one are searched in those of the
+    other, and of two equal strings the later place is removed."""
+    w1, w2, part = (table[c].to_numpy() for c in ("w1", "w2", "part"))
+    ids = table["id"].combine_chunks()
+    seniority = (_rank(ids) << 31) | table["from"].to_numpy().astype(np.int64)
+    removed = np.zeros(len(w1), bool)
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(w1[a], w1[b])
+        # Equal first hashes are rare beyond equal strings; step over those with another second hash.
+        while True:
+            met = a[np.minimum(at, len(a) - 1)]
+            same = (at < len(a)) & (w1[met] == w1[b])
+            behind = same & (w2[met] < w2[b])
+            if not behind.any():
+                break
+            at = at + behind
+        same &= w2[met] == w2[b]
+        old, new = met[same], b[same]
+        later = seniority[new] > seniority[old]
+        removed[np.where(later, new, old)] = True
+        a[at[same]] = np.where(later, old, new)
+        return np.insert(a, at[~same], b[~same])
+
+    order = np.lexsort((w2, w1, part))
+    runs = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+    while len(runs) > 1:
+        runs = [joined(*runs[k : k + 2]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
     out = np.flatnonzero(removed)
     return pa.RecordBatch.from_arrays([ids.take(pa.array(out)), table["from"].combine_chunks().take(pa.array(out)), table["to"].combine_chunks().take(pa.array(out))], schema=schema)
 
@@ -393,13 +425,15 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, id_column: str = "doc_id
     light_batches(docs.sparkSession)
     carry = carry or []
     rows, texts = _keyed(docs, id_column, text_column, carry)
-    ranges = repeated_ranges(texts, match)
+    sample = stored(texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0), "sample")
+    crowded = crowded_anchors(sample, match)
+    ranges = repeated_ranges(texts, sample, crowded, match)
     arrow_given, given_kind = _ids(docs.sparkSession, rows, "given")
     schema = pa.schema([("id", arrow_given), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("carried", to_arrow_type(rows.schema["carried"].dataType))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches, "text"):
-            row, anchor, segment, place, first, last = segments(data, offsets, match)
+            row, anchor, segment, place, first, last = segments(data, offsets, match, crowded)
             again = ~first_in_row(row, anchor, segment)
             lists = part.column("ranges")
             flat, counts = lists.flatten(), np.diff(lists.offsets.to_numpy())

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cataloom.llm import bpe, decontaminate, embedding_dedup, html_crf, jaccard_join, language_id, sharding, suffix_dedup, toxicity, url_filter
+from cataloom.llm import bpe, decontaminate, embedding_dedup, html_crf, jaccard_join, language_id, sharding, storage, suffix_dedup, toxicity, url_filter
 from cataloom.llm.graph import components, numbered
 from cataloom.llm.queries import URL_RULES, tokenizer_path
 
@@ -185,6 +187,65 @@ def test_suffix_dedup_odd_rows(odd_docs):
     assert len(twice) == 2 and twice[0] == twice[1] and twice[0].n_removed == 0
 
 
+def test_suffix_dedup_of_a_line_in_many_contexts(spark, monkeypatch):
+    """Strings around a common line get finer anchors; hardly any of them is merged one by one."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", 16)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    rng = random.Random(9)
+    line = "the line that stands in very many texts, of eighty bytes or so, as notices stand"
+    ends = [words(rng, 6) for _ in range(5)]
+    texts = [f"{words(rng, 25)} {line} {words(rng, 25)}" for _ in range(150)]
+    texts += [f"{words(rng, 25)} {line} {ends[k % 5]} {words(rng, 20)}" for k in range(30)]
+    texts += [f"{words(rng, 25)}{ends[k % 5]} {line} {words(rng, 25)} {ends[k % 5]} {line}{words(rng, 25)}" for k in range(20)]
+    texts += [f"{words(rng, 12)} {line} {line} {line} {words(rng, 12)}" for _ in range(10)] + texts[:3]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == removed_brute(rows, 100) and sum(r[1] for r in got.values()) > 5_000
+    table = [x for x in storage._written[spark.sparkContext.applicationId] if "/suffixes-" in x][-1]
+    assert spark.read.parquet(table).where("w1 is not null").count() < 2_000
+
+
+def test_segments_of_crowded_anchors_hold_the_same_strings():
+    rng = random.Random(5)
+    for match in (100, 12, 5):
+        texts = [" ".join(rng.choice(["ab", "cd", "efg", "hi"]) for _ in range(rng.randint(0, 150))).encode() for _ in range(20)]
+        texts += [t[:k] + b"a line that stands everywhere, long enough for an anchor" + t[k:] for k, t in enumerate(texts)]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+        crowded = np.unique(suffix_dedup.segments(data, offsets, match)[1].view(np.uint64))[::2]
+        strings, contents, names = [], {}, {}
+        for row, anchor, segment, place, first, last in zip(*(x.tolist() for x in suffix_dedup.segments(data, offsets, match, crowded))):
+            strings += [(row, s) for s in range(first, last + 1)]
+            content = (texts[row][first : last + match], place - first)
+            assert contents.setdefault((anchor, segment), content) == content
+            for s in range(first, last + 1):
+                assert names.setdefault(texts[row][s : s + match], (anchor, place - s)) == (anchor, place - s)
+        assert strings == [(k, s) for k, t in enumerate(texts) for s in range(len(t) - match + 1)]
+
+
+def test_shards_are_merged_in_time_that_follows_the_strings():
+    rng = np.random.default_rng(3)
+    schema = pa.schema([("id", pa.int64()), ("from", pa.int32()), ("to", pa.int32())])
+
+    def strings(parts: int) -> tuple[pa.Table, float]:
+        own = np.concatenate([rng.choice(60_000, 60_000 // parts, replace=False) for _ in range(parts)])
+        w1 = own // 3  # three strings with one first hash
+        place = rng.permutation(len(own))
+        return pa.table({"id": place // 100, "from": (place % 100).astype(np.int32), "to": (place % 100 + 100).astype(np.int32), "w1": w1, "w2": own % 3, "part": np.repeat(np.arange(parts), 60_000 // parts).astype(np.int32)})
+
+    took = {}
+    for parts in (2, 2, 500):
+        table = strings(parts)
+        began = time.perf_counter()
+        got = suffix_dedup.merged(table, schema)
+        took[parts] = time.perf_counter() - began
+        frame = table.to_pandas()
+        later = frame[frame.sort_values(["id", "from"]).duplicated(["w1", "w2"]).reindex(frame.index)]
+        assert sorted(zip(got["id"].to_pylist(), got["from"].to_pylist())) == sorted(zip(later["id"], later["from"]))
+    assert took[500] < 30 * took[2]
+
+
 # Benchmark decontamination
 
 
